@@ -218,3 +218,25 @@ def merge_counts(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.n
     k, c = k[order], c[order]
     head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     return k[head], np.add.reduceat(c, head)
+
+
+def member(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Which 64-bit keys are in the sorted, distinct ``found``; a bit table settles most of them."""
+    out = np.zeros(len(keys), bool)
+    if not len(found) or not len(keys):
+        return out
+    bits = max(12, min(24, int(len(found)).bit_length() + 4))
+    table = np.zeros(1 << bits, bool)
+    table[(found >> U64(64 - bits)).astype(np.int64)] = True
+    maybe = np.flatnonzero(table[(keys >> U64(64 - bits)).astype(np.int64)])
+    at = np.searchsorted(found, keys[maybe])
+    at[at == len(found)] = 0
+    out[maybe] = found[at] == keys[maybe]
+    return out
+
+
+def repeated(keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct values that occur twice or more."""
+    s = np.sort(keys)
+    same = s[1:][s[1:] == s[:-1]]
+    return same[np.concatenate([[True], same[1:] != same[:-1]])] if len(same) else same
