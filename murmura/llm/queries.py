@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmura.llm import language, quality, simhash, url_filter
+from murmura.llm import decontaminate, language, quality, simhash, url_filter
 from murmura.llm.common import doc_hash
 
 
@@ -25,6 +25,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("perplexity", 4).alias("perplexity"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     known = docs.filter(doc_hash() % 3 != 1)
@@ -44,8 +49,35 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
+    "op4_decontamination": op4_decontamination,
     "op8_language": op8_language,
     "op9_url_filter": op9_url_filter,
 }
 
-ORACLES: dict[str, str] = {}
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+URL_PATTERNS = " or ".join(f"regexp_matches(lower(url), '{r.pattern}')" for r in url_filter.DEFAULT_RULES if r.verdict == "block")
+
+ORACLES: dict[str, str] = {
+    "op4_decontamination": rf"""
+        with d as (select doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+        b as (select item_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where item_id is not null),
+        bw as (select distinct item_id, least(len(w), 10) as k, list_slice(w, i, i + least(len(w), 10) - 1) as win
+               from b, unnest(range(1, greatest(len(w) - 10, 0) + 2)) t(i) where len(w) > 0),
+        dw as (select doc_id, i, k, list_slice(w, i, i + k - 1) as win from d, (select distinct k from bw) ks, unnest(range(1, len(w) - k + 2)) t(i)),
+        m as (select doc_id, i, k, item_id from dw join bw using (k, win)),
+        hit as (select doc_id, count(distinct p) as n_hit from m, unnest(range(i, i + k)) t(p) group by doc_id),
+        it as (select doc_id, count(*) as n_items, string_agg(s, ',' order by s) as ids from (select distinct doc_id, cast(item_id as varchar) as s from m) group by doc_id)
+        select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+               sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+        from d left join hit using (doc_id) left join it using (doc_id)""",
+    "op9_url_filter": rf"""
+        with u as (select page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
+        r as (select *, case when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/'
+                             when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/de/') then 'example.com/de/'
+                             when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/'
+                             when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/' end as rule from u)
+        select page_id, host, path, rule,
+               case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
+                    when url like '%://%' and ({URL_PATTERNS}) then 'block' else 'allow' end as verdict from r""",
+}

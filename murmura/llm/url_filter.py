@@ -27,6 +27,9 @@ DEFAULT_RULES = (
     Rule("casino-host", "block", r"^[a-z][a-z0-9+.-]*://[^/?#]*\bcasino\b", ("casino",)),
     Rule("online-poker", "block", r"\bonline[-_]poker\b", ("online", "poker")),
     Rule("free-download", "block", r"/free[-_]download\b", ("free", "download")),
+    Rule("ads-track", "block", r"^[a-z][a-z0-9+.-]*://([^/?#]*\.)?ads?-track", ("track",)),
+    Rule("free-bets", "block", r"^[a-z][a-z0-9+.-]*://([^/?#]*\.)?free-bets\.", ("free", "bets")),
+    Rule("cheap-pills", "block", r"^[a-z][a-z0-9+.-]*://([^/?#]*\.)?cheap-pills\.", ("cheap", "pills")),
     Rule("adult-x", "block", r"^[a-z][a-z0-9+.-]*://([^/?#]*\.)?adult-x\.", ("adult", "x")),
     Rule("adult-porn", "block", r"\bporn\b", ("porn",)),
     Rule("adult-xxx", "block", r"^[a-z][a-z0-9+.-]*://[^/?#]*\bxxx\b", ("xxx",)),
