@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmura.llm import decontaminate, language, quality, simhash, url_filter
+from murmura.llm import decontaminate, language, quality, simhash, toxicity, url_filter
 from murmura.llm.common import doc_hash
 
 
@@ -30,6 +30,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), doc_hash() % 4 != 2)
+    return found.select("doc_id", (~F.col("learned")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "threshold", "toxic")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     known = docs.filter(doc_hash() % 3 != 1)
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
     "op4_decontamination": op4_decontamination,
+    "op5_toxicity": op5_toxicity,
     "op8_language": op8_language,
     "op9_url_filter": op9_url_filter,
 }
