@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from murmura.llm import kernels as K
 
 #: Bytes of text that a kernel takes at once; a longer text makes a slice of its own.
-SLICE = 4 << 20
+SLICE = 512 << 10
 
 
 def ship() -> None:
@@ -46,7 +46,7 @@ def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
 
 def size_hint(df: DataFrame) -> int:
     """Bytes of the files a plan reads, by the optimizer's statistics."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def by_slices(batches: Iterable[pa.RecordBatch], text: str, most: int = SLICE) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
