@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmura.llm import decontaminate, language, quality, simhash, suffix_dedup, toxicity, url_filter
+from murmura.llm import backoff, decontaminate, language, quality, simhash, suffix_dedup, toxicity, url_filter
 from murmura.llm.common import doc_hash
 
 
@@ -56,6 +56,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = backoff.scores(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_bigrams", F.round("log_score", 4).alias("log_score"), F.round("score", 6).alias("score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_simhash": op2_simhash,
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op8_language": op8_language,
     "op9_url_filter": op9_url_filter,
+    "op10_backoff": op10_backoff,
 }
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -92,4 +98,15 @@ ORACLES: dict[str, str] = {
         select page_id, host, path, rule,
                case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
                     when url like '%://%' and ({URL_PATTERNS}) then 'block' else 'allow' end as verdict from r""",
+    "op10_backoff": rf"""
+        with d as (select doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') as w from documents),
+        t as (select doc_id, i, w[i] as b, case when i > 1 then w[i - 1] end as a from d, unnest(range(1, len(w) + 1)) r(i)),
+        u as (select b as g, count(*) as n from t group by b),
+        p as (select a, b, count(*) as n from t where a is not null group by a, b having count(*) >= 2),
+        s as (select doc_id, p.n is not null as two,
+                     case when p.n is not null then ln(p.n) - ln(ua.n) else ln(ub.n) - ln((select count(*) from t)) + case when t.a is null then 0 else ln(0.4) end end as v
+              from t left join p on t.a = p.a and t.b = p.b join u ub on t.b = ub.g left join u ua on t.a = ua.g),
+        g as (select doc_id, count(*) as n_words, count(*) filter (where two) as n_bigrams, sum(v) as v from s group by doc_id)
+        select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_bigrams, 0) as n_bigrams,
+               round(coalesce(v, 0), 4) as log_score, round(v / n_words, 6) as score from d left join g using (doc_id)""",
 }
