@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmura.llm import backoff, decontaminate, language, quality, simhash, suffix_dedup, toxicity, url_filter
+from murmura.llm import backoff, decontaminate, language, pii, quality, simhash, suffix_dedup, toxicity, url_filter
 from murmura.llm.common import doc_hash
 
 
@@ -40,6 +40,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~F.col("learned")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "threshold", "toxic")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.spans(docs, pii.train(docs))
+    counts = [F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) as long) as n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.digest("base"), 256).alias("base_sha256"), pii.digest("spans").alias("spans"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     known = docs.filter(doc_hash() % 3 != 1)
@@ -67,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,
+    "op7_pii": op7_pii,
     "op8_language": op8_language,
     "op9_url_filter": op9_url_filter,
     "op10_backoff": op10_backoff,
