@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmura.llm import backoff, decontaminate, language, pii, quality, simhash, suffix_dedup, toxicity, url_filter
+from murmura.llm import backoff, decontaminate, language, mixing, pii, quality, simhash, suffix_dedup, toxicity, url_filter
 from murmura.llm.common import doc_hash
 
 
@@ -40,6 +40,19 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~F.col("learned")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "threshold", "toxic")
 
 
+#: Token shares of the mixture, by quality and toxicity as the labels have them.
+TARGETS = {"good": 0.80, "poor": 0.15, "toxic": 0.05}
+
+
+def domains_of(labels: DataFrame) -> DataFrame:
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor").alias("domain")).filter("domain is not null")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.fit(table(spark, sf_dir, "documents"), domains_of(table(spark, sf_dir, "labels")), TARGETS)
+    return found.rates.select("doc_id", "n_tokens", *(F.round(f"p_{i}", 6).alias(f"p_{d}") for i, d in enumerate(found.domains)), F.round("rate", 6).alias("rate"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = pii.spans(docs, pii.train(docs))
@@ -74,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,
+    "op6_mixing": op6_mixing,
     "op7_pii": op7_pii,
     "op8_language": op8_language,
     "op9_url_filter": op9_url_filter,
