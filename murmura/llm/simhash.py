@@ -8,6 +8,8 @@ chain can exist; what is left gets the full Hamming check.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -93,7 +95,99 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     return of.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def keep_first(docs: DataFrame, words: int = 5) -> DataFrame:
-    """``docs`` without those that are near-duplicates of one with a smaller doc_id. Rows of one id stay or go together."""
-    groups = near_duplicates(docs, words).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti")
+#: Bits of the wide fingerprint that estimates the similarity of shingle sets, and the chance to miss a pair just at the bound.
+WIDE, MISS = 256, 0.02
+
+
+def _wide(buf: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each text as 48-bit hashes, where each text's begin, and 256 majority bits."""
+    out, start, end, first = K.joined_words(buf, off)
+    n = np.diff(first)
+    shingles = np.where(n == 0, 0, np.maximum(n - words + 1, 1))
+    head = np.repeat(first[:-1], shingles) + K.positions(shingles)
+    last = head + np.repeat(np.minimum(n, words), shingles) - 1
+    h = K.span_hash(K.prefix_hash(out), start[head], end[last]) if len(head) else np.zeros(0, np.uint64)
+    mine, bounds = [np.zeros(0, np.uint64)], [0]
+    for a in range(0, len(n), 1 << 15):
+        b = min(len(n), a + (1 << 15))
+        at = slice(int(shingles[:a].sum()), int(shingles[:b].sum()))
+        of = np.repeat(np.arange(b - a, dtype=np.uint64), shingles[a:b])
+        keys = np.unique((of << np.uint64(48)) | (h[at] >> np.uint64(16)))
+        mine.append(keys & np.uint64((1 << 48) - 1))
+        bounds += (bounds[-1] + np.searchsorted(keys, np.arange(1, b - a + 1).astype(np.uint64) << np.uint64(48))).tolist()
+    every, at = np.concatenate(mine), np.array(bounds)
+    size = np.diff(at)[:, None]
+    bits = [2 * K.bit_counts(K.mix(every + np.uint64(1 + w)), at) > size for w in range(WIDE // 64)]
+    return every, at, np.concatenate(bits, 1).astype(np.uint8)
+
+
+def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
+    """doc_id, h1 and h2 (a 128-bit hash of the whole text), n_shingles, and w0 to w3 (the wide fingerprint) of each row."""
+
+    def kernel(rows, buf, off):
+        every, at, bits = _wide(buf, off, words)
+        whole = [K.span_hash(K.prefix_hash(buf, w), off[:-1], off[1:], w).astype(np.int64) for w in (0, 1)]
+        cols = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+        return [rows.column(0), *whole, np.diff(at), *(np.ascontiguousarray(cols[:, w]) for w in range(4))]
+
+    return mapped(docs.select("doc_id", "text"), kernel, "doc_id long, h1 long, h2 long, n_shingles long, w0 long, w1 long, w2 long, w3 long")
+
+
+def table_shape(texts: int, similarity: float) -> tuple[int, int]:
+    """Bits of a key and number of key tables: keys as long as the number of texts asks for, tables for a chance MISS at the bound."""
+    equal = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = max(16, math.ceil(math.log2(max(2, texts))) + 2)
+    return bits, math.ceil(math.log(1 / MISS) / equal**bits)
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of each row: documents linked by a Jaccard similarity of their distinct word shingles, or equal texts.
+
+    Wide SimHash fingerprints of distinct texts share one of many sampled bit keys if
+    they are similar. Every text meets the least id of each of its keys, never all
+    texts of a key; pairs whose Hamming distance allows the similarity are checked
+    on their whole shingle sets. component_id is the least doc_id reachable. Texts
+    without words are linked to equal ones only; null ids as in near_duplicates().
+    """
+    found = stored(sketches(docs, words))
+    texts = stored(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), *(F.min(c).alias(c) for c in ("n_shingles", "w0", "w1", "w2", "w3"))))
+    named = texts.filter("id is not null and n_shingles > 0").select("id", "w0", "w1", "w2", "w3")
+    bits, tables = table_shape(named.count(), similarity)
+    rng = np.random.default_rng(17)
+    sampled = np.stack([rng.permutation(WIDE)[:bits] for _ in range(tables)])
+
+    def keys(batches):
+        for batch in batches:
+            raw = np.stack([batch.column(1 + w).to_numpy() for w in range(4)], 1)
+            on = np.unpackbits(raw.view(np.uint8).reshape(len(raw), -1), axis=1, bitorder="little").astype(np.int64)
+            out = np.stack([(t << bits) | (on[:, s] @ (1 << np.arange(bits))) for t, s in enumerate(sampled)], 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), tables)), pa.array(out.reshape(-1))], ["id", "key"])
+
+    keyed = named.mapInArrow(keys, "id long, key long")
+    least = keyed.groupBy("key").agg(F.min("id").alias("v"), F.max("id").alias("most")).filter("v <> most").select("key", "v")
+    pairs = keyed.join(least, "key").filter("id <> v").select(F.col("id").alias("u"), "v").distinct()
+    apart = sum((F.bit_count(F.col(f"w{w}").bitwiseXOR(F.col(f"x{w}"))) for w in range(4)), F.lit(0))
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    most = WIDE * share + 4 * math.sqrt(WIDE * share * (1 - share))
+    right = named.select(F.col("id").alias("v"), *(F.col(f"w{w}").alias(f"x{w}") for w in range(4)))
+    pairs = stored(pairs.join(named.withColumnRenamed("id", "u"), "u").join(right, "v").filter(apart <= most).select("u", "v"))
+    asked = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
+
+    def sets(rows, buf, off):
+        every, at, _ = _wide(buf, off, words)
+        return rows.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(every.astype(np.int64)))
+
+    held = mapped(docs.select("doc_id", "text").join(asked, "doc_id", "left_semi"), sets, "doc_id long, grams array<long>")
+    held = stored(held.groupBy("doc_id").agg(F.max("grams").alias("grams")))
+    both = pairs.join(held.select(F.col("doc_id").alias("u"), F.col("grams").alias("a")), "u").join(held.select(F.col("doc_id").alias("v"), F.col("grams").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    links = both.filter(common >= F.lit(similarity) * (F.size("a") + F.size("b") - common)).select("u", "v")
+    roots = components(links).withColumnRenamed("node", "id")
+    of = texts.join(roots, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("component_id"))
+    return found.select("doc_id", "h1", "h2").join(of, ["h1", "h2"]).select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Of each group of similar_groups(), the rows of the least doc_id; rows of a null id stay."""
+    others = similar_groups(docs, words, similarity).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti")
