@@ -7,62 +7,68 @@ import numpy as np
 U64 = np.uint64
 
 
-def _groups(sorted_keys: np.ndarray) -> np.ndarray:
-    new = np.empty(len(sorted_keys), np.int64)
-    new[0] = 0
-    np.cumsum(sorted_keys[1:] != sorted_keys[:-1], out=new[1:])
-    return new
-
-
-def _order(key: np.ndarray, key_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A stable order of keys, and the group number of each place in it; key and place share a word where they fit."""
-    place_bits = int(len(key)).bit_length()
+def _sorted(key: np.ndarray, key_bits: int, place: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the order of (key, place), and which of them have another key than the one before; key and place share a word where they fit."""
+    place_bits = int(places).bit_length()
     if key_bits + place_bits <= 64:
-        s = np.sort((key << U64(place_bits)) | np.arange(len(key), dtype=U64))
-        return (s & U64((1 << place_bits) - 1)).astype(np.int64), _groups(s >> U64(place_bits))
-    order = np.argsort(key, kind="stable")
-    return order, _groups(key[order])
+        s = np.sort((key << U64(place_bits)) | place.astype(U64))
+        order, key = (s & U64((1 << place_bits) - 1)).astype(np.int64), s >> U64(place_bits)
+    else:
+        by = np.argsort(key, kind="stable")
+        order, key = place[by], key[by]
+    new = np.ones(len(order), bool)
+    new[1:] = key[1:] != key[:-1]
+    return order, new
 
 
 def suffix_array(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix array of small integers, and where its rows start to differ from the one above within ``length`` symbols.
+    """The suffix array of strings that end in 0, and which rows differ from the one above within ``length`` symbols.
 
-    Prefix doubling from 3 or 6 symbols; the ranks at depth ``length`` - 2, which must be 48, tell the classes.
+    A string's end sorts by its place, so suffixes never tie. Prefix doubling from 3
+    or 6 symbols, of groups that are not settled yet only; the ranks at depth
+    ``length`` - 2, which must be 48, tell the classes.
     """
     n = len(symbols)
     bits = max(1, int(symbols.max()).bit_length())
     depth = 6 if 6 * bits + int(n).bit_length() <= 64 else 3
     padded = np.concatenate([symbols.astype(U64), np.zeros(depth, U64)])
-    key = np.zeros(n, U64)
+    key, alive = np.zeros(n, U64), np.ones(n, bool)
     for j in range(depth):
-        key = (key << U64(bits)) | padded[j : j + n]
-    sa, group = _order(key, depth * bits)
-    rank = np.empty(n, np.int64)
-    rank[sa] = group
-    at_48 = rank if depth == length - 2 else None
-    while group[-1] < n - 1:
-        wide = int(n + 1).bit_length()
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - depth)] = rank[depth:] + 1
-        sa, group = _order((rank.astype(U64) << U64(wide)) | after.astype(U64), 2 * wide)
-        rank = np.empty(n, np.int64)
-        rank[sa] = group
-        depth *= 2
+        here = np.where(alive, padded[j : j + n], U64(0))
+        key = (key << U64(bits)) | here
+        alive &= here != 0
+    sa, new = _sorted(key, depth * bits, np.arange(n), n)
+    new |= ~alive[sa]
+    slots = np.arange(n)
+    rank, at_48 = np.empty(n, np.int64), None
+    order, wide = sa, int(n + 1).bit_length()
+    while True:
+        rank[order] = slots[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
         if depth == length - 2:
-            at_48 = rank
+            at_48 = rank.copy()
+        open_ = ~new
+        open_[:-1] |= ~new[1:]
+        if not open_.any():
+            break
+        slots = slots[open_]
+        act = order[open_]
+        after = np.where(act + depth < n, rank[np.minimum(act + depth, n - 1)] + 1, 0)
+        order, new = _sorted((rank[act].astype(U64) << U64(wide)) | after.astype(U64), 2 * wide, act, n)
+        sa[slots] = order
+        depth *= 2
     at_48 = rank if at_48 is None else at_48
     tail = np.concatenate([at_48 + 1, [0, 0]])
-    new = np.ones(n, bool)
-    new[1:] = (at_48[sa[1:]] != at_48[sa[:-1]]) | (tail[sa[1:] + 2] != tail[sa[:-1] + 2])
-    return sa, new
+    apart = np.ones(n, bool)
+    apart[1:] = (at_48[sa[1:]] != at_48[sa[:-1]]) | (tail[sa[1:] + 2] != tail[sa[:-1] + 2])
+    return sa, apart
 
 
 class RunIndex:
     """Index of distinct byte strings, each with a number (its least document).
 
-    It keeps the transform in runs, the text position at each run's end, the row of
-    each string's end, and the least number of each class of rows that agree in
-    ``length`` symbols.
+    It keeps the transform in runs (with ranks that tell a row's run), the text
+    position at each run's end, the row of each string's last window, and the least
+    number of each class of rows that agree in ``length`` symbols.
     """
 
     def __init__(self, data: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, length: int = 50):
@@ -85,16 +91,20 @@ class RunIndex:
         by = np.argsort(transform[head], kind="stable")
         self.targets = np.empty(len(head), np.int64)
         self.targets[by] = np.cumsum(runs[by]) - runs[by]
-        self.class_starts = np.flatnonzero(new)
+        in_runs = np.zeros(len(sa), np.int32)
+        in_runs[head[1:]] = 1
+        self.run_of = np.cumsum(in_runs, dtype=np.int32)
+        class_starts = np.flatnonzero(new)
+        self.class_of = np.cumsum(new, dtype=np.int32) - 1
         whose = np.repeat(np.arange(len(sizes)), sizes + 1)
-        self.class_least = np.minimum.reduceat(numbers[whose[sa]], self.class_starts)
+        self.class_least = np.minimum.reduceat(numbers[whose[sa]], class_starts)
         row = np.empty(len(sa), np.int64)
         row[sa] = np.arange(len(sa))
         self.last_rows = row[ends - 1 - length]
 
     def step(self, rows: np.ndarray) -> np.ndarray:
         """Rows of the suffixes one symbol longer to the left."""
-        run = np.searchsorted(self.heads, rows, "right") - 1
+        run = self.run_of[rows]
         return self.targets[run] + rows - self.heads[run]
 
     def stream(self) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +118,7 @@ class RunIndex:
         out = np.empty(int(first[-1]), np.int64)
         live, rows, left = np.arange(len(windows)), self.last_rows, windows.copy()
         while len(live):
-            out[first[live] + left - 1] = self.class_least[np.searchsorted(self.class_starts, rows, "right") - 1]
+            out[first[live] + left - 1] = self.class_least[self.class_of[rows]]
             left -= 1
             on = left > 0
             live, rows, left = live[on], rows[on], left[on]

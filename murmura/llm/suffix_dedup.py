@@ -26,6 +26,9 @@ LENGTH, GRAM = 50, 16
 #: Windows of a segment at most; longer runs are cut, no window is lost. A segment and its neighbour then fit the index's 192 symbols.
 MOST = 46
 CACHE = 256 << 10
+#: Bytes of distinct segments in an index. Anchors never share windows, so a bucket's are spread over many small ones that fit a cache.
+INDEX_BYTES = 384 << 10
+PARTS = 256
 U64 = np.uint64
 
 
@@ -97,7 +100,7 @@ def _find_repeated(table: pa.Table) -> pa.Table:
 
 
 def _send_segments(table: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
-    empty = pa.table({"block": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), **{n: pa.array([], pa.binary()) for n in ("data", "sizes", "hashes", "docs")}})
+    empty = pa.table({"block": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), **{n: pa.array([], pa.binary()) for n in ("data", "sizes", "parts", "docs")}})
     if not table.num_rows or not replies.num_rows:
         return empty
     buf, off, ids, null = texts_of(table)
@@ -119,21 +122,32 @@ def _send_segments(table: pa.Table, replies: pa.Table, buckets: int) -> pa.Table
     one, least = one[order], least[order]
     used = np.flatnonzero(np.diff(bound))
     rows = [slice(bound[b], bound[b + 1]) for b in used]
-    data = [packed(buf[np.repeat(start[one[r]], size[one[r]]) + K.positions(size[one[r]])]) for r in rows]
+    data = [pa.compress(packed(buf[np.repeat(start[one[r]], size[one[r]]) + K.positions(size[one[r]])]), "zstd", asbytes=True) for r in rows]
+    part = ((anchor[one] >> U64(40)) % U64(PARTS)).astype(np.uint8)
     block = table.column("block")[0].as_py()
-    return pa.table({"block": pa.array([block] * len(used), pa.int32()), "bucket": pa.array(used.astype(np.int32)), "data": pa.array(data, pa.binary()), "sizes": pa.array([packed(size[one[r]].astype(np.uint8)) for r in rows], pa.binary()), "hashes": pa.array([packed(h[one[r]]) for r in rows], pa.binary()), "docs": pa.array([packed(least[r].astype(np.int64)) for r in rows], pa.binary())})
+    return pa.table({"block": pa.array([block] * len(used), pa.int32()), "bucket": pa.array(used.astype(np.int32)), "data": pa.array(data, pa.binary()), "sizes": pa.array([packed(size[one[r]].astype(np.uint8)) for r in rows], pa.binary()), "parts": pa.array([packed(part[r]) for r in rows], pa.binary()), "docs": pa.array([packed(least[r].astype(np.int64)) for r in rows], pa.binary())})
 
 
 def _index_bucket(table: pa.Table) -> pa.Table:
-    hashes, docs = unpacked(table, "hashes", "<u8"), unpacked(table, "docs", "<i8")
-    every, size = np.concatenate(hashes), np.concatenate(unpacked(table, "sizes", "u1")).astype(np.int64)
-    data = np.concatenate(unpacked(table, "data", "u1"))
+    docs, sizes = unpacked(table, "docs", "<i8"), [x.astype(np.int64) for x in unpacked(table, "sizes", "u1")]
+    data = np.concatenate([np.frombuffer(pa.decompress(x, int(n.sum()), "zstd", asbytes=True), np.uint8) for x, n in zip(table.column("data").to_pylist(), sizes)])
+    size = np.concatenate(sizes)
+    start = np.cumsum(size) - size
+    every = K.span_hash(K.prefix_hash(data, 1), start, start + size, 1)
+    hashes = np.split(every, np.cumsum([len(n) for n in sizes])[:-1])
     by = np.argsort(every, kind="stable")
     head = np.flatnonzero(np.concatenate([[True], every[by][1:] != every[by][:-1]]))
     least, one = np.minimum.reduceat(np.concatenate(docs)[by], head), by[head]
-    start = np.cumsum(size) - size
-    index = RunIndex(data[np.repeat(start[one], size[one]) + K.positions(size[one])], size[one], least, LENGTH)
-    window, first = index.stream()
+    part = np.concatenate(unpacked(table, "parts", "u1"))[one]
+    group = np.concatenate([[0], np.cumsum(np.bincount(part, size[one], PARTS))]).astype(np.int64)[:-1] // INDEX_BYTES
+    windows = size[one] - LENGTH + 1
+    first = np.concatenate([[0], np.cumsum(windows)])
+    window = np.empty(int(first[-1]), np.int64)
+    for g in np.unique(group[part]):
+        own = np.flatnonzero(group[part] == g)
+        pick = one[own]
+        found, _ = RunIndex(data[np.repeat(start[pick], size[pick]) + K.positions(size[pick])], size[pick], least[own], LENGTH).stream()
+        window[np.repeat(first[own], windows[own]) + K.positions(windows[own])] = found
     turn = np.ones(len(window), bool)
     turn[1:] = window[1:] != window[:-1]
     turn[first[:-1]] = True
@@ -149,7 +163,7 @@ def _index_bucket(table: pa.Table) -> pa.Table:
         out["runs"].append(packed(n.astype(np.uint8)))
         out["lengths"].append(packed(run_size[pick].astype(np.uint8)))
         out["leasts"].append(packed(window[run[pick]]))
-    return pa.table({"block": table.column("block"), "hashes": table.column("hashes"), **{k: pa.array(v, pa.binary()) for k, v in out.items()}})
+    return pa.table({"block": table.column("block"), "hashes": pa.array([packed(h) for h in hashes], pa.binary()), **{k: pa.array(v, pa.binary()) for k, v in out.items()}})
 
 
 def _mark(table: pa.Table, replies: pa.Table) -> pa.Table:
@@ -196,7 +210,7 @@ def repeated_spans(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     texts = blocked(docs, blocks)
     sent = texts.groupBy("block").applyInArrow(lambda t: _send_anchors(t, buckets), "block int, bucket int, anchors binary, many binary")
     repeated = sent.groupBy("bucket").applyInArrow(_find_repeated, "block int, bucket int, repeated binary")
-    again = texts.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(lambda t, r: _send_segments(t, r, buckets), "block int, bucket int, data binary, sizes binary, hashes binary, docs binary")
+    again = texts.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(lambda t, r: _send_segments(t, r, buckets), "block int, bucket int, data binary, sizes binary, parts binary, docs binary")
     found = again.groupBy("bucket").applyInArrow(_index_bucket, "block int, hashes binary, runs binary, lengths binary, leasts binary")
     columns = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string" + ", kept binary" * with_kept
 
