@@ -31,19 +31,27 @@ def suffix_array(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
     n = len(symbols)
     bits = max(1, int(symbols.max()).bit_length())
     depth = 6 if 6 * bits + int(n).bit_length() <= 64 else 3
-    padded = np.concatenate([symbols.astype(U64), np.zeros(depth, U64)])
-    key, alive = np.zeros(n, U64), np.ones(n, bool)
-    for j in range(depth):
-        here = np.where(alive, padded[j : j + n], U64(0))
-        key = (key << U64(bits)) | here
-        alive &= here != 0
+    one = np.zeros(n + depth, U64)
+    one[:n] = symbols
+    two = (one[:-1] << U64(bits)) | one[1:]
+    key = (two[:n] << U64(bits)) | one[2 : n + 2]
+    if depth == 6:
+        four = (two[:-2] << U64(2 * bits)) | two[2:]
+        key = (four[:n] << U64(2 * bits)) | two[4 : n + 4]
+    settled, ends = np.zeros(n, bool), np.flatnonzero(symbols == 0)
+    for j in range(depth):  # what follows a string's end does not count
+        at = ends[ends >= j] - j
+        low = U64(bits * (depth - 1 - j))
+        key[at] = (key[at] >> low) << low
+        settled[at] = True
     sa, new = _sorted(key, depth * bits, np.arange(n), n)
-    new |= ~alive[sa]
+    new |= settled[sa]
     slots = np.arange(n)
     rank, at_48 = np.empty(n, np.int64), None
     order, wide = sa, int(n + 1).bit_length()
     while True:
-        rank[order] = slots[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+        head = np.flatnonzero(new)
+        rank[order] = np.repeat(slots[head], np.diff(np.append(head, len(order))))
         if depth == length - 2:
             at_48 = rank.copy()
         open_ = ~new
@@ -57,9 +65,10 @@ def suffix_array(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
         sa[slots] = order
         depth *= 2
     at_48 = rank if at_48 is None else at_48
-    tail = np.concatenate([at_48 + 1, [0, 0]])
+    near = at_48[sa]
+    far = np.concatenate([at_48 + 1, [0, 0]])[sa + 2]
     apart = np.ones(n, bool)
-    apart[1:] = (at_48[sa[1:]] != at_48[sa[:-1]]) | (tail[sa[1:] + 2] != tail[sa[:-1] + 2])
+    apart[1:] = (near[1:] != near[:-1]) | (far[1:] != far[:-1])
     return sa, apart
 
 
@@ -88,7 +97,7 @@ class RunIndex:
         self.heads = head
         self.run_end_samples = sa[np.append(head[1:], len(sa)) - 1]
         runs = np.diff(np.append(head, len(sa)))
-        by = np.argsort(transform[head], kind="stable")
+        by = np.argsort(transform[head].astype(np.uint16), kind="stable")
         self.targets = np.empty(len(head), np.int64)
         self.targets[by] = np.cumsum(runs[by]) - runs[by]
         in_runs = np.zeros(len(sa), np.int32)
