@@ -26,7 +26,7 @@ def pearson(pairs: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
     """r by group; null under two pairs, with infinite or missing values among them, or without variance."""
     bad = F.max((F.col(x).isNull() | F.col(y).isNull() | F.isnan(F.col(x).cast("double")) | F.isnan(F.col(y).cast("double")) | F.abs(x).isin(float("inf")) | F.abs(y).isin(float("inf"))).cast("int"))
     flat = (F.coalesce(F.var_pop(x), F.lit(0.0)) <= 1e-30) | (F.coalesce(F.var_pop(y), F.lit(0.0)) <= 1e-30)
-    return pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.when((F.count("*") >= 2) & (bad == 0) & ~flat, F.corr(x, y)).alias("r"))
+    return pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.when((F.count("*") >= 2) & (bad == 0) & ~flat, F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))).alias("r"))
 
 
 def average_rank(value: str, keys: list[str]) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,13 +21,13 @@ def _block(queries: list, dims: int, corpus: DataFrame, k: int, places: int) ->
     def run(batches):
         names, unit, live = shared.value
         for batch in batches:
-            vectors = batch.column(1)
-            ok = np.array([v is not None and len(v) == dims for v in vectors])
-            if not ok.any() or not len(live):
+            ok = pc.fill_null(pc.equal(pc.list_value_length(batch.column(1)), dims), False)
+            here = np.flatnonzero(ok.to_numpy(zero_copy_only=False))
+            if not len(here) or not len(live):
                 continue
-            rows = np.stack([np.asarray(v.values, np.float64) for v, o in zip(vectors, ok) if o])
+            rows = pc.list_flatten(batch.column(1).filter(ok)).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
             size = np.linalg.norm(rows, axis=1)
-            some = np.flatnonzero(ok)[size > 0]
+            some = here[size > 0]
             rows = rows[size > 0] / size[size > 0, None]
             if not len(some):
                 continue
