@@ -92,8 +92,8 @@ def judge(gold: Column, answer: Column, coverage: float = 0.6) -> Column:
 
 def refusal(text: Column) -> Column:
     """The first refusal phrase that the collapsed text holds, or null."""
-    norm = collapsed(text)
-    return F.coalesce(*(F.when(F.contains(norm, F.lit(p)), F.lit(p)) for p in REFUSALS))
+    found = lambda n: F.coalesce(*(F.when(F.contains(n, F.lit(p)), F.lit(p)) for p in REFUSALS))
+    return F.get(F.transform(F.array(collapsed(text)), found), F.lit(0))  # a lambda's variable is collapsed once, not for each phrase
 
 
 def cjk_count(text: Column) -> Column:

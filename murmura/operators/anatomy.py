@@ -41,12 +41,13 @@ def feature_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
 def distractor_matches(answers: DataFrame, cells: DataFrame) -> DataFrame:
     """(query_id, table_id, cell) of the longest distractor cell that the answer holds.
 
-    answers: query_id, answer; cells: query_id, table_id, position, cell, is_gold.
+    answers: query_id, answer; cells: query_id, table_id, position, cell, is_gold,
+    and norm where the collapsed cell is known already (many cases share a table).
     Cells are compared collapsed and in lower case; values that a gold cell of the
     query has too are out, as are those of one character or without a letter or
     digit; the first of equally long ones wins.
     """
-    norm = cells.withColumn("norm", T.collapsed(F.col("cell")))
+    norm = cells if "norm" in cells.columns else cells.withColumn("norm", T.collapsed(F.col("cell")))
     mine = norm.filter("not is_gold and length(norm) >= 2").filter(F.col("norm").rlike(r"[\p{L}\p{N}]"))
     mine = mine.join(norm.filter("is_gold").select("query_id", "norm").distinct(), ["query_id", "norm"], "left_anti")
     held = mine.join(answers.select("query_id", T.collapsed(F.col("answer")).alias("norm_answer")), "query_id").filter(F.contains("norm_answer", "norm"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from murmura.functions.text import collapsed
+
 GRID = [1, 5, 10, 20, 30, 40, 50]
 LAST = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
@@ -103,9 +105,9 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of the benchmark items as cells; a case sees the items of its residue class, and every fourth item is gold."""
-    item = read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", r"[.\n]")).alias("position", "cell"))
+    item = read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", r"[.\n]")).alias("position", "cell")).withColumn("norm", collapsed(F.col("cell")))
     ids = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"))
-    return ids.join(item, F.col("query_id") % 10 == F.col("item_id") % 10).select("query_id", F.col("item_id").alias("table_id"), "position", "cell", (F.col("item_id") % 4 == 0).alias("is_gold"))
+    return ids.join(item, F.col("query_id") % 10 == F.col("item_id") % 10).select("query_id", F.col("item_id").alias("table_id"), "position", "cell", "norm", (F.col("item_id") % 4 == 0).alias("is_gold"))
 
 
 def norm_sql(x: str) -> str:
