@@ -6,11 +6,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmura.llm import kernels as K
-from murmura.llm.common import mapped
+from murmura.llm.common import by_slices, mapped, ship
 from murmura.llm.tagger import KINDS, TAGS, WINDOW, Tagger, alphabet
 
 STRIDE = WINDOW // 2
@@ -159,6 +160,24 @@ def train(docs: DataFrame) -> Tagger:
 
 
 
+def _tagged(column: pa.Array, buf: np.ndarray, off: np.ndarray, tagger: Tagger, letters: np.ndarray) -> tuple[list, list, pa.Array]:
+    """Base spans and all spans of each text, and the texts with the latter masked."""
+    trigger = K.segment_sum(TRIGGER[buf], off)
+    base, every, masked = [[] for _ in range(len(trigger))], [[] for _ in range(len(trigger))], {}
+    for i in np.flatnonzero(trigger):
+        raw = buf[off[i] : off[i + 1]]
+        text = raw.tobytes().decode()
+        base[i], every[i] = all_spans(text, K.code_points(raw, np.array([0, len(raw)]))[0], tagger, letters)
+        if every[i]:
+            out, at = [], 0
+            for k, s, e in sorted(every[i], key=lambda x: (x[1], x[2])):
+                if s >= at:
+                    out += [text[at:s], f"[{KINDS[k].upper()}]"]
+                at = max(at, e)
+            masked[i] = "".join(out) + text[at:]
+    return base, every, pa.array([masked.get(i, t) for i, t in enumerate(column.to_pylist())], pa.string()) if masked else column
+
+
 def spans(docs: DataFrame, model: Tagger) -> DataFrame:
     """doc_id, base, spans and masked of each row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -171,24 +190,7 @@ def spans(docs: DataFrame, model: Tagger) -> DataFrame:
     letters = alphabet()
 
     def kernel(rows, buf, off):
-        tagger = shared.value
-        trigger = K.segment_sum(TRIGGER[buf], off)
-        base, every = [[] for _ in range(len(trigger))], [[] for _ in range(len(trigger))]
-        masked = {}
-        for i in np.flatnonzero(trigger):
-            raw = buf[off[i] : off[i + 1]]
-            text = raw.tobytes().decode()
-            base[i], every[i] = all_spans(text, K.code_points(raw, np.array([0, len(raw)]))[0], tagger, letters)
-            if every[i]:
-                out, at = [], 0
-                for k, s, e in sorted(every[i], key=lambda x: (x[1], x[2])):
-                    if s >= at:
-                        out += [text[at:s], f"[{KINDS[k].upper()}]"]
-                    at = max(at, e)
-                masked[i] = "".join(out) + text[at:]
-        texts = rows.column(1)
-        if masked:
-            texts = pa.array([masked.get(i, t) for i, t in enumerate(texts.to_pylist())], pa.string())
+        base, every, texts = _tagged(rows.column(1), buf, off, shared.value, letters)
         rows_of = lambda spans: pa.array([[{"kind": KINDS[k], "start": s, "end": e} for k, s, e in x] for x in spans], pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))
         return [rows.column(0), rows_of(base), rows_of(every), texts]
 
@@ -202,9 +204,21 @@ def digest(column: str) -> F.Column:
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span in text replaced; rows without one are as they were. Columns beside text and n_chars stay."""
-    found = spans(docs.select(F.xxhash64("text").alias("doc_id"), "text").distinct(), train(docs)).filter(F.size("spans") > 0)
-    met = docs.withColumn("text_hash", F.xxhash64("text")).join(found.select(F.col("doc_id").alias("text_hash"), "masked"), "text_hash", "left")
-    text = F.coalesce("masked", "text")
-    sized = {"n_chars": F.when(F.col("masked").isNotNull(), F.char_length("masked").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
-    return met.withColumns({"text": text, **sized}).select(*docs.columns)
+    """``docs`` with every span in text replaced, and n_chars following where there is one; all other columns and rows stay. One pass, no shuffle."""
+    ship()
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs))
+    letters, at = alphabet(), docs.columns.index("text")
+    size = docs.columns.index("n_chars") if dict(docs.dtypes).get("n_chars") == "bigint" else None
+
+    def run(batches):
+        for rows, buf, off in by_slices(batches, "text"):
+            columns = list(rows.columns)
+            texts = _tagged(rows.column(at), buf, off, shared.value, letters)[2]
+            if texts is not columns[at]:
+                if size is not None:
+                    same = pc.fill_null(pc.equal(texts, columns[at]), True)
+                    columns[size] = pc.if_else(same, columns[size], pc.cast(pc.utf8_length(texts), pa.int64()))
+                columns[at] = texts
+            yield pa.RecordBatch.from_arrays(columns, schema=rows.schema)
+
+    return docs.mapInArrow(run, docs.schema)

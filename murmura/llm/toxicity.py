@@ -179,7 +179,7 @@ def thresholds(scored: DataFrame, labels: DataFrame, langs: DataFrame, default:
     """
     named = scored.join(labels.select("doc_id", "toxic"), "doc_id").join(langs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang")), "doc_id")
     bins = named.groupBy("lang", F.least(F.floor(F.col("score") * 100), F.lit(99)).alias("bin")).agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, 1).otherwise(0)).alias("good"))
-    cuts = bins.select("lang").distinct().crossJoin(F.broadcast(bins.sparkSession.range(1, 100).select(F.col("id").alias("cut"))))
+    cuts = bins.select("lang").distinct().withColumn("cut", F.explode(F.sequence(F.lit(1), F.lit(99))))
     right = cuts.join(bins, "lang").groupBy("lang", "cut").agg(F.sum(F.when(F.col("bin") >= F.col("cut"), F.col("bad")).otherwise(F.col("good"))).alias("right"), F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     best = right.join(right.groupBy("lang").agg(F.max("right").alias("top")), "lang").filter("right = top").groupBy("lang").agg(F.avg("cut").alias("mid"), F.first("bad").alias("bad"), F.first("good").alias("good"))
     return best.select("lang", F.when((F.col("bad") > 0) & (F.col("good") > 0), F.col("mid") / 100).otherwise(F.lit(default)).alias("threshold"))
@@ -192,6 +192,6 @@ def rated(docs: DataFrame, labels: DataFrame, learn: F.Column, default: float =
     found = stored(score(docs, net).withColumn("learned", learn))
     limits = thresholds(found.filter("learned"), teach, docs.filter(learn), default)
     langs = docs.groupBy("doc_id").agg(F.coalesce(F.min("lang"), F.lit("")).alias("lang"))
-    met = found.join(langs, "doc_id", "left").join(F.broadcast(limits), "lang", "left")
+    met = found.join(langs, "doc_id", "left").join(limits, "lang", "left")
     limit = F.coalesce("threshold", F.lit(default))
     return met.select("doc_id", "learned", "score", limit.alias("threshold"), (F.col("score") >= limit).alias("toxic"))

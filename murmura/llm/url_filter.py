@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rule tables up to so many rows are broadcast; larger ones are shuffled by token.
@@ -66,6 +66,12 @@ def tokens_of(url: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(url), "[^a-z0-9]+"), lambda t: t != ""))
 
 
+def rule_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
+    """(name, verdict, pattern, literals) of stated rules."""
+    rows = [F.struct(F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"), F.lit(r.pattern).alias("pattern"), F.array(*map(F.lit, r.literals)).alias("literals")) for r in rules]
+    return spark.range(1).select(F.inline(F.array(*rows)))
+
+
 def rule_index(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """``rules`` (name, verdict, pattern, literals) with ``token``: the literal that the fewest of all ``urls`` hold, ties by name."""
     want = rules.select(F.explode("literals").alias("token")).distinct()
@@ -95,6 +101,6 @@ def judge(pages: DataFrame, stated: list[tuple[str, str, str]], rules: tuple[Rul
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     name, verdict = longest_host_rule(F.col("host"), F.col("path"), stated)
     base = base.withColumns({"host": host, "path": path}).withColumns({"rule": name, "said": verdict})
-    table = spark.createDataFrame([(r.name, r.verdict, r.pattern, list(r.literals)) for r in rules], "name string, verdict string, pattern string, literals array<string>")
+    table = rule_table(spark, rules)
     found = matches(base.filter("rule is null and url like '%://%'").select("url"), table).groupBy("url").agg(F.min(F.when(F.col("verdict") == "allow", 0).otherwise(1)).alias("blocked"), F.sort_array(F.collect_set("name")).alias("patterns"))
     return base.join(found, "url", "left").select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("rule").isNull() & (F.col("blocked") == 1), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "patterns")
