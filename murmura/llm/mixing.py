@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ BUCKETS, SAMPLE = 8192, 20_000
 #: Evidence of a long text counts as that of so many words, so that memberships stay soft.
 EVIDENCE = 50.0
 #: Steps of the projected gradient at most, its rate, the pull of rates to 1, and the relative miss at which it stops.
-STEPS, RATE, PULL, NEAR = 60, 1.0, 1e-4, 1e-4
+STEPS, RATE, PULL, NEAR = 30, 1.0, 1e-5, 1e-4
 
 
 @dataclass(frozen=True)
@@ -79,25 +80,29 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> Mixt
     domain by name.
 
     Each step is one aggregation of a few sums; rates themselves are an expression
-    over the stored posteriors and never leave the executors.
+    over the stored posteriors and never leave the executors. Gradients are taken in
+    the metric of the domains' second moments, a matrix of domains by domains, so
+    that a step is exact but for the rates that it stops at 0.
     """
     domains = sorted(targets)
     likelihood, prior = classifier(docs, labelled, domains)
     found = stored(posteriors(docs, likelihood, prior))
     k = len(domains)
-    start = found.agg(F.sum("n_tokens").alias("all"), *(F.sum(F.col("n_tokens") * F.col(f"p_{i}")).alias(f"a_{i}") for i in range(k))).first()
+    share = F.col("n_tokens").cast("double")
+    start = found.agg(F.sum("n_tokens").alias("all"), *(F.sum(share * F.col(f"p_{i}")).alias(f"a_{i}") for i in range(k)), *(F.sum(share * F.col(f"p_{i}") * F.col(f"p_{j}")).alias(f"m_{i}_{j}") for i in range(k) for j in range(i, k))).first()
     total = float(start["all"] or 0)
     have = [float(start[f"a_{i}"] or 0) for i in range(k)]
     open_ = sum(targets[d] for d, h in zip(domains, have) if h > 0) or 1.0
     wanted = [targets[d] / open_ * total if h > 0 else 0.0 for d, h in zip(domains, have)]
+    metric = np.linalg.pinv(np.array([[float(start[f"m_{min(i, j)}_{max(i, j)}"] or 0) for j in range(k)] for i in range(k)]), rcond=1e-9, hermitian=True)
     rate, reached = F.lit(1.0), have
     for _ in range(STEPS if total and any(h > 0 for h in have) else 0):
         if max(abs(a - w) for a, w in zip(reached, wanted)) <= NEAR * total:
             break
-        pull = [RATE * (a - w) / h if h > 0 else 0.0 for a, w, h in zip(reached, wanted, have)]
-        step = sum((F.col(f"p_{i}") * F.lit(pull[i]) for i in range(k)), F.lit(0.0))
+        pull = RATE * metric @ (np.array(reached) - np.array(wanted))
+        step = sum((F.col(f"p_{i}") * F.lit(float(pull[i])) for i in range(k)), F.lit(0.0))
         rate = F.greatest(F.lit(0.0), F.lit(1 - RATE * PULL) * rate + F.lit(RATE * PULL) - step)
-        now = found.agg(*(F.sum(F.col("n_tokens") * F.col(f"p_{i}") * rate).alias(f"a_{i}") for i in range(k))).first()
+        now = found.agg(*(F.sum(share * F.col(f"p_{i}") * rate).alias(f"a_{i}") for i in range(k))).first()
         reached = [float(now[f"a_{i}"]) for i in range(k)]
     rates = found.withColumn("rate", F.when(F.col("n_tokens") > 0, rate).otherwise(F.lit(1.0)))
     return Mixture(domains, rates, reached, wanted)
