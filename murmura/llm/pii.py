@@ -16,7 +16,7 @@ from murmura.llm.tagger import KINDS, TAGS, WINDOW, Tagger, alphabet
 
 STRIDE = WINDOW // 2
 #: The training sample: so many windows of 64 characters with a digit or @, the first by a hash of the text around them.
-SAMPLE = 4000
+SAMPLE = 3000
 #: A window without one of these cannot hold a span: each kind has a digit or an @, and spans without are no spans.
 TRIGGER = np.zeros(256, bool)
 TRIGGER[0x30:0x3A] = TRIGGER[0x40] = True
