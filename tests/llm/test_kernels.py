@@ -56,3 +56,14 @@ def test_run_index_finds_the_least_holder_of_each_window(alphabet):
         got, _ = index.stream()
         want = [min(n for t, n in zip(strings, numbers) if s[i : i + 50] in t) for s in strings for i in range(len(s) - 49)]
         assert got.tolist() == want
+
+
+def test_packed_hashes_come_back():
+    from murmura.llm.blocks import packed_hashes, unpacked_hashes
+
+    keys = np.random.default_rng(3).integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    keys = np.unique(np.append(keys, [np.uint64(0), np.uint64((1 << 64) - 1)]))
+    for b in (0, 6):
+        own = keys[keys % np.uint64(7) == b]
+        assert (unpacked_hashes(packed_hashes(own, b, 7), b, 7) == own).all()
+    assert len(unpacked_hashes(packed_hashes(keys[:0], 3, 7), 3, 7)) == 0
