@@ -39,3 +39,24 @@ def invariants(rules: dict[str, DataFrame]) -> DataFrame:
         one = rows.agg(F.count("*").alias("violations")).select(F.lit(name).alias("rule"), "violations")
         found = one if found is None else found.unionByName(one)
     return found
+
+
+def consistency(left: DataFrame, right: DataFrame, keys: list[str], column: str, tolerance: float = 0.0) -> DataFrame:
+    """n_left, n_right, n_unmatched and n_different of two tables that should agree on a numeric column; keys compare null-safe."""
+    a = left.select(*(F.col(k).alias(f"a_{k}") for k in keys), F.col(column).alias("x"), F.lit(1).alias("in_a"))
+    b = right.select(*(F.col(k).alias(f"b_{k}") for k in keys), F.col(column).alias("y"), F.lit(1).alias("in_b"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"a_{k}").eqNullSafe(F.col(f"b_{k}"))
+    met = a.join(b, same, "full")
+    both = F.col("in_a").isNotNull() & F.col("in_b").isNotNull()
+    differs = both & ~F.coalesce(F.abs(F.col("x") - F.col("y")) <= tolerance, F.col("x").isNull() & F.col("y").isNull())
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)).cast("long")
+    return met.agg(count(F.col("in_a").isNotNull()).alias("n_left"), count(F.col("in_b").isNotNull()).alias("n_right"), count(~both).alias("n_unmatched"), count(differs).alias("n_different"))
+
+
+def zipped(left: DataFrame, right: DataFrame, index: str) -> DataFrame:
+    """Rows of two tables side by side by their source row index; an index that one side lacks is an error, not a silent cut."""
+    met = left.withColumn("_l", F.lit(1)).join(right.withColumn("_r", F.lit(1)), index, "full")
+    checked = F.assert_true(F.col("_l").isNotNull() & F.col("_r").isNotNull(), "the tables differ in length")
+    return met.withColumn("_ok", checked).filter("_ok is null").drop("_l", "_r", "_ok")

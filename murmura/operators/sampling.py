@@ -34,3 +34,19 @@ def offset_pick(rows: DataFrame, key: str, order: list[str], seed: int) -> DataF
 def opaque_ids(rows: DataFrame, key: str, seed: int, prefix: str = "HV") -> DataFrame:
     """Shuffled numbers as ids of six digits. Meant for samples: numbering them is one ordered pass."""
     return rows.withColumn("opaque_id", F.format_string(f"{prefix}%06d", F.row_number().over(Window.orderBy(draw(seed, key), key))))
+
+
+def diagnostic_stratum(dataset: Column, judge: Column, official: Column, extracted: Column) -> Column:
+    """Where a judge says 1 and the official metric 0: whether extraction rescues the answer; null elsewhere."""
+    names = [("e2ewtq", "E2E"), ("ottqa", "OTT")]
+    stratum = F.lit(None).cast("string")
+    for data, short in names:
+        here = (dataset == data) & (judge == 1) & (official == 0)
+        stratum = F.when(here, F.when(extracted == 1, f"{short}_EXTRACTION_RESCUED").otherwise(f"{short}_PERSISTENT_DISAGREEMENT")).otherwise(stratum)
+    return stratum
+
+
+def id_order(id_column: str) -> list[Column]:
+    """Sort key of mixed ids: whole numbers first, by value, then the others as text."""
+    number = F.expr(f"try_cast({id_column} as bigint)")
+    return [number.isNull(), number, F.col(id_column)]

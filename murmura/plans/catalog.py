@@ -534,3 +534,18 @@ def invariant_report(spark, sf_dir):
             "discount range": line.filter("not (l_discount between 0 and 0.1)"),
         }
     )
+
+
+@query("""with a as (select l_orderkey as k, count(*) as n from lineitem group by all), b as (select o_orderkey as k, cast(1 + o_orderkey % 7 as bigint) as n from orders)
+  select count(a.k) as n_left, count(b.k) as n_right, count(*) filter (where a.k is null or b.k is null) as n_unmatched, count(*) filter (where a.k is not null and b.k is not null and a.n <> b.n) as n_different from a full join b using (k)""")
+def cross_table_consistency(spark, sf_dir):
+    lines = V.read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n"))
+    orders = V.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (1 + F.col("o_orderkey") % 7).alias("n"))
+    return audit.consistency(lines, orders, ["k"], "n")
+
+
+@query("""select doc_id, case when lang = 'en' and quality = 1 and toxic = 0 then case when doc_id % 2 = 1 then 'E2E_EXTRACTION_RESCUED' else 'E2E_PERSISTENT_DISAGREEMENT' end
+  when lang = 'fr' and quality = 1 and toxic = 0 then case when doc_id % 2 = 1 then 'OTT_EXTRACTION_RESCUED' else 'OTT_PERSISTENT_DISAGREEMENT' end end as stratum from labels join documents using (doc_id)""")
+def diagnostic_strata(spark, sf_dir):
+    rows = V.raters(spark, sf_dir).withColumn("dataset", F.when(F.col("stratum") == "en", "e2ewtq").when(F.col("stratum") == "fr", "ottqa"))
+    return rows.select("doc_id", sampling.diagnostic_stratum(F.col("dataset"), F.col("a"), F.col("b"), F.col("doc_id") % 2).alias("stratum"))

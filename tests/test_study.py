@@ -168,3 +168,18 @@ def test_resolvability_of_nothing(spark):
     df = spark.createDataFrame([], "id long")
     r = anatomy.resolvability(df, {"a": df}, "id").first()
     assert (r.total, r.resolvable, r.percent, r.missing_a) == (0, 0, None, 0)
+
+
+def test_consistency_zip_and_id_order(spark):
+    a = spark.createDataFrame([("x", 1.0), ("y", 2.0), (None, 3.0), ("n", None)], "k string, v double")
+    b = spark.createDataFrame([("x", 1.0), ("y", 2.5), (None, 3.0), ("n", None), ("z", 9.0)], "k string, v double")
+    r = audit.consistency(a, b, ["k"], "v").first()
+    assert tuple(r) == (4, 5, 1, 1)
+    assert audit.consistency(a, b, ["k"], "v", tolerance=0.5).first().n_different == 0
+    one = spark.createDataFrame([(0, "a"), (1, "b")], "i int, x string")
+    two = spark.createDataFrame([(1, "d"), (0, "c")], "i int, y string")
+    assert sorted(map(tuple, audit.zipped(one, two, "i").collect())) == [(0, "a", "c"), (1, "b", "d")]
+    with pytest.raises(Exception, match="differ in length"):
+        audit.zipped(one, two.limit(1), "i").collect()
+    ids = spark.createDataFrame([("b",), ("10",), ("9",), ("a",)], "id string")
+    assert [r.id for r in ids.orderBy(*sampling.id_order("id")).collect()] == ["9", "10", "a", "b"]
