@@ -459,15 +459,20 @@ def prompt_tables(spark, sf_dir):
     return reps.select("tables", R.user_prompt(F.lit("Which?"), R.prompt_tables(F.col("reps"))).alias("prompt"))
 
 
-@query("select doc_id, round(length(text) / 4.0::double, 6) as tokens from documents where not regexp_matches(text, '[　-〿㐀-鿿豈-﫿]')")
+_N_CJK = f"length(regexp_replace(text, '[^{T.CJK[1:]}', '', 'g'))"
+
+
+@query(f"select doc_id, round((length(text) - {_N_CJK}) / 4.0::double + {_N_CJK} / 0.7::double, 6) as tokens from documents")
 def token_estimate(spark, sf_dir):
-    d = V.read(spark, sf_dir, "documents").filter(T.cjk_count(F.col("text")) == 0)
-    return d.select("doc_id", F.round(T.token_estimate(F.col("text")), 6).alias("tokens"))
+    return V.read(spark, sf_dir, "documents").select("doc_id", F.round(T.token_estimate(F.col("text")), 6).alias("tokens"))
 
 
-@query("select doc_id, length(text[1:400]) as n_kept, md5(text[1:400]) as kept_md5 from documents")
+@query(f"select doc_id, length(text[1:400]) as n_kept, md5(text[1:400]) as kept_md5 from documents where {_N_CJK} = 0")
 def token_truncate(spark, sf_dir):
-    cut = V.read(spark, sf_dir, "documents").select("doc_id", T.truncate_tokens(F.col("text"), 100).alias("kept"))
+    d = V.read(spark, sf_dir, "documents").select("doc_id", "text", T.cjk_count(F.col("text")).alias("cjk"))
+    plain = d.filter("cjk = 0").select("doc_id", T.truncate_tokens(F.col("text"), 100).alias("kept"))
+    mixed = d.filter("cjk > 0").select("doc_id", T.truncate_tokens(F.col("text"), 100, mixed=True).alias("kept"))  # only these meet Python
+    cut = plain.unionByName(mixed)
     return cut.select("doc_id", F.char_length("kept").cast("long").alias("n_kept"), F.md5("kept").alias("kept_md5"))
 
 
