@@ -35,9 +35,9 @@ class Mixture:
 
 
 def _words(docs: DataFrame) -> DataFrame:
-    """doc_id and bucket of every word; a document without words has one row with a null bucket."""
-    word = F.explode_outer(F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    return docs.select("doc_id", word.alias("word")).select("doc_id", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("bucket"), F.col("word").isNotNull().alias("real")).withColumn("bucket", F.when(F.col("real"), F.col("bucket"))).drop("real")
+    """doc_id and bucket of every word; a document without words has a row with a null bucket."""
+    words = docs.select("doc_id", F.explode_outer(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("word"))
+    return words.select("doc_id", F.when(F.col("word") != "", F.pmod(F.xxhash64("word"), F.lit(BUCKETS))).alias("bucket"))
 
 
 def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tuple[DataFrame, list[float]]:
