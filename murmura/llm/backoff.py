@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmura.llm import kernels as K
-from murmura.llm.blocks import block_count, blocked, bucket_count, packed, split_by, texts_of, unpacked
+from murmura.llm.blocks import block_count, blocked, bucket_count, packed, packed_hashes, split_by, texts_of, unpacked, unpacked_hashes
 from murmura.llm.common import ship, stored
 
 #: Weight of each step down to shorter n-grams, and the least count of a bigram in its table.
@@ -61,11 +61,11 @@ def _send(table: pa.Table, buckets: int) -> pa.Table:
     used = np.flatnonzero(np.diff(bound))
     pick = [order[bound[b] : bound[b + 1]] for b in used]
     counts = [_shrunk(n[p]) for p in pick]
-    return pa.table({"block": pa.array([table.column("block")[0].as_py()] * len(used), pa.int32()), "bucket": pa.array(used.astype(np.int32)), "grams": pa.array([packed(keys[p]) for p in pick], pa.binary()), "small": pa.array([c[0] for c in counts], pa.binary()), "big": pa.array([c[1] for c in counts], pa.binary())})
+    return pa.table({"block": pa.array([table.column("block")[0].as_py()] * len(used), pa.int32()), "bucket": pa.array(used.astype(np.int32)), "grams": pa.array([packed_hashes(keys[p], int(b), buckets) for b, p in zip(used, pick)], pa.binary()), "small": pa.array([c[0] for c in counts], pa.binary()), "big": pa.array([c[1] for c in counts], pa.binary())})
 
 
-def _count(table: pa.Table) -> pa.Table:
-    each = unpacked(table, "grams", "<u8")
+def _count(table: pa.Table, buckets: int) -> pa.Table:
+    each = [unpacked_hashes(x, b, buckets) for x, b in zip(table.column("grams").to_pylist(), table.column("bucket").to_pylist())]
     n = [_grown(s, b) for s, b in zip(unpacked(table, "small", "u1"), unpacked(table, "big", "<i8"))]
     keys, total = K.merge_counts(each, n)
     back = [_shrunk(total[np.searchsorted(keys, g)]) for g in each]
@@ -104,7 +104,7 @@ def scores(docs: DataFrame) -> DataFrame:
     buckets = bucket_count(blocks)
     texts = blocked(docs, blocks)
     sent = texts.groupBy("block").applyInArrow(lambda t: _send(t, buckets), "block int, bucket int, grams binary, small binary, big binary")
-    counted = sent.groupBy("bucket").applyInArrow(_count, "block int, bucket int, small binary, big binary")
+    counted = sent.groupBy("bucket").applyInArrow(lambda t: _count(t, buckets), "block int, bucket int, small binary, big binary")
     found = texts.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(lambda t, r: _score(t, r, buckets), "doc_id long, n_words long, n_bigrams long, part double")
     found = stored(found)
     total = found.agg(F.sum("n_words").alias("all_words"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from murmura.llm import kernels as K
-from murmura.llm.blocks import block_count, blocked, bucket_count, packed, split_by, texts_of, unpacked
+from murmura.llm.blocks import block_count, blocked, bucket_count, packed, packed_hashes, split_by, texts_of, unpacked, unpacked_hashes
 from murmura.llm.common import ship
 from murmura.llm.run_index import RunIndex
 
@@ -88,11 +88,11 @@ def _send_anchors(table: pa.Table, buckets: int) -> pa.Table:
     used = np.flatnonzero(np.diff(bound))
     pick = [order[bound[b] : bound[b + 1]] for b in used]
     block = table.column("block")[0].as_py()
-    return pa.table({"block": pa.array([block] * len(used), pa.int32()), "bucket": pa.array(used.astype(np.int32)), "anchors": pa.array([packed(values[p]) for p in pick], pa.binary()), "many": pa.array([packed(np.packbits(many[p])) for p in pick], pa.binary())})
+    return pa.table({"block": pa.array([block] * len(used), pa.int32()), "bucket": pa.array(used.astype(np.int32)), "anchors": pa.array([packed_hashes(values[p], int(b), buckets) for b, p in zip(used, pick)], pa.binary()), "many": pa.array([packed(np.packbits(many[p])) for p in pick], pa.binary())})
 
 
-def _find_repeated(table: pa.Table) -> pa.Table:
-    each = unpacked(table, "anchors", "<u8")
+def _find_repeated(table: pa.Table, buckets: int) -> pa.Table:
+    each = [unpacked_hashes(x, b, buckets) for x, b in zip(table.column("anchors").to_pylist(), table.column("bucket").to_pylist())]
     many = [np.unpackbits(m, count=len(a)).astype(bool) for a, m in zip(each, unpacked(table, "many", "u1"))]
     values = np.concatenate(each)
     found = np.union1d(K.repeated(values), values[np.concatenate(many)])
@@ -209,7 +209,7 @@ def repeated_spans(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     buckets = bucket_count(blocks)
     texts = blocked(docs, blocks)
     sent = texts.groupBy("block").applyInArrow(lambda t: _send_anchors(t, buckets), "block int, bucket int, anchors binary, many binary")
-    repeated = sent.groupBy("bucket").applyInArrow(_find_repeated, "block int, bucket int, repeated binary")
+    repeated = sent.groupBy("bucket").applyInArrow(lambda t: _find_repeated(t, buckets), "block int, bucket int, repeated binary")
     again = texts.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(lambda t, r: _send_segments(t, r, buckets), "block int, bucket int, data binary, sizes binary, parts binary, docs binary")
     found = again.groupBy("bucket").applyInArrow(_index_bucket, "block int, hashes binary, runs binary, lengths binary, leasts binary")
     columns = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string" + ", kept binary" * with_kept
