@@ -8,8 +8,6 @@ chain can exist; what is left gets the full Hamming check.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -95,12 +93,12 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     return of.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-#: Bits of the wide fingerprint that estimates the similarity of shingle sets, and the chance to miss a pair just at the bound.
-WIDE, MISS = 256, 0.02
+#: Shingles seen in so many of about so many sampled texts count as common, so many of them at most; this steers the work, never the result.
+COMMON, SAMPLE, MOST_COMMON = 3, 4000, 1 << 17
 
 
-def _wide(buf: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of each text as 48-bit hashes, where each text's begin, and 256 majority bits."""
+def _shingles(buf: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of each text as 48-bit hashes, and where each text's begin."""
     out, start, end, first = K.joined_words(buf, off)
     n = np.diff(first)
     shingles = np.where(n == 0, 0, np.maximum(n - words + 1, 1))
@@ -115,74 +113,91 @@ def _wide(buf: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.
         keys = np.unique((of << np.uint64(48)) | (h[at] >> np.uint64(16)))
         mine.append(keys & np.uint64((1 << 48) - 1))
         bounds += (bounds[-1] + np.searchsorted(keys, np.arange(1, b - a + 1).astype(np.uint64) << np.uint64(48))).tolist()
-    every, at = np.concatenate(mine), np.array(bounds)
-    size = np.diff(at)[:, None]
-    bits = [2 * K.bit_counts(K.mix(every + np.uint64(1 + w)), at) > size for w in range(WIDE // 64)]
-    return every, at, np.concatenate(bits, 1).astype(np.uint8)
+    return np.concatenate(mine), np.array(bounds)
 
 
-def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, h1 and h2 (a 128-bit hash of the whole text), n_shingles, and w0 to w3 (the wide fingerprint) of each row."""
+def _lists(every: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(every.astype(np.int64)))
 
-    def kernel(rows, buf, off):
-        every, at, bits = _wide(buf, off, words)
-        whole = [K.span_hash(K.prefix_hash(buf, w), off[:-1], off[1:], w).astype(np.int64) for w in (0, 1)]
-        cols = np.packbits(bits, axis=1, bitorder="little").view("<i8")
-        return [rows.column(0), *whole, np.diff(at), *(np.ascontiguousarray(cols[:, w]) for w in range(4))]
 
-    return mapped(docs.select("doc_id", "text"), kernel, "doc_id long, h1 long, h2 long, n_shingles long, w0 long, w1 long, w2 long, w3 long")
+def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample share, ascending, and the bit length of their counts."""
+    share = max(1, docs.count() // SAMPLE)
+    some = docs.select("doc_id", "text").filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
+    grams = mapped(some, lambda rows, buf, off: [_lists(*_shingles(buf, off, words))], "grams array<long>")
+    found = grams.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "g").limit(MOST_COMMON).toPandas().sort_values("g")
+    return found["g"].to_numpy().astype(np.uint64), np.ceil(np.log2(found["n"].to_numpy() + 1)).astype(np.uint64)
 
 
-def table_shape(texts: int, similarity: float) -> tuple[int, int]:
-    """Bits of a key and number of key tables: keys as long as the number of texts asks for, tables for a chance MISS at the bound."""
-    equal = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = max(16, math.ceil(math.log2(max(2, texts))) + 2)
-    return bits, math.ceil(math.log(1 / MISS) / equal**bits)
+def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """doc_id, h1 and h2 (a 128-bit hash of the whole text), n_shingles, and the text's prefix of each row.
 
+    Shingles are put in one order for all texts, common ones last, by hash among
+    equals. Texts that share at least ``similarity`` of their n shingles share one of
+    their first n - ceil(similarity * n) + 1: those are the prefix.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) of each row: documents linked by a Jaccard similarity of their distinct word shingles, or equal texts.
+    def kernel(rows, buf, off):
+        every, at = _shingles(buf, off, words)
+        common, level = shared.value
+        rank = np.zeros(len(every), np.uint64)
+        if len(common):
+            near = np.minimum(np.searchsorted(common, every), len(common) - 1)
+            rank = np.where(common[near] == every, level[near], np.uint64(0))
+        n = np.diff(at)
+        every = every[np.lexsort(((rank << np.uint64(48)) | every, np.repeat(np.arange(len(n)), n)))]
+        kept = np.minimum(n, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1)
+        whole = [K.span_hash(K.prefix_hash(buf, w), off[:-1], off[1:], w).astype(np.int64) for w in (0, 1)]
+        firsts = every[np.repeat(at[:-1], kept) + K.positions(kept)]
+        return [rows.column(0), *whole, n, _lists(firsts, np.concatenate([[0], np.cumsum(kept)]))]
 
-    Wide SimHash fingerprints of distinct texts share one of many sampled bit keys if
-    they are similar. Every text meets the least id of each of its keys, never all
-    texts of a key; pairs whose Hamming distance allows the similarity are checked
-    on their whole shingle sets. component_id is the least doc_id reachable. Texts
-    without words are linked to equal ones only; null ids as in near_duplicates().
-    """
-    found = stored(sketches(docs, words))
-    texts = stored(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), *(F.min(c).alias(c) for c in ("n_shingles", "w0", "w1", "w2", "w3"))))
-    named = texts.filter("id is not null and n_shingles > 0").select("id", "w0", "w1", "w2", "w3")
-    bits, tables = table_shape(named.count(), similarity)
-    rng = np.random.default_rng(17)
-    sampled = np.stack([rng.permutation(WIDE)[:bits] for _ in range(tables)])
-
-    def keys(batches):
-        for batch in batches:
-            raw = np.stack([batch.column(1 + w).to_numpy() for w in range(4)], 1)
-            on = np.unpackbits(raw.view(np.uint8).reshape(len(raw), -1), axis=1, bitorder="little").astype(np.int64)
-            out = np.stack([(t << bits) | (on[:, s] @ (1 << np.arange(bits))) for t, s in enumerate(sampled)], 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), tables)), pa.array(out.reshape(-1))], ["id", "key"])
-
-    keyed = named.mapInArrow(keys, "id long, key long")
-    least = keyed.groupBy("key").agg(F.min("id").alias("v"), F.max("id").alias("most")).filter("v <> most").select("key", "v")
-    pairs = keyed.join(least, "key").filter("id <> v").select(F.col("id").alias("u"), "v").distinct()
-    apart = sum((F.bit_count(F.col(f"w{w}").bitwiseXOR(F.col(f"x{w}"))) for w in range(4)), F.lit(0))
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    most = WIDE * share + 4 * math.sqrt(WIDE * share * (1 - share))
-    right = named.select(F.col("id").alias("v"), *(F.col(f"w{w}").alias(f"x{w}") for w in range(4)))
-    pairs = stored(pairs.join(named.withColumnRenamed("id", "u"), "u").join(right, "v").filter(apart <= most).select("u", "v"))
-    asked = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
+    return mapped(docs.select("doc_id", "text"), kernel, "doc_id long, h1 long, h2 long, n_shingles long, prefix array<long>")
 
-    def sets(rows, buf, off):
-        every, at, _ = _wide(buf, off, words)
-        return rows.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(every.astype(np.int64)))
 
-    held = mapped(docs.select("doc_id", "text").join(asked, "doc_id", "left_semi"), sets, "doc_id long, grams array<long>")
+def verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Of ``pairs`` (u, v) of doc_id, those whose whole shingle sets are similar."""
+    asked = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
+    held = mapped(docs.select("doc_id", "text").join(asked, "doc_id", "left_semi"), lambda rows, buf, off: [rows.column(0), _lists(*_shingles(buf, off, words))], "doc_id long, grams array<long>")
     held = stored(held.groupBy("doc_id").agg(F.max("grams").alias("grams")))
     both = pairs.join(held.select(F.col("doc_id").alias("u"), F.col("grams").alias("a")), "u").join(held.select(F.col("doc_id").alias("v"), F.col("grams").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
-    links = both.filter(common >= F.lit(similarity) * (F.size("a") + F.size("b") - common)).select("u", "v")
-    roots = components(links).withColumnRenamed("node", "id")
+    return both.filter(common >= F.lit(similarity) * (F.size("a") + F.size("b") - common)).select("u", "v")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of each row: documents linked by a Jaccard similarity of their distinct word shingles, or equal texts.
+
+    Exact: any two similar texts share a shingle of their prefixes, and every two
+    texts that share one are either linked already, or too far down in their prefixes
+    or too unlike in length to be similar, or checked on their whole sets.
+    First all texts of a prefix shingle meet one of them, the one that shares the most
+    prefix shingles with others: it links a large group by as many pairs as texts.
+    Then texts outside that one's component meet all the others of other components.
+    component_id is the least doc_id reachable. Texts without words are linked to
+    equal ones only; null ids as in near_duplicates().
+    """
+    found = stored(prefixes(docs, words, similarity))
+    texts = stored(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.first("prefix").alias("prefix")))
+    keyed = texts.filter("id is not null and n > 0").select("id", "n", F.posexplode("prefix").alias("i", "key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    met = stored(keyed.join(shared, "key"))
+    weight = met.groupBy("id").agg(F.sum("c").alias("weight"))
+    heads = met.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("least"), "id", "n", "i")).alias("h")).select("key", F.col("h.id").alias("v"), F.col("h.n").alias("m"), F.col("h.i").alias("j"))
+    heads = stored(heads)
+    fits = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("m")) - 1e-6
+    first = stored(met.join(heads, "key").filter((F.col("id") != F.col("v")) & fits).select(F.least("id", "v").alias("u"), F.greatest("id", "v").alias("v")).distinct())
+    links = stored(verified(docs, first, words, similarity))
+    roots = stored(components(links))
+    rooted = met.join(roots, F.col("id") == F.col("node"), "left").select("id", "n", "i", "key", F.coalesce("root", "id").alias("root"))
+    tops = heads.join(roots, F.col("v") == F.col("node"), "left").select("key", F.coalesce("root", "v").alias("top"))
+    rooted = stored(rooted.join(tops, "key"))
+    outside = rooted.filter("root <> top").select("key", F.col("id").alias("v"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("other"))
+    left = rooted.join(outside, "key").filter((F.col("root") != F.col("other")) & fits & ((F.col("root") == F.col("top")) | (F.col("id") < F.col("v"))))
+    left = left.select(F.least("id", "v").alias("u"), F.greatest("id", "v").alias("v")).distinct()
+    left = stored(left.join(first, ["u", "v"], "left_anti"))
+    more = verified(docs, left, words, similarity)
+    roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)).withColumnRenamed("node", "id")
     of = texts.join(roots, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("component_id"))
     return found.select("doc_id", "h1", "h2").join(of, ["h1", "h2"]).select("doc_id", "component_id")
 

@@ -149,3 +149,17 @@ def test_repeated_spans_of_odd_rows(odd, empty):
     assert by[1][0].n_removed == by[1][0].n_bytes and by[1][0].kept == b""
     assert [r.n_removed for r in by[0]] == [0, 0] and by[None][0].n_removed == 0 and by[4][0].n_bytes == 0
     assert suffix_dedup.repeated_spans(empty).collect() == []
+
+
+def test_similar_groups_join_a_star_whose_centre_has_the_largest_id(spark):
+    rng = random.Random(5)
+    centre = [f"c{j}" for j in range(604)]
+    rows = [(9999, centre)]
+    for i in range(2000):
+        at = set(rng.sample(range(604), 11))
+        rows.append((i, [f"x{i}y{j}" if j in at else w for j, w in enumerate(centre)]))
+    sets = {i: {tuple(t[k : k + 5]) for k in range(600)} for i, t in rows}
+    assert all(len(sets[9999] & s) >= 0.8 * len(sets[9999] | s) for s in sets.values())
+    assert all(len(sets[i] & sets[i + 1]) < 0.8 * len(sets[i] | sets[i + 1]) for i in range(1999))
+    given = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    assert {r.component_id for r in simhash.similar_groups(given).collect()} == {0}
