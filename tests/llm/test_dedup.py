@@ -163,3 +163,12 @@ def test_similar_groups_join_a_star_whose_centre_has_the_largest_id(spark):
     assert all(len(sets[i] & sets[i + 1]) < 0.8 * len(sets[i] | sets[i + 1]) for i in range(1999))
     given = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
     assert {r.component_id for r in simhash.similar_groups(given).collect()} == {0}
+
+
+def test_similar_groups_miss_no_pair_just_over_the_bound(spark):
+    rows = []
+    for i in range(500):  # 178 of 222 shingles in common, then 177 of 223
+        for j, changed in ((0, 0), (1, 22)) if i < 400 else ((0, 0), (1, 23)):
+            rows.append((2 * i + j, " ".join([f"d{i}w{k}" for k in range(204 - changed)] + [f"e{i}w{k}" for k in range(changed)])))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {n: n - n % 2 if n < 800 else n for n in range(1000)}
