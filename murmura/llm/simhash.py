@@ -155,6 +155,15 @@ def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     return mapped(docs.select("doc_id", "text"), kernel, "doc_id long, h1 long, h2 long, n_shingles long, prefix array<long>")
 
 
+def likely(pairs: DataFrame, shorts: DataFrame, similarity: float) -> DataFrame:
+    """Of ``pairs`` (u, v), those whose prefixes have enough in common: two texts share no more than that and what follows one of the prefixes."""
+    side = lambda x: shorts.select(F.col("id").alias(x), F.col("keys").alias(f"keys_{x}"), F.col("least_n").alias(f"least_{x}"), F.col("most_n").alias(f"most_{x}"))
+    both = pairs.join(side("u"), "u").join(side("v"), "v")
+    after = F.greatest(F.ceil(F.lit(similarity) * F.greatest("most_u", "most_v") - 1e-9) - 1, F.lit(0))
+    needed = F.lit(similarity / (1 + similarity)) * (F.col("least_u") + F.col("least_v")) - 1e-6
+    return both.filter(F.size(F.array_intersect("keys_u", "keys_v")) + after >= needed).select("u", "v")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Of ``pairs`` (u, v) of doc_id, those whose whole shingle sets are similar."""
     asked = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
@@ -182,12 +191,13 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     keyed = texts.filter("id is not null and n > 0").select("id", "n", F.posexplode("prefix").alias("i", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
     met = stored(keyed.join(shared, "key"))
+    shorts = stored(met.groupBy("id").agg(F.collect_set("key").alias("keys"), F.min("n").alias("least_n"), F.max("n").alias("most_n")))
     weight = met.groupBy("id").agg(F.sum("c").alias("weight"))
     heads = met.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("least"), "id", "n", "i")).alias("h")).select("key", F.col("h.id").alias("v"), F.col("h.n").alias("m"), F.col("h.i").alias("j"))
     heads = stored(heads)
     fits = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("m")) - 1e-6
     first = stored(met.join(heads, "key").filter((F.col("id") != F.col("v")) & fits).select(F.least("id", "v").alias("u"), F.greatest("id", "v").alias("v")).distinct())
-    links = stored(verified(docs, first, words, similarity))
+    links = stored(verified(docs, stored(likely(first, shorts, similarity)), words, similarity))
     roots = stored(components(links))
     rooted = met.join(roots, F.col("id") == F.col("node"), "left").select("id", "n", "i", "key", F.coalesce("root", "id").alias("root"))
     tops = heads.join(roots, F.col("v") == F.col("node"), "left").select("key", F.coalesce("root", "v").alias("top"))
@@ -195,7 +205,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     outside = rooted.filter("root <> top").select("key", F.col("id").alias("v"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("other"))
     left = rooted.join(outside, "key").filter((F.col("root") != F.col("other")) & fits & ((F.col("root") == F.col("top")) | (F.col("id") < F.col("v"))))
     left = left.select(F.least("id", "v").alias("u"), F.greatest("id", "v").alias("v")).distinct()
-    left = stored(left.join(first, ["u", "v"], "left_anti"))
+    left = stored(likely(left.join(first, ["u", "v"], "left_anti"), shorts, similarity))
     more = verified(docs, left, words, similarity)
     roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)).withColumnRenamed("node", "id")
     of = texts.join(roots, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("component_id"))
