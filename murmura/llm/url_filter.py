@@ -13,7 +13,7 @@ BROADCAST_RULES = 100_000
 
 @dataclass(frozen=True)
 class Rule:
-    """A verdict for urls that match ``pattern``; every match holds each of ``literals`` (lower-case letters and digits) as a whole token."""
+    """A verdict for urls that match ``pattern``; every match holds each of ``literals`` (lower-case letters and digits) as a whole token; of a literal a|b it holds a or b."""
 
     name: str
     verdict: str
@@ -27,7 +27,7 @@ DEFAULT_RULES = (
     Rule("casino-host", "block", r"^[a-z][a-z0-9+.-]*://[^/?#]*\bcasino\b", ("casino",)),
     Rule("online-poker", "block", r"\bonline[-_]poker\b", ("online", "poker")),
     Rule("free-download", "block", r"/free[-_]download\b", ("free", "download")),
-    Rule("ads-track", "block", r"^[a-z][a-z0-9+.-]*://([^/?#]*\.)?ads?-track", ("track",)),
+    Rule("ads-track", "block", r"^[a-z][a-z0-9+.-]*://([^/?#]*\.)?ads?-track", ("ad|ads",)),
     Rule("free-bets", "block", r"^[a-z][a-z0-9+.-]*://([^/?#]*\.)?free-bets\.", ("free", "bets")),
     Rule("cheap-pills", "block", r"^[a-z][a-z0-9+.-]*://([^/?#]*\.)?cheap-pills\.", ("cheap", "pills")),
     Rule("adult-x", "block", r"^[a-z][a-z0-9+.-]*://([^/?#]*\.)?adult-x\.", ("adult", "x")),
@@ -73,12 +73,14 @@ def rule_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
 
 
 def rule_index(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """``rules`` (name, verdict, pattern, literals) with ``token``: the literal that the fewest of all ``urls`` hold, ties by name."""
-    want = rules.select(F.explode("literals").alias("token")).distinct()
+    """``rules`` (name, verdict, pattern, literals) with ``token``: the literal that the fewest of all ``urls`` hold, ties by name; a row for each alternative of it."""
+    parts = rules.select("name", "verdict", "pattern", F.explode("literals").alias("literal")).withColumn("token", F.explode(F.split("literal", "[|]")))
+    want = parts.select("token").distinct()
     want = F.broadcast(want) if rules.count() <= BROADCAST_RULES else want
     seen = urls.select(F.explode(tokens_of(F.col("url"))).alias("token")).join(want, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
-    each = rules.select("name", "verdict", "pattern", F.explode("literals").alias("token")).join(seen, "token", "left").fillna(0, ["n"])
-    return each.groupBy("name", "verdict", "pattern").agg(F.min(F.struct("n", "token")).alias("rarest")).select("name", "verdict", "pattern", F.col("rarest.token").alias("token"))
+    each = parts.join(seen, "token", "left").fillna(0, ["n"]).groupBy("name", "verdict", "pattern", "literal").agg(F.sum("n").alias("n"))
+    rarest = each.groupBy("name", "verdict", "pattern").agg(F.min(F.struct("n", "literal")).alias("rarest"))
+    return rarest.select("name", "verdict", "pattern", F.explode(F.split("rarest.literal", "[|]")).alias("token"))
 
 
 def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:

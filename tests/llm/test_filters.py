@@ -210,3 +210,13 @@ def test_mixture_of_odd_rows(odd, empty, spark):
     assert mixing.fit(empty, labels, {"x": 1.0}).rates.collect() == []
     assert all(r.rate == 1 for r in mixing.fit(odd, labels.limit(0), {"x": 1.0}).rates.collect())
     assert mixing.mixed(odd, mixing.fit(odd, labels, {"x": 0.5, "y": 0.5})).columns == [*odd.columns, "rate", "copy"]
+
+
+def test_url_index_agrees_with_the_patterns_on_suffix_variants(spark):
+    ends = ["", "s", "er", "ing", "-x", "_x", "1"]
+    parts = ["ad-track", "ads-track", "spam-farm", "free-bets", "adult-x", "casino", "xxx", "porn", "online-poker", "free_download", "verify-account", "click", "a.exe"]
+    urls = [u for p in parts for e in ends for u in (f"http://{p}{e}.example.com/", f"http://www.{p}{e}.com/a", f"http://track.a.com/{p}{e}", f"http://b.com/{p}{e}")]
+    rules = url_filter.rule_table(spark, url_filter.DEFAULT_RULES)
+    got = {(r.url, r.name) for r in url_filter.matches(spark.createDataFrame([(u,) for u in urls], "url string"), rules).collect()}
+    assert got == {(u, r.name) for u in urls for r in url_filter.DEFAULT_RULES if re.search(r.pattern, u)}
+    assert ("http://ads-tracking.example.com/", "ads-track") in got
