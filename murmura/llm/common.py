@@ -26,9 +26,12 @@ def ship() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where that is unset, as in tests, a folder of our own."""
+    """The cluster's spark.checkpoint.dir. Where that is unset a local session gets a folder of our own; a cluster is an error, as its machines share no temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = os.path.join(tempfile.gettempdir(), "murmura-checkpoints")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -36,12 +39,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Shuffle files go as soon as the query that made them is done; what it wrote is all that is read again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Written to the shared folder and read again: computed once, and no executor's loss costs it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    (df.write.partitionBy(partition_by) if partition_by else df.write).option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (df.write.partitionBy(partition_by) if partition_by else df.write).option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes stored() tables that nothing will read again."""
+    for t in tables:
+        at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        at.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def given(docs: DataFrame, *columns: str) -> DataFrame:
+    """The named columns of ``docs``, doc_id as a long: kernels pass ids on as they come. An id that is no whole number is an error, not a null."""
+    kind = dict(docs.dtypes).get("doc_id")
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"doc_id must be a whole number, not {kind}")
+    return docs.select(*(F.col(c).cast("long").alias(c) if c == "doc_id" else F.col(c) for c in columns))
 
 
 def size_hint(df: DataFrame) -> int:
@@ -69,6 +98,17 @@ def mapped(df: DataFrame, kernel: Callable, schema: str, text: str = "text") ->
     return df.mapInArrow(run, schema)
 
 
+def filtered(df: DataFrame, keep: Callable, text: str = "text") -> DataFrame:
+    """The rows for which keep(rows, buf, off) is true, with all their columns; one map, no shuffle."""
+    ship()
+
+    def run(batches):
+        for rows, buf, off in by_slices(batches, text):
+            yield rows.filter(pa.array(keep(rows, buf, off)))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def doc_hash(column: str = "doc_id") -> F.Column:
     """crc32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))
