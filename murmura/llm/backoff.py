@@ -1,112 +1,219 @@
-"""Stupid-backoff scores of all documents under counts of the whole corpus.
-
-The count tables are partitioned by n-gram hash. Each block of texts sends its
-distinct n-grams with their counts to the partitions, gets the corpus counts of
-exactly those back, and sums them up by document.
+"""Stupid-backoff scores of all documents under n-gram counts of the whole corpus, as one co-partitioned join.
+
+Each word is exploded into a row: its document, the hash of the two words before it,
+its own hash. The rows are dealt out once, by the history's hash. So a partition holds
+its part of the count tables of both orders: trigrams are counted by (history, word),
+bigrams by history, each row is joined to its two counts in place, and logarithms are
+summed by document, first here and then over all partitions. The hash space is taken
+in PASSES parts, one after the other, so that only a part of the rows is on disk at a
+time, and a partition holds about ROWS rows, whatever the corpus.
+
+Frequent n-grams would make hot keys. A sample names candidates, their counts are
+taken exactly over all texts, and these tables, bounded by FREQUENT, are broadcast: a
+frequent trigram after a frequent history is never sent, another word after one is
+dealt out by the whole trigram. The sample steers the work, never a score.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmura.llm import kernels as K
-from murmura.llm.blocks import block_count, blocked, bucket_count, packed, packed_hashes, split_by, texts_of, unpacked, unpacked_hashes
-from murmura.llm.common import ship, stored
-
-#: Weight of each step down to shorter n-grams, and the least count of a bigram in its table.
-ALPHA, LEAST_BIGRAM = 0.4, 2
+from murmura.llm.common import forget, given, mapped, stored
+
+#: Weight of each step down to a shorter history.
+ALPHA = 0.4
+#: Parts of the hash space, one shuffle after the other, and rows of a partition.
+PASSES, ROWS = 3, 1 << 20
+#: Rows of each broadcast count table at most; sampled texts that propose them; sampled occurrences that make a candidate.
+FREQUENT, SAMPLE, LEAST = 1 << 17, 5_000, 16
 U64 = np.uint64
-
-
-def _shrunk(c: np.ndarray) -> tuple[bytes, bytes]:
-    """Counts in a byte each, those of 255 and more in a list of their own."""
-    return packed(np.minimum(c, 255).astype(np.uint8)), packed(c[c >= 255].astype(np.int64))
-
-
-def _grown(small: np.ndarray, big: np.ndarray) -> np.ndarray:
-    c = small.astype(np.int64)
-    c[small == 255] = big
-    return c
-
-
-def _grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of all words; of each word with the one before it in its text; whether there is one; each text's first word."""
-    parts = [(np.zeros(0, U64), np.zeros(0, np.int64))]
-    for a, b in K.slices(off, 512 << 10):
-        low = K.LOWER[buf[off[a] : off[b]]]
-        start, end, first = K.runs(~K.BLANK[low], off[a : b + 1] - off[a])
-        parts.append((K.span_hash(K.prefix_hash(low), start, end), np.diff(first)))
-    word = np.concatenate([p[0] for p in parts])
-    first = np.concatenate([[0], np.cumsum(np.concatenate([p[1] for p in parts]))]).astype(np.int64)
-    pair = np.zeros(len(word), U64)
-    pair[1:] = K.gram_hash(word, 2)
-    has = np.ones(len(word) + 1, bool)
-    has[first] = False
-    return K.mix(word + U64(1)), pair, has[:-1], first
-
-
-def _distinct(uni: np.ndarray, pair: np.ndarray, has: np.ndarray, buckets: int):
-    keys, n = np.unique(np.concatenate([uni, pair[has]]), return_counts=True)
-    order, bound = split_by((keys % U64(buckets)).astype(np.int64), buckets)
-    return keys, n, order, bound
-
-
-def _send(table: pa.Table, buckets: int) -> pa.Table:
-    buf, off, _, _ = texts_of(table)
-    uni, pair, has, _ = _grams(buf, off)
-    keys, n, order, bound = _distinct(uni, pair, has, buckets)
-    used = np.flatnonzero(np.diff(bound))
-    pick = [order[bound[b] : bound[b + 1]] for b in used]
-    counts = [_shrunk(n[p]) for p in pick]
-    return pa.table({"block": pa.array([table.column("block")[0].as_py()] * len(used), pa.int32()), "bucket": pa.array(used.astype(np.int32)), "grams": pa.array([packed_hashes(keys[p], int(b), buckets) for b, p in zip(used, pick)], pa.binary()), "small": pa.array([c[0] for c in counts], pa.binary()), "big": pa.array([c[1] for c in counts], pa.binary())})
-
-
-def _count(table: pa.Table, buckets: int) -> pa.Table:
-    each = [unpacked_hashes(x, b, buckets) for x, b in zip(table.column("grams").to_pylist(), table.column("bucket").to_pylist())]
-    n = [_grown(s, b) for s, b in zip(unpacked(table, "small", "u1"), unpacked(table, "big", "<i8"))]
-    keys, total = K.merge_counts(each, n)
-    back = [_shrunk(total[np.searchsorted(keys, g)]) for g in each]
-    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "small": pa.array([c[0] for c in back], pa.binary()), "big": pa.array([c[1] for c in back], pa.binary())})
-
-
-def _score(table: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
-    buf, off, _, _ = texts_of(table)
-    uni, pair, has, first = _grams(buf, off)
-    keys, n, order, bound = _distinct(uni, pair, has, buckets)
-    total = np.zeros(len(keys), np.int64)
-    for b, s, big in zip(replies.column("bucket").to_pylist(), unpacked(replies, "small", "u1"), unpacked(replies, "big", "<i8")):
-        total[order[bound[b] : bound[b + 1]]] = _grown(s, big)
-    own = total[np.searchsorted(keys, uni)].astype(np.float64)
-    both = np.zeros(len(uni))
-    both[has] = total[np.searchsorted(keys, pair[has])]
-    kept = both >= LEAST_BIGRAM
-    before = np.ones(len(uni))
-    before[1:] = own[:-1]
-    log = np.where(kept, np.log(np.maximum(both, 1)) - np.log(before), np.log(np.maximum(own, 1)) + np.where(has, np.log(ALPHA), 0.0))
-    return pa.table({"doc_id": table.column("doc_id"), "n_words": pa.array(np.diff(first)), "n_bigrams": pa.array(K.segment_sum(kept, first)), "part": pa.array(K.segment_sum(log, first))})
+#: The two high bits of a row's word tell what it adds: a plain one, the first of its text, one after a frequent history.
+KIND = U64(62)
+PLAIN, FIRST, AFTER = 0, 1, 2
+
+
+def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, lower-cased in A-Z, and each text's first word."""
+    start, end, first = K.runs(~K.BLANK[buf], off)
+    return K.span_hash(K.prefix_hash(K.LOWER[buf]), start, end), first
+
+
+def grams(word: np.ndarray, first: np.ndarray, part: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Every bigram (of one part of the hash space) with what follows it: its hash, the next word's (62 bits, 0 at a text's end), the trigram's, the text, whether it opens the text."""
+    pair = K.gram_hash(word, 2)
+    last, opens = np.zeros(len(word) + 1, bool), np.zeros(len(word) + 1, bool)
+    last[first[1:][first[1:] > 0] - 1] = True
+    opens[first[:-1]] = True
+    at = np.flatnonzero(~last[: len(pair)] if part is None else ~last[: len(pair)] & (pair % U64(PASSES) == U64(part)))
+    pair = pair[at]
+    after = np.where(last[at + 1], U64(0), np.maximum(word[np.minimum(at + 2, max(len(word) - 1, 0))] >> U64(2), U64(1)))
+    return pair, after, K.mix(pair * U64(K.BASES[1]) + after), np.searchsorted(first, at, "right") - 1, opens[at]
+
+
+class Frequent:
+    """Sorted hashes of frequent bigrams and trigrams with their exact counts; empty before they are counted."""
+
+    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]]):
+        self.keys = [t[0] for t in tables]
+        self.logs = [np.log(np.maximum(t[1], 1)) for t in tables]
+
+    def split(self, pair: np.ndarray, after: np.ndarray, three: np.ndarray):
+        """Which bigrams are frequent, which trigrams are settled by the tables, and what these tables add for each row, openings left out."""
+        hot = K.member(pair, self.keys[0])
+        done = np.zeros(len(pair), bool)
+        at = np.flatnonzero(hot & (after != 0))
+        done[at] = K.member(three[at], self.keys[1])
+        value = np.zeros(len(pair))
+        value[at] = -self.logs[0][np.searchsorted(self.keys[0], pair[at])]
+        known = np.flatnonzero(done)
+        value[known] += self.logs[1][np.searchsorted(self.keys[1], three[known])]
+        return hot, done, value
+
+
+def _counted(docs: DataFrame, only: list[np.ndarray] | None) -> DataFrame:
+    """(kind, key, n): counts of bigrams (0) and trigrams (1) by hash, all of them or ``only`` those in two sorted arrays."""
+    shared = docs.sparkSession.sparkContext.broadcast(only)
+
+    def kernel(rows, buf, off):
+        pair, after, three, _, _ = grams(*words(buf, off))
+        out = []
+        for kind, key in ((0, pair), (1, three[after != 0])):
+            keys, n = np.unique(key if shared.value is None else key[K.member(key, shared.value[kind])], return_counts=True)
+            out.append((np.full(len(keys), kind), keys.view(np.int64), n))
+        return [np.concatenate(x) for x in zip(*out)]
+
+    return mapped(docs.select("text"), kernel, "kind long, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+
+def _tables(counts: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    got = counts.toPandas()
+    out = []
+    for kind in (0, 1):
+        own = got[got["kind"] == kind]
+        key = own["key"].to_numpy(np.int64).view(U64)
+        by = np.argsort(key)
+        out.append((key[by], own["n"].to_numpy(np.int64)[by]))
+    return out
+
+
+def frequent(docs: DataFrame) -> Frequent:
+    """Exact counts of the n-grams that are frequent in a sample; at most FREQUENT of either order."""
+    share = max(1, docs.count() // SAMPLE)
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("frequent")), F.lit(share)) == 0)
+    order = Window.partitionBy("kind").orderBy(F.desc("n"), "key")
+    top = _counted(some, None).filter(F.col("n") >= LEAST).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= FREQUENT)
+    found = _tables(top.select("kind", "key", "n"))
+    return Frequent(_tables(_counted(docs, [t[0] for t in found])) if sum(len(t[0]) for t in found) else found)
+
+
+def _rows(docs: DataFrame, tables, part: int) -> DataFrame:
+    """(doc, text, history, word): the exploded n-grams of one part of the hash space."""
+
+    def kernel(rows, buf, off):
+        word, first = words(buf, off)
+        pair, after, three, text, opens = grams(word, first, part)
+        hot, done, _ = tables.value.split(pair, after, three)
+        key = np.where(hot, three, pair)
+        kind = np.where(hot, U64(AFTER), np.where(opens, U64(FIRST), U64(PLAIN)))
+        pick = np.flatnonzero(~done & ~(hot & (after == 0)))
+        text = text[pick]
+        return [rows.column(0).take(pa.array(text)), _text_hash(buf, off)[text].view(np.int64), key[pick].view(np.int64), (after[pick] | kind[pick] << KIND).view(np.int64)]
+
+    return mapped(docs, kernel, "doc long, text_hash long, history long, word long")
+
+
+def _text_hash(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    return K.span_hash(K.prefix_hash(buf, 1), off[:-1], off[1:], 1)
+
+
+def _joined(batches):
+    """The rows of a partition, joined to the counts of their histories and trigrams there; sums for each stretch of rows of one document."""
+    table = pa.Table.from_batches([x for x in batches if x.num_rows] or [], schema=pa.schema([(x, pa.int64()) for x in ("doc", "text_hash", "history", "word")]))
+    if not table.num_rows:
+        return
+    doc, text, history, word = (c.to_numpy() for c in table.columns)
+    word = word.view(U64)
+    after, kind = word & U64((1 << 62) - 1), word >> KIND
+    order = np.lexsort((after, history))
+    h, a = history[order], after[order]
+    new = np.ones(len(order), bool)
+    new[1:] = h[1:] != h[:-1]
+    two = _log_sizes(new, order)
+    new[1:] |= a[1:] != a[:-1]
+    value = np.where(after != 0, _log_sizes(new, order) - np.where(kind != AFTER, two, 0.0), 0.0) + np.where(kind == FIRST, two, 0.0)
+    turn = np.ones(len(doc), bool)
+    turn[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])
+    head = np.flatnonzero(turn)
+    found = [doc[head], text[head], np.add.reduceat(value, head)]
+    for a in range(0, len(head), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in found], ["doc", "text_hash", "part"])
+
+
+def _log_sizes(new: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Logarithm of the size of each row's group, where groups begin at ``new`` in the given order."""
+    head = np.flatnonzero(new)
+    size = np.diff(np.append(head, len(order)))
+    out = np.empty(len(order))
+    out[order] = np.repeat(np.log(size), size)
+    return out
+
+
+def _summed(rows: DataFrame, partitions: int) -> DataFrame:
+    """(doc, text_hash, part): the exploded n-grams joined to their counts, and logarithms summed by document."""
+    found = rows.repartition(partitions, "history").mapInArrow(_joined, "doc long, text_hash long, part double")
+    return found.groupBy("doc", "text_hash").agg(F.sum("part").alias("part"))
 
 
 def scores(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_bigrams, log_score, score of each row of ``docs`` (doc_id, text; other columns are ignored).
+    """doc_id, n_words, n_trigrams, log_score, score of each row of ``docs`` (doc_id, text; other columns are ignored).
 
     Words are runs of non-blanks, lower-cased in A-Z; counts are those of the whole
-    table, the row's own words included. A word after another scores the bigram's
-    count over the first word's count, if the bigram occurs LEAST_BIGRAM times;
-    otherwise ALPHA times its own count over the number of all words; a first word
-    scores without ALPHA. log_score is the sum of natural logarithms, score the mean
-    (null without words). Null texts have no words. Repeated rows count repeatedly.
+    table, the row's own words included, of all orders and however rare. A word with
+    two before it scores the trigram's count over that of the history; no such count
+    is zero here. A text's second word has no trigram and backs off: ALPHA times the
+    bigram's count over the first word's; its first word scores ALPHA squared times
+    its share of all words. log_score is the sum of natural logarithms, score the mean
+    (null without words). Null, empty and blank texts have no words. Repeated rows
+    count repeatedly and get equal scores; null ids keep their rows; an empty table
+    gives none. N-grams are compared by 64-bit hashes.
     """
-    ship()
-    blocks = block_count(docs)
-    buckets = bucket_count(blocks)
-    texts = blocked(docs, blocks)
-    sent = texts.groupBy("block").applyInArrow(lambda t: _send(t, buckets), "block int, bucket int, grams binary, small binary, big binary")
-    counted = sent.groupBy("bucket").applyInArrow(lambda t: _count(t, buckets), "block int, bucket int, small binary, big binary")
-    found = texts.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(lambda t, r: _score(t, r, buckets), "doc_id long, n_words long, n_bigrams long, part double")
-    found = stored(found)
-    total = found.agg(F.sum("n_words").alias("all_words"))
-    log = F.when(F.col("n_words") > 0, F.col("part") - (F.col("n_words") - F.col("n_bigrams")) * F.log(F.col("all_words").cast("double"))).otherwise(F.lit(0.0))
-    return found.join(F.broadcast(total)).select("doc_id", "n_words", "n_bigrams", log.alias("log_score"), F.when(F.col("n_words") > 0, log / F.col("n_words")).alias("score"))
+    asked = given(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(0)).alias("doc"), "text", "doc_id")
+    tables = docs.sparkSession.sparkContext.broadcast(frequent(asked))
+
+    def kernel(rows, buf, off):
+        word, first = words(buf, off)
+        n = np.diff(first)
+        pair, after, three, text, opens = grams(word, first)
+        hot, _, value = tables.value.split(pair, after, three)
+        at = np.flatnonzero(hot & opens)
+        value[at] += tables.value.logs[0][np.searchsorted(tables.value.keys[0], pair[at])]
+        known = np.bincount(text, value, minlength=len(n)).astype(np.float64)[: len(n)]
+        lone = np.zeros(len(n), np.int64)
+        lone[n == 1] = word[first[:-1][n == 1]].view(np.int64)
+        return [rows.column(2), rows.column(0), _text_hash(buf, off).view(np.int64), n, known, pa.array(lone, mask=n != 1)]
+
+    base = stored(mapped(asked, kernel, "doc_id long, doc long, text_hash long, n_words long, known double, lone long"))
+    total = base.agg(F.sum("n_words").alias("all_words"))
+    partitions = max(1, -(-(total.first().all_words or 0) // (PASSES * ROWS)))
+    parts = [stored(_summed(_rows(asked.select("doc", "text"), tables, p), partitions)) for p in range(PASSES)]
+    sums = parts[0]
+    for p in parts[1:]:
+        sums = sums.unionByName(p)
+    sums = sums.groupBy("doc", "text_hash").agg(F.sum("part").alias("part"))
+    times = base.filter("n_words > 1").groupBy("doc", "text_hash").agg(F.count("*").alias("times"))
+    each = stored(sums.join(times, ["doc", "text_hash"]).select("doc", "text_hash", (F.col("part") / F.col("times")).alias("part")))
+    forget(*parts)
+    lone = base.select("lone").filter("lone is not null").distinct()
+    singles = lone.withColumn("n", F.lit(0).cast("long")).limit(0)
+    if lone.take(1):
+        every = mapped(asked.select("text"), lambda rows, buf, off: [x.view(np.int64) for x in np.unique(words(buf, off)[0], return_counts=True)], "lone long, n long")
+        singles = stored(every.join(lone, "lone", "left_semi").groupBy("lone").agg(F.sum("n").alias("n")))
+    met = base.join(each, ["doc", "text_hash"], "left").join(singles, "lone", "left").join(F.broadcast(total))
+    down = float(np.log(ALPHA))
+    long = F.col("known") + F.coalesce("part", F.lit(0.0)) + 3 * down
+    log = F.when(F.col("n_words") > 0, F.when(F.col("n_words") > 1, long).otherwise(F.log(F.col("n").cast("double")) + 2 * down) - F.log(F.col("all_words").cast("double"))).otherwise(F.lit(0.0))
+    return met.select("doc_id", "n_words", F.greatest(F.col("n_words") - 2, F.lit(0)).alias("n_trigrams"), log.alias("log_score"), F.when(F.col("n_words") > 0, log / F.col("n_words")).alias("score"))
