@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmura.llm.common import stored
+from murmura.llm.common import forget, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -23,20 +23,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge; root is the least node reachable.
 
     edges has long columns u and v; loops, repeats and either direction are fine,
-    rows with a null are no edges. Each round writes its edges to the shared
-    folder, so lineage stays short; only the two numbers that tell whether a round
-    changed anything come to the driver.
+    rows with a null are no edges. Rounds go on until one changes nothing, which takes
+    about the logarithm of the longest chain. Each round writes its edges to the shared
+    folder, so lineage stays short, and drops those of the round before; only the two
+    numbers that tell whether a round changed anything come to the driver.
     """
-    now = stored(edges.select("u", "v").dropna().filter("u <> v").distinct())
-    mark = None
-    for _ in range(rounds):
+    now, mark = stored(edges.select("u", "v").dropna().filter("u <> v").distinct()), None
+    while True:
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (seen.n, seen.h) == mark:
-            break
-        mark = (seen.n, seen.h)
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+        mark, before = (seen.n, seen.h), now
         now = stored(_star(_star(now, True), False))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+        forget(before)

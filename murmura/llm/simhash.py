@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmura.llm import kernels as K
-from murmura.llm.common import mapped, stored
+from murmura.llm.common import forget, given, mapped, stored
 from murmura.llm.components import components
 
 #: Bits of the three segments on the ring.
@@ -41,7 +41,7 @@ def fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
         bits = np.packbits((2 * ones > shingles[:, None]).astype(np.uint8), axis=1, bitorder="little")
         return rows.column(0), pa.array(bits.view("<i8").reshape(-1))
 
-    return mapped(docs.select("doc_id", "text"), kernel, "doc_id long, fingerprint long")
+    return mapped(given(docs, "doc_id", "text"), kernel, "doc_id long, fingerprint long")
 
 
 def chain_survivors(prints: DataFrame) -> DataFrame:
