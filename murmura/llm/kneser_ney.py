@@ -1,8 +1,9 @@
 """Kneser-Ney character models: counted by Spark, kept in sorted hash arrays.
 
 Characters are first folded to a fixed alphabet, so an n-gram is an integer code of
-n * bits bits and the whole model is bounded by that code space, whatever the
-corpus: it may go to the driver and be broadcast.
+n * bits bits, a hash without collisions, and the whole model is bounded by that code
+space, whatever the corpus: it may go to the driver and be broadcast. A model is its
+sorted arrays and nothing else; every lookup is a binary search in them.
 """
 
 from __future__ import annotations
@@ -105,18 +106,38 @@ class Model:
     contexts: list
     gamma: list
 
-    def dense(self) -> np.ndarray:
-        """Log probability by code of the highest order, spread out for lookups; built anew wherever it is needed."""
-        size = 1 << self.bits
-        lower = np.full((1, size), -np.log(size), np.float32)
-        for k in range(self.order):
-            rows = size**k
-            left = np.zeros(rows, np.float32)
-            left[self.contexts[k]] = self.gamma[k]
-            table = (lower[np.arange(rows) % len(lower)] + left[:, None]).reshape(-1)
-            table[self.keys[k]] = self.logp[k]
-            lower = table.reshape(-1, size)
-        return lower.reshape(-1)
+    def log_probability(self, code: np.ndarray) -> np.ndarray:
+        """Log probabilities of n-grams of the highest order: binary searches from there down, with the weight of each context passed on the way."""
+        out, left = np.zeros(len(code)), np.arange(len(code))
+        for k in range(self.order - 1, -1, -1):
+            low = code[left] & ((1 << ((k + 1) * self.bits)) - 1)
+            at, hit = _found(self.keys[k], low)
+            out[left[hit]] += self.logp[k][at[hit]]
+            left, context = left[~hit], low[~hit] >> self.bits
+            at, known = _found(self.contexts[k], context)
+            out[left[known]] += self.gamma[k][at[known]]
+        out[left] -= self.bits * np.log(2)
+        return out
+
+    def size(self) -> int:
+        return sum(len(x) for x in (*self.keys, *self.contexts))
+
+
+def _found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the asked keys in a sorted array, and which of them are there."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return at, keys[at] == asked
+
+
+def losses(models: list[Model], buf: np.ndarray, off: np.ndarray, alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nats a character of each text under each model (a column each; 0 without characters), and characters. Each distinct n-gram of the slice is searched once."""
+    code, at = codes(buf, off, alphabet, models[0].order, models[0].bits)
+    n = np.diff(at)
+    distinct, which = np.unique(code, return_inverse=True)
+    distinct = distinct.astype(np.int64)
+    return np.stack([-K.segment_sum(m.log_probability(distinct)[which], at) / np.maximum(n, 1) for m in models], 1), n
 
 
 def _discounts(n: np.ndarray) -> np.ndarray:
