@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmura.llm import kernels as K
-from murmura.llm.common import mapped, stored
+from murmura.llm.common import filtered, given, mapped, stored
 
 #: A span of SPAN words is certain to be found: GRAM-word grams, WINDOW of them in each window.
 GRAM, WINDOW = 5, 6
@@ -146,19 +146,53 @@ def _union(spans: np.ndarray) -> np.ndarray:
 
 
 def _block_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, n_words, starts, ends, items of each row, for a bounded block of items."""
-    rows = items.collect()
-    shared = docs.sparkSession.sparkContext.broadcast(Benchmark([r.item for r in rows], [r.text for r in rows]))
+    """doc_id, n_words, starts, ends, items of each row, for a bounded block of items, and two hashes h1 and h2 of its text."""
+    shared = docs.sparkSession.sparkContext.broadcast(_benchmark(items))
 
-    def kernel(given, buf, off):
+    def kernel(rows, buf, off):
         bench = shared.value
         n, spans, pairs = bench.hits(buf, off)
         spans = _union(spans)
         cut, got = np.searchsorted(spans[:, 0], np.arange(len(n) + 1)), np.searchsorted(pairs[:, 0], np.arange(len(n) + 1))
         lists = lambda at, values: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), values)
-        return [given.column(0), n, lists(cut, pa.array(spans[:, 1])), lists(cut, pa.array(spans[:, 2])), lists(got, pa.array([bench.ids[i] for i in pairs[:, 1]], pa.string()))]
+        whole = [K.span_hash(K.prefix_hash(buf, w), off[:-1], off[1:], w).view(np.int64) for w in (0, 1)]
+        return [rows.column(0), n, lists(cut, pa.array(spans[:, 1])), lists(cut, pa.array(spans[:, 2])), lists(got, pa.array([bench.ids[i] for i in pairs[:, 1]], pa.string())), *whole]
+
+    return mapped(given(docs, "doc_id", "text"), kernel, "doc_id long, n_words long, starts array<long>, ends array<long>, items array<string>, h1 long, h2 long")
+
+
+def _benchmark(items: DataFrame) -> Benchmark:
+    rows = items.collect()
+    return Benchmark([r.item for r in rows], [r.text for r in rows])
+
 
-    return mapped(docs.select("doc_id", "text"), kernel, "doc_id long, n_words long, starts array<long>, ends array<long>, items array<string>")
+def _blocks(benchmark: DataFrame) -> list[DataFrame]:
+    """(item, text) of items with both, in blocks of about BLOCK_BYTES."""
+    items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
+    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    return [items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b) if blocks > 1 else items for b in range(blocks)]
+
+
+def _united(parts: list[DataFrame]) -> DataFrame:
+    """The rows of all blocks as one row for each row of the documents. Equal texts have equal hits, so these are united by text and joined back to the rows."""
+    hits = None
+    for p in parts:
+        one = p.filter("size(items) > 0").groupBy("h1", "h2").agg(F.max(F.struct("starts", "ends", "items")).alias("x"))
+        hits = one if hits is None else hits.unionByName(one)
+    found = hits.groupBy("h1", "h2").agg(F.flatten(F.collect_list(F.arrays_zip("x.starts", "x.ends"))).alias("spans"), F.flatten(F.collect_list("x.items")).alias("items"))
+    merged = F.aggregate(
+        F.array_sort("spans"),
+        F.expr("cast(array() as array<struct<starts:bigint,ends:bigint>>)"),
+        lambda acc, x: F.when(
+            (F.size(acc) > 0) & (x["starts"] <= F.element_at(acc, -1)["ends"]),
+            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["starts"].alias("starts"), F.greatest(F.element_at(acc, -1)["ends"], x["ends"]).alias("ends")))),
+        ).otherwise(F.concat(acc, F.array(x))),
+    )
+    found = found.withColumn("spans", merged).select("h1", "h2", F.col("spans.starts").alias("starts"), F.col("spans.ends").alias("ends"), "items")
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    rows = parts[0].select("doc_id", "n_words", "h1", "h2").join(found, ["h1", "h2"], "left")
+    return rows.select("doc_id", "n_words", F.coalesce("starts", none("long")).alias("starts"), F.coalesce("ends", none("long")).alias("ends"), F.coalesce("items", none("string")).alias("items"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -168,36 +202,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     consecutive words of it, or all its words if it has fewer, but not none. starts
     and ends are the maximal hit runs, in words; items the distinct ids, as sorted
     strings, of items with an occurring window. Null and empty texts have no words;
-    items of null id or no words are left out; repeated ids count once. Other
-    columns of either table are ignored.
+    items of null id or no words are left out; repeated ids count once; repeated rows
+    and null doc_ids each keep their row; an empty table gives none, an empty
+    benchmark no hits. Other columns of either table are ignored.
 
     The benchmark is the stated query set. Up to BLOCK_BYTES of it are broadcast; a
-    larger one is taken in blocks of that size, each against all documents, and the
-    blocks' hits are united by doc_id and word count: equal rows then give one row.
+    larger one is taken in blocks of that size, each against all documents.
     """
-    items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
-    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    if blocks == 1:
-        found = _block_hits(docs, items)
-    else:
-        each = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
-        parts = [stored(_block_hits(docs, each.filter(F.col("block") == b))) for b in range(blocks)]
-        found = parts[0]
-        for p in parts[1:]:
-            found = found.unionByName(p)
-        found = found.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-        merged = F.aggregate(
-            F.array_sort("spans"),
-            F.expr("cast(array() as array<struct<starts:bigint,ends:bigint>>)"),
-            lambda acc, x: F.when((F.size(acc) > 0) & (x["starts"] <= F.element_at(acc, -1)["ends"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["starts"].alias("starts"), F.greatest(F.element_at(acc, -1)["ends"], x["ends"]).alias("ends"))))).otherwise(F.concat(acc, F.array(x))),
-        )
-        found = found.withColumn("spans", merged).select("doc_id", "n_words", F.col("spans.starts").alias("starts"), F.col("spans.ends").alias("ends"), "items")
+    parts = [_block_hits(docs, b) for b in _blocks(benchmark)]
+    found = parts[0] if len(parts) == 1 else _united([stored(p) for p in parts])
     hit = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
     return found.select("doc_id", "n_words", hit.alias("n_hit"), "starts", "ends", F.array_sort(F.array_distinct("items")).alias("items"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the contaminated ones; rows of one doc_id go together."""
-    bad = contamination(docs, benchmark).filter("n_hit > 0").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    """The rows of ``docs`` that no window of the benchmark occurs in, each judged by its own text; all columns stay.
+
+    One pass for each block, no shuffle. Null and empty texts stay, as do null ids;
+    repeated rows stay or go together; an empty table gives an empty one.
+    """
+    for block in _blocks(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(_benchmark(block))
+
+        def clean(rows, buf, off, shared=shared):
+            keep = np.ones(len(off) - 1, bool)
+            keep[shared.value.hits(buf, off)[1][:, 0]] = False
+            return keep
+
+        docs = filtered(docs, clean)
+    return docs
