@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmura.llm import kernels as K
-from murmura.llm.common import mapped, stored
+from murmura.llm.common import given, mapped, stored
 
 #: Rows of the embedding table, its width, filter widths, and filters of each width.
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 18, 8, (1, 2, 3), 8
 #: Bytes of the word beginnings that are hashed beside the whole word.
 STEMS = (4, 5)
-#: The training sample: so many labelled texts of each class, of at most so many bytes each; passes; rate; decay.
-SAMPLE, LONGEST, EPOCHS, RATE, DECAY = 3000, 1 << 16, 10, 0.1, 1e-4
+#: The training sample: so many labelled texts of each class; passes; rate; decay.
+SAMPLE, EPOCHS, RATE, DECAY = 3000, 10, 0.1, 1e-4
+#: Words of a clean training text that make an example; a longer one makes several, as every piece of it is clean. A toxic text is one example, whole.
+PIECE = 4096
+#: One in so many labelled texts, by a hash of its id, is kept from the network and sets the thresholds.
+CALIBRATE = 5
 #: A hashed feature is learned only if so many distinct training texts hold it.
 LEAST_TEXTS = 5
 WORD = np.zeros(256, bool)
@@ -134,64 +138,83 @@ class Network:
         self.e[~known] = 0
 
 
+def for_calibration(name: str = "doc_id") -> F.Column:
+    return F.pmod(F.xxhash64(F.col(name), F.lit("thresholds")), F.lit(CALIBRATE)) == 0
+
+
+def _toxic(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) with one row for each id: toxic if any of its labels says so."""
+    return given(labels.filter("toxic in (0, 1) and doc_id is not null"), "doc_id", "toxic").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Network:
-    """A network from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); null labels, ids and texts are left out.
+    """A network from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); other columns are ignored, null labels, ids and texts left out.
 
-    It is fitted on the bounded sample that SAMPLE and LONGEST state: the first
-    texts of each class by a hash of the id, each distinct text once. Without both
-    classes it scores every text alike.
+    It is fitted on the bounded sample that SAMPLE states, of those not kept for the
+    thresholds: the first texts of each class by a hash of the text, each distinct
+    text once. Without both classes, as in empty tables, it scores every text alike.
     """
-    ids = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    given = docs.filter(f"text is not null and octet_length(text) <= {LONGEST}").join(ids, "doc_id")
-    one = given.groupBy(F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    texts = given(docs, "doc_id", "text").filter("text is not null").filter(~for_calibration()).join(_toxic(labels), "doc_id")
+    one = texts.groupBy(F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
     pick = [one.filter(F.col("toxic") == y).orderBy("h", "doc_id").limit(SAMPLE) for y in (0, 1)]
-    chosen = stored(pick[0].unionByName(pick[1]).select("doc_id", F.col("toxic").cast("long").alias("toxic")))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    chosen = stored(pick[0].unionByName(pick[1]).select("doc_id", "h", "toxic"))
+    rows = given(docs, "doc_id", "text").withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("h", "text", "toxic")
 
     def kernel(got, buf, off):
         found, first = features(buf, off)
         flat = pa.ListArray.from_arrays(pa.array((first * found.shape[1]).astype(np.int32)), pa.array(found.reshape(-1)))
         return [got.column(0), got.column(2), flat]
 
-    data = mapped(rows, kernel, "doc_id long, toxic long, words array<int>").toArrow().sort_by("doc_id")
-    texts = [np.asarray(x.values, np.int32).reshape(-1, 1 + len(STEMS)) for x in data["words"]]
+    data = mapped(rows, kernel, "h long, toxic long, words array<int>").toArrow().sort_by("h")
+    texts, y = [], []
+    for words, toxic in zip(data["words"], data["toxic"].to_pylist()):
+        ids = np.asarray(words.values, np.int32).reshape(-1, 1 + len(STEMS))
+        pieces = [ids] if toxic else [ids[i : i + PIECE] for i in range(0, max(len(ids), 1), PIECE)]
+        texts += pieces
+        y += [toxic] * len(pieces)
     net = Network()
-    y = data["toxic"].to_numpy()
-    if len(set(y.tolist())) == 2:
-        net.fit(texts, y)
+    if len(set(y)) == 2:
+        net.fit(texts, np.array(y))
     return net
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
-    """doc_id and score (0 to 1) of each row; whole texts, nothing else is looked at. Null and empty texts get the score of no evidence."""
+    """doc_id, lang and score (0 to 1) of each row; of whole texts, nothing else is looked at. Null and empty texts get the score of no evidence."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def kernel(rows, buf, off):
-        return [rows.column(0), shared.value.score(*features(buf, off))]
+        return [rows.column(0), rows.column(2), shared.value.score(*features(buf, off))]
 
-    return mapped(docs.select("doc_id", "text"), kernel, "doc_id long, score double")
+    return mapped(given(docs, "doc_id", "text", "lang"), kernel, "doc_id long, lang string, score double")
 
 
-def thresholds(scored: DataFrame, labels: DataFrame, langs: DataFrame, default: float = 0.3) -> DataFrame:
-    """(lang, threshold): of hundredths, the one of most correct labels among ``scored`` rows of that language; the middle one of ties.
+def thresholds(scored: DataFrame, default: float = 0.3) -> DataFrame:
+    """(lang, threshold): of hundredths, the one of most correct labels among ``scored`` rows (lang, score, toxic) of that language; the middle one of ties.
 
-    Counted over all labelled rows given, in a hundred bins a language. A language without both classes takes the default.
+    Counted over all rows given, in a hundred bins a language; a null lang counts as
+    a language. One without both classes takes the default.
     """
-    named = scored.join(labels.select("doc_id", "toxic"), "doc_id").join(langs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang")), "doc_id")
-    bins = named.groupBy("lang", F.least(F.floor(F.col("score") * 100), F.lit(99)).alias("bin")).agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, 1).otherwise(0)).alias("good"))
+    bins = scored.groupBy(F.coalesce("lang", F.lit("")).alias("lang"), F.least(F.floor(F.col("score") * 100), F.lit(99)).alias("bin")).agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, 1).otherwise(0)).alias("good"))
     cuts = bins.select("lang").distinct().withColumn("cut", F.explode(F.sequence(F.lit(1), F.lit(99))))
     right = cuts.join(bins, "lang").groupBy("lang", "cut").agg(F.sum(F.when(F.col("bin") >= F.col("cut"), F.col("bad")).otherwise(F.col("good"))).alias("right"), F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    best = right.join(right.groupBy("lang").agg(F.max("right").alias("top")), "lang").filter("right = top").groupBy("lang").agg(F.avg("cut").alias("mid"), F.first("bad").alias("bad"), F.first("good").alias("good"))
+    best = right.groupBy("lang").agg(F.max("right").alias("top"))
+    best = right.join(best, "lang").filter("right = top").groupBy("lang").agg(F.avg("cut").alias("mid"), F.first("bad").alias("bad"), F.first("good").alias("good"))
     return best.select("lang", F.when((F.col("bad") > 0) & (F.col("good") > 0), F.col("mid") / 100).otherwise(F.lit(default)).alias("threshold"))
 
 
 def rated(docs: DataFrame, labels: DataFrame, learn: F.Column, default: float = 0.3) -> DataFrame:
-    """doc_id, learned, score, threshold, toxic for each row of ``docs``; labels are used only of rows where ``learn`` holds."""
-    teach = stored(docs.filter(learn).select("doc_id").dropna().distinct().join(labels.select("doc_id", "toxic"), "doc_id"))
-    net = train(docs.filter(learn), teach)
-    found = stored(score(docs, net).withColumn("learned", learn))
-    limits = thresholds(found.filter("learned"), teach, docs.filter(learn), default)
-    langs = docs.groupBy("doc_id").agg(F.coalesce(F.min("lang"), F.lit("")).alias("lang"))
-    met = found.join(langs, "doc_id", "left").join(limits, "lang", "left")
+    """doc_id, learned, score, threshold, toxic for each row of ``docs`` (doc_id, text, lang); other columns are ignored.
+
+    Labels are used only of rows where ``learn``, an expression over doc_id, holds:
+    most of them train the network, one in CALIBRATE sets the thresholds. lang names
+    the threshold and is no input of a score. Null ids, texts and langs and repeated
+    rows keep their rows; an empty table gives none.
+    """
+    own = given(docs, "doc_id", "text", "lang")
+    teach = stored(_toxic(labels).filter(learn))
+    net = train(own, teach)
+    found = stored(score(own, net).withColumn("learned", learn))
+    limits = stored(thresholds(found.filter("learned").filter(for_calibration()).join(teach, "doc_id"), default)).withColumnRenamed("lang", "of_lang")
+    met = found.join(limits, F.coalesce("lang", F.lit("")) == F.col("of_lang"), "left")
     limit = F.coalesce("threshold", F.lit(default))
     return met.select("doc_id", "learned", "score", limit.alias("threshold"), (F.col("score") >= limit).alias("toxic"))
