@@ -1,4 +1,10 @@
-"""Personal data: base patterns, and what a bidirectional LSTM with CRF transitions adds to them."""
+"""Personal data: base patterns, and what a bidirectional LSTM with CRF transitions adds to them.
+
+The tagger learns from texts of the corpus into which spans of every kind are set, in
+forms that the patterns know and in spaced, obfuscated and broken ones that they miss,
+beside numbers and marks that are none. What it tags is added if it is made of whole
+tokens and its canonical form, marks and blanks undone, is valid.
+"""
 
 from __future__ import annotations
 
@@ -11,15 +17,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmura.llm import kernels as K
-from murmura.llm.common import by_slices, mapped, ship
+from murmura.llm.common import by_slices, given, mapped, ship
+from murmura.llm.disguise import examples
 from murmura.llm.tagger import KINDS, TAGS, WINDOW, Tagger, alphabet
 
 STRIDE = WINDOW // 2
-#: The training sample: so many windows of 64 characters with a digit or @, the first by a hash of the text around them.
-SAMPLE = 3000
-#: A window without one of these cannot hold a span: each kind has a digit or an @, and spans without are no spans.
+#: Texts that lend their words to the training windows, the first by a hash; windows; bytes of a text that are lent.
+SAMPLE, EXAMPLES, LENT = 600, 4000, 2000
+#: A window without a digit, an @ or a bracketed at or dot cannot hold a span of any form looked for.
 TRIGGER = np.zeros(256, bool)
 TRIGGER[0x30:0x3A] = TRIGGER[0x40] = True
+_OPEN, _AT_DOT = np.zeros(256, bool), np.zeros(256, bool)
+_OPEN[[ord(c) for c in "([{"]] = True
+_AT_DOT[[ord(c) for c in "aAdD.@"]] = True
 
 # The local part ends at an @ and so is the run before it; a run of digits that fails once fails from each of its digits. So these need no second start.
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -66,11 +76,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def triggers(codes: np.ndarray) -> np.ndarray:
+    """Which bytes or code points may belong to a span."""
+    small = np.minimum(codes, 255).astype(np.int64) * (codes < 256)
+    on = TRIGGER[small]
+    opened = np.flatnonzero(_OPEN[small])
+    after = np.concatenate([small, [0, 0]])
+    skip = opened + 1 + (after[opened + 1] == 0x20)
+    on[opened[_AT_DOT[after[skip]]]] = True
+    return on
+
+
 def windows(cp: np.ndarray) -> np.ndarray:
     """Starts, by STRIDE, of windows that hold a trigger."""
-    on = np.flatnonzero(TRIGGER[np.minimum(cp, 255)] & (cp < 256))
-    last = on // STRIDE * STRIDE
-    return np.unique(np.concatenate([last, last - STRIDE])[np.concatenate([last, last - STRIDE]) >= 0])
+    last = np.flatnonzero(triggers(cp)) // STRIDE * STRIDE
+    both = np.concatenate([last, last - STRIDE])
+    return np.unique(both[both >= 0])
 
 
 def _cut(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -103,15 +124,49 @@ def tag_spans(tags: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
-def acceptable(kind: int, found: str) -> bool:
-    """What a span of the model must look like to be added: the base tests on its digits, or an @ with a dot behind it."""
+_MARKS = (
+    (re.compile(r"\s*[\[({]\s*(?:at|@)\s*[\])}]\s*", re.I), "@"),
+    (re.compile(r"\s*[\[({]\s*(?:dot|\.)\s*[\])}]\s*", re.I), "."),
+    (re.compile(r"\s*([@.])\s*"), r"\1"),
+)
+_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
+_DATE = re.compile(r"(?:19|20)\d\d[-./ ]\d\d?[-./ ]\d\d?|\d\d?[-./ ]\d\d?[-./ ](?:19|20)?\d\d|(?:19|20)\d\d ?[-/ ] ?(?:19|20)\d\d")
+_BOOK = re.compile(r"97[89](?:[- ]?\d){10}")
+_CALL = re.compile(r"(?:\+|00)?\(?[0-9]+(?:(?:\) ?|\)?[\s./-])\(?[0-9]+)+")
+
+
+def canonical(kind: int, found: str) -> str | None:
+    """The plain form of what a span spells, or null if that is no address, card or call number: marks and the blanks around them are undone first."""
+    plain = found
+    for pattern, mark in _MARKS if kind < 2 else ():
+        plain = pattern.sub(mark, plain)
+    digits = "".join(_DIGIT.findall(found))
     if kind == 0:
-        local, _, domain = found.partition("@")
-        return bool(local) and "." in domain.strip(".")
+        return plain if _ADDRESS.fullmatch(plain) else None
     if kind == 1:
-        parts = re.findall(r"[0-9]+", found)
-        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
-    return _ok(KINDS[kind], found)
+        parts = plain.split(".")
+        return plain if len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts) else None
+    if kind == 2:
+        return digits if re.fullmatch(r"[0-9](?:[\s./_-]{0,3}[0-9])+", found) and 16 <= len(digits) <= 19 and luhn(digits) else None
+    spelled = _CALL.fullmatch(found) and 8 <= len(digits) <= 15 and not _DATE.fullmatch(found) and not _BOOK.fullmatch(found)
+    return digits if spelled else None
+
+
+def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    """A span without blanks at its ends and without a bracket that is not closed or not opened in it."""
+    while start < end and (text[start].isspace() or text[start] == "(" and ")" not in text[start:end]):
+        start += 1
+    while start < end and (text[end - 1].isspace() or text[end - 1] == ")" and "(" not in text[start:end]):
+        end -= 1
+    return start, end
+
+
+def whole(text: str, start: int, end: int) -> bool:
+    """Whether a span cuts no word, number or dotted chain at its ends."""
+    before, after = text[max(0, start - 2) : start], text[end : end + 2]
+    if before[-1:].isalnum() or after[:1].isalnum():
+        return False
+    return not (re.fullmatch(r"[0-9][.,/_-]", before) or re.fullmatch(r"[.,/_-][0-9]", after))
 
 
 def all_spans(text: str, cp: np.ndarray, model: Tagger, letters: np.ndarray) -> tuple[list, list]:
@@ -125,44 +180,38 @@ def all_spans(text: str, cp: np.ndarray, model: Tagger, letters: np.ndarray) ->
     for _, s, e in base:
         taken[s:e] = 1
     before = np.concatenate([[0], np.cumsum(taken)])
-    added = [x for x in found if before[x[2]] == before[x[1]] and acceptable(x[0], text[x[1] : x[2]])]
+    found = [(k, *trimmed(text, s, e)) for k, s, e in found]
+    added = [(k, s, e) for k, s, e in found if s < e and before[e] == before[s] and whole(text, s, e) and canonical(k, text[s:e]) is not None]
     return base, sorted(base + added)
 
 
 def train(docs: DataFrame) -> Tagger:
-    """A tagger of windows, with the base spans of their whole texts as labels, on the bounded sample SAMPLE."""
-    letters = alphabet()
+    """A tagger of windows, from EXAMPLES windows composed over the words of at most SAMPLE texts of ``docs`` (text; other columns are ignored).
 
-    def kernel(rows, buf, off):
-        ids, tags, keys = [], [], []
-        trigger = K.segment_sum(TRIGGER[buf], off)
-        for i in np.flatnonzero(trigger):
-            raw = buf[off[i] : off[i + 1]]
-            text = raw.tobytes().decode()
-            cp = K.code_points(raw, np.array([0, len(raw)]))[0]
-            tag = np.zeros(len(cp), np.uint8)
-            for k, s, e in base_spans(text):
-                free = not tag[s:e].any()
-                if free:
-                    tag[s], tag[s + 1 : e] = 2 * k + 1, 2 * k + 2
-            starts = windows(cp)
-            mine, theirs = _cut(letters[cp], starts), _cut(tag, starts)
-            ids += [x.tobytes() for x in mine]
-            tags += [x.tobytes() for x in theirs]
-            keys += K.mix(_cut(cp.astype(np.uint64), starts) @ K.powers(K.BASES[0], WINDOW)).astype(np.int64).tolist()
-        return [pa.array(keys, pa.int64()), pa.array(ids, pa.binary()), pa.array(tags, pa.binary())]
-
-    rows = mapped(docs.select("text"), kernel, "hash long, ids binary, tags binary").distinct().orderBy("hash", "ids", "tags").limit(SAMPLE).collect()
-    model = Tagger()
-    if rows:
-        model.fit(np.stack([np.frombuffer(r.ids, np.uint8) for r in rows]).astype(np.int64), np.stack([np.frombuffer(r.tags, np.uint8) for r in rows]).astype(np.int64))
+    Null and empty texts lend nothing, repeated ones count once; an empty table
+    leaves the composed spans without words around them. Fixed seeds: the same
+    texts give the same model.
+    """
+    texts = docs.select("text").filter("text is not null and text <> ''").groupBy(F.xxhash64("text").alias("h")).agg(F.min(F.substring("text", 1, LENT)).alias("text"))
+    rows = texts.orderBy("h").limit(SAMPLE).collect()
+    letters, model = alphabet(), Tagger()
+    ids, tags = [], []
+    for text, spans in examples([r.text for r in rows], EXAMPLES, WINDOW):
+        cp = np.minimum(np.array([ord(c) for c in text], np.int64), 65535)
+        tag = np.zeros(WINDOW, np.int64)
+        for k, s, e in spans:
+            tag[max(s, 0) : e] = 2 * k + 2
+            if s >= 0:
+                tag[s] = 2 * k + 1
+        ids.append(letters[cp].astype(np.int64))
+        tags.append(tag)
+    model.fit(np.stack(ids), np.stack(tags))
     return model
 
 
-
 def _tagged(column: pa.Array, buf: np.ndarray, off: np.ndarray, tagger: Tagger, letters: np.ndarray) -> tuple[list, list, pa.Array]:
     """Base spans and all spans of each text, and the texts with the latter masked."""
-    trigger = K.segment_sum(TRIGGER[buf], off)
+    trigger = K.segment_sum(triggers(buf), off)
     base, every, masked = [[] for _ in range(len(trigger))], [[] for _ in range(len(trigger))], {}
     for i in np.flatnonzero(trigger):
         raw = buf[off[i] : off[i + 1]]
@@ -184,7 +233,8 @@ def spans(docs: DataFrame, model: Tagger) -> DataFrame:
     base and spans are arrays of (kind, start, end), by kind and start, in code
     points of the whole text, end exclusive; masked has each span replaced by its
     kind in brackets, overlapping ones by the first. Null texts are empty, and stay
-    null in masked.
+    null in masked. Null ids and repeated rows keep their rows; an empty table gives
+    none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     letters = alphabet()
@@ -195,7 +245,7 @@ def spans(docs: DataFrame, model: Tagger) -> DataFrame:
         return [rows.column(0), rows_of(base), rows_of(every), texts]
 
     kind = "array<struct<kind:string,start:long,end:long>>"
-    return mapped(docs.select("doc_id", "text"), kernel, f"doc_id long, base {kind}, spans {kind}, masked string")
+    return mapped(given(docs, "doc_id", "text"), kernel, f"doc_id long, base {kind}, spans {kind}, masked string")
 
 
 def digest(column: str) -> F.Column:
@@ -204,7 +254,11 @@ def digest(column: str) -> F.Column:
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span in text replaced, and n_chars following where there is one; all other columns and rows stay. One pass, no shuffle."""
+    """``docs`` with every span in text replaced, and n_chars following where there is one; all other columns and rows stay. One pass, no shuffle.
+
+    Null texts stay null, empty ones empty; null ids and repeated rows stay as they
+    are; an empty table gives an empty one. n_chars follows only where it is a long.
+    """
     ship()
     shared = docs.sparkSession.sparkContext.broadcast(train(docs))
     letters, at = alphabet(), docs.columns.index("text")

@@ -12,7 +12,7 @@ TAGS = 1 + 2 * len(KINDS)
 def alphabet() -> np.ndarray:
     """Code points to symbols: a letter class by case, a class of digits, marks on their own, the rest together; 0 pads."""
     out = np.full(65536, 60, np.uint8)
-    out[0x41:0x5B], out[0x61:0x7B], out[0x30:0x3A] = 1, 2, 3
+    out[0], out[0x41:0x5B], out[0x61:0x7B], out[0x30:0x3A] = 0, 1, 2, 3
     out[0xC0:0x250] = 4
     for i, c in enumerate("@.+-_% ()\n\t,;:/\"'=#*&$!?|<>[]{}"):
         out[ord(c)] = 5 + i
