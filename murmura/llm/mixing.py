@@ -14,24 +14,25 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmura.llm.common import stored
+from murmura.llm.common import forget, given, stored
 
 #: Hashed words of the classifier; labelled rows it is counted on at most, the first by a hash of the id.
 BUCKETS, SAMPLE = 8192, 20_000
 #: Evidence of a long text counts as that of so many words, so that memberships stay soft.
 EVIDENCE = 50.0
-#: Steps of the projected gradient at most, its rate, the pull of rates to 1, and the relative miss at which it stops.
-STEPS, RATE, PULL, NEAR = 30, 1.0, 1e-5, 1e-4
+#: Steps of the projected gradient at most (a fit that needs more says so), its rate, the pull of rates to 1, the relative miss at which it stops, and steps after which the rates are written out.
+STEPS, RATE, PULL, NEAR, WRITE = 200, 1.0, 1e-5, 1e-4, 20
 
 
 @dataclass(frozen=True)
 class Mixture:
-    """rates: doc_id, n_tokens, p_0 .. (in the order of domains), rate. reached and wanted: tokens by domain."""
+    """rates: doc_id, n_tokens, p_0 .. (in the order of domains), rate. reached and wanted: tokens by domain. converged: whether they differ by NEAR of all tokens at most."""
 
     domains: list[str]
     rates: DataFrame
     reached: list[float]
     wanted: list[float]
+    converged: bool
 
 
 def _words(docs: DataFrame) -> DataFrame:
@@ -73,7 +74,7 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> Mixt
     """Rates at which to take each document, for token shares by domain near ``targets``, and as many tokens as there are.
 
     docs: doc_id, text; labelled: doc_id, domain. Rows of equal doc_id are one
-    document, null ids too. Domains without a labelled row can have no posterior;
+    document, null ids too. Other columns are ignored. Domains without a labelled row can have no posterior;
     their weight goes to the others in proportion. Null and empty texts have no
     tokens and, like every document of no influence, rate 1. An empty table, or
     one without labels, gives rates of 1. Ties and repeated labels take the first
@@ -82,8 +83,10 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> Mixt
     Each step is one aggregation of a few sums; rates themselves are an expression
     over the stored posteriors and never leave the executors. Gradients are taken in
     the metric of the domains' second moments, a matrix of domains by domains, so
-    that a step is exact but for the rates that it stops at 0.
+    that a step is exact but for the rates that it stops at 0. Targets that no
+    nonnegative rates reach leave ``converged`` false, with the nearest rates found.
     """
+    docs, labelled = given(docs, "doc_id", "text"), given(labelled, "doc_id", "domain")
     domains = sorted(targets)
     likelihood, prior = classifier(docs, labelled, domains)
     found = stored(posteriors(docs, likelihood, prior))
@@ -95,23 +98,33 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> Mixt
     open_ = sum(targets[d] for d, h in zip(domains, have) if h > 0) or 1.0
     wanted = [targets[d] / open_ * total if h > 0 else 0.0 for d, h in zip(domains, have)]
     metric = np.linalg.pinv(np.array([[float(start[f"m_{min(i, j)}_{max(i, j)}"] or 0) for j in range(k)] for i in range(k)]), rcond=1e-9, hermitian=True)
+    near = lambda now: max((abs(a - w) for a, w in zip(now, wanted)), default=0.0) <= NEAR * total
     rate, reached = F.lit(1.0), have
-    for _ in range(STEPS if total and any(h > 0 for h in have) else 0):
-        if max(abs(a - w) for a, w in zip(reached, wanted)) <= NEAR * total:
+    for step in range(1, 1 + (STEPS if total and any(h > 0 for h in have) else 0)):
+        if near(reached):
             break
         pull = RATE * metric @ (np.array(reached) - np.array(wanted))
-        step = sum((F.col(f"p_{i}") * F.lit(float(pull[i])) for i in range(k)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), F.lit(1 - RATE * PULL) * rate + F.lit(RATE * PULL) - step)
+        move = sum((F.col(f"p_{i}") * F.lit(float(pull[i])) for i in range(k)), F.lit(0.0))
+        rate = F.greatest(F.lit(0.0), F.lit(1 - RATE * PULL) * rate + F.lit(RATE * PULL) - move)
+        if step % WRITE == 0:
+            before, found = found, stored(found.select("doc_id", "n_tokens", *(f"p_{i}" for i in range(k)), rate.alias("rate_so_far")))
+            forget(before)
+            rate = F.col("rate_so_far")
         now = found.agg(*(F.sum(share * F.col(f"p_{i}") * rate).alias(f"a_{i}") for i in range(k))).first()
         reached = [float(now[f"a_{i}"]) for i in range(k)]
-    rates = found.withColumn("rate", F.when(F.col("n_tokens") > 0, rate).otherwise(F.lit(1.0)))
-    return Mixture(domains, rates, reached, wanted)
+    rates = found.withColumn("rate", F.when(F.col("n_tokens") > 0, rate).otherwise(F.lit(1.0))).drop("rate_so_far")
+    return Mixture(domains, rates, reached, wanted, near(reached))
 
 
 def mixed(docs: DataFrame, mixture: Mixture) -> DataFrame:
-    """``docs`` with rate and copy: each row as often as its rate says, a fraction by a hash of its id; rows of rate 0 go."""
+    """``docs`` with rate and copy: each row as often as its rate says, a fraction by a hash of its id; rows of rate 0 go.
+
+    Columns of these two names are replaced. Rows of one doc_id, null too, have one
+    rate; null and empty texts have rate 1 and stay; an empty table gives an empty one.
+    """
+    docs = docs.drop("rate", "copy")
     rates = mixture.rates.select(F.col("doc_id").alias("rated_id"), "rate")
-    met = docs.join(rates, docs.doc_id.eqNullSafe(rates.rated_id), "left").drop("rated_id")
-    chance = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    met = docs.join(rates, F.col("doc_id").eqNullSafe(F.col("rated_id")), "left").drop("rated_id")
+    chance = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
     return met.withColumn("copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))))
