@@ -50,14 +50,14 @@ def domains_of(labels: DataFrame) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.fit(table(spark, sf_dir, "documents"), domains_of(table(spark, sf_dir, "labels")), TARGETS)
-    return found.rates.select("doc_id", "n_tokens", *(F.round(f"p_{i}", 6).alias(f"p_{d}") for i, d in enumerate(found.domains)), F.round("rate", 6).alias("rate"))
+    return found.rates.select("doc_id", "n_tokens", *(F.round(f"p_{i}", 6).alias(f"p_{d}") for i, d in enumerate(found.domains)), F.round("rate", 6).alias("rate"), F.lit(found.converged).alias("converged"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = pii.spans(docs, pii.train(docs))
     counts = [F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) as long) as n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(pii.digest("base"), 256).alias("base_sha256"), pii.digest("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.digest("base"), 256).alias("base_sha256"), pii.digest("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = backoff.scores(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "n_bigrams", F.round("log_score", 4).alias("log_score"), F.round("score", 6).alias("score"))
+    return found.select("doc_id", "n_words", "n_trigrams", F.round("log_score", 4).alias("log_score"), F.round("score", 6).alias("score"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -122,13 +122,15 @@ ORACLES: dict[str, str] = {
                     when url like '%://%' and ({URL_PATTERNS}) then 'block' else 'allow' end as verdict from r""",
     "op10_backoff": rf"""
         with d as (select doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') as w from documents),
-        t as (select doc_id, i, w[i] as b, case when i > 1 then w[i - 1] end as a from d, unnest(range(1, len(w) + 1)) r(i)),
-        u as (select b as g, count(*) as n from t group by b),
-        p as (select a, b, count(*) as n from t where a is not null group by a, b having count(*) >= 2),
-        s as (select doc_id, p.n is not null as two,
-                     case when p.n is not null then ln(p.n) - ln(ua.n) else ln(ub.n) - ln((select count(*) from t)) + case when t.a is null then 0 else ln(0.4) end end as v
-              from t left join p on t.a = p.a and t.b = p.b join u ub on t.b = ub.g left join u ua on t.a = ua.g),
-        g as (select doc_id, count(*) as n_words, count(*) filter (where two) as n_bigrams, sum(v) as v from s group by doc_id)
-        select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_bigrams, 0) as n_bigrams,
+        t as (select doc_id, i, w[i] as c, case when i > 1 then w[i - 1] end as b, case when i > 2 then w[i - 2] end as a from d, unnest(range(1, len(w) + 1)) r(i)),
+        c1 as (select c, count(*) as n from t group by c),
+        c2 as (select b, c, count(*) as n from t where b is not null group by b, c),
+        c3 as (select a, b, c, count(*) as n from t where a is not null group by a, b, c),
+        s as (select doc_id, case when t.a is not null then ln(c3.n) - ln(h2.n) when t.b is not null then ln(0.4) + ln(c2.n) - ln(h1.n)
+                                  else 2 * ln(0.4) + ln(c1.n) - ln((select count(*) from t)) end as v
+              from t join c1 on t.c = c1.c left join c2 on t.b = c2.b and t.c = c2.c left join c1 h1 on t.b = h1.c
+              left join c3 on t.a = c3.a and t.b = c3.b and t.c = c3.c left join c2 h2 on t.a = h2.b and t.b = h2.c),
+        g as (select doc_id, count(*) as n_words, sum(v) as v from s group by doc_id)
+        select d.doc_id, coalesce(n_words, 0) as n_words, greatest(coalesce(n_words, 0) - 2, 0) as n_trigrams,
                round(coalesce(v, 0), 4) as log_score, round(v / n_words, 6) as score from d left join g using (doc_id)""",
 }
