@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 import re
@@ -5,12 +6,17 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from murmura.llm import backoff, language, quality, toxicity
 from murmura.llm import kneser_ney as KN
 from murmura.llm.common import doc_hash
 
-DATA = "/root/testdata/sf0.01"
+DATA, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
+
+
+def low(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
 
 
 def words(t):
@@ -54,21 +60,103 @@ def test_bands_reject_symbols_and_keep_prose(spark):
     assert not any(got[i].kept or got[i].base_failed for i, _, _ in junk)
 
 
-@pytest.mark.parametrize("order,bits", [(3, 2), (4, 2)])
-def test_kneser_ney_is_a_distribution(order, bits):
+def brute_kneser_ney(counts, order, size):
+    """Interpolated modified Kneser-Ney by its definition, over tuples of symbols."""
+    levels = {order: dict(counts)}
+    for k in range(order - 1, 0, -1):
+        lower = Counter()
+        for gram in levels[k + 1]:
+            lower[gram[1:]] += 1
+        levels[k] = lower
+    discount = {}
+    for k, grams in levels.items():
+        c = [sum(n == j for n in grams.values()) for j in range(5)]
+        if 0 in c[1:5]:
+            discount[k] = [0, 0.5, 0.75, 0.9]
+        else:
+            y = c[1] / (c[1] + 2 * c[2])
+            discount[k] = [0] + [min(max(j - (j + 1) * y * c[j + 1] / c[j], 0.05), j - 0.05) for j in (1, 2, 3)]
+
+    def p(gram):
+        if not gram:
+            return 1 / size
+        grams, d = levels[len(gram)], discount[len(gram)]
+        after = {g: n for g, n in grams.items() if g[:-1] == gram[:-1]}
+        if not after:
+            return p(gram[1:])
+        total = sum(after.values())
+        freed = sum(d[min(n, 3)] for n in after.values())
+        n = after.get(gram, 0)
+        return (n - d[min(n, 3)] + freed * p(gram[1:])) / total
+
+    return p
+
+
+@pytest.mark.parametrize("order,bits,length", [(3, 2, 400), (4, 2, 400), (3, 3, 60), (4, 2, 9)])
+def test_kneser_ney_equals_its_definition(order, bits, length):
     rng = np.random.default_rng(order)
-    text = rng.choice(4, 400, p=[0.05, 0.6, 0.3, 0.05])
-    code = np.zeros(len(text) - order + 1, np.int64)
-    for j in range(order):
-        code = (code << bits) | text[j : len(text) - order + 1 + j]
-    key, n = np.unique(code, return_counts=True)
-    model = KN.build(key, n, order, bits)
-    p = np.exp(model.dense().astype(float)).reshape(-1, 1 << bits)
-    assert np.allclose(p.sum(1), 1, atol=1e-4)
-    context = np.bincount(key >> bits, n, 1 << bits * (order - 1))
-    for k, c in zip(key, n):  # seen n-grams lie between their discounted and their relative frequency plus what was freed
-        assert p.reshape(-1)[k] >= (c - 2.95) / context[k >> bits] - 1e-6
-    assert KN.build(np.zeros(0, np.int64), np.zeros(0, np.int64), order, bits).dense().shape == (1 << order * bits,)
+    text = rng.choice(4, length, p=[0.05, 0.6, 0.3, 0.05])
+    grams = Counter(tuple(int(x) for x in text[i : i + order]) for i in range(length - order + 1))
+    as_code = lambda g: sum(x << bits * (order - 1 - j) for j, x in enumerate(g))
+    model = KN.build(np.array([as_code(g) for g in grams]), np.array(list(grams.values())), order, bits)
+    p = brute_kneser_ney(grams, order, 1 << bits)
+    every = list(itertools.product(range(1 << bits), repeat=order))
+    got = np.exp(model.log_probability(np.array([as_code(g) for g in every])))
+    assert np.allclose(got, [p(g) for g in every])
+    assert np.allclose(got.reshape(-1, 1 << bits).sum(1), 1)
+
+
+def test_a_model_of_nothing_is_uniform():
+    model = KN.build(np.zeros(0, np.int64), np.zeros(0, np.int64), 3, 2)
+    assert np.allclose(model.log_probability(np.arange(64)), -np.log(4)) and model.size() == 0
+
+
+def test_cross_entropy_and_bands_equal_their_definition(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60)
+    rows = docs.collect()
+    alphabet = KN.quality_alphabet()
+    texts = {r.doc_id: [KN.EDGE] * 3 + [int(alphabet[min(ord(c), 65535)]) for c in r.text] for r in rows}
+    grams = Counter(tuple(s[i : i + 4]) for s in texts.values() for i in range(len(s) - 3))
+    model = KN.build(np.array([a << 18 | b << 12 | c << 6 | d for a, b, c, d in grams]), np.array(list(grams.values())), 4, 6)
+    loss = {}
+    for i, s in texts.items():
+        code = np.array([s[j] << 18 | s[j + 1] << 12 | s[j + 2] << 6 | s[j + 3] for j in range(len(s) - 3)])
+        loss[i] = -model.log_probability(code).mean() if len(code) else None
+    got = {r.doc_id: r for r in quality.judged(docs).collect()}
+    assert all(got[i].cross_entropy == pytest.approx(x, abs=1e-9) for i, x in loss.items() if x is not None)
+    good = [r for r in rows if not got[r.doc_id].base_failed]
+
+    def band(own):
+        values = np.array([round(1000 * got[r.doc_id].cross_entropy) for r in own])
+        mid = np.median(values)
+        mad = np.median(np.abs(values - mid))
+        return (mid - max(quality.DOWN * mad, 1000 * quality.LEAST)) / 1000, (mid + max(quality.UP * mad, 1000 * quality.LEAST)) / 1000
+
+    whole = band(good)
+    for lang in {r.lang for r in good}:
+        own = [r for r in good if r.lang == lang]
+        low, high = ((len(own) * a + quality.PRIOR * b) / (len(own) + quality.PRIOR) for a, b in zip(band(own), whole))
+        for r in own:
+            room = quality.SHORT / math.sqrt(got[r.doc_id].n_scored)
+            assert got[r.doc_id].kept == (low - room <= got[r.doc_id].cross_entropy <= high + room), r.doc_id
+    kept = {r.doc_id for r in quality.keep_good(docs).collect()}
+    assert kept == {i for i, r in got.items() if r.kept}
+
+
+def test_good_rows_stay_whatever_their_ids(spark, odd):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    none = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    assert quality.keep_good(none).count() == quality.keep_good(docs).count() > 100
+    assert quality.judged(odd.withColumn("doc_id", F.col("doc_id").cast("int"))).count() == odd.count()
+    with pytest.raises(TypeError):
+        quality.judged(odd.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
+def test_rejects_poor_documents_and_keeps_good_ones(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    met = quality.judged(docs).join(labels, "doc_id").filter("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("kept")).collect()
+    kept = {r.quality: r.kept for r in met}
+    assert kept[1] >= 0.99 and kept[0] <= 0.35
 
 
 def test_counts_over_partitions_equal_one_pass(odd):
@@ -86,10 +174,39 @@ def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     known = docs.filter(doc_hash() % 3 != 1)
     models = language.train(known)
-    got = {r.doc_id: r for r in language.predict(docs, models, language.calibrate(known, models)).collect()}
+    bounds = language.calibrate(known, models)
+    got = {r.doc_id: r for r in language.predict(docs, models, bounds).collect()}
     held = docs.filter(doc_hash() % 3 == 1).collect()
     right = sum(got[r.doc_id].lang_pred == r.lang for r in held)
     assert right >= 0.98 * len(held) and sum(got[r.doc_id].rejected for r in held) <= 0.05 * len(held)
+    alphabet = KN.letter_alphabet()
+    for r in held[:20]:
+        s = [KN.EDGE] * 2 + [int(alphabet[min(ord(c), 65535)]) for c in r.text or ""]
+        code = np.array([s[j] << 14 | s[j + 1] << 7 | s[j + 2] for j in range(len(s) - 2)])
+        loss = {x: -m.log_probability(code).mean() for x, m in models.items()} if len(code) else {}
+        if loss and got[r.doc_id].lang_pred != "und":
+            best = min(sorted(loss), key=loss.get)
+            share = 1 / sum(math.exp((loss[best] - x) * math.sqrt(len(code))) for x in loss.values())
+            assert got[r.doc_id].lang_pred == best and got[r.doc_id].score == pytest.approx(share)
+            assert got[r.doc_id].rejected == (loss[best] - language.SLACK / math.sqrt(len(code)) > bounds.get(best, math.inf))
+
+
+def test_bounds_are_ranks_of_texts_kept_from_the_models(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    kept = docs.filter(doc_hash() % language.CALIBRATE == 0)
+    models = language.train(docs)
+    assert all(len(m.keys[-1]) for m in language.train(kept.unionByName(docs)).values()) and not language.train(kept)
+    excess = {}
+    for r in language.predict(kept, models).collect():
+        if r.excess is not None:
+            excess.setdefault(r.lang_pred, []).append(math.ceil(round(r.excess * 100, 9)))
+    want = {}
+    for lang, x in excess.items():
+        rank = math.ceil(0.9 * (len(x) + 1))
+        if rank <= len(x):
+            want[lang] = sorted(x)[rank - 1] / 100
+    assert language.calibrate(docs, models, 0.9) == want and want
+    assert not language.calibrate(docs, models, 0.9999)
 
 
 def test_language_of_odd_rows(odd, empty):
@@ -140,29 +257,53 @@ def test_network_learns_a_word_wherever_it_stands():
 
 
 def brute_backoff(rows):
-    tokens = [(i, [w.lower() for w in words(t)]) for i, t in rows]
-    uni, two = Counter(), Counter()
+    tokens = [(i, [low(w) for w in words(t)]) for i, t in rows]
+    one, two, three = Counter(), Counter(), Counter()
     for _, w in tokens:
-        uni.update(w)
+        one.update(w)
         two.update(zip(w, w[1:]))
-    total, out = sum(uni.values()), []
+        three.update(zip(w, w[1:], w[2:]))
+    total, out = sum(one.values()), []
+
+    def score(history, x):
+        if len(history) == 2 and three[*history, x]:
+            return three[*history, x] / two[history]
+        if len(history) == 2:
+            return 0.4 * score(history[1:], x)
+        if len(history) == 1 and two[*history, x]:
+            return two[*history, x] / one[history[0]]
+        return 0.4 * score((), x) if history else one[x] / total
+
     for i, w in tokens:
-        s = n = 0
-        for k, x in enumerate(w):
-            if k and two[w[k - 1], x] >= 2:
-                s += math.log(two[w[k - 1], x] / uni[w[k - 1]])
-                n += 1
-            else:
-                s += math.log(uni[x] / total) + (math.log(0.4) if k else 0)
-        out.append((i, len(w), n, round(s, 4)))
+        # a history that the text's start cuts short backs off as an unseen one does
+        s = sum(math.log(0.4 ** max(0, 2 - k) * score(tuple(w[max(0, k - 2) : k]), x)) for k, x in enumerate(w))
+        out.append((i, len(w), max(0, len(w) - 2), round(s, 4)))
     return out
 
 
-def test_backoff_equals_brute_force(spark):
+def backoff_rows():
     rng = random.Random(4)
-    rows = [(i, " ".join(rng.choices(["a", "b", "c", "dd", "é", "X"], k=rng.randint(0, 60)))) for i in range(80)] + [(80, None), (81, " \n "), (82, "a b " * 4000)]
-    got = backoff.scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
-    assert sorted((r.doc_id, r.n_words, r.n_bigrams, round(r.log_score, 4)) for r in got) == sorted(brute_backoff(rows))
+    rows = [(i, " ".join(rng.choices(["a", "b", "c", "dd", "é", "X"], k=rng.randint(0, 60)))) for i in range(80)]
+    rows += [(i, " ".join(rng.choices([f"w{j}" for j in range(400)], k=rng.randint(0, 8)))) for i in range(90, 200)]
+    return rows + [(80, None), (81, " \n "), (82, "a b " * 4000), (83, "lone"), (84, "LONE"), (85, "a"), (86, "a b"), (0, "a b c"), (0, "a b c"), (0, "a b"), (None, "a b c"), (None, "lone")]
+
+
+@pytest.mark.parametrize("least", [None, 1, 1 << 40])
+def test_backoff_equals_brute_force(spark, least, monkeypatch):
+    """With the usual number of frequent n-grams, with nearly all of them frequent, and with none."""
+    if least:
+        monkeypatch.setattr(backoff, "LEAST", least)
+    rows = backoff_rows()
+    got = backoff.scores(spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, history string, part int").repartition(4)).collect()
+    found = sorted(((r.doc_id, r.n_words, r.n_trigrams, round(r.log_score, 4)) for r in got), key=str)
+    assert found == sorted(brute_backoff(rows), key=str)
+
+
+def test_a_frequent_trigram_is_not_sent(spark):
+    docs = spark.createDataFrame([(i, "of the same " * 40 + f"x{i} y{i}") for i in range(60)], "doc_id long, text string")
+    tables = spark.sparkContext.broadcast(backoff.frequent(docs))
+    sent = sum(backoff._rows(docs, tables, p).count() for p in range(backoff.PASSES))
+    assert len(tables.value.keys[1]) >= 3 and sent <= 60 * 5
 
 
 def test_backoff_of_odd_rows(odd, empty):
