@@ -4,7 +4,8 @@ Each word is exploded into a row: its document, the hash of the two words before
 its own hash. The rows are dealt out once, by the history's hash. So a partition holds
 its part of the count tables of both orders: trigrams are counted by (history, word),
 bigrams by history, each row is joined to its two counts in place, and logarithms are
-summed by document, first here and then over all partitions. The hash space is taken
+summed by document. A partition sends its sums on as one row for each group of
+documents, where those of all partitions are added up. The hash space is taken
 in PASSES parts, one after the other, so that only a part of the rows is on disk at a
 time, and a partition holds about ROWS rows, whatever the corpus.
 
@@ -26,8 +27,8 @@ from murmura.llm.common import forget, given, mapped, stored
 
 #: Weight of each step down to a shorter history.
 ALPHA = 0.4
-#: Parts of the hash space, one shuffle after the other, and rows of a partition.
-PASSES, ROWS = 3, 1 << 20
+#: Parts of the hash space, one shuffle after the other; rows of a partition; documents whose sums come together.
+PASSES, ROWS, TOGETHER = 3, 1 << 20, 1 << 14
 #: Rows of each broadcast count table at most; sampled texts that propose them; sampled occurrences that make a candidate.
 FREQUENT, SAMPLE, LEAST = 1 << 17, 5_000, 16
 U64 = np.uint64
@@ -130,27 +131,45 @@ def _text_hash(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return K.span_hash(K.prefix_hash(buf, 1), off[:-1], off[1:], 1)
 
 
-def _joined(batches):
-    """The rows of a partition, joined to the counts of their histories and trigrams there; sums for each stretch of rows of one document."""
-    table = pa.Table.from_batches([x for x in batches if x.num_rows] or [], schema=pa.schema([(x, pa.int64()) for x in ("doc", "text_hash", "history", "word")]))
-    if not table.num_rows:
-        return
-    doc, text, history, word = (c.to_numpy() for c in table.columns)
-    word = word.view(U64)
-    after, kind = word & U64((1 << 62) - 1), word >> KIND
-    order = np.lexsort((after, history))
-    h, a = history[order], after[order]
-    new = np.ones(len(order), bool)
-    new[1:] = h[1:] != h[:-1]
-    two = _log_sizes(new, order)
-    new[1:] |= a[1:] != a[:-1]
-    value = np.where(after != 0, _log_sizes(new, order) - np.where(kind != AFTER, two, 0.0), 0.0) + np.where(kind == FIRST, two, 0.0)
-    turn = np.ones(len(doc), bool)
-    turn[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])
-    head = np.flatnonzero(turn)
-    found = [doc[head], text[head], np.add.reduceat(value, head)]
-    for a in range(0, len(head), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in found], ["doc", "text_hash", "part"])
+def _joined(groups: int):
+    """The rows of a partition, joined to the counts of their histories and trigrams there: one row for each group of documents, with the sums of those documents."""
+
+    def run(batches):
+        table = pa.Table.from_batches([x for x in batches if x.num_rows], schema=pa.schema([(x, pa.int64()) for x in ("doc", "text_hash", "history", "word")]))
+        if not table.num_rows:
+            return
+        doc, text, history, word = (c.to_numpy() for c in table.columns)
+        word = word.view(U64)
+        after, kind = word & U64((1 << 62) - 1), word >> KIND
+        order = np.lexsort((after, history))
+        h, a = history[order], after[order]
+        new = np.ones(len(order), bool)
+        new[1:] = h[1:] != h[:-1]
+        two = _log_sizes(new, order)
+        new[1:] |= a[1:] != a[:-1]
+        value = np.where(after != 0, _log_sizes(new, order) - np.where(kind != AFTER, two, 0.0), 0.0) + np.where(kind == FIRST, two, 0.0)
+        doc, text, value = _added_up(doc, text, value)
+        group = (K.mix(text.view(U64) + doc.view(U64)) % U64(groups)).astype(np.int64)
+        by = np.argsort(group, kind="stable")
+        at = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=groups))])
+        some = np.flatnonzero(np.diff(at))
+        lists = [pa.ListArray.from_arrays(pa.array(np.append(at[some], len(by)).astype(np.int32)), pa.array(x[by])) for x in (doc, text, value)]
+        yield pa.RecordBatch.from_arrays([pa.array(some), *lists], ["grp", "docs", "texts", "parts"])
+
+    return run
+
+
+def _added_up(doc: np.ndarray, text: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of the first two with the sums of the third."""
+    order = np.lexsort((text, doc))
+    doc, text = doc[order], text[order]
+    head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])])) if len(doc) else np.zeros(0, np.int64)
+    return doc[head], text[head], np.add.reduceat(value[order], head) if len(head) else value
+
+
+def _total(table: pa.Table) -> pa.Table:
+    found = _added_up(*(pa.concat_arrays([x.values.slice(x.offsets[0].as_py(), x.offsets[-1].as_py() - x.offsets[0].as_py()) for x in table.column(c).chunks]).to_numpy() for c in ("docs", "texts", "parts")))
+    return pa.table({"doc": pa.array(found[0]), "text_hash": pa.array(found[1]), "part": pa.array(found[2])})
 
 
 def _log_sizes(new: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -162,10 +181,10 @@ def _log_sizes(new: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
-def _summed(rows: DataFrame, partitions: int) -> DataFrame:
+def _summed(rows: DataFrame, partitions: int, groups: int) -> DataFrame:
     """(doc, text_hash, part): the exploded n-grams joined to their counts, and logarithms summed by document."""
-    found = rows.repartition(partitions, "history").mapInArrow(_joined, "doc long, text_hash long, part double")
-    return found.groupBy("doc", "text_hash").agg(F.sum("part").alias("part"))
+    found = rows.repartition(partitions, "history").mapInArrow(_joined(groups), "grp long, docs array<long>, texts array<long>, parts array<double>")
+    return found.groupBy("grp").applyInArrow(_total, "doc long, text_hash long, part double")
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -198,8 +217,9 @@ def scores(docs: DataFrame) -> DataFrame:
 
     base = stored(mapped(asked, kernel, "doc_id long, doc long, text_hash long, n_words long, known double, lone long"))
     total = base.agg(F.sum("n_words").alias("all_words"))
-    partitions = max(1, -(-(total.first().all_words or 0) // (PASSES * ROWS)))
-    parts = [stored(_summed(_rows(asked.select("doc", "text"), tables, p), partitions)) for p in range(PASSES)]
+    size = base.agg(F.sum("n_words").alias("words"), F.count("*").alias("rows")).first()
+    partitions, groups = max(1, -(-(size.words or 0) // (PASSES * ROWS))), max(16, -(-size.rows // TOGETHER))
+    parts = [stored(_summed(_rows(asked.select("doc", "text"), tables, p), partitions, groups)) for p in range(PASSES)]
     sums = parts[0]
     for p in parts[1:]:
         sums = sums.unionByName(p)
