@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -42,7 +43,8 @@ REFUSALS = [
 # Words that a word bag leaves out.
 STOPWORDS = ["the", "a", "an", "of", "in", "on", "for", "and", "or", "to", "is", "are", "was", "were"]
 # Blocks that count as Chinese, Japanese or Korean, two characters to three tokens or so.
-CJK = r"[㐀-䶿一-鿿豈-﫿⺀-⻿⼀-⿟　-〿㇀-㇯︰-﹏＀-￯\x{20000}-\x{3134F}]"
+CJK_BLOCKS = [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x2E80, 0x2EFF), (0x2F00, 0x2FDF), (0x3000, 0x303F), (0x31C0, 0x31EF), (0xFE30, 0xFE4F), (0xFF00, 0xFFEF), (0x20000, 0x3134F)]
+CJK = "[" + "".join(f"{chr(a)}-{chr(b)}" if b < 0x10000 else rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in CJK_BLOCKS) + "]"
 # Names of datasets.
 DATASET_ALIASES = {"e2e-wtq": "e2ewtq", "e2e_wtq": "e2ewtq", "e2ewtq": "e2ewtq", "feta": "feta", "fetaqa": "feta", "feta-qa": "feta", "ott-qa": "ottqa", "ott_qa": "ottqa", "ottqa": "ottqa"}
 # What must not be in a release.
@@ -60,8 +62,14 @@ def collapsed(text: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
-    """Compatibility composition (NFKC), which Spark has no function for."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+    """Compatibility composition (NFKC), which Spark has no function for; texts already composed pass through."""
+    return text.map(lambda t: t if t is None or t.isascii() or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t))
+
+
+def composed(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with a text column in its NFKC form. Only rows with other than ASCII in it meet Python; the columns keep their order."""
+    plain = F.coalesce(F.octet_length(column) == F.char_length(column), F.lit(True))
+    return rows.filter(plain).unionByName(rows.filter(~plain).withColumn(column, nfkc(F.col(column))))
 
 
 def normalized(text: Column) -> Column:
@@ -107,22 +115,25 @@ def token_estimate(text: Column) -> Column:
     return (F.char_length(t) - cjk) / F.lit(4.0) + cjk / F.lit(0.7)
 
 
-@F.pandas_udf(StringType())
-def _truncate_mixed(text: pd.Series, most: pd.Series) -> pd.Series:
-    import re
+def token_counts(text: Column) -> Column:
+    """struct(cjk, other, total, estimate): characters of either kind, all of them, and token_estimate()."""
+    t = F.coalesce(text, F.lit(""))
+    cjk, total = cjk_count(t), F.char_length(t)
+    return F.struct(cjk.alias("cjk"), (total - cjk).alias("other"), total.alias("total"), token_estimate(text).alias("estimate"))
 
-    cjk = re.compile("[㐀-䶿一-鿿豈-﫿⺀-⻿⼀-⿟　-〿㇀-㇯︰-﹏＀-￯\U00020000-\U0003134f]")
 
+@F.pandas_udf(StringType())
+def _truncate_mixed(text: pd.Series, most: pd.Series) -> pd.Series:
     def cut(t, limit):
         if t is None:
             return None
-        n = c = 0
-        for ch in t:
-            c += bool(cjk.match(ch))
-            if (n + 1 - c) / 4 + c / 0.7 > limit:
-                return t[:n]
-            n += 1
-        return t
+        cp = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+        wide = np.zeros(len(cp), bool)
+        for a, b in CJK_BLOCKS:
+            wide |= (cp >= a) & (cp <= b)
+        cjk = np.cumsum(wide)
+        cost = (np.arange(1, len(cp) + 1) - cjk) / 4 + cjk / 0.7
+        return t[: int(np.searchsorted(cost, limit, "right"))]
 
     return pd.Series([cut(t, m) for t, m in zip(text, most)])
 
@@ -168,11 +179,6 @@ def labelled_line(text: Column, label: str) -> Column:
     return F.when(F.size(found) > 0, F.element_at(found, -1))
 
 
-def kebab(name: Column) -> Column:
-    """camelCase to kebab-case."""
-    return F.lower(F.regexp_replace(name, r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "-"))
-
-
 def half_up(value: Column, places: int) -> Column:
     """Decimal rounding, halves away from zero."""
     return F.round(value.cast(f"decimal(38,{min(18, places + 8)})"), places)

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmura.operators.records import numbered
+
 
 def confusion(pairs: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
-    """tp, fp, fn, tn and n of 0/1 ratings; a is the truth. Other values raise an error."""
-    ok = F.assert_true(F.col(a).isin(0, 1) & F.col(b).isin(0, 1), "ratings are 0 or 1")
+    """tp, fp, fn, tn and n of 0/1 ratings; a is the truth. Other values, and without keys no ratings at all, raise an error."""
+    ok = F.assert_true(F.coalesce(F.col(a).isin(0, 1) & F.col(b).isin(0, 1), F.lit(False)), "ratings are 0 or 1")
     seen = pairs.withColumn("checked", ok)
     cell = lambda x, y: F.sum(((F.col(a) == x) & (F.col(b) == y) & F.col("checked").isNull()).cast("long"))
-    return seen.groupBy(*keys).agg(cell(1, 1).alias("tp"), cell(0, 1).alias("fp"), cell(1, 0).alias("fn"), cell(0, 0).alias("tn"), F.count("*").alias("n"))
+    found = seen.groupBy(*keys).agg(cell(1, 1).alias("tp"), cell(0, 1).alias("fp"), cell(1, 0).alias("fn"), cell(0, 0).alias("tn"), F.count("*").alias("n"))
+    return found if keys else found.withColumn("some", F.assert_true(F.col("n") > 0, "there are no ratings")).filter("some is null").drop("some")
 
 
 def agreement(cells: DataFrame) -> DataFrame:
@@ -55,18 +58,20 @@ def percentiles(rows: DataFrame, column: str, shares: list[float], keys: list[st
 def cluster_bootstrap(pairs: DataFrame, a: str, b: str, cluster: str, replicates: int = 2000, seed: int = 42) -> DataFrame:
     """Percentile intervals (2.5 and 97.5) of agreement and kappa, drawing whole clusters with replacement.
 
-    Clusters are numbered and reduced to their four counts first, so a replicate
-    handles one row a cluster; draws are hashes of (seed, replicate, draw), the same
-    on any cluster and in any engine with md5. Replicates without a kappa are counted.
+    Clusters are numbered, range by range, and reduced to their four counts first, so
+    a replicate handles one row a cluster; draws are hashes of (seed, replicate, draw),
+    the same on any cluster and in any engine with md5. Replicates without a kappa are
+    counted.
     """
     cells = confusion(pairs, a, b, [cluster])
-    numbered = cells.withColumn("number", F.row_number().over(Window.orderBy(cluster)) - 1)
+    number = F.col("number") - 1
+    found = numbered(cells, [cluster], "number").select(*cells.columns, number.alias("number"))
     size = cells.agg(F.count("*").alias("clusters"))
     spark = pairs.sparkSession
     draws = spark.range(replicates).withColumnRenamed("id", "replicate").join(size).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("clusters") - 1)))
     pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("clusters")
     weights = draws.groupBy("replicate", pick.alias("number")).agg(F.count("*").alias("times"))
-    met = weights.join(numbered, "number")
+    met = weights.join(found, "number")
     sums = met.groupBy("replicate").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in ("tp", "fp", "fn", "tn", "n")))
     found = agreement(sums)
     at = F.array(F.lit(0.025), F.lit(0.975))

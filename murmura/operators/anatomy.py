@@ -38,26 +38,51 @@ def feature_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(*keys)), 6))
 
 
-def distractor_matches(answers: DataFrame, cells: DataFrame) -> DataFrame:
+def distractor_matches(answers: DataFrame, cells: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     """(query_id, table_id, cell) of the longest distractor cell that the answer holds.
 
     answers: query_id, answer; cells: query_id, table_id, position, cell, is_gold,
-    and norm where the collapsed cell is known already (many cases share a table).
-    Cells are compared collapsed and in lower case; values that a gold cell of the
-    query has too are out, as are those of one character or without a letter or
+    and norm where the collapsed cell is known already. With ``tables`` (query_id,
+    table_id, is_gold), cells are those of tables and have no query_id: then many
+    cases share one list of cells, which is collapsed, filtered and gathered once a
+    table. Cells are compared collapsed and in lower case; values that a gold cell of
+    the query has too are out, as are those of one character or without a letter or
     digit; the first of equally long ones wins.
+
+    An answer meets the few tables of its case, and the cells of each as one array:
+    its text is sent once a table, not once a cell, and the longest cell found there
+    comes back.
     """
     norm = cells if "norm" in cells.columns else cells.withColumn("norm", T.collapsed(F.col("cell")))
-    mine = norm.filter("not is_gold and length(norm) >= 2").filter(F.col("norm").rlike(r"[\p{L}\p{N}]"))
-    mine = mine.join(norm.filter("is_gold").select("query_id", "norm").distinct(), ["query_id", "norm"], "left_anti")
-    held = mine.join(answers.select("query_id", T.collapsed(F.col("answer")).alias("norm_answer")), "query_id").filter(F.contains("norm_answer", "norm"))
-    best = held.groupBy("query_id").agg(F.min(F.struct((-F.char_length("norm")).alias("size"), "table_id", "position", "cell")).alias("best"))
+    if tables is None:
+        tables = norm.select("query_id", "table_id", "is_gold").distinct().withColumn("of_query", F.col("query_id"))
+        norm = norm.withColumn("of_query", F.col("query_id"))
+    else:
+        tables, norm = tables.withColumn("of_query", F.lit(0)), norm.withColumn("of_query", F.lit(0)).withColumn("is_gold", F.lit(None).cast("boolean"))
+    usable = norm.filter("length(norm) >= 2").filter(F.col("norm").rlike(r"[\p{L}\p{N}]"))
+    first = usable.groupBy("of_query", "table_id", "is_gold", "norm").agg(F.min(F.struct("position", "cell")).alias("at"))
+    # longest first, so that the first cell found is the one wanted
+    entry = F.struct((-F.char_length("norm")).alias("size"), F.col("at.position").alias("position"), "norm", F.col("at.cell").alias("cell"))
+    lists = first.groupBy("of_query", "table_id", "is_gold").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    lists = lists.select("of_query", "table_id", F.col("is_gold").alias("cells_gold"), "entries")
+    met = tables.join(lists, ["of_query", "table_id"]).filter("cells_gold is null or cells_gold = is_gold")
+    gold = met.filter("is_gold").groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list(F.col("entries.norm")))).alias("gold"))
+    said = answers.select("query_id", T.collapsed(F.col("answer")).alias("norm_answer")).join(gold, "query_id", "left")
+    held = met.filter("not is_gold").join(said, "query_id")
+    found = F.filter("entries", lambda e: F.contains(F.col("norm_answer"), e["norm"]) & ~F.coalesce(F.array_contains(F.col("gold"), e["norm"]), F.lit(False)))
+    best = held.select("query_id", "table_id", F.get(found, F.lit(0)).alias("e")).filter("e is not null")
+    best = best.groupBy("query_id").agg(F.min(F.struct(F.col("e.size").alias("size"), "table_id", F.col("e.position").alias("position"), F.col("e.cell").alias("cell"))).alias("best"))
     return best.select("query_id", F.col("best.table_id").alias("table_id"), F.col("best.cell").alias("cell"))
 
 
-def error_labels(answers: DataFrame, cells: DataFrame) -> DataFrame:
-    """query_id, final_error_type, label_source, matched table, cell and phrase: distractor first, then refusal, else the residual label."""
-    met = answers.join(distractor_matches(answers, cells), "query_id", "left").withColumn("phrase", T.refusal(F.col("answer")))
+def error_labels(answers: DataFrame, cells: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """query_id, final_error_type, label_source, matched table, cell and phrase: distractor first, then refusal, else the residual label.
+
+    Answers are brought to their NFKC form first; cells and tables as in
+    distractor_matches(), with norm from text of that form.
+    """
+    answers = T.composed(answers, "answer")
+    met = answers.join(distractor_matches(answers, cells, tables), "query_id", "left").withColumn("phrase", T.refusal(F.col("answer")))
     hit = F.col("cell").isNotNull()
     label = F.when(hit, LABELS[0]).when(F.col("phrase").isNotNull(), LABELS[1]).otherwise(LABELS[2])
     source = F.when(hit, "distractor_specific_cell_rule").when(F.col("phrase").isNotNull(), "explicit_refusal_rule").otherwise("residual_reasoning_rule")
@@ -120,6 +145,39 @@ def relabel_report(old: DataFrame, new: DataFrame) -> DataFrame:
     return counts.join(met.agg(F.count("*").alias("whole"))).select("old_label", "new_label", "n", F.round(F.col("n") / F.col("whole"), 6).alias("share"))
 
 
+def relabel_summary(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """total_cases, changed_cases, agreement_count and agreement_rate, final counts of the three labels, and distractor labels with a cell to show, by ``keys`` and over all (null keys).
+
+    old: query_id, error_type and diagnostic_type as written then, normalised by
+    keyword; new: query_id, keys, final_error_type, matched_cell. A record changed if
+    its old label differs, and agrees if the diagnosis (the old label where there is
+    none) has the new one.
+    """
+    before = old.select("query_id", T.error_label_of(F.col("error_type")).alias("was"), T.error_label_of(F.coalesce("diagnostic_type", "error_type", F.lit("Unknown"))).alias("said"))
+    met = new.join(before, "query_id")
+    count = lambda c: F.sum(c.cast("long"))
+    now = F.col("final_error_type")
+    found = met.rollup(*keys).agg(
+        F.count("*").alias("total_cases"), count(F.col("was") != now).alias("changed_cases"), count(F.col("said") == now).alias("agreement_count"),
+        *(count(now == x).alias(f"final_{n}") for x, n in zip(LABELS, ("de", "pr", "rh"))),
+        count((now == LABELS[0]) & F.col("matched_cell").isNotNull()).alias("distractor_with_audit_cell"),
+    )
+    return found.withColumn("agreement_rate", F.round(F.coalesce(F.try_divide("agreement_count", "total_cases"), F.lit(0.0)), 6))
+
+
+def wide_sections(sections: dict[str, DataFrame]) -> DataFrame:
+    """All sections as one table with the column section first; columns that a section lacks are null."""
+    found = None
+    for name, rows in sections.items():
+        one = rows.select(F.lit(name).alias("section"), "*")
+        found = one if found is None else found.unionByName(one, allowMissingColumns=True)
+    return found
+
+
 def usage_rollup(log: DataFrame, stage: str) -> DataFrame:
-    """calls, tokens, failures and cost by stage and over all (null stage)."""
-    return log.rollup(stage).agg(F.count("*").alias("calls"), F.sum("request_tokens").alias("request_tokens"), F.sum("response_tokens").alias("response_tokens"), F.sum((F.col("score") == 0).cast("long")).alias("failures"), F.round(F.sum("cost"), 6).alias("cost"))
+    """calls, tokens, failures, success rate and cost by stage and over all (null stage)."""
+    failed = F.sum((F.col("score") == 0).cast("long"))
+    return log.rollup(stage).agg(
+        F.count("*").alias("calls"), F.sum("request_tokens").alias("request_tokens"), F.sum("response_tokens").alias("response_tokens"), failed.alias("failures"), F.round(F.sum("cost"), 6).alias("cost"),
+        F.round(F.sum("cost") / F.count("*"), 9).alias("cost_per_call"), F.round(1 - failed / F.count("*"), 6).alias("success_rate"),
+    )

@@ -19,6 +19,13 @@ def row_digest(columns: list[str]) -> Column:
     return F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
 
 
+def column_digest(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """One row: SHA-256 of the JSON list of the rows' named columns, in the given order. For released tables: the whole list is one value."""
+    entry = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    found = rows.agg(F.array_sort(F.collect_list(F.struct(*order, entry.alias("_json")))).alias("rows"))
+    return found.select(F.sha2(F.concat(F.lit("["), F.array_join(F.transform("rows", lambda x: x["_json"]), ","), F.lit("]")), 256).alias("digest"))
+
+
 def table_digest(rows: DataFrame, columns: list[str]) -> DataFrame:
     """n_rows and an order-free digest of a table: sums of pieces of the row digests, so that no order and no collection is needed."""
     d = rows.select(row_digest(columns).alias("d"))

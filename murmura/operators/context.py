@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmura.operators.records import numbered
+
 
 def hard_negatives(retrieved: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, id): the first k retrieved ids that are not gold, renumbered."""
@@ -13,16 +15,38 @@ def hard_negatives(retrieved: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     return others.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select("query_id", F.col("place").alias("rank"), "id")
 
 
-def soft_negatives(queries: DataFrame, corpus: DataFrame, gold: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """(query_id, rank, id): k corpus ids that are not gold, in the order of a seeded hash; all of them if fewer.
+#: Ids of a page of the shuffled corpus, from which a query draws.
+PAGE = 64
+
 
-    queries is the stated query set and is broadcast only as far as Spark's own size check allows.
+def soft_negatives(queries: DataFrame, corpus: DataFrame, gold: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """(query_id, rank, id): k corpus ids that are not gold, drawn by a seeded hash; all of them if fewer.
+
+    The corpus is shuffled once, by md5 of the seed and the id, and numbered. Each query
+    starts at a place that md5 of the seed and its own id gives and takes the ids from
+    there on, around the end, that are not gold. It reads as many pages of the shuffled
+    corpus as k and its gold ids may need, never the whole of it: the work is k ids a
+    query, not a pair for every id. Two queries that start close to each other share
+    ids; over the seed each id is equally likely.
     """
-    pairs = queries.select("query_id").distinct().crossJoin(corpus.select("id").distinct())
-    pairs = pairs.join(gold.select("query_id", "id").distinct(), ["query_id", "id"], "left_anti")
-    drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("query_id").cast("string"), F.col("id").cast("string")))
-    order = Window.partitionBy("query_id").orderBy(drawn, "id")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id")
+    lot = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string")))
+    ids = numbered(corpus.select("id").distinct().withColumn("lot", lot), ["lot", "id"], "place", 0).select("id", "place", F.expr(f"place div {PAGE}").alias("page"))
+    size = ids.agg(F.count("*").alias("size"))
+    known = gold.select("query_id", "id").distinct()
+    asked = queries.select("query_id").distinct().join(known.groupBy("query_id").agg(F.count("*").alias("n_gold")), "query_id", "left").join(size)
+    start = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("start"), F.col("query_id").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("size")
+    need = F.least(F.col("size"), F.lit(k) + F.coalesce("n_gold", F.lit(0)))
+    asked = asked.filter("size > 0").withColumn("start", start).withColumn("need", need)
+    last = F.col("start") + F.col("need") - 1
+    pages = F.expr(f"start div {PAGE}"), F.floor(last / PAGE).cast("long"), F.floor((F.col("size") - 1) / PAGE).cast("long")
+    around = F.when(last < F.col("size"), F.sequence(pages[0], pages[1])).otherwise(
+        F.array_distinct(F.concat(F.sequence(pages[0], pages[2]), F.sequence(F.lit(0).cast("long"), F.floor((last - F.col("size")) / PAGE).cast("long"))))
+    )
+    met = asked.withColumn("page", F.explode(around)).join(ids, "page")
+    step = F.pmod(F.col("place") - F.col("start"), F.col("size"))
+    drawn = met.withColumn("step", step).filter("step < need").join(known, ["query_id", "id"], "left_anti")
+    order = Window.partitionBy("query_id").orderBy("step")
+    return drawn.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id")
 
 
 def ordered_ids(rows: DataFrame, name: str, by: str = "rank") -> DataFrame:
@@ -54,6 +78,18 @@ def contexts(gold: DataFrame, negatives: DataFrame, k: int, rotation: str) -> Da
     return met.select("query_id", F.lit(k).alias("k"), F.lit(rotation).alias("rotation"), "injection", positions("injection", "gold").alias("gold_positions"))
 
 
+def batches(gold: DataFrame, negatives: dict[str, DataFrame], ks: list[int], rotations: list[str]) -> DataFrame:
+    """contexts() of every condition (k, rotation, negative) at once: at k = 1 one, named perfect; else one for each rotation and kind of negatives."""
+    found = None
+    kinds = list(negatives.items())
+    for k in ks:
+        for rotation in ["perfect"] if k == 1 else rotations:
+            for name, rows in [("perfect", kinds[0][1])] if k == 1 else kinds:
+                one = contexts(gold, rows, k, rotation).withColumn("negative", F.lit(name))
+                found = one if found is None else found.unionByName(one)
+    return found
+
+
 def positions(context: str, gold: str) -> Column:
     """Zero-based places of gold ids in a context."""
     return F.filter(F.sequence(F.lit(0), F.size(context) - 1), lambda i: F.array_contains(F.col(gold), F.element_at(F.col(context), i + 1)))

@@ -8,57 +8,65 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries are the stated set; this many are broadcast at once, further ones in further blocks.
-QUERY_BLOCK = 20_000
+#: Queries of a block, and corpus vectors of one. Every pair of blocks is a row that meets in one task: a matrix product of bounded size.
+QUERY_BLOCK, CORPUS_BLOCK = 4096, 16384
 
 
-def _block(queries: list, dims: int, corpus: DataFrame, k: int, places: int) -> DataFrame:
-    ids = [r.query_id for r in queries]
-    matrix = np.array([r.embedding for r in queries], np.float64).reshape(len(ids), dims)
-    norm = np.linalg.norm(matrix, axis=1)
-    shared = corpus.sparkSession.sparkContext.broadcast((ids, matrix[norm > 0] / norm[norm > 0, None], np.flatnonzero(norm > 0)))
+def _matrix(column: pa.ChunkedArray, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of the rows that have one of the right length and not of zero, and these rows' places."""
+    lists = column.combine_chunks()
+    ok = pc.fill_null(pc.equal(pc.list_value_length(lists), dims), False)
+    here = np.flatnonzero(ok.to_numpy(zero_copy_only=False))
+    rows = pc.list_flatten(lists.filter(ok)).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+    size = np.linalg.norm(rows, axis=1)
+    return rows[size > 0] / size[size > 0, None], here[size > 0]
 
-    def run(batches):
-        names, unit, live = shared.value
-        for batch in batches:
-            ok = pc.fill_null(pc.equal(pc.list_value_length(batch.column(1)), dims), False)
-            here = np.flatnonzero(ok.to_numpy(zero_copy_only=False))
-            if not len(here) or not len(live):
-                continue
-            rows = pc.list_flatten(batch.column(1).filter(ok)).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
-            size = np.linalg.norm(rows, axis=1)
-            some = here[size > 0]
-            rows = rows[size > 0] / size[size > 0, None]
-            if not len(some):
-                continue
-            for a in range(0, len(live), 512):
-                sim = np.round(unit[a : a + 512] @ rows.T, places) + 0.0
-                least = np.sort(sim, axis=1)[:, -min(k, sim.shape[1])]
-                q, c = np.nonzero(sim >= least[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in live[a + q]]), batch.column(0).take(pa.array(some[c])), pa.array(sim[q, c])], ["query_id", "id", "score"])
 
-    kind = dict(corpus.dtypes)["id"]
-    own = {"int": "long", "bigint": "long", "string": "string"}
-    return corpus.select(F.col("id").cast("long") if kind == "int" else "id", "embedding").mapInArrow(run, f"query_id long, id {own[kind]}, score double")
+def _nearest(k: int, places: int):
+    """For a block of queries and a block of the corpus: each query's best k there, with ties."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        none = pa.table({"query_id": pa.array([], pa.int64()), "id": right.column("id").slice(0, 0), "score": pa.array([], pa.float64())})
+        if not left.num_rows or not right.num_rows:
+            return none
+        dims = pc.max(pc.list_value_length(left.column("vector"))).as_py() or 0
+        asked, q_at = _matrix(left.column("vector"), dims)
+        known, c_at = _matrix(right.column("vector"), dims)
+        if not len(asked) or not len(known):
+            return none
+        names, ids, found = left.column("query_id").to_numpy(), right.column("id"), []
+        for a in range(0, len(asked), 512):
+            sim = np.round(asked[a : a + 512] @ known.T, places) + 0.0
+            least = np.partition(sim, sim.shape[1] - min(k, sim.shape[1]), axis=1)[:, sim.shape[1] - min(k, sim.shape[1])]
+            q, c = np.nonzero(sim >= least[:, None])
+            found.append(pa.table({"query_id": pa.array(names[q_at[a + q]]), "id": ids.take(pa.array(c_at[c])), "score": pa.array(sim[q, c])}))
+        return pa.concat_tables(found)
+
+    return run
 
 
 def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, places: int = 6) -> DataFrame:
     """(query_id, rank, id, score): the k nearest corpus rows of each query by cosine, rounded; ties go to the smaller id.
 
-    Each batch of the corpus meets a broadcast block of queries in one matrix
-    product and passes on its own best k (with ties); ranks come from a window, so
-    the shuffle carries about k rows a query and task. Zero or missing vectors
-    retrieve nothing.
+    Queries (query_id, embedding) and corpus (id, embedding) are cut into blocks by a
+    hash; every block of queries meets every block of the corpus in one task, as a
+    matrix product of bounded size, and passes on its own best k, with ties. Ranks come
+    from a window, so the shuffle behind it carries about k rows a query and block.
+    Nothing is collected. Zero, missing or odd-sized vectors retrieve nothing.
     """
-    found = None
-    rows = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding").filter("embedding is not null").orderBy("query_id").collect()
-    for a in range(0, len(rows), QUERY_BLOCK):
-        part = _block(rows[a : a + QUERY_BLOCK], len(rows[0].embedding), corpus, k, places)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = corpus.select(F.lit(0).cast("long").alias("query_id"), "id", F.lit(0.0).alias("score")).limit(0)
+    kind = dict(corpus.dtypes)["id"]
+    own = {"tinyint": "long", "smallint": "long", "int": "long", "bigint": "long", "string": "string"}[kind]
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").alias("vector")).filter("vector is not null")
+    known = corpus.select(F.col("id").cast(own).alias("id"), F.col("embedding").alias("vector")).filter("vector is not null")
+    rows, size = queries.count(), corpus.count()
+    q_blocks, c_blocks = max(1, -(-rows // QUERY_BLOCK)), max(min(8, size // 256), 1, -(-size // CORPUS_BLOCK))
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("q_block", block("query_id", q_blocks)).withColumn("c_block", every(c_blocks))
+    right = known.withColumn("c_block", block("id", c_blocks)).withColumn("q_block", every(q_blocks))
+    met = left.groupBy("q_block", "c_block").cogroup(right.groupBy("q_block", "c_block")).applyInArrow(_nearest(k, places), f"query_id long, id {own}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
 def tag_gold(retrieved: DataFrame, gold: DataFrame) -> DataFrame:

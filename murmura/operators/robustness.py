@@ -32,17 +32,34 @@ def noise_retention(trials: DataFrame, keys: list[str], k: str = "k") -> DataFra
     return scores.withColumn("nrr", F.try_divide(F.col("score"), F.nullif(one, F.lit(0.0))))
 
 
-def noise_ceiling(retained: DataFrame, keys: list[str], grid: list[int], least: float = 0.9) -> DataFrame:
-    """kc: the largest k of the grid whose nrr reaches ``least``, whatever lies below it; display shows the last one as ``>=``. complete tells whether the whole grid was there."""
+def frozen_check(retained: DataFrame, frozen: DataFrame, keys: list[str], tolerance: float = 0.0006) -> DataFrame:
+    """``retained`` with frozen_nrr of equal keys and matches: whether they differ by the tolerance at most."""
+    met = retained.join(frozen.select(*keys, F.col("nrr").alias("frozen_nrr")), keys)
+    return met.withColumn("matches", F.abs(F.col("nrr") - F.col("frozen_nrr")) <= tolerance)
+
+
+def noise_ceiling(retained: DataFrame, keys: list[str], grid: list[int], least: float = 0.9, strict: bool = True) -> DataFrame:
+    """kc: the largest k of the grid whose nrr reaches ``least``, whatever lies below it; display shows the last one as ``>=``.
+
+    A group that lacks a k of the grid, or has another, is an error; with strict off
+    the column complete tells.
+    """
     passing = F.max(F.when(F.col("nrr") >= least, F.col("k")))
-    found = retained.groupBy(*keys).agg(passing.alias("kc"), (F.countDistinct("k") == len(grid)).alias("complete"))
+    whole = F.array_sort(F.collect_set(F.col("k").cast("int"))) == F.array(*(F.lit(k) for k in sorted(grid)))
+    found = retained.groupBy(*keys).agg(passing.alias("kc"), whole.alias("complete"))
+    if strict:
+        found = found.withColumn("ok", F.assert_true("complete", "incomplete K grid")).filter("ok is null").drop("ok")
     return found.withColumn("kc_display", F.when(F.col("kc") == max(grid), F.lit(f">={max(grid)}")).otherwise(F.col("kc").cast("string")))
 
 
-def spec_matrix(ceilings: DataFrame, keys: list[str], condition: str, values: list[str]) -> DataFrame:
-    """Ceilings with one column for each condition."""
+def spec_matrix(ceilings: DataFrame, keys: list[str], condition: str, values: list[str], expected: int | None = None) -> DataFrame:
+    """Ceilings with one column for each condition; another number of rows than expected is an error."""
     wide = ceilings.groupBy(*keys).pivot(condition, values).agg(F.first("kc_display"))
-    return wide.select(*keys, *(F.col(v).alias(f"kc_{v}") for v in values))
+    found = wide.select(*keys, *(F.col(v).alias(f"kc_{v}") for v in values))
+    if expected is None:
+        return found
+    size = found.agg(F.count("*").alias("n")).withColumn("ok", F.assert_true(F.col("n") == expected, f"the matrix has other than {expected} rows"))
+    return found.join(size.filter("ok is null").select("n")).drop("n")
 
 
 def position_effects(trials: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmura.operators.records import numbered
+
 
 def draw(seed: int, *columns: str) -> Column:
     """The row's place in the lottery: md5 of the seed and the columns as text."""
@@ -32,8 +34,40 @@ def offset_pick(rows: DataFrame, key: str, order: list[str], seed: int) -> DataF
 
 
 def opaque_ids(rows: DataFrame, key: str, seed: int, prefix: str = "HV") -> DataFrame:
-    """Shuffled numbers as ids of six digits. Meant for samples: numbering them is one ordered pass."""
-    return rows.withColumn("opaque_id", F.format_string(f"{prefix}%06d", F.row_number().over(Window.orderBy(draw(seed, key), key))))
+    """Shuffled numbers as ids of six digits, numbered range by range."""
+    found = numbered(rows.withColumn("lot", draw(seed, key)), ["lot", key], "number")
+    return found.select(*rows.columns, F.format_string(f"{prefix}%06d", F.col("number")).alias("opaque_id"))
+
+
+def primary_sample(rows: DataFrame, strata: list[str], question: str, order: list[str], n: int, seed: int, populations: dict | None = None) -> DataFrame:
+    """n distinct questions of each stratum, and of each of them one record, at a hashed offset into its records by ``order``.
+
+    populations, if given, states how many distinct questions each stratum (of one
+    column) must have; another number is an error.
+    """
+    asked = rows.select(*strata, question).distinct()
+    if populations is not None:
+        wanted = F.create_map(*(F.lit(x) for kv in populations.items() for x in kv))
+        counts = asked.groupBy(*strata).agg(F.count("*").alias("n"))
+        bad = counts.withColumn("ok", F.assert_true(F.coalesce(F.try_element_at(wanted, F.col(strata[0])), F.lit(-1)) == F.col("n"), "question population mismatch"))
+        asked = asked.join(bad.filter("ok is null").select(*strata), strata)
+    chosen = stratified_sample(asked, strata, question, n, seed)
+    return offset_pick(rows.join(chosen, [*strata, question], "left_semi"), question, order, seed)
+
+
+def diagnostic_sample(rows: DataFrame, stratum: str, question: str, record: str, n: int, seed: int, without: DataFrame) -> DataFrame:
+    """n distinct questions of each stratum, one record of each: the least by a hash of the record, as likely as any other.
+
+    Records of ``without`` (by ``record``) are left out first. A stratum with fewer
+    than n questions is an error.
+    """
+    left = rows.filter(F.col(stratum).isNotNull()).join(without.select(record).distinct(), record, "left_anti")
+    asked = left.select(stratum, question).distinct()
+    few = asked.groupBy(stratum).agg(F.count("*").alias("n_questions")).withColumn("ok", F.assert_true(F.col("n_questions") >= n, "a stratum has too few questions"))
+    chosen = stratified_sample(asked.join(few.filter("ok is null").select(stratum), stratum), [stratum], question, n, seed)
+    picked = left.join(chosen, [stratum, question], "left_semi")
+    order = Window.partitionBy(stratum, question).orderBy(draw(seed, record), record)
+    return picked.withColumn("lot", F.row_number().over(order)).filter("lot = 1").drop("lot")
 
 
 def diagnostic_stratum(dataset: Column, judge: Column, official: Column, extracted: Column) -> Column:

@@ -86,8 +86,8 @@ def hard_negatives(spark, sf_dir):
     return _hard(spark, sf_dir)[0]
 
 
-@query(with_(V.RETRIEVAL) + """select query_id, cast(rank as integer) as rank, id from (select q.query_id, c.id, row_number() over (partition by q.query_id order by md5('42|' || q.query_id || '|' || c.id), c.id) as rank
-  from q join c on q.label <> c.label) where rank <= 10""")
+@query(with_(V.RETRIEVAL, "ring as (select id, label, row_number() over (order by md5('42|' || id), id) - 1 as place, count(*) over () as size from c)") + """select query_id, cast(rank as integer) as rank, id
+  from (select query_id, id, row_number() over (partition by query_id order by (place - cast('0x' || substring(md5('42|start|' || query_id), 1, 8) as bigint) % size + size) % size) as rank from q join ring on q.label <> ring.label) where rank <= 10""")
 def soft_negatives(spark, sf_dir):
     queries, corpus, gold = V.retrieval(spark, sf_dir)
     return context.soft_negatives(queries, corpus, gold, 10)
@@ -262,7 +262,7 @@ def feature_groups(spark, sf_dir):
 
 
 def _errors(spark, sf_dir) -> DataFrame:
-    return anatomy.error_labels(V.answers(spark, sf_dir), V.cells(spark, sf_dir))
+    return anatomy.error_labels(V.answers(spark, sf_dir), V.cells(spark, sf_dir), V.case_tables(spark, sf_dir))
 
 
 _ERRORS = V.errors_sql(T.REFUSALS)
@@ -270,7 +270,7 @@ _ERRORS = V.errors_sql(T.REFUSALS)
 
 @query(with_(_ERRORS) + "select query_id, table_id, cell from best")
 def distractor_match(spark, sf_dir):
-    return anatomy.distractor_matches(V.answers(spark, sf_dir), V.cells(spark, sf_dir))
+    return anatomy.distractor_matches(V.answers(spark, sf_dir), V.cells(spark, sf_dir), V.case_tables(spark, sf_dir))
 
 
 @query(with_(_ERRORS) + "select query_id, phrase from ref")
@@ -283,15 +283,6 @@ def error_label(spark, sf_dir):
     return _errors(spark, sf_dir)
 
 
-@query(None)
-def error_label_nfkc(spark, sf_dir):
-    answers, cells = V.answers(spark, sf_dir), V.cells(spark, sf_dir)
-    item = V.read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split(T.nfkc(F.col("text")), r"[.\n]")).alias("position", "cell"))
-    ids = answers.select("query_id")
-    cells = ids.join(item, F.col("query_id") % 10 == F.col("item_id") % 10).select("query_id", F.col("item_id").alias("table_id"), "position", "cell", (F.col("item_id") % 4 == 0).alias("is_gold"))
-    return anatomy.error_labels(answers.withColumn("answer", T.nfkc(F.col("answer"))), cells)
-
-
 @query("""with r as (select doc_id as k from documents), a as (select doc_id as k from labels), p as (select page_id * 4 as k from pages),
   f as (select r.k, a.k is not null as ha, p.k is not null as hp from r left join a on r.k = a.k left join p on r.k = p.k)
   select count(*) as total, count(*) filter (where ha and hp) as resolvable, round(100.0::double * count(*) filter (where ha and hp) / count(*), 2) as percent,
@@ -335,7 +326,7 @@ def relabel_report(spark, sf_dir):
     return anatomy.relabel_report(old, new)
 
 
-@query(with_(V.TRIAL, _PRICES) + "select dataset, count(*) as calls, cast(sum(request_tokens) as bigint) as request_tokens, cast(sum(response_tokens) as bigint) as response_tokens, count(*) filter (where score = 0) as failures, round(sum((request_tokens * rate_in + response_tokens * rate_out) / 1000000.0), 6) as cost from trial join prices using (reader) group by rollup (dataset)")
+@query(with_(V.TRIAL, _PRICES) + "select dataset, count(*) as calls, cast(sum(request_tokens) as bigint) as request_tokens, cast(sum(response_tokens) as bigint) as response_tokens, count(*) filter (where score = 0) as failures, round(sum((request_tokens * rate_in + response_tokens * rate_out) / 1000000.0), 6) as cost, round(sum((request_tokens * rate_in + response_tokens * rate_out) / 1000000.0) / count(*), 9) as cost_per_call, round(1 - cast(count(*) filter (where score = 0) as double) / count(*), 6) as success_rate from trial join prices using (reader) group by rollup (dataset)")
 def usage_rollup(spark, sf_dir):
     log = V.trial(spark, sf_dir).join(cost.price_table(spark), "reader")
     return anatomy.usage_rollup(log.withColumn("cost", (F.col("request_tokens") * F.col("rate_in") + F.col("response_tokens") * F.col("rate_out")) / 1e6), "dataset")
@@ -396,13 +387,13 @@ def percentile_type7(spark, sf_dir):
 
 
 @query(with_(V.RATERS, """cl as (select source, count(*) filter (where a = 1 and b = 1) as tp, count(*) filter (where a = 0 and b = 1) as fp, count(*) filter (where a = 1 and b = 0) as fn, count(*) filter (where a = 0 and b = 0) as tn, count(*) as n, row_number() over (order by source) - 1 as number from raters group by source)""",
-    """dr as (select replicate, cast('0x' || substring(md5('42|' || replicate || '|' || draw), 1, 8) as bigint) % (select count(*) from cl) as number from range(200) r(replicate), (select range as draw from range((select count(*) from cl))))""",
+    """dr as (select replicate, cast('0x' || substring(md5('42|' || replicate || '|' || draw), 1, 8) as bigint) % (select count(*) from cl) as number from range(2000) r(replicate), (select range as draw from range((select count(*) from cl))))""",
     """sm as (select replicate, sum(tp)::double as tp, sum(fp)::double as fp, sum(fn)::double as fn, sum(tn)::double as tn, sum(n)::double as n from dr join cl using (number) group by replicate)""",
     """ag as (select *, (tp + tn) / n as agreement, ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / (n * n) as expected from sm)""",
     """kp as (select *, case when abs(1 - expected) > 1e-15 then (agreement - expected) / (1 - expected) end as kappa from ag)""")
     + "select count(*) as replicates, count(*) filter (where kappa is null) as invalid, round(quantile_cont(agreement, 0.025), 6) as agreement_low, round(quantile_cont(agreement, 0.975), 6) as agreement_high, round(quantile_cont(kappa, 0.025), 6) as kappa_low, round(quantile_cont(kappa, 0.975), 6) as kappa_high from kp")
 def cluster_bootstrap(spark, sf_dir):
-    return agree.cluster_bootstrap(V.raters(spark, sf_dir), "a", "b", "source", replicates=200)
+    return agree.cluster_bootstrap(V.raters(spark, sf_dir), "a", "b", "source")
 
 
 # Sampling
@@ -462,14 +453,21 @@ def prompt_tables(spark, sf_dir):
 _N_CJK = f"length(regexp_replace(text, '[^{T.CJK[1:]}', '', 'g'))"
 
 
-@query(f"select doc_id, round((length(text) - {_N_CJK}) / 4.0::double + {_N_CJK} / 0.7::double, 6) as tokens from documents")
+@query(f"select doc_id, {_N_CJK.replace('text', 't')} as cjk, length(t) - {_N_CJK.replace('text', 't')} as other, length(t) as total, round((length(t) - {_N_CJK.replace('text', 't')}) / 4.0::double + {_N_CJK.replace('text', 't')} / 0.7::double, 6) as tokens from (select doc_id, case when doc_id % 3 = 0 then translate(text, 'etaoinshr', '的一是不了人我在有') else text end as t from documents)")
 def token_estimate(spark, sf_dir):
-    return V.read(spark, sf_dir, "documents").select("doc_id", F.round(T.token_estimate(F.col("text")), 6).alias("tokens"))
+    counted = V.read(spark, sf_dir, "documents").select("doc_id", T.token_counts(F.expr(_MIXED)).alias("n"))
+    return counted.select("doc_id", F.col("n.cjk").cast("long").alias("cjk"), F.col("n.other").cast("long").alias("other"), F.col("n.total").cast("long").alias("total"), F.round("n.estimate", 6).alias("tokens"))
+
+
+#: Every third document with the first characters of its text moved into the CJK block, one code point for one.
+_MIXED = "case when doc_id % 3 = 0 then translate(text, 'etaoinshr', '的一是不了人我在有') else text end"
 
 
-@query(f"select doc_id, length(text[1:400]) as n_kept, md5(text[1:400]) as kept_md5 from documents where {_N_CJK} = 0")
+@query(f"""with t as (select doc_id, {_MIXED} as t from documents), c as (select doc_id, t, i, (i - length(regexp_replace(t[1:i], '[^{T.CJK[1:]}', '', 'g'))) / 4.0::double + length(regexp_replace(t[1:i], '[^{T.CJK[1:]}', '', 'g')) / 0.7::double as cost
+    from t, unnest(range(1, 402)) r(i) where i <= length(t))
+  select t.doc_id, coalesce(max(i), 0) as n_kept, md5(t.t[1:coalesce(max(i), 0)]) as kept_md5 from t left join c on t.doc_id = c.doc_id and cost <= 100 group by t.doc_id, t.t""")
 def token_truncate(spark, sf_dir):
-    d = V.read(spark, sf_dir, "documents").select("doc_id", "text", T.cjk_count(F.col("text")).alias("cjk"))
+    d = V.read(spark, sf_dir, "documents").select("doc_id", F.expr(_MIXED).alias("text")).withColumn("cjk", T.cjk_count(F.col("text")))
     plain = d.filter("cjk = 0").select("doc_id", T.truncate_tokens(F.col("text"), 100).alias("kept"))
     mixed = d.filter("cjk > 0").select("doc_id", T.truncate_tokens(F.col("text"), 100, mixed=True).alias("kept"))  # only these meet Python
     cut = plain.unionByName(mixed)
@@ -515,9 +513,9 @@ def sensitive_scan(spark, sf_dir):
     return audit.sensitive_scan(V.read(spark, sf_dir, "documents"), "text")
 
 
-@query("select doc_id, sha256(concat_ws(chr(31), cast(doc_id as varchar), text, lang, source)) as digest from documents")
+@query("select doc_id, sha256(concat_ws(chr(31), cast(doc_id as varchar), text, case when doc_id % 5 = 0 then '' else lang end, source)) as digest from documents")
 def row_digest(spark, sf_dir):
-    return V.read(spark, sf_dir, "documents").select("doc_id", audit.row_digest(["doc_id", "text", "lang", "source"]).alias("digest"))
+    return V.read(spark, sf_dir, "documents").withColumn("lang", F.when(F.col("doc_id") % 5 != 0, F.col("lang"))).select("doc_id", audit.row_digest(["doc_id", "text", "lang", "source"]).alias("digest"))
 
 
 @query("with d as (select *, sha256(concat_ws(chr(31), cast(doc_id as varchar), text)) as h from documents) select count(*) as n_rows, " + ", ".join(f"cast(sum(cast('0x' || substring(h, {1 + 8 * i}, 8) as bigint)) as bigint) as part_{i}" for i in range(4)) + ", count(distinct doc_id) as n_keys, count(*) filter (where doc_id is null) as n_null_keys, count(distinct doc_id) = count(*) as unique_key from d")

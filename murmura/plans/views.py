@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmura.functions.text import collapsed
+from murmura.functions.text import collapsed, composed
 
 GRID = [1, 5, 10, 20, 30, 40, 50]
 LAST = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
@@ -52,8 +52,8 @@ def retrieval(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
 
 
 def gold_pair(gold: DataFrame) -> DataFrame:
-    """(query_id, gold): the two smallest gold ids of each query."""
-    return gold.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list("id")), 1, 2).alias("gold"))
+    """(query_id, gold): a case with all its gold ids of the corpus' first hundred, in order: one to a few, as the study's questions have."""
+    return gold.filter("id < 100").groupBy("query_id").agg(F.sort_array(F.collect_list("id")).alias("gold"))
 
 
 RETRIEVAL = """q as (select vec_id as query_id, embedding, label from embeddings where vec_id % 5 = 0),
@@ -84,7 +84,7 @@ def metric_sql(gold: str) -> str:
 
 CONTEXT = """hn as (select query_id, rank, id from (select r.query_id, r.id, row_number() over (partition by r.query_id order by r.rank) as rank
      from ranked r left join gold g on r.query_id = g.query_id and r.id = g.id where g.id is null) where rank <= 10),
-  gp as (select query_id, list_slice(list(id order by id), 1, 2) as gold from gold group by query_id),
+  gp as (select query_id, list(id order by id) as gold from gold where id < 100 group by query_id),
   np as (select query_id, list(id order by rank) as negatives from hn group by query_id),
   cx as (select query_id, gold, list_slice(negatives, 1, 8 - len(gold)) as neg from gp join np using (query_id) where len(negatives) >= 8 - len(gold) and len(gold) <= 8),
   ctx as (select query_id, gold, list_concat(gold, neg) as start_, list_concat(neg, gold) as end_,
@@ -104,10 +104,16 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of the benchmark items as cells; a case sees the items of its residue class, and every fourth item is gold."""
-    item = read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", r"[.\n]")).alias("position", "cell")).withColumn("norm", collapsed(F.col("cell")))
+    """(table_id, position, cell, norm): sentences of the benchmark items as cells of tables."""
+    item = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("table_id"), F.posexplode(F.split("text", r"[.\n]")).alias("position", "cell"))
+    return composed(item.withColumn("norm", F.col("cell")), "norm").withColumn("norm", collapsed(F.col("norm")))
+
+
+def case_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, table_id, is_gold): a case sees the items of its residue class, and every fourth item is gold."""
+    item = read(spark, sf_dir, "benchmark").select("item_id").distinct()
     ids = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"))
-    return ids.join(item, F.col("query_id") % 10 == F.col("item_id") % 10).select("query_id", F.col("item_id").alias("table_id"), "position", "cell", "norm", (F.col("item_id") % 4 == 0).alias("is_gold"))
+    return ids.join(item, F.col("query_id") % 10 == F.col("item_id") % 10).select("query_id", F.col("item_id").alias("table_id"), (F.col("item_id") % 4 == 0).alias("is_gold"))
 
 
 def norm_sql(x: str) -> str:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import csv
+import gzip
+import hashlib
 import io
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 TABLE = "id string, file_name string, sheet_name string, header string, instances string, metadata map<string,string>"
 QUERY = "id string, query_id string, question string, ground_truth_list array<struct<id:string>>, answer string, sql string"
@@ -94,12 +96,23 @@ def first_by(rows: DataFrame, key: str) -> DataFrame:
 
 
 def records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON records from lines, or from whole documents that hold them in records, results or data; what cannot be read is skipped."""
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", f"records array<struct<{_fields(schema)}>>, results array<struct<{_fields(schema)}>>, data array<struct<{_fields(schema)}>>").alias("d"), "value")
-    inside = whole.select(F.explode(F.coalesce("d.records", "d.results", "d.data")).alias("r")).select("r.*")
-    listed = whole.filter(F.ltrim("value").startswith("[")).select(F.explode(F.from_json("value", f"array<struct<{_fields(schema)}>>")).alias("r")).select("r.*")
-    nested = whole.filter(F.coalesce("d.records", "d.results", "d.data").isNotNull() | F.ltrim("value").startswith("[")).limit(1)
-    return inside.unionByName(listed) if nested.count() else _json(spark, path, schema).drop("_file", "_place")
+    """JSON records, file by file: from lines, or from a whole document that is a list or holds one in records, results or data; what cannot be read is skipped.
+
+    Lines are read as lines, whatever the size of the file; only files whose first line
+    is no record by itself are read whole.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_place"))
+    heads = lines.filter("trim(value) <> ''").groupBy("_file").agg(F.min_by("value", "_place").alias("head"))
+    inner = F.coalesce(*(F.get_json_object("head", f"$.{x}") for x in ("records", "results", "data")))
+    nested = [r[0] for r in heads.filter(F.ltrim("head").startswith("[") | F.get_json_object("head", "$").isNull() | inner.startswith("[")).select("_file").collect()]
+    plain = lines.filter(~F.col("_file").isin(nested)) if nested else lines
+    rows = plain.select(F.from_json("value", schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r")).filter("r is not null and r._bad is null").select("r.*").drop("_bad")
+    if not nested:
+        return rows
+    kind = f"array<struct<{_fields(schema)}>>"
+    whole = spark.read.text(nested, wholetext=True).select("value", F.from_json("value", f"records {kind}, results {kind}, data {kind}").alias("d"))
+    listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", kind)).otherwise(F.coalesce("d.records", "d.results", "d.data"))
+    return rows.unionByName(whole.select(F.explode(listed).alias("r")).filter("r is not null").select("r.*"))
 
 
 def _fields(schema: str) -> str:
@@ -114,9 +127,87 @@ def attach_tables(asked: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def cell_map(corpus: DataFrame) -> DataFrame:
-    """(table_id, position, cell) of every data cell that is not blank."""
-    cells = corpus.select(F.col("id").alias("table_id"), F.posexplode(F.flatten("instances")).alias("position", "cell"))
-    return cells.filter("trim(cell) <> ''")
+    """(table_id, row, col, position, cell) of every data cell that is not blank; position counts them through the table, rows and columns start at 0."""
+    rows = corpus.select(F.col("id").alias("table_id"), F.posexplode("instances").alias("row", "cells"))
+    cells = rows.select("table_id", "row", F.posexplode("cells").alias("col", "cell")).filter("trim(cell) <> ''")
+    place = F.row_number().over(Window.partitionBy("table_id").orderBy("row", "col")) - 1
+    return cells.withColumn("position", place).select("table_id", "row", "col", "position", "cell")
+
+
+def gold_map(asked: DataFrame) -> DataFrame:
+    """(query_id, gold_ids) of the last line of each query; ids as text, in their order, none twice."""
+    return last_by_key(asked).select("query_id", F.array_distinct(F.filter("gold_ids", lambda x: x.isNotNull())).alias("gold_ids"))
+
+
+REPRESENTATION = "id string, table_id string, representation string, metadata map<string,string>"
+
+
+def representations(spark: SparkSession, path: str) -> DataFrame:
+    """(id, representation, metadata); table_id stands in for a missing id, and of equal ids the last line counts."""
+    raw = _json(spark, path, REPRESENTATION).withColumn("id", F.coalesce("id", "table_id")).drop("table_id").filter("id is not null")
+    return _last(raw, "id")
+
+
+def retrievals(spark: SparkSession, path: str, top: int | None = None) -> DataFrame:
+    """(question, rank, id, score) of cached retrieval lines {question, results: [{id, score}]}: ranks from 1 in the order of the list, the first ``top`` of them."""
+    raw = _json(spark, path, "question string, results array<struct<id:string,score:double>>")
+    rows = raw.select("question", F.posexplode("results").alias("place", "r")).select("question", (F.col("place") + 1).alias("rank"), "r.id", "r.score")
+    return rows if top is None else rows.filter(F.col("rank") <= top)
+
+
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """(name, parent, path, length, modified) of the files under a path, by Spark's own file source, without their contents."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", F.col("modificationTime").alias("modified"))
+    parts = F.split("path", "/")
+    return files.select(F.element_at(parts, -1).alias("name"), F.element_at(parts, -2).alias("parent"), "path", "length", "modified")
+
+
+def first_match(names: DataFrame, classes: list[Column]) -> DataFrame:
+    """The one row of ``names`` (name, ...) in the earliest of the classes that any name fits; of several the shortest name, then the first. No row if none fits."""
+    rank = F.coalesce(*(F.when(c, F.lit(i)) for i, c in enumerate(classes)))
+    return names.withColumn("_class", rank).filter("_class is not null").orderBy("_class", F.char_length("name"), "name").limit(1).drop("_class")
+
+
+def injection_folder(names: DataFrame, base: str, real_only: bool = False) -> DataFrame:
+    """The folder (name, has_real) of an injection: hard and soft negatives before retrieval before any other that begins with the base.
+
+    With real_only: those that hold real results, retrieval folders first; if none does, the shortest name of all.
+    """
+    name = F.col("name")
+    hard = name.startswith(f"{base}_") & name.endswith("hard_soft_negative")
+    found = name.startswith(f"{base}_") & name.endswith("retrieval")
+    any_ = name.startswith(f"{base}_")
+    real = F.col("has_real") & any_
+    return first_match(names, [real & name.contains("retrieval"), real, any_] if real_only else [hard, found, any_])
+
+
+def representation_file(names: DataFrame, representation: str, params: list[str]) -> DataFrame:
+    """The file (name) of a representation: that of exactly these parameters, else the shortest that has all of them, else the bare one."""
+    name, stem = F.col("name"), F.regexp_replace("name", r"\.jsonl$", "")
+    exact = name == "_".join([representation, *params]) + ".jsonl"
+    every = name.startswith(representation) & name.endswith(".jsonl")
+    for p in params:
+        every = every & F.contains(stem, F.lit(p))
+    return first_match(names, [exact, every & F.lit(bool(params)), name == f"{representation}.jsonl"])
+
+
+@F.pandas_udf(StructType([StructField("sha256", StringType()), StructField("lines", LongType())]))
+def _unzipped(content: pd.Series) -> pd.DataFrame:
+    def one(data):
+        digest, lines, last = hashlib.sha256(), 0, b"\n"
+        with gzip.open(io.BytesIO(data)) as f:
+            while chunk := f.read(1 << 20):
+                digest.update(chunk)
+                lines, last = lines + chunk.count(b"\n"), chunk[-1:]
+        return digest.hexdigest(), lines + (last != b"\n")
+
+    return pd.DataFrame([one(x) for x in content], columns=["sha256", "lines"])
+
+
+def gzip_contents(spark: SparkSession, path: str) -> DataFrame:
+    """(name, sha256, lines) of what each gzip file under a path holds, unpacked a megabyte at a time. A digest is sequential, so a file is one task's work."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), _unzipped("content").alias("c")).select("name", "c.*")
 
 
 def results_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -29,6 +29,19 @@ def index_keys(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("index_key").agg(F.count("*").alias("n"))
 
 
+def delete_index(spark: SparkSession, path: str, index_key: str) -> bool:
+    """Removes one key of the stored indexes; whether it was there."""
+    folder = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(index_key)
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/index_key={folder}")
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def retrieval_lines(retrieved: DataFrame, path: str) -> None:
+    """A JSON line for each question with its results in order: retrieved (question, rank, id, score)."""
+    results = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("id").cast("string").alias("id"), "score"))), lambda x: F.struct(x["id"].alias("id"), x["score"].alias("score")))
+    json_lines(retrieved.groupBy("question").agg(results.alias("results")), path)
+
+
 def upserted(spark: SparkSession, old_path: str, new: DataFrame, keys: list[str], version: str, to: str) -> DataFrame:
     """The latest row of each key of the stored and the new rows, written to a new path, which is then the table."""
     latest(spark.read.parquet(old_path), new, keys, version).write.parquet(to)

@@ -1,9 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from murmura.functions import names as N
 from murmura.functions import render as R
 from murmura.functions import text as T
-from murmura.operators import agree, anatomy, audit, cost, robustness, sampling
+from murmura.operators import agree, anatomy, audit, context, cost, records, retrieve, robustness, sampling
 
 
 def value(spark, column, **given):
@@ -21,7 +22,13 @@ def test_noise_ceiling_is_the_largest_passing_k(spark):
     assert (r.kc, r.complete, r.kc_display) == (40, True, "40")
     r = robustness.noise_ceiling(df.withColumn("nrr", F.lit(1.0)), ["model"], grid).first()
     assert r.kc_display == ">=50"
-    assert not robustness.noise_ceiling(df.filter("k < 50"), ["model"], grid).first().complete
+    assert not robustness.noise_ceiling(df.filter("k < 50"), ["model"], grid, strict=False).first().complete
+    with pytest.raises(Exception, match="incomplete K grid"):
+        robustness.noise_ceiling(df.filter("k < 50"), ["model"], grid).collect()
+    wide = robustness.noise_ceiling(df.withColumn("condition", F.lit("hard")), ["model", "condition"], grid)
+    assert robustness.spec_matrix(wide, ["model"], "condition", ["hard"], expected=1).first().kc_hard == "40"
+    with pytest.raises(Exception, match="other than 12 rows"):
+        robustness.spec_matrix(wide, ["model"], "condition", ["hard"], expected=12).collect()
 
 
 def test_nrr_is_against_the_groups_own_k1(spark):
@@ -74,6 +81,23 @@ def test_error_rules(spark):
     assert r.final_error_type == "Distractor Extraction" and r.matched_cell == "New York"
     assert errors(spark, "a - b", [("d", "-", False), ("d", " - ", False), ("d", "--", False)]).final_error_type == "Reasoning Hallucination"
     assert errors(spark, None, [("d", "ab", False)]).final_error_type == "Reasoning Hallucination"
+    r = errors(spark, "total ＮＥＷ　ＹＯＲＫ", [("d", "New York", False)])  # full width, the same after NFKC
+    assert r.matched_cell == "New York" and r.label_source == "distractor_specific_cell_rule"
+    r = errors(spark, "ab cd", [("e", "cd", False), ("d", "cd", False), ("d", "ab", False), ("g", "AB", True)])
+    assert (r.matched_table, r.matched_cell) == ("d", "cd")
+
+
+def test_error_rules_over_shared_tables(spark):
+    """Cells given once a table, cases as lists of tables: the same labels as with a row for every case and cell."""
+    cells = [("t1", 0, "alpha beta"), ("t1", 1, "x"), ("t2", 0, "beta"), ("t2", 1, "gamma"), ("t3", 0, "Beta"), ("t3", 1, "--")]
+    tables = [(q, t, g) for q in range(4) for t, g in (("t1", False), ("t2", q == 1), ("t3", q == 2))]
+    answers = spark.createDataFrame([(0, "Alpha  Beta gamma"), (1, "beta and gamma"), (2, "gamma or beta"), (3, "not specified in the provided text")], "query_id long, answer string")
+    c = spark.createDataFrame(cells, "table_id string, position int, cell string")
+    t = spark.createDataFrame(tables, "query_id long, table_id string, is_gold boolean")
+    got = {r.query_id: (r.matched_table, r.matched_cell) for r in anatomy.error_labels(answers, c, t).collect()}
+    flat = t.join(c, "table_id")
+    assert got == {r.query_id: (r.matched_table, r.matched_cell) for r in anatomy.error_labels(answers, flat).collect()}
+    assert got == {0: ("t1", "alpha beta"), 1: (None, None), 2: ("t2", "gamma"), 3: (None, None)}
 
 
 def test_crosstab_grid_and_questions(spark):
@@ -93,6 +117,10 @@ def test_kappa_ranks_percentiles(spark):
     assert r.agreement == 1.0 and r.kappa is None
     with pytest.raises(Exception, match="ratings are 0 or 1"):
         agree.confusion(spark.createDataFrame([("s", 2, 1)], "g string, a int, b int"), "a", "b", ["g"]).collect()
+    with pytest.raises(Exception, match="there are no ratings"):
+        agree.confusion(pairs.limit(0), "a", "b", []).collect()
+    with pytest.raises(Exception, match="ratings are 0 or 1"):
+        agree.confusion(spark.createDataFrame([("s", None, 1)], "g string, a int, b int"), "a", "b", ["g"]).collect()
     df = spark.createDataFrame([("s", float(x)) for x in (10, 20, 20, 30)], "g string, v double")
     assert sorted(r.x for r in df.select(agree.average_rank("v", ["g"]).alias("x")).collect()) == [1, 2.5, 2.5, 4]
     df = spark.createDataFrame([("s", float(x)) for x in (1, 2, 3, 10)], "g string, v double")
@@ -131,7 +159,9 @@ def test_texts(spark):
     assert v(T.truncate_tokens(F.col("t"), 2, mixed=True), t="漢字ab") == "漢"
     assert v(T.normalized(F.col("t")), t="  ＡＢ\t\nc ") == "ab c"
     assert v(T.word_bag(F.col("t")), t="The dog's 'bone' é a") == ["bone", "dog", "é"]
-    assert v(T.kebab(F.col("t")), t="zeroShotPrompt") == "zero-shot-prompt"
+    assert v(T.truncate_tokens(F.col("t"), 3, mixed=True), t="ab漢" + "c" * 40) == "ab漢" + "c" * 4
+    assert tuple(v(T.token_counts(F.col("t")), t="漢字ab"))[:3] == (2, 2, 4)
+    assert v(N.strategy_name(F.col("t")), t="ZeroShotStrategy") == "zero-shot" and v(N.strategy_name(F.col("t")), t="SQLStrategy") == "sql"
     assert v(T.dataset_name(F.col("t")), t="FeTa QA") == "feta" and v(T.dataset_name(F.col("t")), t="Other") == "other"
     assert v(T.error_label_of(F.col("t")), t="some Truncation") == "Premature Refusal"
     assert v(T.labelled_line(F.col("t"), "ERROR_TYPE"), t="ERROR_TYPE: a\nx\nerror_type:  b ") == "b"
@@ -183,3 +213,87 @@ def test_consistency_zip_and_id_order(spark):
         audit.zipped(one, two.limit(1), "i").collect()
     ids = spark.createDataFrame([("b",), ("10",), ("9",), ("a",)], "id string")
     assert [r.id for r in ids.orderBy(*sampling.id_order("id")).collect()] == ["9", "10", "a", "b"]
+
+
+def test_numbered_is_a_total_order_in_any_partitioning(spark):
+    df = spark.createDataFrame([(f"k{i % 300:03}", i) for i in range(3000)] + [(None, 1), (None, 0)], "k string, i long").repartition(7)
+    got = {(r.k, r.i): r.n for r in records.numbered(df, ["k", "i"], "n").collect()}
+    order = sorted(got, key=lambda x: (x[0] is not None, x[0] or "", x[1]))
+    assert [got[x] for x in order] == list(range(1, 3003))
+    assert records.numbered(df.limit(0), ["k"], "n").collect() == []
+
+
+def test_soft_negatives_are_k_others_each_as_likely(spark):
+    queries = spark.range(400).select(F.col("id").alias("query_id"))
+    corpus = spark.range(200)
+    gold = spark.createDataFrame([(q, i) for q in range(400) for i in range(q % 5)], "query_id long, id long")
+    rows = context.soft_negatives(queries, corpus, gold, 10).collect()
+    known = {(r.query_id, r.id) for r in gold.collect()}
+    assert len(rows) == 4000 and len({(r.query_id, r.id) for r in rows}) == 4000 and not known & {(r.query_id, r.id) for r in rows}
+    assert {r["rank"] for r in rows} == set(range(1, 11))
+    times = {}
+    for r in rows:
+        times[r.id] = times.get(r.id, 0) + 1
+    assert len(times) == 200 and max(times.values()) < 60
+    few = context.soft_negatives(queries.limit(1), corpus.limit(5), gold.limit(0), 10).collect()
+    assert len(few) == 5 and context.soft_negatives(queries, corpus.limit(0), gold, 10).collect() == []
+
+
+def test_nearest_rows_by_blocks_equal_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    vectors = rng.integers(-3, 4, (120, 6)).astype(float)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(200, None), (201, [0.0] * 6), (202, [1.0])]
+    df = spark.createDataFrame(rows, "id int, embedding array<double>")
+    monkeypatch.setattr(retrieve, "QUERY_BLOCK", 11)
+    monkeypatch.setattr(retrieve, "CORPUS_BLOCK", 17)
+    got = {}
+    for r in retrieve.cosine_topk(df.withColumnRenamed("id", "query_id"), df, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.id, r.score))
+    norm = np.linalg.norm(vectors, axis=1)
+    for q in range(120):
+        if norm[q] == 0:
+            assert q not in got
+            continue
+        sim = {i: round(float(vectors[q] @ vectors[i] / norm[q] / norm[i]), 6) + 0.0 for i in range(120) if norm[i]}
+        assert [i for i, _ in got[q]] == sorted(sim, key=lambda i: (-sim[i], i))[:5]
+    assert retrieve.cosine_topk(df.limit(0).withColumnRenamed("id", "query_id"), df, 5).collect() == []
+
+
+def test_record_joins(spark):
+    contexts = spark.createDataFrame([(1, [3, 9, 2, 3]), (2, [9]), (3, [])], "query_id long, injection array<long>")
+    reps = spark.createDataFrame([("2", "two"), ("3", "three")], "id string, representation string")
+    got = {r.query_id: r.tables for r in records.injected_tables(contexts, reps).collect()}
+    assert got == {1: ["three", "two", "three"], 2: [], 3: []}
+    assert records.injected_tables(contexts, reps, first=2).filter("query_id = 1").first().tables == ["three"]
+    results = spark.createDataFrame([(1, "abcdefgh", None, 5), (2, "", 0, 0), (7, "x", 3, 4)], "query_id long, answer string, request_tokens long, response_tokens long")
+    asked = spark.createDataFrame([(1, "why?"), (2, None)], "query_id long, question string")
+    found = {r.query_id: (r.request_tokens, r.response_tokens, r.filled) for r in records.filled_tokens(results, asked, contexts, reps).collect()}
+    assert found == {1: (4, 2, True), 2: (1, 1, True), 7: (3, 4, False)}
+    with pytest.raises(Exception, match="the samples overlap"):
+        records.united(asked, asked, ["query_id"], ("a", "b")).collect()
+    with pytest.raises(Exception, match="has no answer"):
+        records.answered(results).collect()
+    left = spark.createDataFrame([(1, None), (2, "b"), (3, "c")], "i int, k string")
+    assert [r.i for r in records.resumable(left, left.filter("i < 3"), ["i", "k"]).collect()] == [3]
+    numbers = records.numeric(spark.createDataFrame([("1", "x"), (" 2.5", "3"), ("", "4")], "a string, b string"), ["a", "b"], ["a"])
+    assert sorted(numbers.collect(), key=str) == sorted([(1.0, None), (2.5, 3.0)], key=str)
+
+
+def test_samples_check_their_populations(spark):
+    rows = spark.createDataFrame([(d, f"{d}{q}", f"{d}{q}-{r}", r) for d in "xy" for q in range(8) for r in range(3)], "dataset string, question string, record string, place int")
+    made = sampling.primary_sample(rows, ["dataset"], "question", ["place"], 5, 1, {"x": 8, "y": 8}).collect()
+    assert len(made) == 10 and len({r.question for r in made}) == 10
+    with pytest.raises(Exception, match="population mismatch"):
+        sampling.primary_sample(rows, ["dataset"], "question", ["place"], 5, 1, {"x": 8, "y": 9}).collect()
+    primary = sampling.primary_sample(rows, ["dataset"], "question", ["place"], 5, 1)
+    picked = sampling.diagnostic_sample(rows, "dataset", "question", "record", 6, 2, primary).collect()
+    assert len(picked) == 12 and not {r.record for r in picked} & {r.record for r in primary.collect()}
+    with pytest.raises(Exception, match="too few questions"):
+        sampling.diagnostic_sample(rows, "dataset", "question", "record", 9, 2, primary).collect()
+
+
+def test_driver_side_names():
+    assert N.typed_params(["a=1", "b=0.5", "c=True", "d", "e=x=y", "f=1.2.3"]) == {"a": 1, "b": 0.5, "c": True, "d": True, "e": "x=y", "f": "1.2.3"}
+    assert N.index_key("bge", {"b": 1, "a": "x"}) == "bge_a=x_b=1"
