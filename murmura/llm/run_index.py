@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from murmura.llm import kernels as K
+
 U64 = np.uint64
 
 
@@ -75,31 +77,36 @@ def suffix_array(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
 class RunIndex:
     """Index of distinct byte strings, each with a number (its least document).
 
-    It keeps the transform in runs (with ranks that tell a row's run), the text
-    position at each run's end, the row of each string's last window, and the least
-    number of each class of rows that agree in ``length`` symbols.
+    It keeps the transform in runs: each run's symbol, its first row and where that
+    goes one symbol to the left; the text position at each run's first and last row,
+    and nowhere else; and the least number of each class of rows that agree in
+    ``length`` symbols.
     """
 
     def __init__(self, data: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, length: int = 50):
         used = np.zeros(256, bool)
         used[data] = True
-        code = np.zeros(256, np.int64)
-        code[used] = np.arange(1, int(used.sum()) + 1)
+        self.code = np.full(256, int(used.sum()) + 1, np.int64)
+        self.code[used] = np.arange(1, int(used.sum()) + 1)
         ends = np.cumsum(sizes + 1)
         text = np.zeros(int(ends[-1]), np.int64)
         body = np.ones(len(text), bool)
         body[ends - 1] = False
-        text[body] = code[data]
-        self.length, self.sizes = length, sizes
+        text[body] = self.code[data]
+        self.length = length
+        self.sums = np.zeros(len(text) + 1, U64)
+        np.cumsum(K.BYTE[text] * K.powers(K.BASES[0], len(text)), out=self.sums[1:])
         sa, new = suffix_array(text, length)
         transform = text[sa - 1]
         head = np.flatnonzero(np.concatenate([[True], transform[1:] != transform[:-1]]))
-        self.heads = head
-        self.run_end_samples = sa[np.append(head[1:], len(sa)) - 1]
-        runs = np.diff(np.append(head, len(sa)))
-        by = np.argsort(transform[head].astype(np.uint16), kind="stable")
+        last = np.append(head[1:], len(sa)) - 1
+        runs = last - head + 1
+        self.heads, self.lasts, self.symbols = head, last, transform[head]
+        self.head_samples, self.last_samples = sa[head], sa[last]
+        by = np.argsort(self.symbols.astype(np.uint16), kind="stable")
         self.targets = np.empty(len(head), np.int64)
         self.targets[by] = np.cumsum(runs[by]) - runs[by]
+        self.by_symbol = self.symbols[by] * len(head) + by  # runs in the order of symbol and place: sorted
         in_runs = np.zeros(len(sa), np.int32)
         in_runs[head[1:]] = 1
         self.run_of = np.cumsum(in_runs, dtype=np.int32)
@@ -107,29 +114,69 @@ class RunIndex:
         self.class_of = np.cumsum(new, dtype=np.int32) - 1
         whose = np.repeat(np.arange(len(sizes)), sizes + 1)
         self.class_least = np.minimum.reduceat(numbers[whose[sa]], class_starts)
-        row = np.empty(len(sa), np.int64)
-        row[sa] = np.arange(len(sa))
-        self.last_rows = row[ends - 1 - length]
 
-    def step(self, rows: np.ndarray) -> np.ndarray:
-        """Rows of the suffixes one symbol longer to the left."""
-        run = self.run_of[rows]
-        return self.targets[run] + rows - self.heads[run]
+    def _common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """How many symbols two places of the text share from there on, ``most`` at most, by halving over its prefix sums."""
+        low, high = np.zeros(len(a), np.int64), np.minimum(most, len(self.sums) - 1 - np.maximum(a, b))
+        powers = K.powers(K.BASES[0], len(self.sums))
+        near, far = np.minimum(a, b), np.maximum(a, b)
+        shift = powers[far - near]
+        while True:
+            on = low < high
+            if not on.any():
+                return low
+            m = (low + high + 1) // 2
+            same = (self.sums[near + m] - self.sums[near]) * shift == self.sums[far + m] - self.sums[far]
+            low, high = np.where(on & same, m, low), np.where(on & ~same, m - 1, high)
 
-    def stream(self) -> tuple[np.ndarray, np.ndarray]:
-        """The least number of the strings that hold each window of ``length``, for every window of every string, and where each string's windows begin.
+    def matching_statistics(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each byte of each string: how long the longest match with an indexed string is that begins there, where in the index it lies, and its row.
 
-        All strings go through the transform together, from their last window to
-        their first; each step reads off the class that the window matches in.
+        All strings stream through the transform together, right to left. Where the
+        row's run has the symbol, the match grows by it. Else the match is cut to what
+        it shares with the nearest row above or below that has it, the better of the
+        two: these rows are a run's last and first, so their places are the samples.
+        Bytes that the index does not hold match nothing.
         """
-        windows = self.sizes - self.length + 1
-        first = np.concatenate([[0], np.cumsum(windows)])
-        out = np.empty(int(first[-1]), np.int64)
-        live, rows, left = np.arange(len(windows)), self.last_rows, windows.copy()
+        first = np.cumsum(sizes) - sizes
+        length, place, rows = (np.zeros(len(data), np.int64) for _ in range(3))
+        live = np.flatnonzero(sizes)
+        at, left = first[live] + sizes[live] - 1, sizes[live].copy()
+        row, pos, size = (np.zeros(len(live), np.int64) for _ in range(3))
+        pos += self.head_samples[0]
+        symbol, runs = self.code[data], len(self.heads)
         while len(live):
-            out[first[live] + left - 1] = self.class_least[self.class_of[rows]]
+            c = symbol[at]
+            run = self.run_of[row].astype(np.int64)
+            odd = np.flatnonzero(self.symbols[run] != c)
+            if len(odd):
+                key = c[odd] * runs + run[odd]
+                below = np.searchsorted(self.by_symbol, key)
+                up, down = self.by_symbol[np.maximum(below - 1, 0)], self.by_symbol[np.minimum(below, runs - 1)]
+                has_up, has_down = up // runs == c[odd], down // runs == c[odd]
+                up, down = up % runs, down % runs
+                with_up = np.where(has_up, self._common(pos[odd], self.last_samples[up], size[odd]), -1)
+                with_down = np.where(has_down, self._common(pos[odd], self.head_samples[down], size[odd]), -1)
+                above = with_up >= with_down
+                run[odd] = np.where(above, up, down)
+                row[odd] = np.where(above, self.lasts[up], self.heads[down])
+                pos[odd] = np.where(above, self.last_samples[up], self.head_samples[down])
+                size[odd] = np.maximum(with_up, with_down)
+            none = size < 0
+            row = np.where(none, 0, self.targets[run] + row - self.heads[run])
+            pos = np.where(none, self.head_samples[0], pos - 1)
+            size = np.where(none, 0, size + 1)
+            length[at], place[at], rows[at] = size, pos, row
             left -= 1
             on = left > 0
-            live, rows, left = live[on], rows[on], left[on]
-            rows = self.step(rows)
-        return out, first
+            if not on.all():
+                live, at, left, row, pos, size = live[on], at[on], left[on], row[on], pos[on], size[on]
+            at = at - 1
+        return length, place, rows
+
+    def least(self, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The least number of the indexed strings that hold each window of ``length`` of each string, window after window; -1 where none does."""
+        length, _, rows = self.matching_statistics(data, sizes)
+        windows = np.maximum(sizes - self.length + 1, 0)
+        at = np.repeat(np.cumsum(sizes) - sizes, windows) + K.positions(windows)
+        return np.where(length[at] >= self.length, self.class_least[self.class_of[rows[at]]], -1)

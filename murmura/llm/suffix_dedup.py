@@ -4,9 +4,14 @@ Each window of LENGTH bytes has an anchor: the least hash of its GRAM-byte grams
 Equal windows have equal anchors, so consecutive windows of one anchor form a
 segment, and all copies of a segment meet in the bucket of its anchor. Segments
 whose anchor lies in one document only repeat nothing. The others of a bucket, each
-distinct one once, make a run-length index; streaming them through it gives for each
-window the least document that holds it, and documents mark what lies in an earlier
-one.
+distinct one once, make run-length indexes. All of them stream through these, and
+their matching statistics tell for each window the least document that holds it;
+documents mark what lies in an earlier one.
+
+An anchor around which many different texts lie, a notice amid varied prose, would
+bring them all to one bucket. Where more than HOT distinct segments have an anchor,
+each of their windows is a segment of its own, with its own hash for an anchor: equal
+windows still meet, different ones go to buckets of their own.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from murmura.llm import kernels as K
 from murmura.llm.blocks import block_count, blocked, bucket_count, packed, packed_hashes, split_by, texts_of, unpacked, unpacked_hashes
-from murmura.llm.common import ship
+from murmura.llm.common import given, ship
 from murmura.llm.run_index import RunIndex
 
 LENGTH, GRAM = 50, 16
@@ -29,6 +34,8 @@ CACHE = 256 << 10
 #: Bytes of distinct segments in an index. Anchors never share windows, so a bucket's are spread over many small ones that fit a cache.
 INDEX_BYTES = 384 << 10
 PARTS = 256
+#: Distinct segments of an anchor, as estimated, beyond which its windows go apart.
+HOT = 2048
 U64 = np.uint64
 
 
@@ -70,6 +77,18 @@ def segments(buf: np.ndarray, off: np.ndarray, skip: np.ndarray) -> tuple[np.nda
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def apart(buf: np.ndarray, found: tuple, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments, those of hot anchors (sorted) as one for each window, with the window's hash for an anchor."""
+    anchor, start, windows, text = found
+    on = K.member(anchor, hot)
+    if not on.any():
+        return found
+    n = windows[on]
+    each = np.repeat(start[on], n) + K.positions(n)
+    own = K.span_hash(K.prefix_hash(buf, 1), each, each + LENGTH, 1)
+    return np.concatenate([anchor[~on], own]), np.concatenate([start[~on], each]), np.concatenate([windows[~on], np.ones(len(each), np.int64)]), np.concatenate([text[~on], np.repeat(text[on], n)])
+
+
 def _bucketed(anchor: np.ndarray, buckets: int):
     """Distinct anchors, sorted, an order by bucket, and the buckets' bounds in it."""
     values = np.unique(anchor)
@@ -77,18 +96,53 @@ def _bucketed(anchor: np.ndarray, buckets: int):
     return values, order, bound
 
 
+def _bits(x: np.ndarray) -> bytes:
+    return packed(np.packbits(x))
+
+
 def _send_anchors(table: pa.Table, buckets: int) -> pa.Table:
+    """To each bucket its anchors of the block; which lie in several documents here; the bit length of the number of their distinct segments; a byte of the least segment's hash."""
     buf, off, ids, null = texts_of(table)
-    anchor, _, _, text = segments(buf, off, null)
+    anchor, start, windows, text = segments(buf, off, null)
     values, order, bound = _bucketed(anchor, buckets)
-    by = np.argsort(anchor, kind="stable")
+    whole = K.span_hash(K.prefix_hash(buf, 1), start, start + windows + LENGTH - 1, 1)
+    by = np.lexsort((whole, anchor))
     head = np.searchsorted(anchor[by], values)
-    doc = ids[text[by]]
+    doc, new = ids[text[by]], np.ones(len(by), bool)
+    new[1:] = whole[by][1:] != whole[by][:-1]
     many = np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head) if len(doc) else np.zeros(0, bool)
+    distinct = np.add.reduceat(new.astype(np.int64), head) if len(doc) else np.zeros(0, np.int64)
+    amount = (np.floor(np.log2(np.maximum(distinct, 1))) + 1).astype(np.uint8)
+    look = (whole[by][head] >> U64(56)).astype(np.uint8) if len(doc) else np.zeros(0, np.uint8)
     used = np.flatnonzero(np.diff(bound))
     pick = [order[bound[b] : bound[b + 1]] for b in used]
-    block = table.column("block")[0].as_py()
-    return pa.table({"block": pa.array([block] * len(used), pa.int32()), "bucket": pa.array(used.astype(np.int32)), "anchors": pa.array([packed_hashes(values[p], int(b), buckets) for b, p in zip(used, pick)], pa.binary()), "many": pa.array([packed(np.packbits(many[p])) for p in pick], pa.binary())})
+    columns = {
+        "block": pa.array([table.column("block")[0].as_py()] * len(used), pa.int32()),
+        "bucket": pa.array(used.astype(np.int32)),
+        "anchors": pa.array([packed_hashes(values[p], int(b), buckets) for b, p in zip(used, pick)], pa.binary()),
+        "many": pa.array([_bits(many[p]) for p in pick], pa.binary()),
+        "amounts": pa.array([packed(amount[p]) for p in pick], pa.binary()),
+        "looks": pa.array([packed(look[p]) for p in pick], pa.binary()),
+    }
+    return pa.table(columns)
+
+
+def _hot(values: np.ndarray, amounts: np.ndarray, looks: np.ndarray) -> np.ndarray:
+    """Anchors, sorted, of which more than HOT distinct segments are to be expected.
+
+    Blocks with one segment of an anchor may all have the same one, so of these the
+    different bytes count: a few dozen blocks' worth stands for as many, nearly all
+    256 for as many as there are blocks.
+    """
+    one = amounts == 1
+    pairs = np.unique(np.stack([values[one], looks[one].astype(U64)], 1), axis=0) if one.any() else np.zeros((0, 2), U64)
+    several, times = np.unique(values[one], return_counts=True)
+    seen = np.unique(pairs[:, 0], return_counts=True)[1] if len(pairs) else np.zeros(0, np.int64)
+    single = np.where(seen >= 240, times, seen)
+    more, at = np.unique(values[~one], return_inverse=True)
+    sums = np.bincount(at, 2.0 ** (amounts[~one].astype(np.float64) - 1), minlength=len(more))
+    keys, total = K.merge_counts([several, more], [single.astype(np.float64), sums])
+    return keys[total > HOT]
 
 
 def _find_repeated(table: pa.Table, buckets: int) -> pa.Table:
@@ -96,24 +150,34 @@ def _find_repeated(table: pa.Table, buckets: int) -> pa.Table:
     many = [np.unpackbits(m, count=len(a)).astype(bool) for a, m in zip(each, unpacked(table, "many", "u1"))]
     values = np.concatenate(each)
     found = np.union1d(K.repeated(values), values[np.concatenate(many)])
-    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "repeated": pa.array([packed(np.packbits(K.member(a, found))) for a in each], pa.binary())})
+    hot = _hot(values, np.concatenate(unpacked(table, "amounts", "u1")), np.concatenate(unpacked(table, "looks", "u1")))
+    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "repeated": pa.array([_bits(K.member(a, found)) for a in each], pa.binary()), "hot": pa.array([_bits(K.member(a, hot)) if len(hot) else b"" for a in each], pa.binary())})
+
+
+_SEGMENTS = "block int, bucket int, data binary, sizes binary, parts binary, docs binary, hot binary"
 
 
 def _send_segments(table: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
-    empty = pa.table({"block": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), **{n: pa.array([], pa.binary()) for n in ("data", "sizes", "parts", "docs")}})
+    """To each bucket the distinct segments of the block whose anchor is repeated, with the least document of each here; to the first one, for its reply, the block's hot anchors."""
+    names = [x.split()[0] for x in _SEGMENTS.split(", ")]
+    empty = pa.table({n: pa.array([], pa.int32() if n in ("block", "bucket") else pa.binary()) for n in names})
     if not table.num_rows or not replies.num_rows:
         return empty
     buf, off, ids, null = texts_of(table)
-    anchor, start, windows, text = segments(buf, off, null)
-    values, order, bound = _bucketed(anchor, buckets)
-    on = np.zeros(len(values), bool)
-    for b, bits in zip(replies.column("bucket").to_pylist(), unpacked(replies, "repeated", "u1")):
+    found = segments(buf, off, null)
+    values, order, bound = _bucketed(found[0], buckets)
+    on, wide = np.zeros(len(values), bool), np.zeros(len(values), bool)
+    for b, bits, far in zip(replies.column("bucket").to_pylist(), unpacked(replies, "repeated", "u1"), unpacked(replies, "hot", "u1")):
         own = order[bound[b] : bound[b + 1]]
         on[own] = np.unpackbits(bits, count=len(own)).astype(bool)
-    pick = np.flatnonzero(K.member(anchor, values[on]))
+        if len(far):
+            wide[own] = np.unpackbits(far, count=len(own)).astype(bool)
+    pick = np.flatnonzero(K.member(found[0], values[on]))
     if not len(pick):
         return empty
-    anchor, start, size, doc = anchor[pick], start[pick], windows[pick] + LENGTH - 1, ids[text[pick]]
+    hot = values[on & wide]
+    anchor, start, windows, text = apart(buf, tuple(x[pick] for x in found), hot)
+    size, doc = windows + LENGTH - 1, ids[text]
     h = K.span_hash(K.prefix_hash(buf, 1), start, start + size, 1)
     by = np.argsort(h, kind="stable")
     head = np.flatnonzero(np.concatenate([[True], h[by][1:] != h[by][:-1]]))
@@ -122,10 +186,17 @@ def _send_segments(table: pa.Table, replies: pa.Table, buckets: int) -> pa.Table
     one, least = one[order], least[order]
     used = np.flatnonzero(np.diff(bound))
     rows = [slice(bound[b], bound[b + 1]) for b in used]
-    data = [pa.compress(packed(buf[np.repeat(start[one[r]], size[one[r]]) + K.positions(size[one[r]])]), "zstd", asbytes=True) for r in rows]
     part = ((anchor[one] >> U64(40)) % U64(PARTS)).astype(np.uint8)
-    block = table.column("block")[0].as_py()
-    return pa.table({"block": pa.array([block] * len(used), pa.int32()), "bucket": pa.array(used.astype(np.int32)), "data": pa.array(data, pa.binary()), "sizes": pa.array([packed(size[one[r]].astype(np.uint8)) for r in rows], pa.binary()), "parts": pa.array([packed(part[r]) for r in rows], pa.binary()), "docs": pa.array([packed(least[r].astype(np.int64)) for r in rows], pa.binary())})
+    columns = [
+        pa.array([table.column("block")[0].as_py()] * len(used), pa.int32()),
+        pa.array(used.astype(np.int32)),
+        pa.array([pa.compress(packed(buf[np.repeat(start[one[r]], size[one[r]]) + K.positions(size[one[r]])]), "zstd", asbytes=True) for r in rows], pa.binary()),
+        pa.array([packed(size[one[r]].astype(np.uint8)) for r in rows], pa.binary()),
+        pa.array([packed(part[r]) for r in rows], pa.binary()),
+        pa.array([packed(least[r].astype(np.int64)) for r in rows], pa.binary()),
+        pa.array([packed(hot)] + [b""] * (len(used) - 1), pa.binary()),
+    ]
+    return pa.table(columns, names)
 
 
 def _index_bucket(table: pa.Table) -> pa.Table:
@@ -146,8 +217,8 @@ def _index_bucket(table: pa.Table) -> pa.Table:
     for g in np.unique(group[part]):
         own = np.flatnonzero(group[part] == g)
         pick = one[own]
-        found, _ = RunIndex(data[np.repeat(start[pick], size[pick]) + K.positions(size[pick])], size[pick], least[own], LENGTH).stream()
-        window[np.repeat(first[own], windows[own]) + K.positions(windows[own])] = found
+        texts = data[np.repeat(start[pick], size[pick]) + K.positions(size[pick])]
+        window[np.repeat(first[own], windows[own]) + K.positions(windows[own])] = RunIndex(texts, size[pick], least[own], LENGTH).least(texts, size[pick])
     turn = np.ones(len(window), bool)
     turn[1:] = window[1:] != window[:-1]
     turn[first[:-1]] = True
@@ -163,7 +234,7 @@ def _index_bucket(table: pa.Table) -> pa.Table:
         out["runs"].append(packed(n.astype(np.uint8)))
         out["lengths"].append(packed(run_size[pick].astype(np.uint8)))
         out["leasts"].append(packed(window[run[pick]]))
-    return pa.table({"block": table.column("block"), "hashes": pa.array([packed(h) for h in hashes], pa.binary()), **{k: pa.array(v, pa.binary()) for k, v in out.items()}})
+    return pa.table({"block": table.column("block"), "hashes": pa.array([packed(h) for h in hashes], pa.binary()), **{k: pa.array(v, pa.binary()) for k, v in out.items()}, "hot": table.column("hot")})
 
 
 def _mark(table: pa.Table, replies: pa.Table) -> pa.Table:
@@ -176,7 +247,7 @@ def _mark(table: pa.Table, replies: pa.Table) -> pa.Table:
         by = np.argsort(h, kind="stable")
         at = (np.cumsum(runs) - runs)[by]
         known, runs = h[by], runs[by]
-        _, start, windows, text = segments(buf, off, null)
+        _, start, windows, text = apart(buf, segments(buf, off, null), np.unique(np.concatenate(unpacked(replies, "hot", "<u8"))))
         own = K.span_hash(K.prefix_hash(buf, 1), start, start + windows + LENGTH - 1, 1)
         hit = np.flatnonzero(K.member(own, known))
         place = np.searchsorted(known, own[hit])
@@ -202,16 +273,18 @@ def repeated_spans(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     A byte is removed if it lies in a string of LENGTH bytes that also starts in a
     row with a smaller doc_id; spans are the maximal removed runs, in bytes of the
     whole text; with_kept adds the remaining bytes. Null texts are empty. Rows of
-    equal id don't remove each other; a null id neither removes nor loses anything.
+    equal id don't remove each other; a null id neither removes nor loses anything;
+    an empty table gives no rows.
     """
     ship()
+    docs = given(docs, "doc_id", "text")
     blocks = block_count(docs)
     buckets = bucket_count(blocks)
     texts = blocked(docs, blocks)
-    sent = texts.groupBy("block").applyInArrow(lambda t: _send_anchors(t, buckets), "block int, bucket int, anchors binary, many binary")
-    repeated = sent.groupBy("bucket").applyInArrow(lambda t: _find_repeated(t, buckets), "block int, bucket int, repeated binary")
-    again = texts.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(lambda t, r: _send_segments(t, r, buckets), "block int, bucket int, data binary, sizes binary, parts binary, docs binary")
-    found = again.groupBy("bucket").applyInArrow(_index_bucket, "block int, hashes binary, runs binary, lengths binary, leasts binary")
+    sent = texts.groupBy("block").applyInArrow(lambda t: _send_anchors(t, buckets), "block int, bucket int, anchors binary, many binary, amounts binary, looks binary")
+    repeated = sent.groupBy("bucket").applyInArrow(lambda t: _find_repeated(t, buckets), "block int, bucket int, repeated binary, hot binary")
+    again = texts.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(lambda t, r: _send_segments(t, r, buckets), _SEGMENTS)
+    found = again.groupBy("bucket").applyInArrow(_index_bucket, "block int, hashes binary, runs binary, lengths binary, leasts binary, hot binary")
     columns = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string" + ", kept binary" * with_kept
 
     def finish(t, r):
