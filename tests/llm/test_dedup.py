@@ -2,11 +2,14 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow.compute  # noqa: F401
 import pytest
 import xxhash
 
 from murmura.llm import simhash, suffix_dedup
 from murmura.llm.components import components
+from murmura.llm.run_index import RunIndex
 
 
 def low(t):
@@ -140,6 +143,69 @@ def test_repeated_spans_equal_brute_force(spark, kind):
     assert got == marked(rows)
 
 
+def brute_statistics(text, strings):
+    """For each byte: the longest prefix of what follows that some string holds."""
+    out = []
+    for i in range(len(text)):
+        n = 0
+        while i + n < len(text) and any(text[i : i + n + 1] in s for s in strings):
+            n += 1
+        out.append(n)
+    return out
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh ", "a"])
+def test_matching_statistics_of_foreign_strings(letters):
+    rng = random.Random(letters)
+    pool = ["".join(rng.choices(letters, k=rng.randint(10, 40))) for _ in range(12)]
+    strings = sorted({"".join(rng.choices(pool, k=3))[: rng.randint(50, 95)].ljust(50, letters[0]) for _ in range(30)})
+    asked = ["".join(rng.choices(pool, k=2)) + rng.choice(["", "z", "y"]) + "".join(rng.choices(letters, k=12)) for _ in range(40)] + strings[:5] + ["zzz", ""]
+    raw = np.frombuffer("".join(strings).encode(), np.uint8)
+    index = RunIndex(raw, np.array([len(s) for s in strings]), np.arange(len(strings)) + 10)
+    sizes = np.array([len(s) for s in asked])
+    data = np.frombuffer("".join(asked).encode(), np.uint8)
+    length, place, _ = index.matching_statistics(data, sizes)
+    assert length.tolist() == [n for s in asked for n in brute_statistics(s, strings)]
+    joined = "\0".join(strings) + "\0"
+    whole = "".join(asked)
+    assert all(joined[p : p + n] == whole[i : i + n] for i, (n, p) in enumerate(zip(length, place)) if n)
+    want = [min((k + 10 for k, s in enumerate(strings) if a[i : i + 50] in s), default=-1) for a in asked for i in range(len(a) - 49)]
+    assert index.least(data, sizes).tolist() == want
+
+
+@pytest.mark.parametrize("hot", [1, 8])
+def test_windows_of_hot_anchors_go_apart(spark, hot, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = random.Random(hot)
+    notice = "all rights reserved, see the terms of use that came with this copy of it. "
+    prose = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    pool = [prose(90) for _ in range(6)]
+    rows = [(i, prose(rng.randint(0, 60)) + notice + rng.choice(pool) + prose(rng.randint(0, 60)) + rng.choice(["", notice])) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in suffix_dedup.repeated_spans(docs).collect()}
+    assert got == marked(rows)
+
+
+def test_one_notice_amid_varied_texts_fills_no_bucket(spark):
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    notice = "this notice of sixty-four bytes stands somewhere in every text..."[:64]
+    rows = [(i, "".join(rng.choices("abcdefghijklmnop ", k=60)) + notice + "".join(rng.choices("abcdefghijklmnop ", k=60))) for i in range(20000)]
+    buckets, bytes_in, sent, found = 128, {}, [], []
+    tables = [pa.table({"doc_id": pa.array([i for i, _ in part], pa.int64()), "text": pa.array([t for _, t in part], pa.string()), "block": pa.array([b] * len(part), pa.int32())}) for b, part in enumerate(rows[k::8] for k in range(8))]
+    sent = pa.concat_tables([suffix_dedup._send_anchors(t, buckets) for t in tables])
+    replies = pa.concat_tables([suffix_dedup._find_repeated(sent.filter(pa.compute.equal(sent["bucket"], b)), buckets) for b in range(buckets)])
+    again = pa.concat_tables([suffix_dedup._send_segments(t, replies.filter(pa.compute.equal(replies["block"], b)), buckets) for b, t in enumerate(tables)])
+    for b, sizes in zip(again["bucket"].to_pylist(), again["sizes"].to_pylist()):
+        bytes_in[b] = bytes_in.get(b, 0) + int(np.frombuffer(sizes, np.uint8).astype(int).sum())
+    assert len(bytes_in) == buckets and max(bytes_in.values()) <= 0.02 * sum(bytes_in.values())
+    found = pa.concat_tables([suffix_dedup._index_bucket(again.filter(pa.compute.equal(again["bucket"], b))) for b in range(buckets)])
+    marks = [suffix_dedup._mark(t, found.filter(pa.compute.equal(found["block"], b))) for b, t in enumerate(tables)]
+    removed = {i: n for m in marks for i, n in zip(m["doc_id"].to_pylist(), m["n_removed"].to_pylist())}
+    assert removed[0] == 0 and all(64 <= n <= 80 for i, n in removed.items() if i)
+
+
 def test_repeated_spans_of_odd_rows(odd, empty):
     got = suffix_dedup.repeated_spans(odd, with_kept=True).collect()
     assert len(got) == odd.count()
