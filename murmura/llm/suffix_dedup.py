@@ -21,10 +21,11 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from murmura.llm import kernels as K
 from murmura.llm.blocks import block_count, blocked, bucket_count, packed, packed_hashes, split_by, texts_of, unpacked, unpacked_hashes
-from murmura.llm.common import given, ship
+from murmura.llm.common import given, mapped, ship
 from murmura.llm.run_index import RunIndex
 
 LENGTH, GRAM = 50, 16
@@ -237,6 +238,10 @@ def _index_bucket(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block"), "hashes": pa.array([packed(h) for h in hashes], pa.binary()), **{k: pa.array(v, pa.binary()) for k, v in out.items()}, "hot": table.column("hot")})
 
 
+def _unmarked(ids: pa.Array, buf: np.ndarray, off: np.ndarray) -> pa.Table:
+    return _result(ids, buf, off, np.zeros(len(buf), bool))
+
+
 def _mark(table: pa.Table, replies: pa.Table) -> pa.Table:
     buf, off, ids, null = texts_of(table)
     removed = np.zeros(len(buf), bool)
@@ -259,12 +264,18 @@ def _mark(table: pa.Table, replies: pa.Table) -> pa.Table:
         earlier = least[each] < np.repeat(ids[text[hit]], n)
         edge = np.bincount(begin[earlier], minlength=len(buf) + 1)[: len(buf) + 1] - np.bincount((begin + size + LENGTH - 1)[earlier], minlength=len(buf) + 1)[: len(buf) + 1]
         removed = np.cumsum(edge)[: len(buf)] > 0
+    return _result(table.column("doc_id"), buf, off, removed)
+
+
+def _result(ids: pa.Array, buf: np.ndarray, off: np.ndarray, removed: np.ndarray) -> pa.Table:
     s, e, first = K.runs(removed, off)
     left = buf[~removed].tobytes()
     cut = np.concatenate([[0], np.cumsum(~removed)])[off]
     kept = [left[cut[i] : cut[i + 1]] for i in range(len(off) - 1)]
-    lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.StructArray.from_arrays([pa.array(s - off[np.searchsorted(off, s, "right") - 1]), pa.array(e - off[np.searchsorted(off, s, "right") - 1])], ["start", "end"]))
-    return pa.table({"doc_id": table.column("doc_id"), "n_bytes": pa.array(np.diff(off)), "n_removed": pa.array(K.segment_sum(removed, off)), "spans": lists, "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), "kept": pa.array(kept, pa.binary())})
+    base = off[np.searchsorted(off, s, "right") - 1]
+    lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.StructArray.from_arrays([pa.array(s - base), pa.array(e - base)], ["start", "end"]))
+    columns = [ids, pa.array(np.diff(off)), pa.array(K.segment_sum(removed, off)), lists, pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array(kept, pa.binary())]
+    return pa.table(columns, ["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256", "kept"])
 
 
 def repeated_spans(docs: DataFrame, with_kept: bool = False) -> DataFrame:
@@ -278,6 +289,12 @@ def repeated_spans(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     """
     ship()
     docs = given(docs, "doc_id", "text")
+    names = ["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256"] + ["kept"] * with_kept
+    columns = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string" + ", kept binary" * with_kept
+    # rows that can hold no repeat, such as a great many equal ones without id or text, need no block
+    can = F.coalesce(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH), F.lit(False))
+    plain = mapped(docs.filter(~can), lambda rows, buf, off: [_unmarked(rows.column(0), buf, off).column(n).combine_chunks() for n in names], columns)
+    docs = docs.filter(can)
     blocks = block_count(docs)
     buckets = bucket_count(blocks)
     texts = blocked(docs, blocks)
@@ -285,10 +302,5 @@ def repeated_spans(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     repeated = sent.groupBy("bucket").applyInArrow(lambda t: _find_repeated(t, buckets), "block int, bucket int, repeated binary, hot binary")
     again = texts.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(lambda t, r: _send_segments(t, r, buckets), _SEGMENTS)
     found = again.groupBy("bucket").applyInArrow(_index_bucket, "block int, hashes binary, runs binary, lengths binary, leasts binary, hot binary")
-    columns = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string" + ", kept binary" * with_kept
-
-    def finish(t, r):
-        out = _mark(t, r)
-        return out if with_kept else out.drop_columns(["kept"])
-
-    return texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(finish, columns)
+    marked = texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(lambda t, r: _mark(t, r).select(names), columns)
+    return marked.unionByName(plain)
