@@ -238,3 +238,27 @@ def test_similar_groups_miss_no_pair_just_over_the_bound(spark):
             rows.append((2 * i + j, " ".join([f"d{i}w{k}" for k in range(204 - changed)] + [f"e{i}w{k}" for k in range(changed)])))
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {n: n - n % 2 if n < 800 else n for n in range(1000)}
+
+
+def test_similar_groups_join_pairs_behind_a_crowded_shingle(spark):
+    """600 unlike texts of one template with small ids, and 200 pairs of that template at a similarity of 0.86 behind them."""
+    rng = random.Random(2)
+    template = [f"t{j}" for j in range(120)]
+    rows = [(i, template + [f"a{i}w{j}" for j in range(120)]) for i in range(600)]
+    for i in range(200):
+        own = [f"b{i}w{j}" for j in range(120)]
+        other = list(own)
+        at = rng.randrange(10, 100)
+        other[at : at + 14] = [f"c{i}w{j}" for j in range(14)]
+        rows += [(1000 + 2 * i, template + own), (1001 + 2 * i, template + other)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    assert all(got[i] == i for i in range(600))
+    assert sum(got[1001 + 2 * i] == 1000 + 2 * i for i in range(200)) == 200
+
+
+def test_rows_that_repeat_nothing_need_no_block(spark):
+    rows = [(None, None)] * 50 + [(None, "x" * 60)] * 3 + [(1, "short")] * 20 + [(2, "y" * 60), (3, "y" * 60), (None, "y" * 60)]
+    got = suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id int, text string"), with_kept=True).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.n_removed for r in got} == {None: 0, 1: 0, 2: 0, 3: 60}
+    assert sorted(bytes(r.kept) for r in got if r.doc_id is None)[-1] == b"y" * 60
