@@ -22,7 +22,7 @@ from murmura.llm.disguise import examples
 from murmura.llm.tagger import KINDS, TAGS, WINDOW, Tagger, alphabet
 
 STRIDE = WINDOW // 2
-#: Texts that lend their words to the training windows, the first by a hash; windows; bytes of a text that are lent.
+#: Texts that lend their words to the training windows, the first by a hash; windows; characters of a text that are lent.
 SAMPLE, EXAMPLES, LENT = 600, 4000, 2000
 #: A window without a digit, an @ or a bracketed at or dot cannot hold a span of any form looked for.
 TRIGGER = np.zeros(256, bool)
@@ -192,8 +192,12 @@ def train(docs: DataFrame) -> Tagger:
     leaves the composed spans without words around them. Fixed seeds: the same
     texts give the same model.
     """
-    texts = docs.select("text").filter("text is not null and text <> ''").groupBy(F.xxhash64("text").alias("h")).agg(F.min(F.substring("text", 1, LENT)).alias("text"))
-    rows = texts.orderBy("h").limit(SAMPLE).collect()
+    texts = docs.select("text", F.xxhash64("text").alias("h")).filter("text is not null and text <> ''")
+    chosen = [r.h for r in texts.groupBy("h").agg(F.count("*").alias("n")).select("h").orderBy("h").limit(SAMPLE).collect()]
+    # a stretch of each, from a hashed place on
+    start = F.pmod(F.xxhash64(F.col("h"), F.lit("lent")), F.greatest(F.char_length("text") - LENT, F.lit(1))).cast("int") + 1
+    lent = texts.filter(F.col("h").isin(chosen)).select("h", F.substring("text", start, F.lit(LENT)).alias("text"))
+    rows = lent.groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect() if chosen else []
     letters, model = alphabet(), Tagger()
     ids, tags = [], []
     for text, spans in examples([r.text for r in rows], EXAMPLES, WINDOW):
