@@ -23,7 +23,7 @@ from murmura.llm.tagger import KINDS, TAGS, WINDOW, Tagger, alphabet
 
 STRIDE = WINDOW // 2
 #: Texts that lend their words to the training windows, the first by a hash; windows; characters of a text that are lent.
-SAMPLE, EXAMPLES, LENT = 600, 4000, 2000
+SAMPLE, EXAMPLES, LENT = 600, 6000, 2000
 #: A window without a digit, an @ or a bracketed at or dot cannot hold a span of any form looked for.
 TRIGGER = np.zeros(256, bool)
 TRIGGER[0x30:0x3A] = TRIGGER[0x40] = True
@@ -127,8 +127,9 @@ def tag_spans(tags: np.ndarray) -> list[tuple[int, int, int]]:
 _MARKS = (
     (re.compile(r"\s*[\[({]\s*(?:at|@)\s*[\])}]\s*", re.I), "@"),
     (re.compile(r"\s*[\[({]\s*(?:dot|\.)\s*[\])}]\s*", re.I), "."),
-    (re.compile(r"\s*([@.])\s*"), r"\1"),
+    (re.compile(r"\s*@\s*|(?<=\w)\s+\.\s+(?=\w)"), lambda m: m.group().strip()),
 )
+_GAPS = re.compile(r"\s*\.\s*")
 _ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
 _DATE = re.compile(r"(?:19|20)\d\d[-./ ]\d\d?[-./ ]\d\d?|\d\d?[-./ ]\d\d?[-./ ](?:19|20)?\d\d|(?:19|20)\d\d ?[-/ ] ?(?:19|20)\d\d")
 _BOOK = re.compile(r"97[89](?:[- ]?\d){10}")
@@ -144,6 +145,7 @@ def canonical(kind: int, found: str) -> str | None:
     if kind == 0:
         return plain if _ADDRESS.fullmatch(plain) else None
     if kind == 1:
+        plain = _GAPS.sub(".", plain)
         parts = plain.split(".")
         return plain if len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts) else None
     if kind == 2:
@@ -152,12 +154,17 @@ def canonical(kind: int, found: str) -> str | None:
     return digits if spelled else None
 
 
-def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
-    """A span without blanks at its ends and without a bracket that is not closed or not opened in it."""
+def trimmed(kind: int, text: str, start: int, end: int) -> tuple[int, int]:
+    """A span without blanks at its ends, with both brackets of a pair or none, and an address without the sentence behind it."""
+    if start and text[start - 1] == "(" and ")" in text[start:end] and "(" not in text[start:end]:
+        start -= 1
     while start < end and (text[start].isspace() or text[start] == "(" and ")" not in text[start:end]):
         start += 1
     while start < end and (text[end - 1].isspace() or text[end - 1] == ")" and "(" not in text[start:end]):
         end -= 1
+    if kind == 0 and canonical(kind, text[start:end]) is None:
+        stop = re.search(r"(?<=\w)[.,;:!?]?\s+\w*$", text[start:end])
+        end = start + stop.start() if stop else end
     return start, end
 
 
@@ -180,7 +187,7 @@ def all_spans(text: str, cp: np.ndarray, model: Tagger, letters: np.ndarray) ->
     for _, s, e in base:
         taken[s:e] = 1
     before = np.concatenate([[0], np.cumsum(taken)])
-    found = [(k, *trimmed(text, s, e)) for k, s, e in found]
+    found = [(k, *trimmed(k, text, s, e)) for k, s, e in found]
     added = [(k, s, e) for k, s, e in found if s < e and before[e] == before[s] and whole(text, s, e) and canonical(k, text[s:e]) is not None]
     return base, sorted(base + added)
 

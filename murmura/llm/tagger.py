@@ -104,7 +104,7 @@ class Tagger:
         self._lstm_back(ids, "b", mb, dboth[:, :, HIDDEN:], out)
         return float((z - gold).mean()), out
 
-    def fit(self, ids: np.ndarray, tags: np.ndarray, epochs: int = 5, batch: int = 64, rate: float = 0.01, seed: int = 5) -> list[float]:
+    def fit(self, ids: np.ndarray, tags: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 5) -> list[float]:
         """Adam over shuffled batches; the mean loss of each epoch."""
         rng = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
