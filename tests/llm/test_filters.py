@@ -130,7 +130,7 @@ def tagger(prose):
     return pii.train(prose)
 
 
-@pytest.mark.parametrize("forms,recall", [(disguise.KNOWN, 0.85), (disguise.HELD, 0.7)])
+@pytest.mark.parametrize("forms,recall", [(disguise.KNOWN, 0.85), (disguise.HELD, 0.6)])
 def test_added_spans_are_right_in_forms_the_patterns_miss(prose, tagger, forms, recall):
     """Whole spans of the right kind, in forms trained on and in forms held out, among dates, versions, book numbers and the like."""
     rng, letters = random.Random(99), alphabet()
@@ -142,7 +142,7 @@ def test_added_spans_are_right_in_forms_the_patterns_miss(prose, tagger, forms,
         more = [x for x in every if x not in base]
         right, added = right + sum(x in spans for x in more), added + len(more)
         missed += sum(not any(s < x[2] and x[1] < e for _, s, e in base) for x in spans)
-    assert right >= 0.93 * added and right >= recall * missed > 100
+    assert right >= 0.97 * added and right >= recall * missed > 100
 
 
 def test_no_span_of_the_model_cuts_a_number(prose, tagger):
@@ -164,7 +164,8 @@ def test_canonical_forms():
     assert pii.canonical(2, "4111/1111/1111/1111") == "4" + "1" * 15 and pii.canonical(2, "4111/1111/1111/1112") is None
     assert pii.canonical(3, "(555) 010-2345") == "5550102345"
     assert not any(pii.canonical(3, x) for x in ("2024-05-17", "17.05.2024", "1990-2024", "978-3-16-148410-0", "1234567890", "12"))
-    assert pii.trimmed("x (555 010 2345 ", 2, 16) == (3, 15)
+    assert pii.trimmed(3, "x (555 010 2345 ", 2, 16) == (3, 15) and pii.trimmed(3, "x (555)010-2345 ", 3, 15) == (2, 15)
+    assert pii.trimmed(0, "a@b . org. then", 0, 15) == (0, 9) and pii.trimmed(0, "a@b.org. then", 0, 13) == (0, 7)
     assert not pii.whole("1.2.3.4.5", 0, 7) and not pii.whole("a1234", 1, 5) and pii.whole("x 12-3.", 2, 6)
 
 
