@@ -77,8 +77,8 @@ def suffix_array(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
 class RunIndex:
     """Index of distinct byte strings, each with a number (its least document).
 
-    It keeps the transform in runs: each run's symbol, its first row and where that
-    goes one symbol to the left; the text position at each run's first and last row,
+    It keeps the transform in runs: each run's symbol, its rows and where they go one
+    symbol to the left; the text position at each run's first and last row,
     and nowhere else; and the least number of each class of rows that agree in
     ``length`` symbols.
     """
@@ -86,8 +86,8 @@ class RunIndex:
     def __init__(self, data: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, length: int = 50):
         used = np.zeros(256, bool)
         used[data] = True
-        self.code = np.full(256, int(used.sum()) + 1, np.int64)
-        self.code[used] = np.arange(1, int(used.sum()) + 1)
+        self.code = np.full(256, int(used.sum()) + 1, np.int16)
+        self.code[used] = np.arange(1, int(used.sum()) + 1, dtype=np.int16)
         ends = np.cumsum(sizes + 1)
         text = np.zeros(int(ends[-1]), np.int64)
         body = np.ones(len(text), bool)
@@ -101,12 +101,13 @@ class RunIndex:
         head = np.flatnonzero(np.concatenate([[True], transform[1:] != transform[:-1]]))
         last = np.append(head[1:], len(sa)) - 1
         runs = last - head + 1
-        self.heads, self.lasts, self.symbols = head, last, transform[head]
+        self.heads, self.lasts, self.symbols = head.astype(np.int32), last.astype(np.int32), transform[head].astype(np.int16)
         self.head_samples, self.last_samples = sa[head], sa[last]
         by = np.argsort(self.symbols.astype(np.uint16), kind="stable")
-        self.targets = np.empty(len(head), np.int64)
-        self.targets[by] = np.cumsum(runs[by]) - runs[by]
-        self.by_symbol = self.symbols[by] * len(head) + by  # runs in the order of symbol and place: sorted
+        targets = np.empty(len(head), np.int64)
+        targets[by] = np.cumsum(runs[by]) - runs[by]
+        self.shifts = (targets - head).astype(np.int32)  # from a row to that of one symbol more to the left, the same for a whole run
+        self.by_symbol = self.symbols[by].astype(np.int64) * len(head) + by  # runs in the order of symbol and place: sorted
         in_runs = np.zeros(len(sa), np.int32)
         in_runs[head[1:]] = 1
         self.run_of = np.cumsum(in_runs, dtype=np.int32)
@@ -116,67 +117,77 @@ class RunIndex:
         self.class_least = np.minimum.reduceat(numbers[whose[sa]], class_starts)
 
     def _common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """How many symbols two places of the text share from there on, ``most`` at most, by halving over its prefix sums."""
-        low, high = np.zeros(len(a), np.int64), np.minimum(most, len(self.sums) - 1 - np.maximum(a, b))
+        """How many symbols two places of the text share from there on, ``most`` at most, by halving over its prefix sums; most places share all."""
         powers = K.powers(K.BASES[0], len(self.sums))
         near, far = np.minimum(a, b), np.maximum(a, b)
-        shift = powers[far - near]
-        while True:
-            on = low < high
-            if not on.any():
-                return low
+        shift, base_near, base_far = powers[far - near], self.sums[near], self.sums[far]
+        high = np.minimum(most, len(self.sums) - 1 - far)
+        out = high.copy()
+        on = np.flatnonzero((self.sums[near + high] - base_near) * shift != self.sums[far + high] - base_far)
+        near, far, shift, base_near, base_far, high = (x[on] for x in (near, far, shift, base_near, base_far, high))
+        low, high = np.zeros(len(on), np.int64), high - 1
+        while (low < high).any():
             m = (low + high + 1) // 2
-            same = (self.sums[near + m] - self.sums[near]) * shift == self.sums[far + m] - self.sums[far]
-            low, high = np.where(on & same, m, low), np.where(on & ~same, m - 1, high)
-
-    def matching_statistics(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each byte of each string: how long the longest match with an indexed string is that begins there, where in the index it lies, and its row.
-
-        All strings stream through the transform together, right to left. Where the
-        row's run has the symbol, the match grows by it. Else the match is cut to what
-        it shares with the nearest row above or below that has it, the better of the
-        two: these rows are a run's last and first, so their places are the samples.
-        Bytes that the index does not hold match nothing.
+            same = (self.sums[near + m] - base_near) * shift == self.sums[far + m] - base_far
+            low, high = np.where(same, m, low), np.where(same, high, np.minimum(high, m - 1))
+        out[on] = low
+        return out
+
+    def _stream(self, data: np.ndarray, sizes: np.ndarray):
+        """All strings through the transform, right to left, the longest first in every array: for each step the strings still in it, their byte, the length of its match, its place and its row.
+
+        Where the row's run has the symbol, the match grows by it. Else it is cut to
+        what it shares with the nearest row above or below that has the symbol, the
+        better of the two: these rows are a run's last and first, so their places are
+        the samples. A symbol that the index lacks ends the match.
         """
-        first = np.cumsum(sizes) - sizes
-        length, place, rows = (np.zeros(len(data), np.int64) for _ in range(3))
-        live = np.flatnonzero(sizes)
-        at, left = first[live] + sizes[live] - 1, sizes[live].copy()
-        row, pos, size = (np.zeros(len(live), np.int64) for _ in range(3))
-        pos += self.head_samples[0]
+        order = np.argsort(-sizes, kind="stable")
+        last, by_size = (np.cumsum(sizes) - 1)[order], -sizes[order]
+        row, size = np.zeros(len(sizes), np.int32), np.zeros(len(sizes), np.int32)
+        place = np.full(len(sizes), self.head_samples[0], np.int64)
         symbol, runs = self.code[data], len(self.heads)
-        while len(live):
+        for t in range(int(sizes.max(initial=0))):
+            n = int(np.searchsorted(by_size, -t - 1, "right"))
+            row, place, size, at = row[:n], place[:n], size[:n], last[:n] - t
             c = symbol[at]
-            run = self.run_of[row].astype(np.int64)
+            run = self.run_of[row]
             odd = np.flatnonzero(self.symbols[run] != c)
             if len(odd):
-                key = c[odd] * runs + run[odd]
-                below = np.searchsorted(self.by_symbol, key)
-                up, down = self.by_symbol[np.maximum(below - 1, 0)], self.by_symbol[np.minimum(below, runs - 1)]
-                has_up, has_down = up // runs == c[odd], down // runs == c[odd]
-                up, down = up % runs, down % runs
-                with_up = np.where(has_up, self._common(pos[odd], self.last_samples[up], size[odd]), -1)
-                with_down = np.where(has_down, self._common(pos[odd], self.head_samples[down], size[odd]), -1)
+                want = c[odd].astype(np.int64) * runs
+                near = np.searchsorted(self.by_symbol, want + run[odd])
+                up, down = self.by_symbol[np.maximum(near - 1, 0)] - want, self.by_symbol[np.minimum(near, runs - 1)] - want
+                has_up, has_down = (up >= 0) & (up < runs), (down >= 0) & (down < runs)
+                up, down = np.where(has_up, up, 0), np.where(has_down, down, 0)
+                here, most = place[odd], size[odd].astype(np.int64)
+                with_up = np.where(has_up, self._common(here, self.last_samples[up], most), -1)
+                less = np.flatnonzero(has_down & (with_up < most))
+                with_down = np.full(len(odd), -1)
+                with_down[less] = self._common(here[less], self.head_samples[down[less]], most[less])
                 above = with_up >= with_down
                 run[odd] = np.where(above, up, down)
                 row[odd] = np.where(above, self.lasts[up], self.heads[down])
-                pos[odd] = np.where(above, self.last_samples[up], self.head_samples[down])
+                place[odd] = np.where(above, self.last_samples[up], self.head_samples[down])
                 size[odd] = np.maximum(with_up, with_down)
-            none = size < 0
-            row = np.where(none, 0, self.targets[run] + row - self.heads[run])
-            pos = np.where(none, self.head_samples[0], pos - 1)
-            size = np.where(none, 0, size + 1)
-            length[at], place[at], rows[at] = size, pos, row
-            left -= 1
-            on = left > 0
-            if not on.all():
-                live, at, left, row, pos, size = live[on], at[on], left[on], row[on], pos[on], size[on]
-            at = at - 1
-        return length, place, rows
+            row += self.shifts[run]
+            place -= 1
+            size += 1
+            if len(odd) and len(none := odd[~(has_up | has_down)]):
+                row[none], place[none], size[none] = 0, self.head_samples[0], 0
+            yield order[:n], at, size, place, row
+
+    def matching_statistics(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each byte of each string: how long the longest match with an indexed string is that begins there, and where in the index it lies."""
+        length, place = np.zeros(len(data), np.int64), np.zeros(len(data), np.int64)
+        for _, at, size, where, _ in self._stream(data, sizes):
+            length[at], place[at] = size, where
+        return length, place
 
     def least(self, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """The least number of the indexed strings that hold each window of ``length`` of each string, window after window; -1 where none does."""
-        length, _, rows = self.matching_statistics(data, sizes)
+        """The least number of the indexed strings that hold each window of ``length`` of each string, window after window; -1 where none does. A window is held where the match that begins with it is as long."""
         windows = np.maximum(sizes - self.length + 1, 0)
-        at = np.repeat(np.cumsum(sizes) - sizes, windows) + K.positions(windows)
-        return np.where(length[at] >= self.length, self.class_least[self.class_of[rows[at]]], -1)
+        shift = np.cumsum(windows) - windows - (np.cumsum(sizes) - sizes)  # from a byte to its window
+        out = np.full(int(windows.sum()), -1, np.int64)
+        for t, (which, at, size, _, row) in enumerate(self._stream(data, sizes)):
+            if t >= self.length - 1:
+                out[at + shift[which]] = np.where(size >= self.length, self.class_least[self.class_of[row]], -1)
+        return out

@@ -102,19 +102,24 @@ def _bits(x: np.ndarray) -> bytes:
 
 
 def _send_anchors(table: pa.Table, buckets: int) -> pa.Table:
-    """To each bucket its anchors of the block; which lie in several documents here; the bit length of the number of their distinct segments; a byte of the least segment's hash."""
+    """To each bucket its anchors of the block; which lie in several documents here; the bit length of the number of their distinct segments; a byte of the first segment's hash."""
     buf, off, ids, null = texts_of(table)
     anchor, start, windows, text = segments(buf, off, null)
     values, order, bound = _bucketed(anchor, buckets)
     whole = K.span_hash(K.prefix_hash(buf, 1), start, start + windows + LENGTH - 1, 1)
-    by = np.lexsort((whole, anchor))
+    by = np.argsort(anchor, kind="stable")
     head = np.searchsorted(anchor[by], values)
-    doc, new = ids[text[by]], np.ones(len(by), bool)
-    new[1:] = whole[by][1:] != whole[by][:-1]
+    times = np.diff(np.append(head, len(by)))
+    doc = ids[text[by]]
     many = np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head) if len(doc) else np.zeros(0, bool)
-    distinct = np.add.reduceat(new.astype(np.int64), head) if len(doc) else np.zeros(0, np.int64)
+    distinct = np.ones(len(values), np.int64)
+    several = np.flatnonzero(times > 1)
+    if len(several):
+        each = np.repeat(several, times[several])
+        pair = np.unique(K.mix(whole[by[np.repeat(times > 1, times)]] + each.astype(U64) * U64(K.BASES[1])) >> U64(32) | each.astype(U64) << U64(32))
+        distinct[several] = np.bincount((pair >> U64(32)).astype(np.int64), minlength=len(values))[several]
     amount = (np.floor(np.log2(np.maximum(distinct, 1))) + 1).astype(np.uint8)
-    look = (whole[by][head] >> U64(56)).astype(np.uint8) if len(doc) else np.zeros(0, np.uint8)
+    look = (whole[by[head]] >> U64(56)).astype(np.uint8) if len(by) else np.zeros(0, np.uint8)
     used = np.flatnonzero(np.diff(bound))
     pick = [order[bound[b] : bound[b + 1]] for b in used]
     columns = {
