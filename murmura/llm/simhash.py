@@ -61,7 +61,8 @@ def chain_survivors(prints: DataFrame) -> DataFrame:
     flip = F.explode(F.concat(F.array(F.lit(0).cast("long")), F.expr("transform(sequence(0, width - 1), t -> shiftleft(1L, t))")))
     two = one.withColumn("flip", flip).select("fp", "i", "seg", F.col("nxt").bitwiseXOR(F.col("flip")).alias("nxt"), (F.col("flip") == 0).alias("own"))
     viable = two.groupBy("i", "seg", "nxt").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.max("own").alias("own")).filter("lo <> hi and own").select("i", "seg", "nxt")
-    return two.join(viable, ["i", "seg", "nxt"], "left_semi").select("fp").distinct()
+    # sizes are estimated without what explode() multiplies, so a merge is asked for: a broadcast would be many times what the optimizer takes it for
+    return two.join(viable.hint("merge"), ["i", "seg", "nxt"], "left_semi").select("fp").distinct()
 
 
 def hamming_links(prints: DataFrame) -> DataFrame:
@@ -75,7 +76,7 @@ def hamming_links(prints: DataFrame) -> DataFrame:
     words = F.explode(F.concat(F.array("fp"), F.expr("transform(sequence(0, 63), t -> fp ^ shiftleft(1L, t))")))
     visits = left.select("fp", words.alias("word"))
     least = visits.groupBy("word").agg(F.min("fp").alias("v"), F.max("fp").alias("hi")).filter("v <> hi").select("word", "v")
-    return visits.join(least, "word").filter("fp <> v and bit_count(fp ^ v) <= 2").select(F.col("fp").alias("u"), "v").distinct()
+    return visits.join(least.hint("merge"), "word").filter("fp <> v and bit_count(fp ^ v) <= 2").select(F.col("fp").alias("u"), "v").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
