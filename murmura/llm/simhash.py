@@ -153,7 +153,7 @@ def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
         firsts = every[np.repeat(at[:-1], kept) + K.positions(kept)]
         return [rows.column(0), *whole, n, _lists(firsts, np.concatenate([[0], np.cumsum(kept)]))]
 
-    return mapped(docs.select("doc_id", "text"), kernel, "doc_id long, h1 long, h2 long, n_shingles long, prefix array<long>")
+    return mapped(given(docs, "doc_id", "text"), kernel, "doc_id long, h1 long, h2 long, n_shingles long, prefix array<long>")
 
 
 def likely(pairs: DataFrame, shorts: DataFrame, similarity: float) -> DataFrame:
@@ -168,7 +168,7 @@ def likely(pairs: DataFrame, shorts: DataFrame, similarity: float) -> DataFrame:
 def verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Of ``pairs`` (u, v) of doc_id, those whose whole shingle sets are similar."""
     asked = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    held = mapped(docs.select("doc_id", "text").join(asked, "doc_id", "left_semi"), lambda rows, buf, off: [rows.column(0), _lists(*_shingles(buf, off, words))], "doc_id long, grams array<long>")
+    held = mapped(given(docs, "doc_id", "text").join(asked, "doc_id", "left_semi"), lambda rows, buf, off: [rows.column(0), _lists(*_shingles(buf, off, words))], "doc_id long, grams array<long>")
     held = stored(held.groupBy("doc_id").agg(F.max("grams").alias("grams")))
     both = pairs.join(held.select(F.col("doc_id").alias("u"), F.col("grams").alias("a")), "u").join(held.select(F.col("doc_id").alias("v"), F.col("grams").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
@@ -187,33 +187,41 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     component_id is the least doc_id reachable. Texts without words are linked to
     equal ones only; null ids as in near_duplicates().
     """
-    found = stored(prefixes(docs, words, similarity))
-    texts = stored(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.first("prefix").alias("prefix")))
+    made: list[DataFrame] = []
+
+    def kept(df: DataFrame) -> DataFrame:
+        made.append(stored(df))
+        return made[-1]
+
+    found = kept(prefixes(docs, words, similarity))
+    texts = kept(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.first("prefix").alias("prefix")))
     keyed = texts.filter("id is not null and n > 0").select("id", "n", F.posexplode("prefix").alias("i", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    met = stored(keyed.join(shared, "key"))
-    shorts = stored(met.groupBy("id").agg(F.collect_set("key").alias("keys"), F.min("n").alias("least_n"), F.max("n").alias("most_n")))
+    met = kept(keyed.join(shared, "key"))
+    shorts = kept(met.groupBy("id").agg(F.collect_set("key").alias("keys"), F.min("n").alias("least_n"), F.max("n").alias("most_n")))
     weight = met.groupBy("id").agg(F.sum("c").alias("weight"))
-    heads = met.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("least"), "id", "n", "i")).alias("h")).select("key", F.col("h.id").alias("v"), F.col("h.n").alias("m"), F.col("h.i").alias("j"))
-    heads = stored(heads)
+    heads = met.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("least"), "id", "n", "i")).alias("h"))
+    heads = kept(heads.select("key", F.col("h.id").alias("v"), F.col("h.n").alias("m"), F.col("h.i").alias("j")))
     fits = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("m")) - 1e-6
-    first = stored(met.join(heads, "key").filter((F.col("id") != F.col("v")) & fits).select(F.least("id", "v").alias("u"), F.greatest("id", "v").alias("v")).distinct())
-    links = stored(verified(docs, stored(likely(first, shorts, similarity)), words, similarity))
-    roots = stored(components(links))
+    first = kept(met.join(heads, "key").filter((F.col("id") != F.col("v")) & fits).select(F.least("id", "v").alias("u"), F.greatest("id", "v").alias("v")).distinct())
+    links = kept(verified(docs, kept(likely(first, shorts, similarity)), words, similarity))
+    roots = kept(components(links))
     rooted = met.join(roots, F.col("id") == F.col("node"), "left").select("id", "n", "i", "key", F.coalesce("root", "id").alias("root"))
     tops = heads.join(roots, F.col("v") == F.col("node"), "left").select("key", F.coalesce("root", "v").alias("top"))
-    rooted = stored(rooted.join(tops, "key"))
+    rooted = kept(rooted.join(tops, "key"))
     outside = rooted.filter("root <> top").select("key", F.col("id").alias("v"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("other"))
     left = rooted.join(outside, "key").filter((F.col("root") != F.col("other")) & fits & ((F.col("root") == F.col("top")) | (F.col("id") < F.col("v"))))
     left = left.select(F.least("id", "v").alias("u"), F.greatest("id", "v").alias("v")).distinct()
-    left = stored(likely(left.join(first, ["u", "v"], "left_anti"), shorts, similarity))
+    left = kept(likely(left.join(first, ["u", "v"], "left_anti"), shorts, similarity))
     more = verified(docs, left, words, similarity)
     roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)).withColumnRenamed("node", "id")
     of = texts.join(roots, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("component_id"))
-    return found.select("doc_id", "h1", "h2").join(of, ["h1", "h2"]).select("doc_id", "component_id")
+    groups = stored(found.select("doc_id", "h1", "h2").join(of, ["h1", "h2"]).select("doc_id", "component_id"))
+    forget(*made)
+    return groups
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Of each group of similar_groups(), the rows of the least doc_id; rows of a null id stay."""
+    """Of each group of similar_groups(), the rows of the least doc_id, with all their columns; rows of a null id stay, an empty table gives an empty one."""
     others = similar_groups(docs, words, similarity).filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti")

@@ -91,9 +91,11 @@ def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return fetched.filter("regexp_like(lower(url), pattern)").select("url", "name", "verdict").distinct()
 
 
-def judge(pages: DataFrame, stated: list[tuple[str, str, str]], rules: tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:
+def judge(pages: DataFrame, stated: list[tuple[str, str, str]], rules: DataFrame | tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:
     """page_id, host, path, rule, verdict for each row of ``pages`` (page_id, url; other columns are ignored).
 
+    rules may be a table (name, verdict, pattern, literals) of any size.
+
     The longest stated rule that fits decides. Otherwise a url is blocked if a
     block pattern matches and no allow pattern does; else allowed. Null urls and
     those without ``://`` have an empty host and path, no rule, and are allowed.
@@ -103,6 +105,6 @@ def judge(pages: DataFrame, stated: list[tuple[str, str, str]], rules: tuple[Rul
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     name, verdict = longest_host_rule(F.col("host"), F.col("path"), stated)
     base = base.withColumns({"host": host, "path": path}).withColumns({"rule": name, "said": verdict})
-    table = rule_table(spark, rules)
+    table = rules if isinstance(rules, DataFrame) else rule_table(spark, rules)
     found = matches(base.filter("rule is null and url like '%://%'").select("url"), table).groupBy("url").agg(F.min(F.when(F.col("verdict") == "allow", 0).otherwise(1)).alias("blocked"), F.sort_array(F.collect_set("name")).alias("patterns"))
     return base.join(found, "url", "left").select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("rule").isNull() & (F.col("blocked") == 1), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "patterns")
