@@ -227,6 +227,9 @@ def test_url_rules_equal_brute_force(spark):
     got = sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, URL_RULES).collect()), key=str)
     assert got == sorted(((i, *brute_url(u)) for i, u in URLS), key=str)
     assert url_filter.judge(pages.limit(0), URL_RULES).collect() == []
+    few = url_filter.rule_table(spark, url_filter.DEFAULT_RULES[:2])
+    own = {r.page_id: r.patterns for r in url_filter.judge(pages, [], few).collect()}
+    assert own[9] == ["spam-farm"] and own[13] == ["casino-host"] and own[2] is None
 
 
 def test_rules_are_indexed_by_their_rarest_token_and_hold_their_literals(spark):

@@ -240,6 +240,29 @@ def test_toxicity_of_odd_rows(odd, empty, spark):
     assert len(toxicity.rated(odd, labels.limit(0), doc_hash() % 4 != 2).collect()) == odd.count()
 
 
+def test_scores_equal_the_network_written_out():
+    """Windows of one to three words, the largest activation of each filter over the text, one logistic output; word by word."""
+    rng = np.random.default_rng(3)
+    net = toxicity.Network()
+    net.e = rng.normal(0, 1, net.e.shape).astype(np.float32)
+    texts = ["one two three one", "", "solo", "a longer text with é and 漢字, of several words; and more", "x y"]
+    buf, off = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0] + [len(t.encode()) for t in texts])
+    ids, first = toxicity.features(buf, off)
+    got = net.score(ids, first)
+    for i in range(len(texts)):
+        x = net.e[ids[first[i] : first[i + 1]]].sum(1)
+        z = float(net.c)
+        for w, b, k, v in zip(net.w, net.b, toxicity.WIDTHS, net.v.reshape(len(toxicity.WIDTHS), -1)):
+            best = np.zeros(toxicity.FILTERS)
+            for s in range(len(x)):
+                window = np.zeros((k, toxicity.DIM))
+                window[: len(x[s : s + k])] = x[s : s + k]
+                best = np.maximum(best, window.reshape(-1) @ w + b)
+            z += float(best @ v)
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
+    assert [int(n) for n in np.diff(first)] == [4, 0, 1, 12, 2]
+
+
 def test_network_learns_a_word_wherever_it_stands():
     rng = np.random.default_rng(0)
     texts, y = [], []
