@@ -76,7 +76,7 @@ class Frequent:
 
 
 def _counted(docs: DataFrame, only: list[np.ndarray] | None) -> DataFrame:
-    """(kind, key, n): counts of bigrams (0) and trigrams (1) by hash, all of them or ``only`` those in two sorted arrays."""
+    """(kind, key, n): counts of bigrams (0) and trigrams (1) by hash: exact ones of those in two sorted arrays, or without these counts of what occurs twice or more in a slice of texts, which finds the frequent ones."""
     shared = docs.sparkSession.sparkContext.broadcast(only)
 
     def kernel(rows, buf, off):
@@ -84,6 +84,8 @@ def _counted(docs: DataFrame, only: list[np.ndarray] | None) -> DataFrame:
         out = []
         for kind, key in ((0, pair), (1, three[after != 0])):
             keys, n = np.unique(key if shared.value is None else key[K.member(key, shared.value[kind])], return_counts=True)
+            if shared.value is None:
+                keys, n = keys[n > 1], n[n > 1]
             out.append((np.full(len(keys), kind), keys.view(np.int64), n))
         return [np.concatenate(x) for x in zip(*out)]
 
