@@ -57,7 +57,7 @@ SENSITIVE = {
 
 def collapsed(text: Column) -> Column:
     """Lower case, trimmed, each run of white space one space; null counts as empty."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"^\s+|\s+$", ""), r"\s+", " ")
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
 
 
 @F.pandas_udf(StringType())
