@@ -116,22 +116,23 @@ class RunIndex:
         whose = np.repeat(np.arange(len(sizes)), sizes + 1)
         self.class_least = np.minimum.reduceat(numbers[whose[sa]], class_starts)
 
-    def _common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """How many symbols two places of the text share from there on, ``most`` at most, by halving over its prefix sums; most places share all."""
-        powers = K.powers(K.BASES[0], len(self.sums))
+    def _equal(self, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the text is the same for ``size`` symbols from two places on, by its prefix sums."""
         near, far = np.minimum(a, b), np.maximum(a, b)
-        shift, base_near, base_far = powers[far - near], self.sums[near], self.sums[far]
-        high = np.minimum(most, len(self.sums) - 1 - far)
-        out = high.copy()
-        on = np.flatnonzero((self.sums[near + high] - base_near) * shift != self.sums[far + high] - base_far)
-        near, far, shift, base_near, base_far, high = (x[on] for x in (near, far, shift, base_near, base_far, high))
-        low, high = np.zeros(len(on), np.int64), high - 1
+        end = far + size
+        ok = end < len(self.sums)
+        end = np.where(ok, end, far)
+        span = self.sums[np.where(ok, near + size, near)] - self.sums[near]
+        return ok & (span * K.powers(K.BASES[0], len(self.sums))[far - near] == self.sums[end] - self.sums[far])
+
+    def _common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """How many symbols two places of the text share from there on, ``most`` at most, by halving."""
+        low, high = np.zeros(len(a), np.int64), most.copy()
         while (low < high).any():
             m = (low + high + 1) // 2
-            same = (self.sums[near + m] - base_near) * shift == self.sums[far + m] - base_far
+            same = self._equal(a, b, m)
             low, high = np.where(same, m, low), np.where(same, high, np.minimum(high, m - 1))
-        out[on] = low
-        return out
+        return low
 
     def _stream(self, data: np.ndarray, sizes: np.ndarray):
         """All strings through the transform, right to left, the longest first in every array: for each step the strings still in it, their byte, the length of its match, its place and its row.
@@ -143,13 +144,16 @@ class RunIndex:
         """
         order = np.argsort(-sizes, kind="stable")
         last, by_size = (np.cumsum(sizes) - 1)[order], -sizes[order]
-        row, size = np.zeros(len(sizes), np.int32), np.zeros(len(sizes), np.int32)
-        place = np.full(len(sizes), self.head_samples[0], np.int64)
-        symbol, runs = self.code[data], len(self.heads)
-        for t in range(int(sizes.max(initial=0))):
+        steps, runs = int(sizes.max(initial=0)), len(self.heads)
+        from_right = np.zeros((steps, len(sizes)), np.int16)  # a row of symbols for each step
+        column, step = np.repeat(np.arange(len(sizes)), sizes[order]), K.positions(sizes[order])
+        from_right[step, column] = self.code[data[last[column] - step]]
+        row = np.zeros(len(sizes), np.int32)
+        # kept as if each step changed nothing: a match that grows by a symbol moves one place to the left
+        size, place = np.zeros(len(sizes), np.int64), np.full(len(sizes), self.head_samples[0], np.int64)
+        for t in range(steps):
             n = int(np.searchsorted(by_size, -t - 1, "right"))
-            row, place, size, at = row[:n], place[:n], size[:n], last[:n] - t
-            c = symbol[at]
+            row, place, size, c = row[:n], place[:n], size[:n], from_right[t, :n]
             run = self.run_of[row]
             odd = np.flatnonzero(self.symbols[run] != c)
             if len(odd):
@@ -158,22 +162,25 @@ class RunIndex:
                 up, down = self.by_symbol[np.maximum(near - 1, 0)] - want, self.by_symbol[np.minimum(near, runs - 1)] - want
                 has_up, has_down = (up >= 0) & (up < runs), (down >= 0) & (down < runs)
                 up, down = np.where(has_up, up, 0), np.where(has_down, down, 0)
-                here, most = place[odd], size[odd].astype(np.int64)
-                with_up = np.where(has_up, self._common(here, self.last_samples[up], most), -1)
-                less = np.flatnonzero(has_down & (with_up < most))
-                with_down = np.full(len(odd), -1)
-                with_down[less] = self._common(here[less], self.head_samples[down[less]], most[less])
-                above = with_up >= with_down
+                here, most = place[odd] - t, size[odd] + t
+                shared = np.where(has_up & self._equal(here, self.last_samples[up], most), most, -1)
+                above = shared == most
+                left = np.flatnonzero(~above)
+                whole = has_down[left] & self._equal(here[left], self.head_samples[down[left]], most[left])
+                shared[left[whole]] = most[left[whole]]
+                left = left[~whole]
+                if len(left):
+                    with_up = np.where(has_up[left], self._common(here[left], self.last_samples[up[left]], most[left]), -1)
+                    with_down = np.where(has_down[left], self._common(here[left], self.head_samples[down[left]], most[left]), -1)
+                    above[left], shared[left] = with_up >= with_down, np.maximum(with_up, with_down)
                 run[odd] = np.where(above, up, down)
                 row[odd] = np.where(above, self.lasts[up], self.heads[down])
-                place[odd] = np.where(above, self.last_samples[up], self.head_samples[down])
-                size[odd] = np.maximum(with_up, with_down)
+                place[odd] = np.where(above, self.last_samples[up], self.head_samples[down]) + t
+                size[odd] = shared - t
             row += self.shifts[run]
-            place -= 1
-            size += 1
             if len(odd) and len(none := odd[~(has_up | has_down)]):
-                row[none], place[none], size[none] = 0, self.head_samples[0], 0
-            yield order[:n], at, size, place, row
+                row[none], place[none], size[none] = 0, self.head_samples[0] + t + 1, -t - 1
+            yield order[:n], last[:n] - t, size + (t + 1), place - (t + 1), row
 
     def matching_statistics(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each byte of each string: how long the longest match with an indexed string is that begins there, and where in the index it lies."""

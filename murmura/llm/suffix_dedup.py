@@ -92,7 +92,8 @@ def apart(buf: np.ndarray, found: tuple, hot: np.ndarray) -> tuple[np.ndarray, n
 
 def _bucketed(anchor: np.ndarray, buckets: int):
     """Distinct anchors, sorted, an order by bucket, and the buckets' bounds in it."""
-    values = np.unique(anchor)
+    values = np.sort(anchor)
+    values = values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
     order, bound = split_by((values % U64(buckets)).astype(np.int64), buckets)
     return values, order, bound
 
