@@ -52,8 +52,8 @@ def test_run_index_finds_the_least_holder_of_each_window(alphabet):
         cut = [(int(i), int(n)) for i, n in zip(rng.integers(0, 300, 20), rng.integers(50, 96, 20))]
         strings = sorted({base[i : i + n] for i, n in cut})
         numbers = rng.integers(0, 9, len(strings))
-        index = RunIndex(np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings]), numbers)
-        got, _ = index.stream()
+        data, sizes = np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings])
+        got = RunIndex(data, sizes, numbers).least(data, sizes)
         want = [min(n for t, n in zip(strings, numbers) if s[i : i + 50] in t) for s in strings for i in range(len(s) - 49)]
         assert got.tolist() == want
 
