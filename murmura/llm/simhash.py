@@ -165,14 +165,25 @@ def likely(pairs: DataFrame, shorts: DataFrame, similarity: float) -> DataFrame:
     return both.filter(F.size(F.array_intersect("keys_u", "keys_v")) + after >= needed).select("u", "v")
 
 
+#: Parts in which pairs are verified one after the other: whole shingle sets travel with them, so that only a part's are on disk at a time.
+PARTS = 4
+
+
 def verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Of ``pairs`` (u, v) of doc_id, those whose whole shingle sets are similar."""
+    """Of stored ``pairs`` (u, v) of doc_id, those whose whole shingle sets are similar; a repeated doc_id counts as one of its texts."""
     asked = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    held = mapped(given(docs, "doc_id", "text").join(asked, "doc_id", "left_semi"), lambda rows, buf, off: [rows.column(0), _lists(*_shingles(buf, off, words))], "doc_id long, grams array<long>")
-    held = stored(held.groupBy("doc_id").agg(F.max("grams").alias("grams")))
-    both = pairs.join(held.select(F.col("doc_id").alias("u"), F.col("grams").alias("a")), "u").join(held.select(F.col("doc_id").alias("v"), F.col("grams").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    return both.filter(common >= F.lit(similarity) * (F.size("a") + F.size("b") - common)).select("u", "v")
+    # one text an id is taken where the join has dealt them out, before the shingles are made
+    texts = given(docs, "doc_id", "text").join(asked, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+    held = stored(mapped(texts, lambda rows, buf, off: [rows.column(0), _lists(*_shingles(buf, off, words))], "doc_id long, grams array<long>"))
+    found = None
+    for part in range(PARTS):
+        some = pairs.filter(F.pmod(F.xxhash64("u", "v"), F.lit(PARTS)) == part)
+        both = some.join(held.select(F.col("doc_id").alias("u"), F.col("grams").alias("a")), "u").join(held.select(F.col("doc_id").alias("v"), F.col("grams").alias("b")), "v")
+        common = F.size(F.array_intersect("a", "b"))
+        one = stored(both.filter(common >= F.lit(similarity) * (F.size("a") + F.size("b") - common)).select("u", "v"))
+        found = one if found is None else found.unionByName(one)
+    forget(held)
+    return found
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
