@@ -33,7 +33,7 @@ LENGTH, GRAM = 50, 16
 MOST = 46
 CACHE = 256 << 10
 #: Bytes of distinct segments in an index. Anchors never share windows, so a bucket's are spread over many small ones that fit a cache.
-INDEX_BYTES = 384 << 10
+INDEX_BYTES = 128 << 10
 PARTS = 256
 #: Distinct segments of an anchor, as estimated, beyond which its windows go apart.
 HOT = 2048
@@ -142,22 +142,27 @@ def _hot(values: np.ndarray, amounts: np.ndarray, looks: np.ndarray) -> np.ndarr
     256 for as many as there are blocks.
     """
     one = amounts == 1
-    pairs = np.unique(np.stack([values[one], looks[one].astype(U64)], 1), axis=0) if one.any() else np.zeros((0, 2), U64)
-    several, times = np.unique(values[one], return_counts=True)
-    seen = np.unique(pairs[:, 0], return_counts=True)[1] if len(pairs) else np.zeros(0, np.int64)
-    single = np.where(seen >= 240, times, seen)
-    more, at = np.unique(values[~one], return_inverse=True)
+    key = np.sort(values[one] >> U64(8) << U64(8) | looks[one].astype(U64))  # a bucket's anchors differ above the last byte, or count together
+    several, times = np.unique(key >> U64(8), return_counts=True)
+    seen = np.unique(np.unique(key) >> U64(8), return_counts=True)[1]
+    more, at = np.unique(values[~one] >> U64(8), return_inverse=True)
     sums = np.bincount(at, 2.0 ** (amounts[~one].astype(np.float64) - 1), minlength=len(more))
-    keys, total = K.merge_counts([several, more], [single.astype(np.float64), sums])
-    return keys[total > HOT]
+    keys, total = K.merge_counts([several, more], [np.where(seen >= 240, times, seen).astype(np.float64), sums])
+    return np.unique(values[K.member(values >> U64(8) << U64(8), keys[total > HOT] << U64(8))])
 
 
 def _find_repeated(table: pa.Table, buckets: int) -> pa.Table:
     each = [unpacked_hashes(x, b, buckets) for x, b in zip(table.column("anchors").to_pylist(), table.column("bucket").to_pylist())]
     many = [np.unpackbits(m, count=len(a)).astype(bool) for a, m in zip(each, unpacked(table, "many", "u1"))]
-    values = np.concatenate(each)
+    values, amounts = np.concatenate(each), np.concatenate(unpacked(table, "amounts", "u1"))
     found = np.union1d(K.repeated(values), values[np.concatenate(many)])
-    hot = _hot(values, np.concatenate(unpacked(table, "amounts", "u1")), np.concatenate(unpacked(table, "looks", "u1")))
+    # only these can be hot: anchors of many blocks, and those with many segments in some
+    often = np.sort(values)
+    often = often[HOT // 2 :][often[HOT // 2 :] == often[: -(HOT // 2)]] if len(often) > HOT // 2 else often[:0]
+    several = amounts > 1
+    more, total = K.merge_counts([values[several]], [2.0 ** (amounts[several].astype(np.float64) - 1)])
+    maybe = K.member(values, np.union1d(often, more[total > HOT / 2])) if len(often) or (total > HOT / 2).any() else np.zeros(len(values), bool)
+    hot = _hot(values[maybe], amounts[maybe], np.concatenate(unpacked(table, "looks", "u1"))[maybe])
     return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "repeated": pa.array([_bits(K.member(a, found)) for a in each], pa.binary()), "hot": pa.array([_bits(K.member(a, hot)) if len(hot) else b"" for a in each], pa.binary())})
 
 
