@@ -157,8 +157,8 @@ def _find_repeated(table: pa.Table, buckets: int) -> pa.Table:
     values, amounts = np.concatenate(each), np.concatenate(unpacked(table, "amounts", "u1"))
     found = np.union1d(K.repeated(values), values[np.concatenate(many)])
     # only these can be hot: anchors of many blocks, and those with many segments in some
-    often = np.sort(values)
-    often = often[HOT // 2 :][often[HOT // 2 :] == often[: -(HOT // 2)]] if len(often) > HOT // 2 else often[:0]
+    often, half = np.sort(values), max(1, HOT // 2)
+    often = often[half:][often[half:] == often[:-half]]
     several = amounts > 1
     more, total = K.merge_counts([values[several]], [2.0 ** (amounts[several].astype(np.float64) - 1)])
     maybe = K.member(values, np.union1d(often, more[total > HOT / 2])) if len(often) or (total > HOT / 2).any() else np.zeros(len(values), bool)
