@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmura.llm import kernels as K
-from murmura.llm.common import forget, given, mapped, stored
+from murmura.llm.common import Sent, forget, given, mapped, stored
 
 #: Weight of each step down to a shorter history.
 ALPHA = 0.4
@@ -77,7 +77,7 @@ class Frequent:
 
 def _counted(docs: DataFrame, only: list[np.ndarray] | None) -> DataFrame:
     """(kind, key, n): counts of bigrams (0) and trigrams (1) by hash: exact ones of those in two sorted arrays, or without these counts of what occurs twice or more in a slice of texts, which finds the frequent ones."""
-    shared = docs.sparkSession.sparkContext.broadcast(only)
+    shared = Sent(docs.sparkSession, only)
 
     def kernel(rows, buf, off):
         pair, after, three, _, _ = grams(*words(buf, off))
@@ -203,7 +203,7 @@ def scores(docs: DataFrame) -> DataFrame:
     gives none. N-grams are compared by 64-bit hashes.
     """
     asked = given(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(0)).alias("doc"), "text", "doc_id")
-    tables = docs.sparkSession.sparkContext.broadcast(frequent(asked))
+    tables = Sent(docs.sparkSession, frequent(asked))
 
     def kernel(rows, buf, off):
         word, first = words(buf, off)

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmura.llm import kernels as K
@@ -23,6 +23,20 @@ def ship() -> None:
     cloudpickle.register_pickle_by_value(sys.modules["murmura"])
 
 
+class Sent:
+    """A broadcast value whose class executors need not have: pickled as bytes with its code, and made once in each worker process."""
+
+    def __init__(self, spark: SparkSession, value: object):
+        ship()
+        self._bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        if not hasattr(self._bytes, "_made"):
+            self._bytes._made = cloudpickle.loads(self._bytes.value)
+        return self._bytes._made
+
+
 #: Shuffle files go as soon as the query that made them is done; what it wrote is all that is read again.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmura.llm import kernels as K
-from murmura.llm.common import filtered, given, mapped, stored
+from murmura.llm.common import Sent, filtered, given, mapped, stored
 
 #: A span of SPAN words is certain to be found: GRAM-word grams, WINDOW of them in each window.
 GRAM, WINDOW = 5, 6
@@ -147,7 +147,7 @@ def _union(spans: np.ndarray) -> np.ndarray:
 
 def _block_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, n_words, starts, ends, items of each row, for a bounded block of items, and two hashes h1 and h2 of its text."""
-    shared = docs.sparkSession.sparkContext.broadcast(_benchmark(items))
+    shared = Sent(docs.sparkSession, _benchmark(items))
 
     def kernel(rows, buf, off):
         bench = shared.value
@@ -222,7 +222,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     repeated rows stay or go together; an empty table gives an empty one.
     """
     for block in _blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(_benchmark(block))
+        shared = Sent(docs.sparkSession, _benchmark(block))
 
         def clean(rows, buf, off, shared=shared):
             keep = np.ones(len(off) - 1, bool)

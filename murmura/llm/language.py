@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmura.llm import kneser_ney as KN
-from murmura.llm.common import doc_hash, given, mapped
+from murmura.llm.common import Sent, doc_hash, given, mapped
 
 ORDER, BITS = 3, 7
 #: Entries of all models together at most, 16 bytes each, as they are broadcast; more are an error, not a silent cut.
@@ -47,7 +47,7 @@ def predict(docs: DataFrame, models: dict[str, KN.Model], bounds: dict[str, floa
     repeated rows keep their rows; an empty table gives none.
     """
     names = sorted(models)
-    shared = docs.sparkSession.sparkContext.broadcast(([models[x] for x in names] or [KN.build(np.zeros(0, np.int64), np.zeros(0, np.int64), ORDER, BITS)], bounds or {}))
+    shared = Sent(docs.sparkSession, ([models[x] for x in names] or [KN.build(np.zeros(0, np.int64), np.zeros(0, np.int64), ORDER, BITS)], bounds or {}))
     alphabet = KN.letter_alphabet()
 
     def kernel(rows, buf, off):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmura.llm import kernels as K
-from murmura.llm.common import by_slices, given, mapped, ship
+from murmura.llm.common import Sent, by_slices, given, mapped, ship
 from murmura.llm.disguise import examples
 from murmura.llm.tagger import KINDS, TAGS, WINDOW, Tagger, alphabet
 
@@ -247,7 +247,7 @@ def spans(docs: DataFrame, model: Tagger) -> DataFrame:
     null in masked. Null ids and repeated rows keep their rows; an empty table gives
     none.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Sent(docs.sparkSession, model)
     letters = alphabet()
 
     def kernel(rows, buf, off):
@@ -271,7 +271,7 @@ def masked(docs: DataFrame) -> DataFrame:
     are; an empty table gives an empty one. n_chars follows only where it is a long.
     """
     ship()
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs))
+    shared = Sent(docs.sparkSession, train(docs))
     letters, at = alphabet(), docs.columns.index("text")
     size = docs.columns.index("n_chars") if dict(docs.dtypes).get("n_chars") == "bigint" else None
 

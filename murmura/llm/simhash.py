@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmura.llm import kernels as K
-from murmura.llm.common import forget, given, mapped, stored
+from murmura.llm.common import Sent, forget, given, mapped, stored
 from murmura.llm.components import components
 
 #: Bits of the three segments on the ring.
@@ -137,7 +137,7 @@ def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     equals. Texts that share at least ``similarity`` of their n shingles share one of
     their first n - ceil(similarity * n) + 1: those are the prefix.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
+    shared = Sent(docs.sparkSession, common_shingles(docs, words))
 
     def kernel(rows, buf, off):
         every, at = _shingles(buf, off, words)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmura.llm import kernels as K
-from murmura.llm.common import given, mapped, stored
+from murmura.llm.common import Sent, given, mapped, stored
 
 #: Rows of the embedding table, its width, filter widths, and filters of each width.
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 18, 8, (1, 2, 3), 8
@@ -180,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Network:
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """doc_id, lang and score (0 to 1) of each row; of whole texts, nothing else is looked at. Null and empty texts get the score of no evidence."""
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared = Sent(docs.sparkSession, net)
 
     def kernel(rows, buf, off):
         return [rows.column(0), rows.column(2), shared.value.score(*features(buf, off))]
