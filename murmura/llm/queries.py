@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmura.llm import backoff, decontaminate, language, mixing, pii, quality, simhash, suffix_dedup, toxicity, url_filter
+from murmura.llm import backoff, decontaminate, language, mixing, pii, quality, resample, simhash, suffix_dedup, toxicity, url_filter
 from murmura.llm.common import doc_hash
 
 
@@ -81,6 +81,11 @@ def op10_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_trigrams", F.round("log_score", 4).alias("log_score"), F.round("score", 6).alias("score"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_simhash": op2_simhash,
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_url_filter": op9_url_filter,
     "op10_backoff": op10_backoff,
+    "op11_resampling": op11_resampling,
 }
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -133,4 +139,26 @@ ORACLES: dict[str, str] = {
         g as (select doc_id, count(*) as n_words, sum(v) as v from s group by doc_id)
         select d.doc_id, coalesce(n_words, 0) as n_words, greatest(coalesce(n_words, 0) - 2, 0) as n_trigrams,
                round(coalesce(v, 0), 4) as log_score, round(v / n_words, 6) as score from d left join g using (doc_id)""",
+    "op11_resampling": rf"""
+        with recursive step(i, k, v) as (select cast(i as bigint), 0, cast(i as bigint) from range(256) r(i)
+            union all select i, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from step where k < 8),
+        tab as (select list(v order by i) as crc from step where k = 8),
+        c as (select 0 as corpus, doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+              union all select 1, null, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark),
+        n as (select *, row_number() over () as r from c),
+        g as (select r, corpus, array_to_string(list_slice(w, i, i + k - 1), ' ') as f
+              from n, unnest([1, 2, 3]) ks(k), unnest(range(1, len(w) - k + 2)) t(i)),
+        e as (select f, hex(encode(f)) as x from (select distinct f from g)),
+        b as (select f, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(x) // 2 + 1), lambda j: cast('0x' || substr(x, 2 * j - 1, 2) as bigint))),
+                        lambda a, y: xor(a >> 8, crc[cast(xor(a, y) & 255 as int) + 1])), 4294967295) % 10000 as bucket from e, tab),
+        p as (select r, corpus, bucket, count(*) as n from g join b using (f) group by all),
+        s as (select bucket, coalesce(sum(n) filter (corpus = 0), 0) as s, coalesce(sum(n) filter (corpus = 1), 0) as t from p group by bucket),
+        tot as (select sum(s) as s_all, sum(t) as t_all from s),
+        gain as (select bucket, cast(floor(1000 * ln(((t + 1)::double * (s_all + 10000)::double) / ((s + 1)::double * (t_all + 10000)::double))) as bigint) as gain from s, tot),
+        wt as (select r, sum(n * gain) as weight, sum(n) as n_features from p join gain using (bucket) where corpus = 0 group by r),
+        h as (select r, doc_id, len(w) as n_words, cast('0x' || substr(sha256('42:' || coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) as h from n where corpus = 0),
+        sc as (select doc_id, n_words, cast(coalesce(n_features, 0) as bigint) as n_features, cast(coalesce(weight, 0) as bigint) as weight,
+                      cast(coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double))) as bigint) as bigint) as score from h left join wt using (r)),
+        k as (select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id, n_features desc) as place, 5 * count(*) filter (n_words >= 20) over () // 100 as many from sc)
+        select doc_id, n_features, weight, score, case when n_words >= 20 and place <= many then place end as rank from k""",
 }
