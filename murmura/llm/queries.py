@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmura.llm import backoff, decontaminate, language, mixing, pii, quality, resample, simhash, suffix_dedup, toxicity, url_filter
+from murmura.llm import backoff, decontaminate, divergence, language, mixing, pii, quality, resample, simhash, suffix_dedup, toxicity, url_filter
 from murmura.llm.common import doc_hash
 
 
@@ -86,6 +86,10 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_simhash": op2_simhash,
@@ -98,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_backoff": op10_backoff,
     "op11_resampling": op11_resampling,
+    "op12_divergence": op12_divergence,
 }
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -161,4 +166,24 @@ ORACLES: dict[str, str] = {
                       cast(coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double))) as bigint) as bigint) as score from h left join wt using (r)),
         k as (select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id, n_features desc) as place, 5 * count(*) filter (n_words >= 20) over () // 100 as many from sc)
         select doc_id, n_features, weight, score, case when n_words >= 20 and place <= many then place end as rank from k""",
+    "op12_divergence": rf"""
+        with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all({LOWERED}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+        g as (select distinct lang, source from d),
+        r as (select row_number() over () as r, * from d),
+        o as (select lang, source, term, r from r, unnest(w) t(term)),
+        k as (select lang, term from o group by lang, term having count(distinct r) >= 3),
+        c as (select lang, source, term, count(*)::hugeint as n from o join k using (lang, term) group by all),
+        v as (select lang, count(term) as v from (select distinct lang from g) left join k using (lang) group by lang),
+        n as (select lang, source, coalesce(sum(n), 0)::hugeint as total from g left join c using (lang, source) group by all),
+        f as (select n.lang, n.source, k.term, coalesce(c.n, 0) as n, 1 + 1000000000::hugeint * (coalesce(c.n, 0) + 1) // (total + v) as p
+              from n join v using (lang) join k using (lang) left join c on c.lang = n.lang and c.source = n.source and c.term = k.term),
+        l as (select lang, term, 1 + 1000000000::hugeint * (coalesce(sum(n), 0) + 1) // (any_value(all_n) + any_value(v)) as q
+              from f join v using (lang) join (select lang, sum(total) as all_n from n group by lang) using (lang) group by lang, term),
+        pairs as (select a.lang, a.source, b.source as item, coalesce(s.value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source
+              left join (select x.lang, x.source as s1, y.source as s2, sum((x.p - y.p) * (x.p - y.p) // y.p) as value from f x join f y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all) s
+              on s.lang = a.lang and s.s1 = a.source and s.s2 = b.source),
+        u as (select lang, source, 'pair' as part, item, value from pairs
+              union all select lang, source, 'term', term, (p - q) * (p - q) // q from f join l using (lang, term) where n > 0 and p > q)
+        select lang, source, part, item, cast(value as bigint) as value, cast(place as int) as rank
+        from (select *, row_number() over (partition by lang, source, part order by value desc, item) as place from u) where part = 'pair' or place <= 200""",
 }
