@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmura.llm import backoff, decontaminate, divergence, language, mixing, pii, quality, resample, simhash, suffix_dedup, toxicity, url_filter
+from murmura.llm import backoff, decontaminate, divergence, jaccard, language, mixing, pii, quality, resample, simhash, suffix_dedup, toxicity, url_filter
 from murmura.llm.common import doc_hash
 
 
@@ -90,6 +90,10 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_simhash": op2_simhash,
@@ -103,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_backoff": op10_backoff,
     "op11_resampling": op11_resampling,
     "op12_divergence": op12_divergence,
+    "op13_jaccard": op13_jaccard,
 }
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
