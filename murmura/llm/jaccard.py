@@ -28,8 +28,8 @@ from murmura.llm.blocks import UNKNOWN, split_by
 from murmura.llm.common import by_slices, forget, given, ship, size_hint, stored
 from murmura.llm.components import components
 
-#: Bytes of text of a block; stored bytes of documents for each bucket of shingles.
-BLOCK, BUCKET = 8 << 20, 8 << 20
+#: Bytes of text of a block, and those hashed at a time; stored bytes of documents for each bucket of shingles.
+BLOCK, SLICE, BUCKET = 8 << 20, 1 << 20, 4 << 20
 #: Bits of a shingle's hash; its document frequency's bit length goes above them, so that rare shingles come first.
 BITS = 48
 #: Members and sets of one task's prefix tree at most, about; members joined at a time.
@@ -73,7 +73,8 @@ def _sent(words: int, buckets: int):
     def run(batches):
         block = TaskContext.get().partitionId() << 32
         for rows, buf, off in by_slices(batches, "text", BLOCK):
-            h, of = shingles(buf, off, words)
+            parts = [(a, *shingles(buf[off[a] : off[b]], off[a : b + 1] - off[a], words)) for a, b in K.slices(off, SLICE)]
+            h, of = np.concatenate([x[1] for x in parts]), np.concatenate([a + x for a, _, x in parts])
             n = np.bincount(of, minlength=len(off) - 1)
             ends = np.cumsum(n)
             sums = [np.concatenate([np.zeros(1, U64), np.cumsum(K.mix(h ^ U64(x)))]) for x in (0, K.BASES[1])]
