@@ -34,6 +34,12 @@ def _line(cells: Column, separator: str) -> Column:
     return F.concat(F.lit("| "), F.array_join(cells, separator), F.lit(" |"))
 
 
+def header_lines(header: Column) -> Column:
+    """A header given as a list of texts, as header rows: if any of them holds a comma, each is a row, cut at commas; else they are the cells of one row."""
+    cut = F.transform(header, lambda line: F.transform(F.split(line, ","), _trimmed))
+    return F.when(F.exists(header, lambda c: F.coalesce(F.contains(c, F.lit(",")), F.lit(False))), cut).otherwise(F.array(header))
+
+
 def table_text(headers: Column, rows: Column, file_name: Column | None = None, sheet_name: Column | None = None, separator: str = " | ", max_length: int = -1) -> Column:
     """A table as Markdown text. headers: array of header rows; several are joined, with all lines, by spaces."""
     filled = F.transform(headers, filled_header)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +42,30 @@ def feature_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(*keys)), 6))
 
 
+#: Answers that one copy of a table's automaton reads, about; a table with more cases is dealt out over several tasks.
+ANSWERS = 20_000
+
+
+def _longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in which a table's cells come before the answers of its cases: for each answer the first, in the table's order, of the cells that it holds and gold has not."""
+    cells, automaton = [], None
+    for batch in batches:
+        out = []
+        for kind, entries, query, table, answer, gold in zip(*(c.to_pylist() for c in batch.columns)):
+            if kind == 0:
+                cells, automaton = entries, ahocorasick.Automaton()
+                for i, e in enumerate(cells):
+                    automaton.add_word(e["norm"], i)
+                automaton.make_automaton()
+            else:
+                taken = set(gold or ())
+                best = min((i for _, i in automaton.iter(answer) if not taken or cells[i]["norm"] not in taken), default=None)
+                if best is not None:
+                    out.append((query, table, cells[best]["size"], cells[best]["position"], cells[best]["cell"]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["query_id", "table_id", "size", "position", "cell"])
+
+
 def distractor_matches(answers: DataFrame, cells: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     """(query_id, table_id, cell) of the longest distractor cell that the answer holds.
 
@@ -49,29 +77,40 @@ def distractor_matches(answers: DataFrame, cells: DataFrame, tables: DataFrame |
     the query has too are out, as are those of one character or without a letter or
     digit; the first of equally long ones wins.
 
-    An answer meets the few tables of its case, and the cells of each as one array:
-    its text is sent once a table, not once a cell, and the longest cell found there
-    comes back.
+    The cells of a table make one Aho-Corasick automaton, and the answers of its cases
+    stream past it: an answer is read once a table, however many cells that has. A
+    table of many cases has copies of its automaton in several tasks.
     """
     norm = cells if "norm" in cells.columns else cells.withColumn("norm", T.collapsed(F.col("cell")))
-    if tables is None:
+    shared = tables is not None
+    if not shared:
         tables = norm.select("query_id", "table_id", "is_gold").distinct().withColumn("of_query", F.col("query_id"))
         norm = norm.withColumn("of_query", F.col("query_id"))
     else:
         tables, norm = tables.withColumn("of_query", F.lit(0)), norm.withColumn("of_query", F.lit(0)).withColumn("is_gold", F.lit(None).cast("boolean"))
     usable = norm.filter("length(norm) >= 2").filter(F.col("norm").rlike(r"[\p{L}\p{N}]"))
     first = usable.groupBy("of_query", "table_id", "is_gold", "norm").agg(F.min(F.struct("position", "cell")).alias("at"))
-    # longest first, so that the first cell found is the one wanted
-    entry = F.struct((-F.char_length("norm")).alias("size"), F.col("at.position").alias("position"), "norm", F.col("at.cell").alias("cell"))
+    # longest first, so that the least place among the cells found is the one wanted
+    entry = F.struct((-F.char_length("norm")).cast("long").alias("size"), F.col("at.position").cast("long").alias("position"), "norm", F.col("at.cell").alias("cell"))
     lists = first.groupBy("of_query", "table_id", "is_gold").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    lists = lists.select("of_query", "table_id", F.col("is_gold").alias("cells_gold"), "entries")
-    met = tables.join(lists, ["of_query", "table_id"]).filter("cells_gold is null or cells_gold = is_gold")
-    gold = met.filter("is_gold").groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list(F.col("entries.norm")))).alias("gold"))
+    lists = lists.withColumnRenamed("is_gold", "cells_gold")
+    met = tables.filter("is_gold").join(lists.filter("cells_gold is null or cells_gold"), ["of_query", "table_id"])
+    gold = met.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list(F.col("entries.norm")))).alias("gold"))
     said = answers.select("query_id", T.collapsed(F.col("answer")).alias("norm_answer")).join(gold, "query_id", "left")
-    held = met.filter("not is_gold").join(said, "query_id")
-    found = F.filter("entries", lambda e: F.contains(F.col("norm_answer"), e["norm"]) & ~F.coalesce(F.array_contains(F.col("gold"), e["norm"]), F.lit(False)))
-    best = held.select("query_id", "table_id", F.get(found, F.lit(0)).alias("e")).filter("e is not null")
-    best = best.groupBy("query_id").agg(F.min(F.struct(F.col("e.size").alias("size"), "table_id", F.col("e.position").alias("position"), F.col("e.cell").alias("cell"))).alias("best"))
+    held, lists = tables.filter("not is_gold"), lists.filter("cells_gold is null or not cells_gold")
+    if shared:
+        parts = held.groupBy("of_query", "table_id").agg(F.ceil(F.count("*") / ANSWERS).alias("parts"))
+        held = held.join(parts, ["of_query", "table_id"]).withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")))
+        lists = lists.join(parts, ["of_query", "table_id"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    else:
+        held, lists = held.withColumn("part", F.lit(0).cast("long")), lists.withColumn("part", F.lit(0).cast("long"))
+    keys = ["of_query", "table_id", "part"]
+    asked = held.join(lists.select(*keys).distinct(), keys, "left_semi").join(said, "query_id").filter("norm_answer is not null")
+    rows = lists.select(*keys, F.lit(0).alias("kind"), "entries").unionByName(asked.select(*keys, F.lit(1).alias("kind"), "query_id", "norm_answer", "gold"), allowMissingColumns=True)
+    kinds = dict(answers.dtypes)["query_id"], dict(tables.dtypes)["table_id"]
+    found = rows.repartition(*keys).sortWithinPartitions(*keys, "kind").select("kind", "entries", "query_id", "table_id", "norm_answer", "gold")
+    found = found.mapInArrow(_longest, f"query_id {kinds[0]}, table_id {kinds[1]}, size long, position long, cell string")
+    best = found.groupBy("query_id").agg(F.min(F.struct("size", "table_id", "position", "cell")).alias("best"))
     return best.select("query_id", F.col("best.table_id").alias("table_id"), F.col("best.cell").alias("cell"))
 
 

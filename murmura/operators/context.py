@@ -9,10 +9,10 @@ from murmura.operators.records import numbered
 
 
 def hard_negatives(retrieved: DataFrame, gold: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, id): the first k retrieved ids that are not gold, renumbered."""
+    """(query_id, rank, id): the first k retrieved ids that are not gold, with the ranks that retrieval gave them."""
     others = retrieved.join(gold.select("query_id", "id").distinct(), ["query_id", "id"], "left_anti")
     order = Window.partitionBy("query_id").orderBy("rank")
-    return others.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select("query_id", F.col("place").alias("rank"), "id")
+    return others.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select("query_id", "rank", "id")
 
 
 #: Ids of a page of the shuffled corpus, from which a query draws.

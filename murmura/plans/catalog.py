@@ -42,6 +42,20 @@ def retrieval_topk(spark, sf_dir):
     return retrieve.tag_gold(retrieve.cosine_topk(queries, corpus, 5), gold).select("query_id", "rank", "id", "score", "is_gold")
 
 
+_LETTERS = with_(V.LETTER_VECTORS) + "select query_id, cast(place as integer) as rank, id, score from (select *, row_number() over (partition by query_id order by score desc, id) as place from s) where place <= 10"
+
+
+@query(_LETTERS)
+def retrieval_text_ids(spark, sf_dir):
+    return retrieve.cosine_topk(*V.letters(spark, sf_dir), 10)
+
+
+@query(_LETTERS)
+def retrieval_indexed(spark, sf_dir):
+    asked, corpus = V.letters(spark, sf_dir)
+    return retrieve.search(asked, retrieve.clustered(corpus), 10)
+
+
 def _metrics(spark, sf_dir, indexed: bool = False) -> DataFrame:
     queries, corpus, gold = V.retrieval(spark, sf_dir)
     index = corpus.filter("id % 3 <> 0").select("id") if indexed else None

@@ -34,7 +34,9 @@ def _table_lines(spark, sf_dir):
     met = V.read(spark, sf_dir, "region").join(rows, F.col("r_regionkey") == F.col("n_regionkey"))
     lists, lines = F.to_json(F.transform("r", lambda x: x["cells"])), F.to_json(F.transform("r", lambda x: x["line"]))
     body = F.when(F.col("r_regionkey") % 2 == 0, lists).otherwise(lines)
-    entry = lambda file, rows: F.concat(F.lit('{"id":"t'), F.col("r_regionkey").cast("string"), F.lit('","file_name":"'), file, F.lit('","header":"key,name","instances":'), rows, F.lit("}"))
+    headers = [F.lit('"key,name"'), F.lit('["key, \\"na, me\\", \\\\\\"x"]'), F.lit('["Name, first", "Age"]'), F.lit('["k,\\"na, me\\""]')]
+    header = F.element_at(F.array(*headers), (F.col("r_regionkey") % 4 + 1).cast("int"))
+    entry = lambda file, rows: F.concat(F.lit('{"id":"t'), F.col("r_regionkey").cast("string"), F.lit('","file_name":"'), file, F.lit('","header":'), header, F.lit(',"instances":'), rows, F.lit("}"))
     texts = F.concat_ws("\n", entry(F.lit("old"), F.lit("[]")), entry(F.col("r_name"), body), F.lit('{"id": broken'))
     return _written(spark, met.select(texts.alias("value")).coalesce(1))
 
@@ -42,7 +44,7 @@ def _table_lines(spark, sf_dir):
 _REGIONS = "n as (select n_regionkey, n_nationkey, row_number() over (partition by n_regionkey order by n_nationkey) - 1 as row, cast(n_nationkey as varchar) as a, n_name || ', \"x\"' as b from nation)"
 
 
-@query(with_(_REGIONS) + "select 't' || r_regionkey as id, r_name as file_name, 'key|name' as header, string_agg(a || '|' || b, ';' order by n_nationkey) as rows from region join n on r_regionkey = n_regionkey group by all")
+@query(with_(_REGIONS) + "select 't' || r_regionkey as id, r_name as file_name, case r_regionkey % 4 when 0 then 'key|name' when 1 then 'key|\"na|me\"|\"x' when 2 then 'Name, first|Age' else 'k|na, me' end as header, string_agg(a || '|' || b, ';' order by n_nationkey) as rows from region join n on r_regionkey = n_regionkey group by all")
 def read_tables(spark, sf_dir):
     found = readers.tables(spark, _table_lines(spark, sf_dir))
     joined = lambda rows: F.array_join(F.transform(rows, lambda r: F.array_join(r, "|")), ";")
@@ -54,25 +56,24 @@ def table_cells(spark, sf_dir):
     return readers.cell_map(readers.tables(spark, _table_lines(spark, sf_dir)))
 
 
-_LINE = """l as (select p_partkey, case p_partkey % 4 when 0 then p_partkey || ', " a ""b"" ,c" ,' when 1 then '' when 2 then 'x\\,y,' || p_partkey else p_name || ',' || p_brand end as line from part)"""
-
-
 def _lines(spark, sf_dir):
+    """Parts as CSV lines: a quote after a blank, which is no quote; nothing; an escaped comma; plain cells; a quoted cell with doubled quotes, and with escaped ones."""
     key = F.col("p_partkey").cast("string")
-    line = F.when(F.col("p_partkey") % 4 == 0, F.concat(key, F.lit(', " a ""b"" ,c" ,'))).when(F.col("p_partkey") % 4 == 1, "").when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("x\\,y,"), key)).otherwise(F.concat_ws(",", "p_name", "p_brand"))
-    return V.read(spark, sf_dir, "part").select("p_partkey", line.alias("line"), "p_name", "p_brand")
+    kinds = [F.concat(key, F.lit(', " a ""b"" ,c" ,')), F.lit(""), F.concat(F.lit("x\\,y,"), key), F.concat_ws(",", "p_name", "p_brand"), F.concat(key, F.lit(',"  ""b"" ,c",')), F.concat(key, F.lit(',"a \\"b\\" ,c",'))]
+    line = F.element_at(F.array(*kinds), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return V.read(spark, sf_dir, "part").select("p_partkey", line.alias("line"))
 
 
-@query("""select p_partkey, case p_partkey % 4 when 0 then p_partkey || '|a "b" ,c"|' when 1 then '' when 2 then 'x,y|' || p_partkey else trim(p_name) || '|' || trim(p_brand) end as cells from part where p_partkey % 4 <> 0""")
+@query("""select p_partkey, case p_partkey % 6 when 0 then p_partkey || '|" a ""b""|c"|' when 1 then '' when 2 then 'x,y|' || p_partkey when 3 then trim(p_name) || '|' || trim(p_brand)
+  when 4 then p_partkey || '|"b" ,c|' else p_partkey || '|a "b" ,c|' end as cells from part""")
 def csv_row_parse(spark, sf_dir):
-    rows = _lines(spark, sf_dir).filter("p_partkey % 4 <> 0")
-    return rows.select("p_partkey", F.array_join(readers.csv_cells(F.col("line")), "|").alias("cells"))
+    return _lines(spark, sf_dir).select("p_partkey", F.array_join(readers.csv_cells(F.col("line")), "|").alias("cells"))
 
 
-@query("""select p_partkey, case p_partkey % 4 when 1 then '' when 2 then 'x\\|y|' || p_partkey else p_name || '|' || p_brand end as cells from part where p_partkey % 4 <> 0""")
+@query("""select p_partkey, case p_partkey % 6 when 0 then p_partkey || '| " a ""b"" |c" |' when 1 then '' when 2 then 'x\\|y|' || p_partkey when 3 then p_name || '|' || p_brand
+  when 4 then p_partkey || '|  "b" ,c|' else p_partkey || '|a \\b\\" |c"|' end as cells from part""")
 def csv_row_parse_plain(spark, sf_dir):
-    rows = _lines(spark, sf_dir).filter("p_partkey % 4 <> 0")
-    return rows.select("p_partkey", F.array_join(readers.csv_cells_plain(F.col("line")), "|").alias("cells"))
+    return _lines(spark, sf_dir).select("p_partkey", F.array_join(readers.csv_cells_plain(F.col("line")), "|").alias("cells"))
 
 
 def _query_lines(spark, sf_dir):
@@ -119,22 +120,24 @@ def attach_tables(spark, sf_dir):
 
 @query("select conv_id, turn, role from conversations")
 def read_records(spark, sf_dir):
-    """Lines with broken ones, a list, and documents that hold the list in records, results or data."""
+    """Lines with broken ones, a list, and documents that hold the list in records, results or data: four documents, each of a fifth of the table and without a line break between its records."""
     rows = V.read(spark, sf_dir, "conversations").withColumn("kind", F.col("conv_id") % 5)
     path, entry = scratch(spark), F.struct("conv_id", "turn", "role")
-    lines = rows.filter("kind = 0").select(F.concat(F.to_json(entry), F.lit("\n{broken")).alias("value"))
-    whole = rows.filter("kind > 0").groupBy("kind").agg(F.to_json(F.collect_list(entry)).alias("list"))
+    rows.filter("kind = 0").select("kind", F.concat(F.to_json(entry), F.lit("\n{broken")).alias("value")).write.partitionBy("kind").mode("append").text(path)
     name = F.element_at(F.array(F.lit("records"), F.lit("results"), F.lit("data")), F.greatest(F.col("kind") - 1, F.lit(1)).cast("int"))
-    whole = whole.select("kind", F.when(F.col("kind") == 1, F.col("list")).otherwise(F.concat(F.lit('{\n"'), name, F.lit('":'), F.col("list"), F.lit("}"))).alias("value"))
-    lines.write.mode("append").text(path)
-    for kind in (1, 2, 3, 4):
-        whole.filter(F.col("kind") == kind).select("value").coalesce(1).write.mode("append").text(path)
-    return readers.records(spark, path, "conv_id bigint, turn bigint, role string").withColumn("turn", F.col("turn").cast(dict(rows.dtypes)["turn"]))
+    ends = rows.select("kind").filter("kind > 0").distinct().withColumn("end", F.explode(F.array(F.lit(0), F.lit(2))))
+    opened = F.when(F.col("kind") == 1, F.lit("[")).otherwise(F.concat(F.lit('{"'), name, F.lit('": [')))
+    closed = F.when(F.col("kind") == 1, F.lit("{}]")).otherwise(F.lit('1], "other": [{"conv_id": 0}]}'))
+    parts = ends.select("kind", F.col("end").alias("place"), F.when(F.col("end") == 0, opened).otherwise(closed).alias("value"))
+    parts = parts.unionByName(rows.filter("kind > 0").select("kind", F.lit(1).alias("place"), F.concat(F.to_json(entry), F.lit(", ")).alias("value")))
+    parts.repartition("kind").sortWithinPartitions("kind", "place").select("kind", "value").write.partitionBy("kind").option("lineSep", " ").mode("append").text(path)
+    found = readers.records(spark, path, "conv_id bigint, turn bigint, role string").filter("conv_id is not null")
+    return found.withColumn("turn", F.col("turn").cast(dict(rows.dtypes)["turn"]))
 
 
-@query("select 'd' || doc_id as id, md5(text) as representation_md5, lang from documents where doc_id % 2 = 0")
+@query("select 'd' || doc_id as id, md5(text) as representation_md5, lang from documents")
 def read_representations(spark, sf_dir):
-    d = V.read(spark, sf_dir, "documents").filter("doc_id % 2 = 0")
+    d = V.read(spark, sf_dir, "documents")
     key = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
     meta = F.create_map(F.lit("lang"), F.col("lang"))
     new = F.when(F.col("doc_id") % 4 == 0, F.to_json(F.struct(key.alias("id"), F.col("text").alias("representation"), meta.alias("metadata")))).otherwise(F.to_json(F.struct(key.alias("table_id"), F.col("text").alias("representation"), meta.alias("metadata"))))
@@ -187,12 +190,15 @@ def gzip_digest(spark, sf_dir):
     return out.withColumn("part", F.col("part").cast(kind))
 
 
-@query("select 'reader-' || s_suppkey as model, cast(s_suppkey as decimal(18,6)) / 100 as rate_in, cast(s_suppkey as decimal(18,6)) / 50 as rate_out from supplier where s_suppkey <= 50")
+@query("select 'reader-' || s_suppkey as model, cast(s_suppkey as decimal(18,6)) / 100 as rate_in, cast(s_suppkey as decimal(18,6)) / 50 as rate_out from supplier")
 def price_parse(spark, sf_dir):
-    s = V.read(spark, sf_dir, "supplier").filter("s_suppkey <= 50").withColumn("k", F.col("s_suppkey").cast("decimal(18,6)"))
+    """A list of prices for every fifty suppliers."""
+    s = V.read(spark, sf_dir, "supplier").withColumn("k", F.col("s_suppkey").cast("decimal(18,6)")).withColumn("list", F.expr("s_suppkey div 50"))
     entry = F.concat(F.lit("  reader-"), F.col("s_suppkey").cast("string"), F.lit(":\n    input: "), (F.col("k") / 100).cast("decimal(18,6)").cast("string"), F.lit("\n    output: "), (F.col("k") / 50).cast("decimal(18,6)").cast("string"))
-    text = s.agg(F.concat(F.lit("# rates\nmodels:\n"), F.array_join(F.collect_list(entry), "\n")).alias("value"))
-    found = readers.prices(spark, _written(spark, text.coalesce(1)))
+    text = s.groupBy("list").agg(F.concat(F.lit("# rates\nmodels:\n"), F.array_join(F.collect_list(entry), "\n")).alias("value"))
+    path = scratch(spark)
+    text.write.partitionBy("list").text(path)
+    found = readers.prices(spark, path)
     return found.select("model", F.col("rate_in").cast("decimal(18,6)").cast("double").alias("rate_in"), F.col("rate_out").cast("decimal(18,6)").cast("double").alias("rate_out"))
 
 

@@ -65,6 +65,22 @@ RETRIEVAL = """q as (select vec_id as query_id, embedding, label from embeddings
   ranked as (select query_id, cast(rank as integer) as rank, id, score from (select *, row_number() over (partition by query_id order by score desc, id) as rank from sims) where rank <= 50)"""
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as vectors of their letter counts, with text ids: every hundredth asks (query_id, embedding), all answer (id, embedding)."""
+    d = read(spark, sf_dir, "documents")
+    count = F.array(*(F.char_length("text") - F.char_length(F.replace("text", F.lit(x))) for x in LETTERS))
+    docs = d.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), count.cast("array<double>").alias("embedding"), "doc_id")
+    return docs.filter("doc_id % 100 = 0").select(F.col("id").alias("query_id"), "embedding"), docs.select("id", "embedding")
+
+
+LETTER_VECTORS = f"""v as (select doc_id, 'd' || doc_id as id, [{", ".join(f"length(text) - length(replace(text, '{x}', ''))" for x in LETTERS)}]::double[] as e from documents),
+  n as (select *, list_inner_product(e, e) as size from v),
+  s as (select a.id as query_id, b.id, round(list_inner_product(a.e, b.e) / sqrt(a.size) / sqrt(b.size), 6) as score from n a join n b on a.doc_id % 100 = 0 and a.size > 0 and b.size > 0)"""
+
+
 def metric_sql(gold: str) -> str:
     """CTEs ``m``: the five metrics of each query and depth, against a CTE of gold pairs."""
     return f"""ks as (select unnest([1, 5, 10, 20, 30, 40, 50]) as k),
@@ -82,8 +98,8 @@ def metric_sql(gold: str) -> str:
      case when n_gold > 0 and n_rows > 0 then dcg / (select sum(1 / log2(i + 1)) from range(1, least(n_gold, k) + 1) r(i)) else 0.0 end as ndcg from b)"""
 
 
-CONTEXT = """hn as (select query_id, rank, id from (select r.query_id, r.id, row_number() over (partition by r.query_id order by r.rank) as rank
-     from ranked r left join gold g on r.query_id = g.query_id and r.id = g.id where g.id is null) where rank <= 10),
+CONTEXT = """hn as (select query_id, rank, id from (select r.query_id, r.id, r.rank, row_number() over (partition by r.query_id order by r.rank) as place
+     from ranked r left join gold g on r.query_id = g.query_id and r.id = g.id where g.id is null) where place <= 10),
   gp as (select query_id, list(id order by id) as gold from gold where id < 100 group by query_id),
   np as (select query_id, list(id order by rank) as negatives from hn group by query_id),
   cx as (select query_id, gold, list_slice(negatives, 1, 8 - len(gold)) as neg from gp join np using (query_id) where len(negatives) >= 8 - len(gold) and len(gold) <= 8),

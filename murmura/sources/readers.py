@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from murmura.sources import nested
+
 TABLE = "id string, file_name string, sheet_name string, header string, instances string, metadata map<string,string>"
 QUERY = "id string, query_id string, question string, ground_truth_list array<struct<id:string>>, answer string, sql string"
 
@@ -56,12 +58,12 @@ def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def header_rows(header: Column) -> Column:
-    """A header as JSON text (a CSV string, a list with one, a list of cells, or a list of rows) as rows of cells."""
+    """A header as JSON text as rows of cells: a CSV string, or a list with one, is parsed; a list of cells is one row; a list of rows stays."""
     rows = F.from_json(header, "array<array<string>>")
     cells = F.from_json(header, "array<string>")
-    by_line = F.transform(cells, lambda c: F.transform(F.split(c, ","), lambda x: F.trim(x)))
-    many = header.startswith("[[")
-    return F.when(header.isNull(), F.array().cast("array<array<string>>")).when(many, rows).when(header.startswith("["), F.when(F.exists(cells, lambda c: c.contains(",")), by_line).otherwise(F.array(cells))).otherwise(F.array(csv_cells(header)))
+    kind = F.when(header.rlike(r"^\s*\[\s*\["), "rows").when(header.rlike(r"^\s*\["), "cells").otherwise("line")
+    line = F.when(kind == "line", header).when((kind == "cells") & (F.size(cells) == 1), F.get(cells, F.lit(0)))
+    return F.when(header.isNull(), F.array().cast("array<array<string>>")).when(kind == "rows", rows).when(line.isNotNull(), F.array(csv_cells(line))).otherwise(F.array(cells))
 
 
 def tables(spark: SparkSession, path: str) -> DataFrame:
@@ -96,27 +98,20 @@ def first_by(rows: DataFrame, key: str) -> DataFrame:
 
 
 def records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON records, file by file: from lines, or from a whole document that is a list or holds one in records, results or data; what cannot be read is skipped.
+    """JSON records, file by file: from lines, or from a whole document that is a list, or holds one in records, results or data, or is a record itself; what cannot be read is skipped.
 
-    Lines are read as lines, whatever the size of the file; only files whose first line
-    is no record by itself are read whole.
+    Lines are read as lines. A document is read by as many tasks as it has byte ranges
+    (see nested.py), so neither its size nor its lack of line breaks matters. Files
+    called .jsonl are lines, those called .json documents; others are told by how they
+    begin. No file name comes to the driver.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_place"))
-    heads = lines.filter("trim(value) <> ''").groupBy("_file").agg(F.min_by("value", "_place").alias("head"))
-    inner = F.coalesce(*(F.get_json_object("head", f"$.{x}") for x in ("records", "results", "data")))
-    nested = [r[0] for r in heads.filter(F.ltrim("head").startswith("[") | F.get_json_object("head", "$").isNull() | inner.startswith("[")).select("_file").collect()]
-    plain = lines.filter(~F.col("_file").isin(nested)) if nested else lines
-    rows = plain.select(F.from_json("value", schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r")).filter("r is not null and r._bad is null").select("r.*").drop("_bad")
-    if not nested:
-        return rows
-    kind = f"array<struct<{_fields(schema)}>>"
-    whole = spark.read.text(nested, wholetext=True).select("value", F.from_json("value", f"records {kind}, results {kind}, data {kind}").alias("d"))
-    listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", kind)).otherwise(F.coalesce("d.records", "d.results", "d.data"))
-    return rows.unionByName(whole.select(F.explode(listed).alias("r")).filter("r is not null").select("r.*"))
-
-
-def _fields(schema: str) -> str:
-    return ", ".join(f"{n}:{t}" for n, t in (x.split(" ", 1) for x in schema.split(", ")))
+    parts = nested.pieces(spark, path)
+    heads = parts.withColumn("_place", F.monotonically_increasing_id()).filter("start = 0").groupBy("file").agg(F.min_by("value", "_place").alias("value"))
+    whole = heads.filter(nested.is_document()).select("file")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).join(whole, "file", "left_anti").select("value")
+    values = lines.unionByName(nested.documents(parts.join(whole, "file", "left_semi")))
+    rows = values.select(F.from_json("value", schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    return rows.filter("r is not null and r._bad is null").select("r.*").drop("_bad")
 
 
 def attach_tables(asked: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -217,13 +212,12 @@ def results_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def prices(spark: SparkSession, path: str) -> DataFrame:
-    """(model, rate_in, rate_out) from the small YAML of rates: models at two spaces, their fields at four."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("n", "line"))
+    """(model, rate_in, rate_out) from small YAML files of rates: models at two spaces, their fields at four."""
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
     model = F.when(F.col("line").rlike(r"^  \S[^:]*:\s*$"), F.regexp_extract("line", r"^  (\S[^:]*):", 1))
-    order = Window.orderBy("n")  # one small file
-    known = lines.withColumn("model", F.last(model, ignorenulls=True).over(order))
+    known = lines.withColumn("model", F.last(model, ignorenulls=True).over(Window.partitionBy("_file").orderBy("n")))
     field = lambda name: F.max(F.when(F.col("line").rlike(rf"^    {name}:"), F.regexp_extract("line", r":\s*([0-9.]+)", 1).cast("decimal(18,6)")))
-    return known.filter("model is not null").groupBy("model").agg(field("input").alias("rate_in"), field("output").alias("rate_out"))
+    return known.filter("model is not null").groupBy("_file", "model").agg(field("input").alias("rate_in"), field("output").alias("rate_out")).drop("_file")
 
 
 def resolve_column(df: DataFrame, candidates: list[str]) -> str | None:

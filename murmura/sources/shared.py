@@ -22,3 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def drop(spark: SparkSession, path: str) -> bool:
+    """Deletes a path with all that is in it; whether it was there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
