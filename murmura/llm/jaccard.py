@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmura.llm import kernels as K
@@ -86,7 +86,7 @@ def _sent(words: int, buckets: int):
             key, lone = h[head], np.where(times == 1, of[head] + 1, 0)
             common = np.repeat(times > 1, times)
             ids = rows.column(0)
-            base = np.concatenate([n.astype(U64), *marks, ids.fill_null(0).to_numpy().view(U64), ids.is_null().to_numpy(zero_copy_only=False).astype(U64)])
+            base = np.concatenate([n.astype(U64), *marks, ids.fill_null(0).to_numpy().view(U64), ids.is_null().to_numpy(zero_copy_only=False).astype(U64), rows.column(2).to_numpy().view(U64)])
             cells = [(int(block % buckets), block, 0, planes(key[times > 1]), planes(times[times > 1]), planes(of[common]), planes(base))]
             by, at = split_by((key % U64(buckets)).astype(np.int64), buckets)
             key, lone, times = key[by], lone[by], times[by]
@@ -127,17 +127,17 @@ def _answered(rows: pa.Table) -> pa.Table:
     return pa.concat_tables([made, rows.filter(pa.array(kinds == 0)).cast(made.schema)])
 
 
-MADE = "doc_id long, n long, h1 long, h2 long, members array<long>"
+MADE = "doc_id long, mark long, n long, h1 long, h2 long, members array<long>"
 
 
 def _gathered(percent: int):
-    """A block's documents: id, number of shingles, a hash of the set; and, ascending in the common order, the shared shingles of those that share enough."""
+    """A block's documents: id, hash of the text, number of shingles, a hash of the set; and, ascending in the common order, the shared shingles of those that share enough."""
 
     def run(rows: pa.Table) -> pa.Table:
         kind = rows.column("kind").to_pylist()
         cell = lambda i, c: unplanes(rows.column(c)[i].as_py())
         own = kind.index(0)
-        n, h1, h2, ids, none = cell(own, "d").reshape(5, -1)
+        n, h1, h2, ids, none, mark = cell(own, "d").reshape(6, -1)
         n = n.astype(np.int64)
         got = [(np.cumsum(cell(i, "a"), dtype=U64), cell(i, "b").astype(np.int64), cell(i, "c")) for i, k in enumerate(kind) if k == 1]
         key, of, level = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, U64))
@@ -153,15 +153,20 @@ def _gathered(percent: int):
         key, of = key[stay].astype(np.int64), of[stay]
         order = np.lexsort((key, of))
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(n)))]).astype(np.int32)), pa.array(key[order]))
-        return pa.table([pa.array(ids.view(np.int64), mask=none.astype(bool)), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists], [x.split()[0] for x in MADE.split(", ")])
+        return pa.table([pa.array(ids.view(np.int64), mask=none.astype(bool)), pa.array(mark.view(np.int64)), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists], [x.split()[0] for x in MADE.split(", ")])
 
     return run
 
 
+def text_mark(text: Column) -> Column:
+    """A 64-bit hash of a text; null counts as empty. With the doc_id it tells rows apart that share one."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def shared_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n, h1, h2 (a hash of the set) of each row, and members: the shingles it shares with others, rare ones first; empty where these are too few for any similar row."""
+    """doc_id, mark (a hash of the text), n, h1, h2 (a hash of the set) of each row, and members: the shingles it shares with others, rare ones first; empty where these are too few for any similar row."""
     ship()
-    asked = given(docs, "doc_id", "text")
+    asked = given(docs, "doc_id", "text").withColumn("mark", text_mark(F.col("text")))
     size = size_hint(docs)
     if size > UNKNOWN:
         size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
@@ -235,6 +240,11 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     texts are documents of their own. A null doc_id keeps its row and is the least
     only where its component has no other. An empty table gives no rows.
     """
+    return grouped(docs, words, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """groups() with the columns doc_id, mark, n, component_id."""
     made: list[DataFrame] = []
 
     def kept(df: DataFrame) -> DataFrame:
@@ -265,8 +275,8 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     named = sets.join(roots, "id", "left").select("h1", "h2", "least", F.coalesce("root", "id").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = named.join(ids, "root").select("h1", "h2", "component_id", F.lit(True).alias("similar"))
-    lone = base.filter(F.size("members") == 0).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    out = stored(some.select("doc_id", "n", "h1", "h2").join(of, ["h1", "h2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(lone))
+    lone = base.filter(F.size("members") == 0).select("doc_id", "mark", "n", F.col("doc_id").alias("component_id"))
+    out = stored(some.select("doc_id", "mark", "n", "h1", "h2").join(of, ["h1", "h2"]).select("doc_id", "mark", "n", "component_id").unionByName(lone))
     forget(base, *made)
     return out
 
@@ -286,7 +296,11 @@ def _between(met: DataFrame, members: DataFrame, links: DataFrame, percent: int,
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """Of each component, the rows of the least doc_id, with all their columns; rows of null ids stay, and so does every row of an id that is the least somewhere."""
-    found = groups(docs, words, percent)
-    others = found.filter("doc_id <> component_id").select("doc_id").join(found.filter("doc_id = component_id").select("doc_id"), "doc_id", "left_anti").distinct()
-    return docs.join(others, "doc_id", "left_anti")
+    """Of each component, the rows of its least doc_id, with all their columns. A row goes by its id and its own text, so another text of the same id stays; rows of null ids stay."""
+    return without_others(docs, grouped(docs, words, percent))
+
+
+def without_others(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are the least of their component in ``found`` (doc_id, mark, component_id)."""
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["_id"]) & (text_mark(docs["text"]) == gone["_mark"]), "left_anti")

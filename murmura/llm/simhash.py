@@ -13,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from murmura.llm import jaccard
 from murmura.llm import kernels as K
-from murmura.llm.common import Sent, forget, given, mapped, stored
+from murmura.llm.common import given, mapped, stored
 from murmura.llm.components import components
 
 #: Bits of the three segments on the ring.
@@ -57,7 +58,7 @@ def chain_survivors(prints: DataFrame) -> DataFrame:
     ring = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), cut[i].alias("seg"), cut[(i + 1) % 3].alias("nxt"), F.lit(SEGMENTS[(i + 1) % 3]).alias("width")) for i in range(3))))
     one = prints.select("fp", ring.alias("c")).select("fp", "c.*")
     shared = one.groupBy("i", "seg").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("i", "seg")
-    one = one.join(shared, ["i", "seg"], "left_semi")
+    one = one.join(shared.hint("merge"), ["i", "seg"], "left_semi")
     flip = F.explode(F.concat(F.array(F.lit(0).cast("long")), F.expr("transform(sequence(0, width - 1), t -> shiftleft(1L, t))")))
     two = one.withColumn("flip", flip).select("fp", "i", "seg", F.col("nxt").bitwiseXOR(F.col("flip")).alias("nxt"), (F.col("flip") == 0).alias("own"))
     viable = two.groupBy("i", "seg", "nxt").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.max("own").alias("own")).filter("lo <> hi and own").select("i", "seg", "nxt")
@@ -88,140 +89,31 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     of = stored(fingerprints(docs, words))
     prints = stored(of.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("least")))
     found = components(hamming_links(prints.select("fp")))
-    rooted = prints.join(found, prints.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = prints.join(found.hint("merge"), prints.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select(F.col("fp").alias("fingerprint"), "component_id")
-    return of.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    named = rooted.join(least.hint("merge"), "root").select(F.col("fp").alias("fingerprint"), "component_id")
+    return of.join(named.hint("merge"), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-#: Shingles seen in so many of about so many sampled texts count as common, so many of them at most; this steers the work, never the result.
-COMMON, SAMPLE, MOST_COMMON = 3, 4000, 1 << 17
-
-
-def _shingles(buf: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of each text as 48-bit hashes, and where each text's begin."""
-    out, start, end, first = K.joined_words(buf, off)
-    n = np.diff(first)
-    shingles = np.where(n == 0, 0, np.maximum(n - words + 1, 1))
-    head = np.repeat(first[:-1], shingles) + K.positions(shingles)
-    last = head + np.repeat(np.minimum(n, words), shingles) - 1
-    h = K.span_hash(K.prefix_hash(out), start[head], end[last]) if len(head) else np.zeros(0, np.uint64)
-    mine, bounds = [np.zeros(0, np.uint64)], [0]
-    for a in range(0, len(n), 1 << 15):
-        b = min(len(n), a + (1 << 15))
-        at = slice(int(shingles[:a].sum()), int(shingles[:b].sum()))
-        of = np.repeat(np.arange(b - a, dtype=np.uint64), shingles[a:b])
-        keys = np.unique((of << np.uint64(48)) | (h[at] >> np.uint64(16)))
-        mine.append(keys & np.uint64((1 << 48) - 1))
-        bounds += (bounds[-1] + np.searchsorted(keys, np.arange(1, b - a + 1).astype(np.uint64) << np.uint64(48))).tolist()
-    return np.concatenate(mine), np.array(bounds)
-
-
-def _lists(every: np.ndarray, at: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(every.astype(np.int64)))
-
-
-def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts of a sample share, ascending, and the bit length of their counts."""
-    share = max(1, docs.count() // SAMPLE)
-    some = docs.select("doc_id", "text").filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
-    grams = mapped(some, lambda rows, buf, off: [_lists(*_shingles(buf, off, words))], "grams array<long>")
-    found = grams.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "g").limit(MOST_COMMON).toPandas().sort_values("g")
-    return found["g"].to_numpy().astype(np.uint64), np.ceil(np.log2(found["n"].to_numpy() + 1)).astype(np.uint64)
-
-
-def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """doc_id, h1 and h2 (a 128-bit hash of the whole text), n_shingles, and the text's prefix of each row.
-
-    Shingles are put in one order for all texts, common ones last, by hash among
-    equals. Texts that share at least ``similarity`` of their n shingles share one of
-    their first n - ceil(similarity * n) + 1: those are the prefix.
-    """
-    shared = Sent(docs.sparkSession, common_shingles(docs, words))
-
-    def kernel(rows, buf, off):
-        every, at = _shingles(buf, off, words)
-        common, level = shared.value
-        rank = np.zeros(len(every), np.uint64)
-        if len(common):
-            near = np.minimum(np.searchsorted(common, every), len(common) - 1)
-            rank = np.where(common[near] == every, level[near], np.uint64(0))
-        n = np.diff(at)
-        every = every[np.lexsort(((rank << np.uint64(48)) | every, np.repeat(np.arange(len(n)), n)))]
-        kept = np.minimum(n, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1)
-        whole = [K.span_hash(K.prefix_hash(buf, w), off[:-1], off[1:], w).astype(np.int64) for w in (0, 1)]
-        firsts = every[np.repeat(at[:-1], kept) + K.positions(kept)]
-        return [rows.column(0), *whole, n, _lists(firsts, np.concatenate([[0], np.cumsum(kept)]))]
-
-    return mapped(given(docs, "doc_id", "text"), kernel, "doc_id long, h1 long, h2 long, n_shingles long, prefix array<long>")
-
-
-def likely(pairs: DataFrame, shorts: DataFrame, similarity: float) -> DataFrame:
-    """Of ``pairs`` (u, v), those whose prefixes have enough in common: two texts share no more than that and what follows one of the prefixes."""
-    side = lambda x: shorts.select(F.col("id").alias(x), F.col("keys").alias(f"keys_{x}"), F.col("least_n").alias(f"least_{x}"), F.col("most_n").alias(f"most_{x}"))
-    both = pairs.join(side("u"), "u").join(side("v"), "v")
-    after = F.greatest(F.ceil(F.lit(similarity) * F.greatest("most_u", "most_v") - 1e-9) - 1, F.lit(0))
-    needed = F.lit(similarity / (1 + similarity)) * (F.col("least_u") + F.col("least_v")) - 1e-6
-    return both.filter(F.size(F.array_intersect("keys_u", "keys_v")) + after >= needed).select("u", "v")
-
-
-def verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Of ``pairs`` (u, v) of doc_id, those whose whole shingle sets are similar."""
-    asked = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    held = mapped(given(docs, "doc_id", "text").join(asked, "doc_id", "left_semi"), lambda rows, buf, off: [rows.column(0), _lists(*_shingles(buf, off, words))], "doc_id long, grams array<long>")
-    held = stored(held.groupBy("doc_id").agg(F.max("grams").alias("grams")))
-    both = pairs.join(held.select(F.col("doc_id").alias("u"), F.col("grams").alias("a")), "u").join(held.select(F.col("doc_id").alias("v"), F.col("grams").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    return both.filter(common >= F.lit(similarity) * (F.size("a") + F.size("b") - common)).select("u", "v")
+def _similar(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(doc_id, mark, component_id) of each row: groups of jaccard.py, and of texts without words the equal ones together."""
+    found = jaccard.grouped(docs, words, round(100 * similarity))
+    blank = found.filter("n = 0")
+    least = blank.groupBy("mark").agg(F.min("doc_id").alias("component_id"))
+    return found.filter("n > 0").select("doc_id", "mark", "component_id").unionByName(blank.select("doc_id", "mark").join(least, "mark").select("doc_id", "mark", "component_id"))
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of each row: documents linked by a Jaccard similarity of their distinct word shingles, or equal texts.
 
-    Exact: any two similar texts share a shingle of their prefixes, and every two
-    texts that share one are either linked already, or too far down in their prefixes
-    or too unlike in length to be similar, or checked on their whole sets.
-    First all texts of a prefix shingle meet one of them, the one that shares the most
-    prefix shingles with others: it links a large group by as many pairs as texts.
-    Then texts outside that one's component meet all the others of other components.
-    component_id is the least doc_id reachable. Texts without words are linked to
-    equal ones only; null ids as in near_duplicates().
+    Exact, by the set join of jaccard.py: two of 64 bits would miss most texts that
+    share 0.8 of their shingles. component_id is the least doc_id reachable. Texts
+    without words are linked to equal ones only; null ids as in near_duplicates(). Rows
+    of one doc_id with different texts are documents of their own.
     """
-    made: list[DataFrame] = []
-
-    def kept(df: DataFrame) -> DataFrame:
-        made.append(stored(df))
-        return made[-1]
-
-    found = kept(prefixes(docs, words, similarity))
-    texts = kept(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.first("prefix").alias("prefix")))
-    keyed = texts.filter("id is not null and n > 0").select("id", "n", F.posexplode("prefix").alias("i", "key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    met = kept(keyed.join(shared, "key"))
-    shorts = kept(met.groupBy("id").agg(F.collect_set("key").alias("keys"), F.min("n").alias("least_n"), F.max("n").alias("most_n")))
-    weight = met.groupBy("id").agg(F.sum("c").alias("weight"))
-    heads = met.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("least"), "id", "n", "i")).alias("h"))
-    heads = kept(heads.select("key", F.col("h.id").alias("v"), F.col("h.n").alias("m"), F.col("h.i").alias("j")))
-    fits = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("m")) - 1e-6
-    first = kept(met.join(heads, "key").filter((F.col("id") != F.col("v")) & fits).select(F.least("id", "v").alias("u"), F.greatest("id", "v").alias("v")).distinct())
-    links = kept(verified(docs, kept(likely(first, shorts, similarity)), words, similarity))
-    roots = kept(components(links))
-    rooted = met.join(roots, F.col("id") == F.col("node"), "left").select("id", "n", "i", "key", F.coalesce("root", "id").alias("root"))
-    tops = heads.join(roots, F.col("v") == F.col("node"), "left").select("key", F.coalesce("root", "v").alias("top"))
-    rooted = kept(rooted.join(tops, "key"))
-    outside = rooted.filter("root <> top").select("key", F.col("id").alias("v"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("other"))
-    left = rooted.join(outside, "key").filter((F.col("root") != F.col("other")) & fits & ((F.col("root") == F.col("top")) | (F.col("id") < F.col("v"))))
-    left = left.select(F.least("id", "v").alias("u"), F.greatest("id", "v").alias("v")).distinct()
-    left = kept(likely(left.join(first, ["u", "v"], "left_anti"), shorts, similarity))
-    more = verified(docs, left, words, similarity)
-    roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)).withColumnRenamed("node", "id")
-    of = texts.join(roots, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("component_id"))
-    groups = stored(found.select("doc_id", "h1", "h2").join(of, ["h1", "h2"]).select("doc_id", "component_id"))
-    forget(*made)
-    return groups
+    return _similar(docs, words, similarity).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Of each group of similar_groups(), the rows of the least doc_id, with all their columns; rows of a null id stay, an empty table gives an empty one."""
-    others = similar_groups(docs, words, similarity).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti")
+    """Of each group of similar_groups(), the rows of the least doc_id, with all their columns. A row goes by its id and its own text; rows of a null id stay, an empty table gives an empty one."""
+    return jaccard.without_others(docs, _similar(docs, words, similarity))

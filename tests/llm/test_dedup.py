@@ -262,3 +262,10 @@ def test_rows_that_repeat_nothing_need_no_block(spark):
     got = suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id int, text string"), with_kept=True).collect()
     assert len(got) == len(rows) and {r.doc_id: r.n_removed for r in got} == {None: 0, 1: 0, 2: 0, 3: 60}
     assert sorted(bytes(r.kept) for r in got if r.doc_id is None)[-1] == b"y" * 60
+
+
+def test_keep_one_judges_rows_by_their_own_text(spark):
+    a = " ".join(f"a{i}" for i in range(60))
+    rows = [(1, a, 1), (2, a + " more", 2), (2, " ".join(f"b{i}" for i in range(60)), 3), (None, a, 4), (3, "", 5), (4, None, 6), (5, " ", 7), (1, a, 8)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, mark int")
+    assert sorted(r.mark for r in simhash.keep_one(given).collect()) == [1, 3, 4, 5, 7, 8]
