@@ -6,6 +6,7 @@ the folder that all executors share.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from murmura.functions import names as N
@@ -15,6 +16,8 @@ from murmura.plans import views as V
 from murmura.plans.catalog import _ERRORS, _KEYS, _MOVES, _NRR, CELL, _errors, _moves, query, with_
 from murmura.sources import readers, writers
 from murmura.sources.shared import scratch
+from murmura.streaming import totals
+from murmura.streaming.runner import Runner, run_all
 
 # Files
 
@@ -515,3 +518,46 @@ def cluster_expand(spark, sf_dir):
 def resume_todo(spark, sf_dir):
     d = V.read(spark, sf_dir, "documents").select("doc_id", "lang")
     return records.resumable(d, d.filter("doc_id % 2 = 0 and lang <> 'fr'"), ["doc_id", "lang"])
+
+
+# Streams
+
+
+@query("""with a as (select c_custkey as query_id, c_custkey % 40 + 1 as n, c_custkey % 3 as busy, c_name from customer)
+  select query_id, case when n > 20 then 20 else n end as n_tables, cast(case when n > 20 then greatest(1, busy) else busy end + 1 as integer) as attempts, 'to ' || c_name || '?' as answer from a""")
+def resumed_runner(spark, sf_dir):
+    """Every customer asks over 1 to 40 parts; a reader finds more than twenty too long, and is busy at first."""
+    customer, path = V.read(spark, sf_dir, "customer"), scratch(spark)
+    ids = F.transform(F.sequence(F.lit(0).cast("long"), F.col("c_custkey") % 40), lambda i: (F.col("c_custkey") + i).cast("string"))
+    work = customer.select(F.col("c_custkey").alias("query_id"), F.concat("c_name", F.lit("?")).alias("question"), ids.alias("injection"))
+    work.write.parquet(f"{path}/work")
+    parts = V.read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("representation"))
+
+    def reader(rows):
+        error = F.when(F.size("tables") > 20, "400: too long").when(F.col("attempt") < F.col("query_id") % 3, "busy").otherwise("")
+        return rows.withColumn("error", error).withColumn("answer", F.when(F.col("error") == "", F.concat(F.lit("to "), F.col("question"))))
+
+    found = run_all(Runner(spark, f"{path}/run", parts, reader), spark.readStream.schema(work.schema).parquet(f"{path}/work"))
+    return found.select("query_id", F.col("n_tables").cast("long").alias("n_tables"), "attempts", "answer")
+
+
+@query("""select c_mktsegment as segment, count(*) as calls, cast(sum(c_custkey % 1000) as bigint) as request_tokens, cast(sum(c_nationkey) as bigint) as response_tokens,
+  round(sum(cast(c_custkey % 100 as double) / 4), 6) as cost, cast(sum(case when c_custkey % 3 = 0 then 1 else 0 end) as bigint) as failures from customer group by c_mktsegment""")
+def running_usage(spark, sf_dir):
+    """The log is a call of every customer, a third of them twice; its totals are kept in a state store as it streams in."""
+    customer, path = V.read(spark, sf_dir, "customer"), scratch(spark)
+    key = F.col("c_custkey")
+    log = customer.select(key.cast("string").alias("id"), F.col("c_mktsegment").alias("stage"), F.timestamp_seconds(F.lit(1_700_000_000) + key % 400_000).alias("ts"), (key % 1000).cast("long").alias("request_tokens"), F.col("c_nationkey").cast("long").alias("response_tokens"), ((key % 100) / 4).alias("cost"), (key % 3).cast("int").alias("score"))
+    log.write.parquet(f"{path}/log")
+    log.filter("score = 1").write.mode("append").parquet(f"{path}/log")
+    before = spark.conf.get(totals.STORE[0])
+    spark.conf.set(*totals.STORE)
+    try:
+        running = totals.running_totals(spark.readStream.schema(log.schema).parquet(f"{path}/log"), "stage", "ts")
+        step = lambda rows, n: rows.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/totals/step={n}")
+        running.writeStream.outputMode("update").option("checkpointLocation", f"{path}/checkpoint").foreachBatch(step).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(totals.STORE[0], before)
+    last = Window.partitionBy("key").orderBy(F.desc("batch"))
+    now = spark.read.parquet(f"{path}/totals").withColumn("_n", F.row_number().over(last)).filter("_n = 1")
+    return now.select(F.col("key").alias("segment"), "calls", "request_tokens", "response_tokens", F.round("cost", 6).alias("cost"), "failures")

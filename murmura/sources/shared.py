@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import SparkSession
 
 
@@ -24,7 +25,30 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
+def _at(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+    """A path and its file system, through Spark's own configuration."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
 def drop(spark: SparkSession, path: str) -> bool:
     """Deletes a path with all that is in it; whether it was there."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    files, at = _at(spark, path)
+    return files.delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _at(spark, path)
+    return files.exists(at)
+
+
+def names_under(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, in order; none if it is not there."""
+    files, at = _at(spark, path)
+    return sorted(s.getPath().getName() for s in files.listStatus(at)) if files.exists(at) else []
+
+
+def rename(spark: SparkSession, old: str, new: str) -> bool:
+    """Gives a file another name, in one step where the file system can; false if the new name is taken."""
+    files, at = _at(spark, old)
+    return files.rename(at, spark._jvm.org.apache.hadoop.fs.Path(new))
