@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmura.operators.records import numbered
+from murmura.operators.selection import percentiles  # noqa: F401  part of this module's interface
 
 
 def confusion(pairs: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
@@ -49,12 +50,6 @@ def accuracy_gap(pairs: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame
     return by.agg(F.count("*").alias("groups"), F.avg(F.abs(F.col("x") - F.col("y"))).alias("mean_gap"), F.max(F.abs(F.col("x") - F.col("y"))).alias("max_gap"))
 
 
-def percentiles(rows: DataFrame, column: str, shares: list[float], keys: list[str]) -> DataFrame:
-    """Percentiles with linear interpolation (type 7), a row for each share."""
-    found = rows.groupBy(*keys).agg(F.percentile(F.col(column).cast("double"), F.array(*(F.lit(s) for s in shares))).alias("values"))
-    return found.select(*keys, F.posexplode("values").alias("i", "value")).withColumn("share", F.element_at(F.array(*(F.lit(s) for s in shares)), F.col("i") + 1)).drop("i")
-
-
 def cluster_bootstrap(pairs: DataFrame, a: str, b: str, cluster: str, replicates: int = 2000, seed: int = 42) -> DataFrame:
     """Percentile intervals (2.5 and 97.5) of agreement and kappa, drawing whole clusters with replacement.
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmura.functions.text import SENSITIVE
+from murmura.operators.records import ranged
 
 
 def sensitive_scan(rows: DataFrame, column: str) -> DataFrame:
@@ -19,11 +24,28 @@ def row_digest(columns: list[str]) -> Column:
     return F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
 
 
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The digest of a JSON list whose elements come one after the other."""
+    digest, some = hashlib.sha256(b"["), False
+    for batch in batches:
+        for entry in batch.column(0).to_pylist():
+            digest.update(b"," * some + entry.encode())
+            some = True
+    digest.update(b"]")
+    yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()])], ["digest"])
+
+
 def column_digest(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
-    """One row: SHA-256 of the JSON list of the rows' named columns, in the given order. For released tables: the whole list is one value."""
+    """One row: SHA-256 of the JSON list of the rows' named columns, in the given order.
+
+    Rows are sorted in ranges, in parallel, and written; one task then reads them in
+    order and folds them into the digest, which is sequential by its nature, entry by
+    entry: no list of rows is ever made.
+    """
     entry = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
-    found = rows.agg(F.array_sort(F.collect_list(F.struct(*order, entry.alias("_json")))).alias("rows"))
-    return found.select(F.sha2(F.concat(F.lit("["), F.array_join(F.transform("rows", lambda x: x["_json"]), ","), F.lit("]")), 256).alias("digest"))
+    sorted_ = ranged(rows.select(*order, entry.alias("_json")), [*order, "_json"])
+    found = sorted_.select("_range", "_in", "_json").repartition(1).sortWithinPartitions("_range", "_in").select("_json").mapInArrow(_folded, "digest string")
+    return found.agg(F.coalesce(F.max("digest"), F.sha2(F.lit("[]"), 256)).alias("digest"))  # no rows, no task
 
 
 def table_digest(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from murmura.operators.selection import percentiles
+
 #: USD for a million input and output tokens, by reader number. Fixed values.
 PRICES = [(0, "2.50", "10.00"), (1, "1.00", "5.00"), (2, "0.02", "0.10"), (3, "0.29", "0.59")]
 
@@ -15,15 +17,21 @@ def price_table(spark) -> DataFrame:
 
 
 def token_stats(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """total, mean, median, min and max of a column by group; zeros where it has no value."""
-    c = F.col(column)
-    zero = F.lit(0)
-    return rows.groupBy(*keys).agg(
-        F.coalesce(F.sum(c), zero).cast("long").alias("total"),
-        F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias("mean"),
-        F.coalesce(F.median(c), F.lit(0.0)).cast("double").alias("median"),
-        F.coalesce(F.min(c), zero).cast("long").alias("min"),
-        F.coalesce(F.max(c), zero).cast("long").alias("max"),
+    """total, mean, median, min and max of a column by group; zeros where it has no value. The median is exact, by selection.percentiles()."""
+    c, zero = F.col(column), F.lit(0)
+    sums = rows.groupBy(*keys).agg(F.sum(c).alias("total"), F.avg(c).alias("mean"), F.min(c).alias("min"), F.max(c).alias("max"))
+    middle = percentiles(rows, column, [0.5], keys).select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("value").alias("median"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    met = sums.join(middle, same, "left")
+    return met.select(
+        *keys,
+        F.coalesce("total", zero).cast("long").alias("total"),
+        F.round(F.coalesce("mean", F.lit(0.0)), 6).alias("mean"),
+        F.coalesce("median", F.lit(0.0)).alias("median"),
+        F.coalesce("min", zero).cast("long").alias("min"),
+        F.coalesce("max", zero).cast("long").alias("max"),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from murmura.functions.text import truncate_tokens
 from murmura.operators.cost import quarter_length
+from murmura.sources.shared import scratch
 
 
 def injected_tables(contexts: DataFrame, representations: DataFrame, most_tokens: int | None = None, first: int | None = None) -> DataFrame:
@@ -57,25 +58,31 @@ def first_of(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return numbered(first, order, "place")
 
 
-#: Ranges that numbered() sorts apart, and distinct values that propose their bounds.
-RANGES, PROPOSED = 64, 1024
+#: Rows of a range of numbered(), about.
+ROWS = 1 << 20
 
 
-def numbered(rows: DataFrame, order: list[str], name: str, start: int = 1) -> DataFrame:
-    """Adds each row's place in the ascending order of the named columns, without one task for all rows.
+def ranged(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` written in the ascending order of the named columns, nulls first, with the columns _range and _in: the number of a row's range, and its place there.
 
-    Rows fall into ranges of the first column, whose bounds a few hashed values
-    propose; each range is sorted apart and starts where those before it end. Equal
-    first values share a range. Nulls come first.
+    Ranges are cut by a sample over all the named columns together, so a leading value
+    that most rows have is spread over as many ranges as it fills; there is a range for
+    about every ROWS rows. Rows equal in all of them keep to one range.
     """
-    lead = F.col(order[0])
-    some = sorted(r[0] for r in rows.select(lead).filter(lead.isNotNull()).distinct().orderBy(F.xxhash64(lead), lead).limit(PROPOSED).collect())
-    bounds = some[:: max(1, len(some) // RANGES)]
-    part = F.size(F.filter(F.array(*(F.lit(x) for x in bounds)), lambda x: lead >= x)) if bounds else F.lit(0)
-    local = rows.withColumn("_range", part).withColumn("_in", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
-    sizes = rows.groupBy(part.alias("_range")).agg(F.count("*").alias("_size"))
+    spark, path = rows.sparkSession, scratch(rows.sparkSession)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS))
+    by = [F.col(c).asc_nulls_first() for c in order]
+    rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    place = F.col("_at")
+    return spark.read.parquet(path).withColumn("_range", F.shiftright(place, 33)).withColumn("_in", place.bitwiseAND(F.lit((1 << 33) - 1))).drop("_at")
+
+
+def numbered(rows: DataFrame, order: list[str], name: str, start: int = 1) -> DataFrame:
+    """Adds each row's place in the ascending order of the named columns, without one task for all rows: its place in its range, and the rows of the ranges before. Nulls come first."""
+    local = ranged(rows, order)
+    sizes = local.groupBy("_range").agg(F.count("*").alias("_size"))
     before = sizes.select("_range", (F.sum("_size").over(Window.orderBy("_range")) - F.col("_size")).alias("_before"))  # a row for each range
-    return local.join(F.broadcast(before), "_range").withColumn(name, F.col("_in") + F.col("_before") + F.lit(start - 1)).drop("_range", "_in", "_before")
+    return local.join(F.broadcast(before), "_range").withColumn(name, F.col("_in") + F.col("_before") + F.lit(start)).drop("_range", "_in", "_before")
 
 
 def blinded(rows: DataFrame, identity: list[str]) -> DataFrame:

@@ -11,6 +11,8 @@ from murmura.functions import render as R
 from murmura.functions import text as T
 from murmura.operators import agree, anatomy, audit, context, cost, relevance, retrieve, robustness, sampling
 from murmura.plans import views as V
+from murmura.sources import keyed
+from murmura.sources.shared import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -151,7 +153,10 @@ def summary_upsert(spark, sf_dir):
     rows, keys = V.trial(spark, sf_dir), ["reader", "rotation", "negative", "k"]
     old = robustness.accuracy(rows.filter("l_linenumber <= 3"), keys).withColumn("version", F.lit(1))
     new = robustness.accuracy(rows.filter("l_linenumber > 3 and k > 5"), keys).withColumn("version", F.lit(2))
-    return robustness.latest(old, new, keys, "version")
+    path = scratch(spark)
+    for part in (old, new.filter("reader < 2"), new.filter("reader >= 2")):
+        keyed.upsert(spark, path, part, keys, "version")
+    return keyed.read(spark, path)
 
 
 @query(with_(V.TRIAL, "runs as (select dataset, reader, k, negative, run, avg(score) as s from trial group by all)") + """select dataset, reader, k, negative, count(*) as n_runs, round(avg(s), 6) as mean,

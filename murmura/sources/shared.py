@@ -52,3 +52,13 @@ def rename(spark: SparkSession, old: str, new: str) -> bool:
     """Gives a file another name, in one step where the file system can; false if the new name is taken."""
     files, at = _at(spark, old)
     return files.rename(at, spark._jvm.org.apache.hadoop.fs.Path(new))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small new file."""
+    files, at = _at(spark, path)
+    out = files.create(at, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()

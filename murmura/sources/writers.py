@@ -1,11 +1,11 @@
-"""Sinks: JSON lines, CSV, Parquet by condition, upserts and usage logs that survive a failed job."""
+"""Sinks: JSON lines, CSV, Parquet by condition, vector indexes and usage logs. Upserted tables are in keyed.py."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmura.operators.robustness import latest
+from murmura.sources.shared import drop
 
 
 def json_lines(df: DataFrame, path: str, by: list[str] | None = None) -> None:
@@ -32,8 +32,7 @@ def index_keys(spark: SparkSession, path: str) -> DataFrame:
 def delete_index(spark: SparkSession, path: str, index_key: str) -> bool:
     """Removes one key of the stored indexes; whether it was there."""
     folder = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(index_key)
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/index_key={folder}")
-    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    return drop(spark, f"{path}/index_key={folder}")
 
 
 def retrieval_lines(retrieved: DataFrame, path: str) -> None:
@@ -42,12 +41,6 @@ def retrieval_lines(retrieved: DataFrame, path: str) -> None:
     json_lines(retrieved.groupBy("question").agg(results.alias("results")), path)
 
 
-def upserted(spark: SparkSession, old_path: str, new: DataFrame, keys: list[str], version: str, to: str) -> DataFrame:
-    """The latest row of each key of the stored and the new rows, written to a new path, which is then the table."""
-    latest(spark.read.parquet(old_path), new, keys, version).write.parquet(to)
-    return spark.read.parquet(to)
-
-
 def log_usage(df: DataFrame, path: str) -> None:
     """Appends facts; summaries are aggregated when asked for, so nothing is locked."""
     df.write.mode("append").parquet(path)

@@ -70,9 +70,6 @@ def test_sinks(spark, tmp_path):
     assert {r.index_key: r.n for r in writers.index_keys(spark, str(tmp_path / "index")).collect()} == {"k1": 1, "k2": 1}
     assert writers.load_index(spark, str(tmp_path / "index"), "k2").count() == 1
     old = spark.createDataFrame([("a", 1)], "k string, v int")
-    old.write.parquet(str(tmp_path / "s1"))
-    new = writers.upserted(spark, str(tmp_path / "s1"), spark.createDataFrame([("a", 2), ("b", 1)], "k string, v int"), ["k"], "v", str(tmp_path / "s2"))
-    assert sorted(map(tuple, new.collect())) == [("a", 2), ("b", 1)]
     writers.json_lines(old, str(tmp_path / "j"), by=["v"])
     assert spark.read.json(str(tmp_path / "j")).count() == 1
     for _ in range(2):

@@ -246,8 +246,8 @@ def test_nearest_rows_by_blocks_equal_brute_force(spark, monkeypatch):
     vectors = rng.integers(-3, 4, (120, 6)).astype(float)
     rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(200, None), (201, [0.0] * 6), (202, [1.0])]
     df = spark.createDataFrame(rows, "id int, embedding array<double>")
-    monkeypatch.setattr(retrieve, "QUERY_BLOCK", 11)
-    monkeypatch.setattr(retrieve, "CORPUS_BLOCK", 17)
+    monkeypatch.setattr(retrieve, "QUERIES", 11)
+    monkeypatch.setattr(retrieve, "BLOCK", 17)
     got = {}
     for r in retrieve.cosine_topk(df.withColumnRenamed("id", "query_id"), df, 5).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.id, r.score))
