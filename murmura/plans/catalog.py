@@ -512,16 +512,6 @@ def judge_fast_path(spark, sf_dir):
     return V.dialog(spark, sf_dir).select("conv_id", "turn", F.coalesce(T.judge(F.col("question"), F.col("answer")), F.lit(-1)).alias("verdict"))
 
 
-_NAMES = ["1_perfect.jsonl", "10_middle_hard.jsonl", "50_end_soft.jsonl", "real_result_50.jsonl", "5_start_hard.jsonl", "odd_name.jsonl"]
-
-
-@query("with n as (select o_orderkey, list_extract(['1_perfect.jsonl', '10_middle_hard.jsonl', '50_end_soft.jsonl', 'real_result_50.jsonl', '5_start_hard.jsonl', 'odd_name.jsonl'], cast(o_orderkey % 6 as integer) + 1) as name from orders) select o_orderkey, name, case o_orderkey % 6 when 0 then 1 when 1 then 10 when 2 then 50 when 3 then 50 when 4 then 5 else 0 end as k, case o_orderkey % 6 when 0 then 'perfect' when 1 then 'middle' when 2 then 'end' when 3 then 'real_result' when 4 then 'start' else 'name' end as rotation, case o_orderkey % 6 when 0 then 'perfect' when 1 then 'hard' when 2 then 'soft' when 3 then 'real_result' when 4 then 'hard' else '' end as negative from n")
-def parse_condition_name(spark, sf_dir):
-    names = F.element_at(F.array(*(F.lit(n) for n in _NAMES)), (F.col("o_orderkey") % 6).cast("int") + 1)
-    rows = V.read(spark, sf_dir, "orders").select("o_orderkey", names.alias("name"))
-    return rows.select("o_orderkey", "name", T.condition_of(F.col("name")).alias("c")).select("o_orderkey", "name", "c.*")
-
-
 # Audit
 
 _PATTERNS = {n: p for n, p in T.SENSITIVE.items()}

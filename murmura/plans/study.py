@@ -6,7 +6,7 @@ the folder that all executors share.
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from murmura.functions import names as N
@@ -216,68 +216,115 @@ def report_append(spark, sf_dir):
 # Names
 
 
-def _named(spark, sf_dir, texts, name="name"):
-    """Every order with one of the texts."""
-    at = F.element_at(F.array(*(F.lit(x) for x in texts)), (F.col("o_orderkey") % len(texts)).cast("int") + 1)
-    return V.read(spark, sf_dir, "orders").select("o_orderkey", at.alias(name))
+_KEY = ["l_orderkey", "l_linenumber"]
+#: File names of the conditions in the trials: by line number plain ones, perfect ones, real results, and some that fit no form.
+_FILE = """f as (select l_orderkey, l_linenumber, case l_linenumber when 5 then case when l_suppkey % 2 = 0 then '1' else '1_perfect' end when 6 then 'real_result_' || case when l_suppkey % 3 = 0 then negative else cast(l_partkey as varchar) end
+    when 7 then rotation || '_' || l_suppkey || '_' || negative else k || '_' || case when l_suppkey % 5 = 0 then 'r' || l_suppkey else rotation end || '_' || negative end || '.jsonl' as name from trial),
+  b as (select *, regexp_replace(name, '[.][^.]*$', '') as base, try_cast(regexp_extract(name, '^([0-9]+)_', 1) as int) as lead from f)"""
 
 
-def _picked(texts):
-    listed = ", ".join("null" if x is None else "'" + str(x).replace("'", "''") + "'" for x in texts)
-    return f"list_extract([{listed}], cast(o_orderkey % {len(texts)} as integer) + 1)"
+def _files(spark, sf_dir):
+    text = lambda c: F.col(c).cast("string")
+    one = F.when(F.col("l_suppkey") % 2 == 0, "1").otherwise("1_perfect")
+    real = F.concat(F.lit("real_result_"), F.when(F.col("l_suppkey") % 3 == 0, F.col("negative")).otherwise(text("l_partkey")))
+    turn = F.when(F.col("l_suppkey") % 5 == 0, F.concat(F.lit("r"), text("l_suppkey"))).otherwise(F.col("rotation"))
+    name = F.when(F.col("l_linenumber") == 5, one).when(F.col("l_linenumber") == 6, real).when(F.col("l_linenumber") == 7, F.concat_ws("_", "rotation", text("l_suppkey"), "negative")).otherwise(F.concat_ws("_", text("k"), turn, "negative"))
+    return V.trial(spark, sf_dir).select(*_KEY, F.concat(name, F.lit(".jsonl")).alias("name"))
 
 
-_FILES = ["1_perfect.jsonl", "1.jsonl", "10_middle_hard.jsonl", "50_end_soft.jsonl", "real_result_50.jsonl", "5_start_odd.jsonl", "odd_name.jsonl", "real_result_x.jsonl"]
+@query(with_(V.TRIAL, _FILE) + """select l_orderkey, l_linenumber, name,
+  cast(case when regexp_full_match(base, 'real_result_[0-9]+') then cast(substring(base, 13) as bigint) else coalesce(try_cast(regexp_extract(base, '^([0-9]+)(_|$)', 1) as bigint), 0) end as integer) as k,
+  case when regexp_full_match(base, 'real_result_[0-9]+') then 'real_result' when base = '1' then '' else split_part(base, '_', 2) end as rotation,
+  case when regexp_full_match(base, 'real_result_[0-9]+') then 'real_result' when base = '1_perfect' then 'perfect' else split_part(base, '_', 3) end as negative from b""")
+def parse_condition_name(spark, sf_dir):
+    return _files(spark, sf_dir).select(*_KEY, "name", T.condition_of(F.col("name")).alias("c")).select(*_KEY, "name", "c.*")
 
 
-@query(f"select o_orderkey, cast({_picked([1, 1, 10, 50, 0, 5, 0, 0])} as integer) as k, {_picked(['', '', 'middle', 'end', 'result', 'start', 'name', 'result'])} as rotation, {_picked(['', '', 'hard', 'soft', '50', 'odd', '', 'x'])} as negative from orders")
+@query(with_(V.TRIAL, _FILE) + """select l_orderkey, l_linenumber, cast(case when base in ('1', '1_perfect') then 1 else coalesce(try_cast(split_part(base, '_', 1) as bigint), 0) end as integer) as k,
+  case when base in ('1', '1_perfect') then '' else split_part(base, '_', 2) end as rotation, case when base in ('1', '1_perfect') then '' else split_part(base, '_', 3) end as negative from b""")
 def parse_condition_plain(spark, sf_dir):
-    return _named(spark, sf_dir, _FILES).select("o_orderkey", N.plain_condition(F.col("name")).alias("c")).select("o_orderkey", "c.*")
+    return _files(spark, sf_dir).select(*_KEY, N.plain_condition(F.col("name")).alias("c")).select(*_KEY, "c.*")
 
 
-@query(f"select o_orderkey, cast({_picked([1, 999, 10, 50, 50, 5, 999, 999])} as integer) as k, cast({_picked([0, 999, 2, 3, -1, 1, 999, 999])} as integer) as rotation, cast({_picked([0, 999, 0, 1, -1, 99, 999, 999])} as integer) as negative from orders")
+@query(with_(V.TRIAL, _FILE) + """select l_orderkey, l_linenumber, cast(case when real is not null then real when perfect then 1 when lead is not null and split_part(base, '_', 3) <> '' then lead else 999 end as integer) as k,
+  cast(case when real is not null then -1 when perfect then 0 when lead is null or split_part(base, '_', 3) = '' then 999 else case split_part(base, '_', 2) when 'start' then 1 when 'middle' then 2 when 'end' then 3 else 99 end end as integer) as rotation,
+  cast(case when real is not null then -1 when perfect then 0 when lead is null or split_part(base, '_', 3) = '' then 999 else case split_part(base, '_', 3) when 'hard' then 0 when 'soft' then 1 else 99 end end as integer) as negative
+  from (select *, try_cast(regexp_extract(base, '^real_result_([0-9]+)$', 1) as int) as real, base = '1_perfect' as perfect from b)""")
 def processing_order(spark, sf_dir):
-    return _named(spark, sf_dir, _FILES).select("o_orderkey", N.processing_order(F.col("name")).alias("c")).select("o_orderkey", "c.*")
+    return _files(spark, sf_dir).select(*_KEY, N.processing_order(F.col("name")).alias("c")).select(*_KEY, "c.*")
 
 
-_REPORTS = ["gpt-4o_K50_distribution.json", "a_K1_b_K20_distribution.json", "gpt_K5_hard_both_fail_errors.json", "m_x_K10_soft_perfect_to_fail_errors.json", "m_K10_soft_other_errors.json", "notes.json"]
+_REPORT = """f as (select l_orderkey, l_linenumber, 'm' || reader || case when l_suppkey % 4 = 0 then '_K' || l_suppkey || '-x' else '' end || case when l_linenumber = 7 then '_notes' else '_K' || k end ||
+    case when l_linenumber % 2 = 1 then '_distribution' else '_' || negative || '_' || case l_partkey % 5 when 0 then 'both_success' when 1 then 'both_fail' when 2 then 'perfect_to_fail' when 3 then 'perfect_from_fail' else rotation end || '_errors' end || '.json' as name from trial),
+  d as (select *, regexp_extract(name, '^(.+)_K([0-9]+)_distribution[.]json$', ['model', 'k']) as d,
+    regexp_extract(name, '^(.+)_K([0-9]+)_(hard|soft)_(both_success|both_fail|perfect_to_fail|perfect_from_fail)_errors[.]json$', ['model', 'k', 'negative', 'category']) as e from f)"""
 
 
-@query(f"select o_orderkey, {_picked(['gpt-4o', 'a_K1_b', None, None, None, None])} as model, cast({_picked([50, 20, None, None, None, None])} as integer) as k, {_picked([None, None, 'gpt', 'm_x', None, None])} as error_model, cast({_picked([None, None, 5, 10, None, None])} as integer) as error_k, {_picked([None, None, 'hard', 'soft', None, None])} as negative, {_picked([None, None, 'both_fail', 'perfect_to_fail', None, None])} as category from orders")
+@query(with_(V.TRIAL, _REPORT) + "select l_orderkey, l_linenumber, nullif(d.model, '') as model, try_cast(d.k as integer) as k, nullif(e.model, '') as error_model, try_cast(e.k as integer) as error_k, nullif(e.negative, '') as negative, nullif(e.category, '') as category from d")
 def report_names(spark, sf_dir):
-    found = _named(spark, sf_dir, _REPORTS).select("o_orderkey", N.distribution_file(F.col("name")).alias("d"), N.error_file(F.col("name")).alias("e"))
-    return found.select("o_orderkey", "d.model", "d.k", F.col("e.model").alias("error_model"), F.col("e.k").alias("error_k"), F.col("e.negative").alias("negative"), F.col("e.category").alias("category"))
-
-
-_CLASSES = ["ZeroShotStrategy", "SQLStrategy", "ChainOfThoughtStrategy", "zeroShotPrompt", "SQL", "HTMLTableStrategy", "Strategy"]
-
-
-@query(f"select o_orderkey, {_picked(['zero-shot', 'sql', 'chain-of-thought', 'zero-shot-prompt', 'sql', 'html-table', ''])} as log_name from orders")
+    t, text = V.trial(spark, sf_dir), lambda c: F.col(c).cast("string")
+    more = F.when(F.col("l_suppkey") % 4 == 0, F.concat(F.lit("_K"), text("l_suppkey"), F.lit("-x"))).otherwise("")
+    depth = F.when(F.col("l_linenumber") == 7, "_notes").otherwise(F.concat(F.lit("_K"), text("k")))
+    category = F.element_at(F.array(*(F.lit(c) for c in anatomy.CATEGORIES), F.col("rotation")), (F.col("l_partkey") % 5 + 1).cast("int"))
+    end = F.when(F.col("l_linenumber") % 2 == 1, "_distribution").otherwise(F.concat(F.lit("_"), F.col("negative"), F.lit("_"), category, F.lit("_errors")))
+    rows = t.select(*_KEY, F.concat(F.lit("m"), text("reader"), more, depth, end, F.lit(".json")).alias("name"))
+    found = rows.select(*_KEY, N.distribution_file(F.col("name")).alias("d"), N.error_file(F.col("name")).alias("e"))
+    return found.select(*_KEY, "d.model", "d.k", F.col("e.model").alias("error_model"), F.col("e.k").alias("error_k"), F.col("e.negative").alias("negative"), F.col("e.category").alias("category"))
+
+
+@query("""with c as (select p_partkey, case when p_partkey % 3 = 0 then p_type else upper(substring(p_type, 1, 1)) || lower(substring(p_type, 2)) end || upper(substring(p_name, 1, 1)) || replace(substring(p_name, 2), ' ', 'X')
+    || case when p_size % 4 = 0 then '' else 'Strategy' end as name from part),
+  s as (select *, case when ends_with(name, 'Strategy') then substring(name, 1, length(name) - 8) else name end as base from c)
+  select p_partkey, name, lower(regexp_replace(regexp_replace(base, '(.)([A-Z][a-z])', '\\1-\\2', 'g'), '([a-z])([A-Z])', '\\1-\\2', 'g')) as log_name from s""")
 def strategy_names(spark, sf_dir):
-    return _named(spark, sf_dir, _CLASSES).select("o_orderkey", N.strategy_name(F.col("name")).alias("log_name"))
-
-
-_MODELS = [("openai/gpt-oss-20b:free", "openrouter", "gpt-oss-20b"), ("gpt-oss:20b", "ollama", "gpt-oss-20b"), ("accounts/x/models/qwen3", "fireworks", "qwen3"), ("a/b", "other", "a/b"), ("plain:free", "openrouter", "plain:free"), ("solo", "groq", "solo")]
-
-
-@query(f"select o_orderkey, {_picked([m[2] for m in _MODELS])} as display, {_picked(['openai/gpt-oss-20b:free_real_result', 'gpt-oss:20b_real_result', 'accounts/x/models/qwen3_real_result', 'a/b_real_result', 'plain:free_real_result', 'solo_real_result'])} as other, {_picked(['e2ewtq', 'feta', 'ottqa', 'feta', 'my set'.replace(' ', ''), 'e2ewtq'])} as dataset, {_picked(['BGEM3', 'BGEM3', 'Dense', 'dense', 'BGEM3', ''])} as retriever from orders")
+    """Class names from a part's type, all capitals in every third, and its name."""
+    first = lambda c: F.upper(F.substring(c, 1, 1))
+    rest = lambda c: F.substring(F.col(c), F.lit(2), F.char_length(c))
+    kind = F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).otherwise(F.concat(first("p_type"), F.lower(rest("p_type"))))
+    name = F.concat(kind, first("p_name"), F.replace(rest("p_name"), F.lit(" "), F.lit("X")), F.when(F.col("p_size") % 4 == 0, "").otherwise("Strategy"))
+    return V.read(spark, sf_dir, "part").select("p_partkey", name.alias("name"), N.strategy_name(name).alias("log_name"))
+
+
+@query("""with m as (select p_partkey, case when p_size % 3 = 0 then '' else lower(p_type) || '/' end || replace(lower(p_brand), '#', '-') || case when p_size % 4 = 0 then '' else ':' || p_size end as model,
+    case p_partkey % 5 when 0 then 'openrouter' when 1 then 'ollama' when 2 then 'fireworks' when 3 then 'groq' else 'own' end as provider,
+    case p_size % 5 when 0 then ' E2E-WTQ ' when 1 then 'FeTa QA' when 2 then 'ott_qa' else ' ' || p_type || ' ' || p_name end as dataset, case p_size % 4 when 0 then 'bge-m3' when 1 then 'BGEM3' else p_type end || case when p_partkey % 2 = 0 then 'Retriever' else '' end as retriever from part),
+  w as (select *, split_part(model, '/', -1) as last from m)
+  select p_partkey, case when provider in ('fireworks', 'groq') then last when provider = 'openrouter' then case when contains(model, '/') then split_part(last, ':', 1) else model end
+    when provider = 'ollama' and contains(model, ':') then split_part(model, ':', 1) || '-' || split_part(model, ':', 2) else model end as display, model || '_real_result' as other,
+    case lower(replace(trim(dataset), ' ', '')) when 'e2e-wtq' then 'e2ewtq' when 'fetaqa' then 'feta' when 'ott_qa' then 'ottqa' else lower(replace(trim(dataset), ' ', '')) end as dataset,
+    case when regexp_replace(retriever, 'Retriever$', '') in ('bge-m3', 'BGEM3') then 'BGEM3' else regexp_replace(retriever, 'Retriever$', '') end as retriever from w""")
 def model_and_dataset_names(spark, sf_dir):
-    rows = _named(spark, sf_dir, [m[0] for m in _MODELS], "model")
-    pick = lambda texts: F.element_at(F.array(*(F.lit(x) for x in texts)), (F.col("o_orderkey") % len(texts)).cast("int") + 1)
-    return rows.select(
-        "o_orderkey", N.display_model(F.col("model"), pick([m[1] for m in _MODELS])).alias("display"), F.element_at(N.model_names(F.col("model")), 2).alias("other"),
-        T.dataset_name(pick([" E2E-WTQ ", "FeTaQA", "ott_qa", "feta-qa", "My Set", "e2e_wtq"])).alias("dataset"), N.retriever_name(pick(["bge-m3", "BGEM3Retriever", "DenseRetriever", "dense", "bge-m3Retriever", "Retriever"])).alias("retriever"),
+    """Models, providers, datasets and retrievers named after parts."""
+    pick = lambda by, many, *texts: F.element_at(F.array(*(t if isinstance(t, Column) else F.lit(t) for t in texts)), (F.col(by) % many + 1).cast("int"))
+    model = F.concat(F.when(F.col("p_size") % 3 == 0, "").otherwise(F.concat(F.lower("p_type"), F.lit("/"))), F.replace(F.lower("p_brand"), F.lit("#"), F.lit("-")), F.when(F.col("p_size") % 4 == 0, "").otherwise(F.concat(F.lit(":"), F.col("p_size").cast("string"))))
+    own = F.concat(F.lit(" "), "p_type", F.lit(" "), "p_name")
+    retriever = F.concat(pick("p_size", 4, "bge-m3", "BGEM3", F.col("p_type"), F.col("p_type")), F.when(F.col("p_partkey") % 2 == 0, "Retriever").otherwise(""))
+    return V.read(spark, sf_dir, "part").select(
+        "p_partkey", N.display_model(model, pick("p_partkey", 5, "openrouter", "ollama", "fireworks", "groq", "own")).alias("display"), F.element_at(N.model_names(model), 2).alias("other"),
+        T.dataset_name(pick("p_size", 5, " E2E-WTQ ", "FeTa QA", "ott_qa", own, own)).alias("dataset"), N.retriever_name(retriever).alias("retriever"),
     )
 
 
-_REPLIES = ["ERROR_TYPE: Distractor Extraction\nCONFIDENCE: 0.9", "error_type: premature\nERROR_TYPE:  Truncation of answer \nconfidence: 0.25", "QUESTION_TYPE: Lookup\nERROR_TYPE: something else", "no label", "CONFIDENCE: high\nERROR_TYPE: REFUSAL"]
+_REPLY = """r as (select o_orderkey, case o_orderkey % 4 when 0 then 'ERROR_TYPE: ' || kind || chr(10) || 'CONFIDENCE: ' || o_orderkey % 100 || '.5' when 1 then 'error_type: first' || chr(10) || '  ERROR_TYPE :  ' || kind || '  ' || chr(10) || 'confidence: ' || o_orderstatus
+    when 2 then 'QUESTION_TYPE: ' || o_orderstatus || chr(10) || 'the reason: ' || kind else 'said ERROR_TYPE: none' || chr(10) || 'Question_Type: ' || o_orderpriority end as reply
+  from (select *, case o_custkey % 5 when 0 then 'a DISTRACTOR ' || o_orderpriority when 1 then 'Premature ' || o_orderstatus when 2 then o_orderpriority || ' truncation' else o_orderpriority end as kind from orders)),
+  x as (select o_orderkey, regexp_extract_all(reply, '(?im)^\\s*ERROR_TYPE\\s*:\\s*(.*?)\\s*$', 1)[-1] as raw, regexp_extract_all(reply, '(?im)^\\s*QUESTION_TYPE\\s*:\\s*(.*?)\\s*$', 1)[-1] as question_type,
+    regexp_extract_all(reply, '(?im)^\\s*CONFIDENCE\\s*:\\s*(.*?)\\s*$', 1)[-1] as c from r)"""
 
 
-@query(f"select o_orderkey, {_picked(['Distractor Extraction', 'Truncation of answer', 'something else', None, 'REFUSAL'])} as raw, {_picked(['Distractor Extraction', 'Premature Refusal', 'Reasoning Hallucination', 'Reasoning Hallucination', 'Premature Refusal'])} as label, {_picked([None, None, 'Lookup', None, None])} as question_type, cast({_picked([0.9, 0.25, None, None, None])} as double) as confidence from orders")
+@query(with_(_REPLY) + "select o_orderkey, raw, case when contains(lower(raw), 'distractor') then 'Distractor Extraction' when regexp_matches(lower(raw), 'premature|refusal|truncation') then 'Premature Refusal' else 'Reasoning Hallucination' end as label, question_type, try_cast(c as double) as confidence from x")
 def reader_replies(spark, sf_dir):
-    text = F.col("reply")
-    raw = T.labelled_line(text, "ERROR_TYPE")
-    return _named(spark, sf_dir, _REPLIES, "reply").select("o_orderkey", raw.alias("raw"), T.error_label_of(raw).alias("label"), T.labelled_line(text, "QUESTION_TYPE").alias("question_type"), T.labelled_line(text, "CONFIDENCE").try_cast("double").alias("confidence"))
+    """Replies of a reader made of an order's priority, status and keys: labels in either case, several of one kind, none, and numbers that are none."""
+    o, text = V.read(spark, sf_dir, "orders"), lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    kind = F.element_at(F.array(text("a DISTRACTOR ", priority), text("Premature ", status), text(priority, " truncation"), priority, priority), (F.col("o_custkey") % 5 + 1).cast("int"))
+    forms = [
+        text("ERROR_TYPE: ", kind, "\nCONFIDENCE: ", (F.col("o_orderkey") % 100).cast("string"), ".5"), text("error_type: first\n  ERROR_TYPE :  ", kind, "  \nconfidence: ", status),
+        text("QUESTION_TYPE: ", status, "\nthe reason: ", kind), text("said ERROR_TYPE: none\nQuestion_Type: ", priority),
+    ]
+    reply = F.element_at(F.array(*forms), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    raw = T.labelled_line(reply, "ERROR_TYPE")
+    return o.select("o_orderkey", raw.alias("raw"), T.error_label_of(raw).alias("label"), T.labelled_line(reply, "QUESTION_TYPE").alias("question_type"), T.labelled_line(reply, "CONFIDENCE").try_cast("double").alias("confidence"))
 
 
 @query("with c as (select l_orderkey, l_linenumber, (cast(round(l_extendedprice * 100) as bigint) * 5 + 2) // 4 as x from lineitem) select l_orderkey, l_linenumber, (x // 1000) || '.' || lpad(cast(x % 1000 as varchar), 3, '0') as shown from c")
@@ -502,10 +549,12 @@ def annotation_items(spark, sf_dir):
     return sampling.opaque_ids(records.united(primary, diagnostic, ["record"], ("PRIMARY", "DIAGNOSTIC")), "record", 314159).select("membership", "record", "opaque_id")
 
 
-@query("select 0 as overlap_count")
+@query(with_(_JUDGED, _PRIMARY, _DIAGNOSTIC) + """select cast((select count(*) from (select record from prim intersect select record from diag)) as integer) as overlap_count,
+  cast((select count(*) from (select question from prim intersect select question from diag)) as integer) as question_overlap""")
 def sample_overlap(spark, sf_dir):
     primary, diagnostic = _samples(spark, sf_dir)
-    return records.overlap(primary, diagnostic, ["record"]).select(F.col("overlap_count").cast("int").alias("overlap_count"))
+    both = records.overlap(primary, diagnostic, ["record"]).join(records.overlap(primary, diagnostic, ["question"]).withColumnRenamed("overlap_count", "question_overlap"))
+    return both.select(F.col("overlap_count").cast("int").alias("overlap_count"), F.col("question_overlap").cast("int").alias("question_overlap"))
 
 
 @query(with_(V.RATERS, "cl as (select distinct source from raters)", "dr as (select i as draw, 'src' || (i * 7 % 10) as source from range(12) r(i))", "rk as (select *, row_number() over (partition by source order by doc_id) as place from raters)") + "select draw, place, doc_id, a, b from dr join rk using (source)")
