@@ -29,7 +29,7 @@ from murmura.llm.common import by_slices, forget, given, ship, size_hint, stored
 from murmura.llm.components import components
 
 #: Bytes of text of a block, and those hashed at a time; stored bytes of documents for each bucket of shingles.
-BLOCK, SLICE, BUCKET = 8 << 20, 1 << 20, 4 << 20
+BLOCK, SLICE, BUCKET = 4 << 20, 1 << 20, 4 << 20
 #: Bits of a shingle's hash; its document frequency's bit length goes above them, so that rare shingles come first.
 BITS = 48
 #: Members and sets of one task's prefix tree at most, about; members joined at a time.
