@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,7 +72,75 @@ def cluster_bootstrap(pairs: DataFrame, a: str, b: str, cluster: str, replicates
     weights = draws.groupBy("replicate", pick.alias("number")).agg(F.count("*").alias("times"))
     met = weights.join(found, "number")
     sums = met.groupBy("replicate").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in ("tp", "fp", "fn", "tn", "n")))
+    return _intervals(sums)
+
+
+def _intervals(sums: DataFrame) -> DataFrame:
+    """replicates, invalid and the percentile intervals of agreement and kappa, of a row of counts for each replicate."""
     found = agreement(sums)
     at = F.array(F.lit(0.025), F.lit(0.975))
     done = found.agg(F.count("*").alias("replicates"), F.sum(F.col("kappa").isNull().cast("long")).alias("invalid"), F.percentile("agreement", at).alias("a"), F.percentile("kappa", at).alias("k"))
     return done.select("replicates", "invalid", *(F.round(F.col(c)[i], 6).alias(n) for c, i, n in (("a", 0, "agreement_low"), ("a", 1, "agreement_high"), ("k", 0, "kappa_low"), ("k", 1, "kappa_high"))))
+
+
+#: Clusters of a leaf, whose draws are dealt out at once.
+LEAF = 1024
+
+
+def _leaf_draws(leaf: int, clusters: int, replicates: int, seed: int, known: dict) -> np.ndarray:
+    """How many of each replicate's draws fall on a leaf's clusters: from the root of a tree over all leaves, each node halves its draws by a binomial that its place decides."""
+    low, high, draws = 0, -(-clusters // LEAF), np.full(replicates, clusters, np.int64)
+    while high - low > 1:
+        middle = (low + high) // 2
+        if (low, high) not in known:
+            left = (middle - low) * LEAF / (min(high * LEAF, clusters) - low * LEAF)
+            known[low, high] = np.random.default_rng([seed, low, high]).binomial(draws, left)
+        draws, low, high = (known[low, high], low, middle) if leaf < middle else (draws - known[low, high], middle, high)
+    return draws
+
+
+def bootstrap_sums(numbered_cells: DataFrame, columns: list[str], clusters: int, replicates: int, seed: int) -> DataFrame:
+    """(replicate, draws, columns): the sums of each replicate's ``clusters`` draws with replacement, from rows of clusters numbered from 0.
+
+    A leaf of consecutive clusters gets its number of draws by binomial splitting and
+    deals them out by a multinomial, exactly as drawing one by one would; a task adds
+    up all its leaves and passes on one row a replicate, however many clusters there
+    are. What is drawn depends on the seed and the numbers alone, not on partitions.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[int, int], np.ndarray] = {}
+        sums, held = np.zeros((replicates, 1 + len(columns)), np.int64), {}
+
+        def add(leaf: int) -> None:
+            number, cells = (np.concatenate(x) for x in zip(*held.pop(leaf)))
+            size = min(LEAF, clusters - leaf * LEAF)
+            draws = _leaf_draws(leaf, clusters, replicates, seed, known)
+            weights = np.random.default_rng([seed, leaf]).multinomial(draws, np.full(size, 1 / size))
+            sums[:, 0] += draws
+            sums[:, 1:] += weights[:, number - leaf * LEAF] @ cells
+
+        for batch in batches:
+            number = batch.column(0).to_numpy()
+            cells = np.stack([c.to_numpy() for c in batch.columns[1:]], 1)
+            for leaf in np.unique(number // LEAF).tolist():
+                for before in [x for x in held if x != leaf]:
+                    add(before)
+                on = number // LEAF == leaf
+                held.setdefault(leaf, []).append((number[on], cells[on]))
+        for leaf in list(held):
+            add(leaf)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates)), *(pa.array(x) for x in sums.T)], ["replicate", "draws", *columns])
+
+    leaf = F.floor(F.col("number") / LEAF)
+    rows = numbered_cells.select("number", *(F.col(c).cast("long").alias(c) for c in columns)).repartition(leaf).sortWithinPartitions("number")
+    fields = ", ".join(f"{c} long" for c in ("replicate", "draws", *columns))
+    return rows.mapInArrow(run, fields).groupBy("replicate").agg(*(F.sum(c).alias(c) for c in ("draws", *columns)))
+
+
+def cluster_bootstrap_large(pairs: DataFrame, a: str, b: str, cluster: str, replicates: int = 2000, seed: int = 42) -> DataFrame:
+    """cluster_bootstrap() for any number of clusters: draws of bootstrap_sums() in place of one hash a draw. No clusters give no replicates."""
+    cells = numbered(confusion(pairs, a, b, [cluster]), [cluster], "number", 0)
+    clusters = cells.count()
+    sums = bootstrap_sums(cells, ["tp", "fp", "fn", "tn", "n"], clusters, replicates, seed)
+    return _intervals(sums.filter(F.lit(clusters > 0)))

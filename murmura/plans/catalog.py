@@ -415,6 +415,12 @@ def cluster_bootstrap(spark, sf_dir):
     return agree.cluster_bootstrap(V.raters(spark, sf_dir), "a", "b", "source")
 
 
+@query(None)
+def cluster_bootstrap_large(spark, sf_dir):
+    """Every document is a cluster; the draws are numpy's, so there is no SQL for them."""
+    return agree.cluster_bootstrap_large(V.raters(spark, sf_dir), "a", "b", "doc_id")
+
+
 # Sampling
 
 

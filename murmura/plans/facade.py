@@ -3,7 +3,8 @@
 What calls a model is plugged in by name: a representation turns a table into text, an
 encoder gives texts their vectors, a strategy makes prompts, a reader answers them. Each
 is a function of a DataFrame or of columns, so any of them may be a join with a table of
-results made elsewhere, built-in functions, or a pandas UDF.
+results made elsewhere, built-in functions, or a pandas UDF. plugins.py makes plain Python
+functions into representations and retrievers that SQL can call too.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ def markdown(**params) -> Callable[[DataFrame], Column]:
 
 @dataclass
 class Study:
-    """representations: by name, a factory of functions from a corpus to its column of text. encoders: by name, a function that adds the column embedding to (id, text). strategies: by name, a function (question, tables) to a prompt column. readers: by name, a function that adds the column answer to rows with a prompt."""
+    """representations: by name, a factory of functions from a corpus to its column of text, or to (id, representation, metadata). encoders: by name, a function that adds the column embedding to (id, text). strategies: by name, a function (question, tables) to a prompt column. readers: by name, a function that adds the column answer to rows with a prompt."""
 
     spark: SparkSession
     folder: str
@@ -43,7 +44,9 @@ class Study:
 
     def build_representations(self, corpus: DataFrame, name: str = "markdown", **params) -> DataFrame:
         """(id, representation, metadata) of each table of ``corpus``, one for each id, written as JSON lines and read again."""
-        made = corpus.select("id", self.representations[name](**params)(corpus).alias("representation"), "metadata").dropDuplicates(["id"])
+        made = self.representations[name](**params)(corpus)
+        made = made if isinstance(made, DataFrame) else corpus.select("id", made.alias("representation"), "metadata")
+        made = made.dropDuplicates(["id"])
         path = f"{self.folder}/representations/{index_key(name, params)}"
         writers.json_lines(made, path)
         return readers.representations(self.spark, path)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from murmura.functions import names as N
 from murmura.functions import text as T
 from murmura.operators import agree, anatomy, audit, context, cost, records, relevance, retrieve, robustness, sampling
+from murmura.plans import plugins
 from murmura.plans import views as V
 from murmura.plans.catalog import _ERRORS, _KEYS, _MOVES, _NRR, CELL, _errors, _moves, query, with_
 from murmura.sources import readers, writers
@@ -610,3 +611,30 @@ def running_usage(spark, sf_dir):
     last = Window.partitionBy("key").orderBy(F.desc("batch"))
     now = spark.read.parquet(f"{path}/totals").withColumn("_n", F.row_number().over(last)).filter("_n = 1")
     return now.select(F.col("key").alias("segment"), "calls", "request_tokens", "response_tokens", F.round("cost", 6).alias("cost"), "failures")
+
+
+# Plug-ins
+
+
+@query("select doc_id, cast(i as integer) as position, length(substring(text, 200 * i + 1, 200)) as size, md5(substring(text, 200 * i + 1, 200)) as piece_md5 from documents, unnest(range(0, (length(text) + 199) // 200)) t(i)")
+def plugged_pieces(spark, sf_dir):
+    """A table function, called from SQL with a lateral join, cuts each document."""
+    name = plugins.register(spark, "murmura_pieces", plugins.pieces, "position int, piece string")
+    V.read(spark, sf_dir, "documents").createOrReplaceTempView("murmura_documents")
+    found = spark.sql(f"select d.doc_id, p.position, p.piece from murmura_documents d, lateral {name}(d.text, 200) p")
+    return found.select("doc_id", "position", F.char_length("piece").cast("long").alias("size"), F.md5("piece").alias("piece_md5"))
+
+
+@query("""with w as (select c_custkey, list_distinct(string_split(c_name || ' ' || c_mktsegment, ' ')) as asked from customer),
+  t as (select p_partkey % 50 as slot, cast(p_partkey as varchar) as id, string_split(p_name || ' ' || c_mktsegment, ' ') as words from part join customer on c_custkey = p_partkey % 40),
+  s as (select c_custkey as query_id, id, round(cast(len(list_intersect(asked, words)) as double) / len(asked), 6) as score from w join t on slot = c_custkey % 50)
+  select query_id, cast(place as integer) as rank, id, score from (select *, row_number() over (partition by query_id order by score desc, id) as place from s) where place <= 3""")
+def plugged_retriever(spark, sf_dir):
+    """Every customer asks for the parts of its slot whose words it shares; the ranking is a plain Python function."""
+    customer, part = V.read(spark, sf_dir, "customer"), V.read(spark, sf_dir, "part")
+    near = customer.select((F.col("c_custkey") % 40).alias("near"), "c_custkey", "c_mktsegment").filter("c_custkey = near").drop("c_custkey")
+    text = part.join(near, F.col("p_partkey") % 40 == F.col("near")).select((F.col("p_partkey") % 50).alias("slot"), F.col("p_partkey").cast("string").alias("id"), F.concat_ws(" ", "p_name", "c_mktsegment").alias("text"))
+    slots = text.groupBy("slot").agg(F.collect_list(F.struct("id", "text")).alias("x")).select("slot", F.col("x.id").alias("ids"), F.col("x.text").alias("texts"))
+    asked = customer.select(F.col("c_custkey").alias("query_id"), F.concat_ws(" ", "c_name", "c_mktsegment").alias("question"), (F.col("c_custkey") % 50).alias("slot")).join(slots, "slot")
+    found = plugins.retriever(spark, "murmura_shared_words", plugins.by_shared_words)(asked, 3)
+    return found.withColumn("score", F.round("score", 6))

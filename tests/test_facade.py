@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from murmura.plans.facade import Study
@@ -58,3 +59,20 @@ def test_an_index_key_with_odd_characters_is_deleted(spark, tmp_path):
         writers.vector_index(rows, str(tmp_path), key)
     assert writers.delete_index(spark, str(tmp_path), "b c/d")
     assert [r.index_key for r in writers.index_keys(spark, str(tmp_path)).collect()] == ["a=1"]
+
+
+def test_plugged_functions(spark, tmp_path):
+    from murmura.plans import plugins
+
+    corpus = spark.createDataFrame([("t1", [["a", "b"]], [["1", "2"], ["3", None]], {}), ("t2", [], [], {})], "id string, header array<array<string>>, instances array<array<string>>, metadata map<string,string>")
+    lines = lambda header, rows: "; ".join(f"{h}={c}" for r in rows for h, c in zip(header[-1], r))
+    study = Study(spark, str(tmp_path))
+    study.representations["lines"] = plugins.representation(spark, "as_lines", lines)
+    assert {r.id: r.representation for r in study.build_representations(corpus, "lines").collect()} == {"t1": "a=1; b=2; a=3; b=None", "t2": ""}
+    assert spark.sql("select representation from as_lines(array(array('x')), array(array('y')))").first()[0] == "x=y"
+    find = plugins.retriever(spark, "by_words", plugins.by_shared_words)
+    asked = spark.createDataFrame([(1, "red big dog", ["x", "y", "z"], ["a red dog", "big red dogs", None]), (2, "", [], [])], "query_id long, question string, ids array<string>, texts array<string>")
+    assert sorted(tuple(r) for r in find(asked, 2).collect()) == [(1, 1, "x", 2 / 3), (1, 2, "y", 2 / 3)]
+    with pytest.raises(ValueError):
+        plugins.register(spark, "no name", plugins.pieces, "a int, b string")
+    assert plugins.pieces("abcde", 2) == [(0, "ab"), (1, "cd"), (2, "e")] and plugins.pieces(None, 3) == []

@@ -135,6 +135,31 @@ def test_bootstrap_is_the_same_each_time_and_brackets_the_value(spark):
     assert one.first() == two.first() and one.first().agreement_low <= 0.8 <= one.first().agreement_high
 
 
+def test_bootstrap_of_many_clusters(spark, monkeypatch):
+    df = spark.createDataFrame([(i // 2, int(i % 3 > 0), int(i % 3 > 0 if i % 5 else i % 3 == 0)) for i in range(600)], "c long, a int, b int")
+    drawn = agree.cluster_bootstrap(df, "a", "b", "c", replicates=400).first()
+    for leaf in (1024, 16):
+        monkeypatch.setattr(agree, "LEAF", leaf)
+        one, two = (agree.cluster_bootstrap_large(df.repartition(n), "a", "b", "c", replicates=400).first() for n in (2, 7))
+        assert one == two and one.replicates == 400 and one.invalid == 0
+        assert all(abs(one[x] - drawn[x]) < 0.03 for x in ("agreement_low", "agreement_high", "kappa_low", "kappa_high"))
+    assert agree.cluster_bootstrap_large(df.limit(0), "a", "b", "c", replicates=10).first().replicates == 0
+
+
+def test_draws_of_a_replicate_are_exact(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(agree, "LEAF", 4)
+    clusters, replicates = 27, 3000
+    cells = spark.createDataFrame([(i, *(int(i == j) for j in range(clusters))) for i in range(clusters)], "number long, " + ", ".join(f"c{j} long" for j in range(clusters)))
+    sums = agree.bootstrap_sums(cells, [f"c{j}" for j in range(clusters)], clusters, replicates, 5).orderBy("replicate").toPandas().to_numpy()
+    weights = sums[:, 2:]
+    assert len(sums) == replicates and (sums[:, 1] == clusters).all() and (weights.sum(1) == clusters).all()
+    assert np.abs(weights.mean(0) - 1).max() < 0.08 and np.abs(weights.var(0) - (1 - 1 / clusters)).max() < 0.15  # as of a multinomial
+    together = np.cov(weights.T)
+    assert np.abs(together[~np.eye(clusters, dtype=bool)] + 1 / clusters).max() < 0.12
+
+
 def test_samples(spark):
     df = spark.createDataFrame([(i, "xy"[i % 2]) for i in range(50)], "id long, s string")
     a, b = (sampling.simple_sample(df.repartition(n), "id", 10, 1).collect() for n in (1, 5))
