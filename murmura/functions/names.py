@@ -49,6 +49,9 @@ def processing_order(name: Column) -> Column:
     )
 
 
+# The forms of report names below.
+
+
 def distribution_file(name: Column) -> Column:
     """struct(model, k) of {model}_K{k}_distribution.json; nulls for other names."""
     pattern = r"^(.+)_K(\d+)_distribution\.json$"
@@ -91,6 +94,15 @@ def retriever_name(raw: Column) -> Column:
     return F.when(F.lower(base).isin("bge-m3", "bgem3"), "BGEM3").otherwise(base)
 
 
+def typed_param(text: Column) -> Column:
+    """struct(key, kind, value) of a key=value text, as typed_params() reads it; value is text, true for a bare key, true or false in small letters."""
+    some = F.contains(text, F.lit("="))
+    key = F.when(some, F.split_part(text, F.lit("="), F.lit(1))).otherwise(text)
+    value = F.when(some, F.substring(text, F.char_length(key) + 2, F.char_length(text)))
+    kind = F.when(~some | F.lower(value).isin("true", "false"), "bool").when(value.rlike(r"^\d+$"), "int").when(value.rlike(r"^(\d+\.\d*|\.\d+)$"), "float").otherwise("str")
+    return F.struct(key.alias("key"), kind.alias("kind"), F.when(kind == "bool", F.lower(F.coalesce(value, F.lit("true")))).otherwise(value).alias("value"))
+
+
 def typed_params(given: list[str]) -> dict[str, bool | int | float | str]:
     """key=value texts as a dictionary on the driver: true and false, whole and decimal numbers by their look, a bare key is true."""
     out: dict[str, bool | int | float | str] = {}

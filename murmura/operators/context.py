@@ -15,38 +15,35 @@ def hard_negatives(retrieved: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     return others.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select("query_id", "rank", "id")
 
 
-#: Ids of a page of the shuffled corpus, from which a query draws.
-PAGE = 64
+def _drawn(*parts: Column) -> Column:
+    """The first 60 bits of an md5 of the parts, as a number."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long")
 
 
 def soft_negatives(queries: DataFrame, corpus: DataFrame, gold: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """(query_id, rank, id): k corpus ids that are not gold, drawn by a seeded hash; all of them if fewer.
-
-    The corpus is shuffled once, by md5 of the seed and the id, and numbered. Each query
-    starts at a place that md5 of the seed and its own id gives and takes the ids from
-    there on, around the end, that are not gold. It reads as many pages of the shuffled
-    corpus as k and its gold ids may need, never the whole of it: the work is k ids a
-    query, not a pair for every id. Two queries that start close to each other share
-    ids; over the seed each id is equally likely.
+    """(query_id, rank, id): k corpus ids that are not gold, drawn uniformly by a seeded hash, for each query by itself; all of them if fewer.
+
+    Ids are numbered once. A query draws places with replacement and takes the first k
+    different ids that are not gold; it draws eight for each id it may need, and 64
+    more, so that with a corpus of four times its need or more it runs out less than
+    once in 10^50 queries. In a smaller corpus it goes through all places, in an order
+    of its own. The work is proportional to k and the gold ids of a query, never to the
+    corpus.
     """
-    lot = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string")))
-    ids = numbered(corpus.select("id").distinct().withColumn("lot", lot), ["lot", "id"], "place", 0).select("id", "place", F.expr(f"place div {PAGE}").alias("page"))
+    ids = numbered(corpus.select("id").distinct(), ["id"], "place", 0)
     size = ids.agg(F.count("*").alias("size"))
     known = gold.select("query_id", "id").distinct()
-    asked = queries.select("query_id").distinct().join(known.groupBy("query_id").agg(F.count("*").alias("n_gold")), "query_id", "left").join(size)
-    start = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("start"), F.col("query_id").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("size")
-    need = F.least(F.col("size"), F.lit(k) + F.coalesce("n_gold", F.lit(0)))
-    asked = asked.filter("size > 0").withColumn("start", start).withColumn("need", need)
-    last = F.col("start") + F.col("need") - 1
-    pages = F.expr(f"start div {PAGE}"), F.floor(last / PAGE).cast("long"), F.floor((F.col("size") - 1) / PAGE).cast("long")
-    around = F.when(last < F.col("size"), F.sequence(pages[0], pages[1])).otherwise(
-        F.array_distinct(F.concat(F.sequence(pages[0], pages[2]), F.sequence(F.lit(0).cast("long"), F.floor((last - F.col("size")) / PAGE).cast("long"))))
-    )
-    met = asked.withColumn("page", F.explode(around)).join(ids, "page")
-    step = F.pmod(F.col("place") - F.col("start"), F.col("size"))
-    drawn = met.withColumn("step", step).filter("step < need").join(known, ["query_id", "id"], "left_anti")
-    order = Window.partitionBy("query_id").orderBy("step")
-    return drawn.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id")
+    asked = queries.select("query_id").distinct().join(known.groupBy("query_id").agg(F.count("*").alias("n_gold")), "query_id", "left").join(F.broadcast(size))
+    need = (F.lit(k) + F.coalesce("n_gold", F.lit(0))).cast("long")
+    text, mark = F.col("query_id").cast("string"), F.lit(str(seed))
+    asked = asked.filter("size > 0").withColumn("need", need).withColumn("small", F.col("size") < 4 * F.col("need"))
+    turns = asked.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("small"), F.col("size")).otherwise(8 * F.col("need") + 64) - 1)))
+    drawn = _drawn(mark, text, F.col("turn").cast("string"))
+    turns = turns.select("query_id", F.when(F.col("small"), F.col("turn")).otherwise(drawn % F.col("size")).alias("place"), F.when(F.col("small"), drawn).otherwise(F.col("turn")).alias("order"))
+    first = turns.groupBy("query_id", "place").agg(F.min("order").alias("order"))
+    met = first.join(ids, "place").join(known, ["query_id", "id"], "left_anti")
+    order = Window.partitionBy("query_id").orderBy("order", "place")
+    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id")
 
 
 def ordered_ids(rows: DataFrame, name: str, by: str = "rank") -> DataFrame:

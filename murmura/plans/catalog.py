@@ -102,8 +102,11 @@ def hard_negatives(spark, sf_dir):
     return _hard(spark, sf_dir)[0]
 
 
-@query(with_(V.RETRIEVAL, "ring as (select id, label, row_number() over (order by md5('42|' || id), id) - 1 as place, count(*) over () as size from c)") + """select query_id, cast(rank as integer) as rank, id
-  from (select query_id, id, row_number() over (partition by query_id order by (place - cast('0x' || substring(md5('42|start|' || query_id), 1, 8) as bigint) % size + size) % size) as rank from q join ring on q.label <> ring.label) where rank <= 10""")
+@query(with_(V.RETRIEVAL, "n as (select id, row_number() over (order by id) - 1 as place from c)", "sz as (select count(*) as size from c)", "need as (select query_id, 10 + count(id) as need from q left join gold using (query_id) group by query_id)",
+  "tn as (select query_id, size, need, t as turn, cast('0x' || substring(md5('42|' || query_id || '|' || t), 1, 15) as bigint) as drawn from need, sz, unnest(range(0, case when size < 4 * need then size else 8 * need + 64 end)) r(t))",
+  "pl as (select query_id, case when size < 4 * need then turn else drawn % size end as place, min(case when size < 4 * need then drawn else turn end) as o from tn group by all)")
+  + """select query_id, cast(rank as integer) as rank, id from (select query_id, id, row_number() over (partition by query_id order by o, place) as rank
+  from pl join n using (place) where not exists (select 1 from gold g where g.query_id = pl.query_id and g.id = n.id)) where rank <= 10""")
 def soft_negatives(spark, sf_dir):
     queries, corpus, gold = V.retrieval(spark, sf_dir)
     return context.soft_negatives(queries, corpus, gold, 10)

@@ -570,6 +570,43 @@ def resume_todo(spark, sf_dir):
     return records.resumable(d, d.filter("doc_id % 2 = 0 and lang <> 'fr'"), ["doc_id", "lang"])
 
 
+# Discovery, parameters, estimates
+
+
+@query("""with n as (select distinct 'rep_' || p_type || '_size=' || p_size || case when p_partkey % 3 = 0 then '_' || p_brand else '' end || case when p_partkey % 7 = 0 then '.tmp' else '.jsonl' end as name from part),
+  c as (select name, case when name = 'rep_size=7_ECONOMY.jsonl' then 0 when starts_with(name, 'rep') and ends_with(name, '.jsonl') and contains(name, 'size=7') and contains(name, 'ECONOMY') then 1 when name = 'rep.jsonl' then 2 end as class from n)
+  select name from c where class is not null order by class, length(name), name limit 1""")
+def representation_discovery(spark, sf_dir):
+    """Files named after parts: the one of a representation of given parameters."""
+    name = F.concat(F.lit("rep_"), "p_type", F.lit("_size="), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("_"), "p_brand")).otherwise(""), F.when(F.col("p_partkey") % 7 == 0, ".tmp").otherwise(".jsonl"))
+    return readers.representation_file(V.read(spark, sf_dir, "part").select(name.alias("name")).distinct(), "rep", ["size=7", "ECONOMY"]).select("name")
+
+
+@query("""with t as (select p_partkey, case p_partkey % 5 when 0 then p_type || '=' || p_size when 1 then p_brand || '=' || p_retailprice when 2 then p_type when 3 then p_brand || '=' || case when p_size % 2 = 0 then 'True' else 'FALSE' end else p_type || '=' || p_name || '=' || p_size end as text from part),
+  s as (select *, split_part(text, '=', 1) as key, case when contains(text, '=') then substring(text, strpos(text, '=') + 1) end as v from t)
+  select p_partkey, key, case when v is null or lower(v) in ('true', 'false') then 'bool' when regexp_full_match(v, '[0-9]+') then 'int' when regexp_full_match(v, '[0-9]+[.][0-9]*|[.][0-9]+') then 'float' else 'str' end as kind,
+    case when v is null then 'true' when lower(v) in ('true', 'false') then lower(v) else v end as value from s""")
+def typed_parameters(spark, sf_dir):
+    p = V.read(spark, sf_dir, "part")
+    equal = lambda a, b: F.concat(F.col(a), F.lit("="), b)
+    texts = [equal("p_type", F.col("p_size").cast("string")), equal("p_brand", F.col("p_retailprice").cast("string")), F.col("p_type"), equal("p_brand", F.when(F.col("p_size") % 2 == 0, "True").otherwise("FALSE")), F.concat_ws("=", "p_type", "p_name", F.col("p_size").cast("string"))]
+    text = F.element_at(F.array(*texts), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return p.select("p_partkey", N.typed_param(text).alias("x")).select("p_partkey", "x.*")
+
+
+@query("select doc_id, length(text) // 4 as plain, greatest(1, length(text) // 4) as floored from documents")
+def quarter_estimates(spark, sf_dir):
+    return V.read(spark, sf_dir, "documents").select("doc_id", cost.quarter_length(F.col("text"), 0).alias("plain"), cost.quarter_length(F.col("text")).alias("floored"))
+
+
+@query(with_(V.TRIAL, "s as (select dataset, k, avg(score) as m, stddev_samp(score) / sqrt(count(*)) as e from trial group by all)") + "select dataset, k, round(m, 6) as metric, round(e, 6) as error, round(m, 6) as of_bare_name from s")
+def column_resolution(spark, sf_dir):
+    """Columns as a results table may have them: Soft Avg with Soft_SEM beside it, and NRR(hard), whose error column resolves to itself."""
+    t = V.trial(spark, sf_dir).groupBy("dataset", "k").agg(F.avg("score").alias("Soft Avg"), (F.stddev_samp("score") / F.sqrt(F.count("*"))).alias("Soft SEM"), F.avg("score").alias("NRR(hard)"))
+    metric = readers.resolve_column(t, ["Soft", "Soft Avg"])
+    return t.select("dataset", "k", F.round(F.col(metric), 6).alias("metric"), F.round(F.col(readers.error_column(t, metric)), 6).alias("error"), F.round(F.col(readers.error_column(t, "NRR(hard)")), 6).alias("of_bare_name"))
+
+
 # Streams
 
 

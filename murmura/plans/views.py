@@ -43,22 +43,23 @@ TRIAL = """trial as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_ex
 
 
 def retrieval(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Queries (query_id, embedding, label), corpus (id, embedding, label) and gold pairs (query_id, id): equal labels."""
+    """Queries (query_id, embedding, label), corpus (id, embedding, label) and gold pairs (query_id, id): equal labels within the same fifty vectors, so that a query has one to a few, whatever the size."""
     e = read(spark, sf_dir, "embeddings")
     queries = e.filter("vec_id % 5 = 0").withColumnRenamed("vec_id", "query_id")
     corpus = e.filter("vec_id % 5 <> 0").withColumnRenamed("vec_id", "id")
-    gold = queries.select("query_id", "label").join(corpus.select("id", "label"), "label").select("query_id", "id")
+    near = lambda c: F.expr(f"{c} div 50").alias("near")
+    gold = queries.select("query_id", "label", near("query_id")).join(corpus.select("id", "label", near("id")), ["label", "near"]).select("query_id", "id")
     return queries, corpus, gold
 
 
 def gold_pair(gold: DataFrame) -> DataFrame:
-    """(query_id, gold): a case with all its gold ids of the corpus' first hundred, in order: one to a few, as the study's questions have."""
-    return gold.filter("id < 100").groupBy("query_id").agg(F.sort_array(F.collect_list("id")).alias("gold"))
+    """(query_id, gold): a case with all its gold ids in order."""
+    return gold.groupBy("query_id").agg(F.sort_array(F.collect_list("id")).alias("gold"))
 
 
 RETRIEVAL = """q as (select vec_id as query_id, embedding, label from embeddings where vec_id % 5 = 0),
   c as (select vec_id as id, embedding, label from embeddings where vec_id % 5 <> 0),
-  gold as (select query_id, id from q join c using (label)),
+  gold as (select query_id, id from q join c using (label) where query_id // 50 = id // 50),
   sims as (select query_id, id, round(list_inner_product(q.embedding::double[], c.embedding::double[])
      / sqrt(list_inner_product(q.embedding::double[], q.embedding::double[])) / sqrt(list_inner_product(c.embedding::double[], c.embedding::double[])), 6) as score
      from q, c where list_inner_product(q.embedding::double[], q.embedding::double[]) > 0 and list_inner_product(c.embedding::double[], c.embedding::double[]) > 0),
@@ -100,7 +101,7 @@ def metric_sql(gold: str) -> str:
 
 CONTEXT = """hn as (select query_id, rank, id from (select r.query_id, r.id, r.rank, row_number() over (partition by r.query_id order by r.rank) as place
      from ranked r left join gold g on r.query_id = g.query_id and r.id = g.id where g.id is null) where place <= 10),
-  gp as (select query_id, list(id order by id) as gold from gold where id < 100 group by query_id),
+  gp as (select query_id, list(id order by id) as gold from gold group by query_id),
   np as (select query_id, list(id order by rank) as negatives from hn group by query_id),
   cx as (select query_id, gold, list_slice(negatives, 1, 8 - len(gold)) as neg from gp join np using (query_id) where len(negatives) >= 8 - len(gold) and len(gold) <= 8),
   ctx as (select query_id, gold, list_concat(gold, neg) as start_, list_concat(neg, gold) as end_,

@@ -223,3 +223,17 @@ def prices(spark: SparkSession, path: str) -> DataFrame:
 def resolve_column(df: DataFrame, candidates: list[str]) -> str | None:
     """The first of the names that the frame has."""
     return next((c for c in candidates if c in df.columns), None)
+
+
+#: What a metric's column has in place of Avg where its standard error is meant.
+ERROR_MARKS = ("SEM", "Sem", "sem", "_SEM", "_sem", " (SEM)", " (sem)")
+
+
+def error_column(df: DataFrame, metric: str, itself: bool = True) -> str | None:
+    """The column of a metric's standard error: its name with Avg exchanged for one of ERROR_MARKS, then with Score exchanged for NRR, then SEM(...) or sem(...) around it.
+
+    A name without Avg is its own first candidate, so the metric itself is found; without
+    ``itself`` it never is.
+    """
+    names = [metric.replace("Avg", mark) for mark in ERROR_MARKS] + [metric.replace("Score", "NRR"), f"SEM({metric})", f"sem({metric})"]
+    return resolve_column(df, [n for n in names if itself or n != metric])
