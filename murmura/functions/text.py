@@ -67,9 +67,9 @@ def nfkc(text: pd.Series) -> pd.Series:
 
 
 def composed(rows: DataFrame, column: str) -> DataFrame:
-    """``rows`` with a text column in its NFKC form. Only rows with other than ASCII in it meet Python; the columns keep their order."""
+    """``rows`` with a text column in its NFKC form, in one pass. Only texts with other than ASCII in them meet Python; the columns keep their order."""
     plain = F.coalesce(F.octet_length(column) == F.char_length(column), F.lit(True))
-    return rows.filter(plain).unionByName(rows.filter(~plain).withColumn(column, nfkc(F.col(column))))
+    return rows.withColumn(column, F.coalesce(nfkc(F.when(~plain, F.col(column))), F.col(column)))
 
 
 def normalized(text: Column) -> Column:
@@ -98,10 +98,14 @@ def judge(gold: Column, answer: Column, coverage: float = 0.6) -> Column:
     )
 
 
+def refusal_in(norm: Column) -> Column:
+    """The first refusal phrase that a collapsed text holds, or null."""
+    return F.coalesce(*(F.when(F.contains(norm, F.lit(p)), F.lit(p)) for p in REFUSALS))
+
+
 def refusal(text: Column) -> Column:
     """The first refusal phrase that the collapsed text holds, or null."""
-    found = lambda n: F.coalesce(*(F.when(F.contains(n, F.lit(p)), F.lit(p)) for p in REFUSALS))
-    return F.get(F.transform(F.array(collapsed(text)), found), F.lit(0))  # a lambda's variable is collapsed once, not for each phrase
+    return F.get(F.transform(F.array(collapsed(text)), refusal_in), F.lit(0))  # a lambda's variable is collapsed once, not for each phrase
 
 
 def cjk_count(text: Column) -> Column:

@@ -42,44 +42,58 @@ def feature_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(*keys)), 6))
 
 
-#: Answers that one copy of a table's automaton reads, about; a table with more cases is dealt out over several tasks.
-ANSWERS = 20_000
+#: Cells of a block of tables, about; answers that one copy of a block's automaton reads at least, and more if it has more cells.
+CELLS, ANSWERS = 1 << 17, 1000
 
 
 def _longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in which a table's cells come before the answers of its cases: for each answer the first, in the table's order, of the cells that it holds and gold has not."""
-    cells, automaton = [], None
+    """Rows in which a block's tables come before the answers of its cases: for each answer the longest cell of its own tables that it holds and gold has not; the first table and position of equally long ones."""
+    holders: dict[str, list[tuple]] = {}
+    automaton, open_ = None, False
     for batch in batches:
         out = []
-        for kind, entries, query, table, answer, gold in zip(*(c.to_pylist() for c in batch.columns)):
+        for kind, table, entries, query, tables, answer, gold in zip(*(c.to_pylist() for c in batch.columns)):
             if kind == 0:
-                cells, automaton = entries, ahocorasick.Automaton()
-                for i, e in enumerate(cells):
-                    automaton.add_word(e["norm"], i)
+                if not open_:
+                    holders, open_ = {}, True
+                for e in entries:
+                    holders.setdefault(e["norm"], []).append((-len(e["norm"]), table, e["position"], e["cell"]))
+                continue
+            if open_:
+                automaton, open_ = ahocorasick.Automaton(), False
+                for norm, where in holders.items():
+                    automaton.add_word(norm, (norm, where))
                 automaton.make_automaton()
-            else:
-                taken = set(gold or ())
-                best = min((i for _, i in automaton.iter(answer) if not taken or cells[i]["norm"] not in taken), default=None)
-                if best is not None:
-                    out.append((query, table, cells[best]["size"], cells[best]["position"], cells[best]["cell"]))
+            mine, taken = set(tables), set(gold or ())
+            found = {norm: where for _, (norm, where) in automaton.iter(answer) if norm not in taken} if len(automaton) else {}
+            best = min((x for where in found.values() for x in where if x[1] in mine), default=None)
+            if best is not None:
+                out.append((query, *best))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["query_id", "table_id", "size", "position", "cell"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["query_id", "size", "table_id", "position", "cell"])
+
+
+def _said(answers: DataFrame, composed: bool = False) -> DataFrame:
+    """answers with norm_answer, the collapsed answer, or that of its NFKC form. They are dealt out first: a few large files would otherwise mean a few tasks for all this work."""
+    dealt = answers.repartition("query_id")
+    return (T.composed(dealt, "answer") if composed else dealt).withColumn("norm_answer", T.collapsed(F.col("answer")))
 
 
 def distractor_matches(answers: DataFrame, cells: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     """(query_id, table_id, cell) of the longest distractor cell that the answer holds.
 
-    answers: query_id, answer; cells: query_id, table_id, position, cell, is_gold,
-    and norm where the collapsed cell is known already. With ``tables`` (query_id,
+    answers: query_id, answer, or norm_answer where it is collapsed already; cells:
+    query_id, table_id, position, cell, is_gold, and norm where the collapsed cell is known already. With ``tables`` (query_id,
     table_id, is_gold), cells are those of tables and have no query_id: then many
     cases share one list of cells, which is collapsed, filtered and gathered once a
     table. Cells are compared collapsed and in lower case; values that a gold cell of
     the query has too are out, as are those of one character or without a letter or
     digit; the first of equally long ones wins.
 
-    The cells of a table make one Aho-Corasick automaton, and the answers of its cases
-    stream past it: an answer is read once a table, however many cells that has. A
-    table of many cases has copies of its automaton in several tasks.
+    Tables are put in blocks of about CELLS cells; a block's cells make one Aho-Corasick
+    automaton, and the answers of its cases stream past it. So an answer is read once a
+    block, however many cells and tables that has. Where many answers meet a block,
+    copies of it go to several tasks.
     """
     norm = cells if "norm" in cells.columns else cells.withColumn("norm", T.collapsed(F.col("cell")))
     shared = tables is not None
@@ -90,26 +104,33 @@ def distractor_matches(answers: DataFrame, cells: DataFrame, tables: DataFrame |
         tables, norm = tables.withColumn("of_query", F.lit(0)), norm.withColumn("of_query", F.lit(0)).withColumn("is_gold", F.lit(None).cast("boolean"))
     usable = norm.filter("length(norm) >= 2").filter(F.col("norm").rlike(r"[\p{L}\p{N}]"))
     first = usable.groupBy("of_query", "table_id", "is_gold", "norm").agg(F.min(F.struct("position", "cell")).alias("at"))
-    # longest first, so that the least place among the cells found is the one wanted
-    entry = F.struct((-F.char_length("norm")).cast("long").alias("size"), F.col("at.position").cast("long").alias("position"), "norm", F.col("at.cell").alias("cell"))
-    lists = first.groupBy("of_query", "table_id", "is_gold").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    entry = F.struct(F.col("at.position").cast("long").alias("position"), "norm", F.col("at.cell").alias("cell"))
+    lists = first.groupBy("of_query", "table_id", "is_gold").agg(F.collect_list(entry).alias("entries"))
     lists = lists.withColumnRenamed("is_gold", "cells_gold")
     met = tables.filter("is_gold").join(lists.filter("cells_gold is null or cells_gold"), ["of_query", "table_id"])
     gold = met.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list(F.col("entries.norm")))).alias("gold"))
-    said = answers.select("query_id", T.collapsed(F.col("answer")).alias("norm_answer")).join(gold, "query_id", "left")
+    said = answers if "norm_answer" in answers.columns else _said(answers)
+    said = said.select("query_id", "norm_answer").filter("norm_answer is not null").join(gold, "query_id", "left")
     held, lists = tables.filter("not is_gold"), lists.filter("cells_gold is null or not cells_gold")
     if shared:
-        parts = held.groupBy("of_query", "table_id").agg(F.ceil(F.count("*") / ANSWERS).alias("parts"))
-        held = held.join(parts, ["of_query", "table_id"]).withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")))
-        lists = lists.join(parts, ["of_query", "table_id"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        blocks = max(1, -(-(cells.count()) // CELLS))
+        block = F.pmod(F.xxhash64("table_id"), F.lit(blocks))
+        of_block = lists.groupBy(block.alias("block")).agg(F.sum(F.size("entries")).alias("cells"))
+        asked = held.groupBy("query_id", block.alias("block")).agg(F.collect_set("table_id").alias("tables"))
+        counts = asked.groupBy("block").agg(F.count("*").alias("answers")).join(of_block, "block")  # a row for each block
+        parts = counts.select("block", F.ceil(F.col("answers") / F.greatest(F.lit(ANSWERS), F.col("cells") / 8)).alias("parts"))
+        asked = asked.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")))
+        lists = lists.withColumn("block", block).join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     else:
-        held, lists = held.withColumn("part", F.lit(0).cast("long")), lists.withColumn("part", F.lit(0).cast("long"))
-    keys = ["of_query", "table_id", "part"]
-    asked = held.join(lists.select(*keys).distinct(), keys, "left_semi").join(said, "query_id").filter("norm_answer is not null")
-    rows = lists.select(*keys, F.lit(0).alias("kind"), "entries").unionByName(asked.select(*keys, F.lit(1).alias("kind"), "query_id", "norm_answer", "gold"), allowMissingColumns=True)
+        lists = lists.withColumn("block", F.xxhash64("of_query")).withColumn("part", F.col("of_query"))
+        asked = held.groupBy("query_id").agg(F.collect_set("table_id").alias("tables")).withColumn("block", F.xxhash64("query_id")).withColumn("part", F.col("query_id"))
+        asked = asked.join(lists.select("part").distinct(), "part", "left_semi")
+    keys = ["block", "part"]
+    asked = asked.join(said, "query_id")
+    rows = lists.select(*keys, F.lit(0).alias("kind"), "table_id", "entries").unionByName(asked.select(*keys, F.lit(1).alias("kind"), "query_id", "tables", "norm_answer", "gold"), allowMissingColumns=True)
     kinds = dict(answers.dtypes)["query_id"], dict(tables.dtypes)["table_id"]
-    found = rows.repartition(*keys).sortWithinPartitions(*keys, "kind").select("kind", "entries", "query_id", "table_id", "norm_answer", "gold")
-    found = found.mapInArrow(_longest, f"query_id {kinds[0]}, table_id {kinds[1]}, size long, position long, cell string")
+    found = rows.repartition(*keys).sortWithinPartitions(*keys, "kind").select("kind", "table_id", "entries", "query_id", "tables", "norm_answer", "gold")
+    found = found.mapInArrow(_longest, f"query_id {kinds[0]}, size long, table_id {kinds[1]}, position long, cell string")
     best = found.groupBy("query_id").agg(F.min(F.struct("size", "table_id", "position", "cell")).alias("best"))
     return best.select("query_id", F.col("best.table_id").alias("table_id"), F.col("best.cell").alias("cell"))
 
@@ -120,12 +141,13 @@ def error_labels(answers: DataFrame, cells: DataFrame, tables: DataFrame | None
     Answers are brought to their NFKC form first; cells and tables as in
     distractor_matches(), with norm from text of that form.
     """
-    answers = T.composed(answers, "answer")
-    met = answers.join(distractor_matches(answers, cells, tables), "query_id", "left").withColumn("phrase", T.refusal(F.col("answer")))
+    answers = _said(answers, composed=True)
+    others = answers.withColumn("phrase", T.refusal_in(F.col("norm_answer"))).drop("answer", "norm_answer")
+    met = others.join(distractor_matches(answers, cells, tables), "query_id", "left")
     hit = F.col("cell").isNotNull()
     label = F.when(hit, LABELS[0]).when(F.col("phrase").isNotNull(), LABELS[1]).otherwise(LABELS[2])
     source = F.when(hit, "distractor_specific_cell_rule").when(F.col("phrase").isNotNull(), "explicit_refusal_rule").otherwise("residual_reasoning_rule")
-    return met.select(*[c for c in answers.columns if c != "answer"], label.alias("final_error_type"), source.alias("label_source"), F.col("table_id").cast("string").alias("matched_table"), F.col("cell").alias("matched_cell"), F.when(~hit, F.col("phrase")).alias("matched_phrase"))
+    return met.select(*[c for c in answers.columns if c not in ("answer", "norm_answer")], label.alias("final_error_type"), source.alias("label_source"), F.col("table_id").cast("string").alias("matched_table"), F.col("cell").alias("matched_cell"), F.when(~hit, F.col("phrase")).alias("matched_phrase"))
 
 
 def resolvability(records: DataFrame, parts: dict[str, DataFrame], key: str) -> DataFrame:
