@@ -50,8 +50,9 @@ def chain_survivors(prints: DataFrame) -> DataFrame:
 
     On a ring of three segments the budgets are 0, 1 and 2: some segment is equal,
     and the next one then differs in one bit at most. First come the segments that
-    two fingerprints share; only those are extended, by one-bit variants of the next
-    segment. Groups are only counted, never listed in pairs.
+    two fingerprints share; then a half of the next segment besides, which one bit
+    leaves alone; only those are extended, by one-bit variants of the next segment.
+    Groups are only counted, never listed in pairs.
     """
     at = (0, SEGMENTS[0], SEGMENTS[0] + SEGMENTS[1])
     cut = [F.shiftrightunsigned("fp", at[i]).bitwiseAND(F.lit((1 << SEGMENTS[i]) - 1)) for i in range(3)]
@@ -59,6 +60,11 @@ def chain_survivors(prints: DataFrame) -> DataFrame:
     one = prints.select("fp", ring.alias("c")).select("fp", "c.*")
     shared = one.groupBy("i", "seg").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("i", "seg")
     one = one.join(shared.hint("merge"), ["i", "seg"], "left_semi")
+    # one bit of difference leaves one half of the next segment as it is: what shares neither half goes before variants are made
+    half = F.explode(F.array(F.struct(F.lit(0).alias("h"), F.col("nxt").bitwiseAND(F.lit((1 << 11) - 1)).alias("part")), F.struct(F.lit(1).alias("h"), F.shiftrightunsigned("nxt", 11).alias("part"))))
+    halves = one.withColumn("x", half).select("fp", "i", "seg", "nxt", "width", "x.h", "x.part")
+    near = halves.groupBy("i", "seg", "h", "part").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("i", "seg", "h", "part")
+    one = halves.join(near.hint("merge"), ["i", "seg", "h", "part"], "left_semi").select("fp", "i", "seg", "nxt", "width").distinct()
     flip = F.explode(F.concat(F.array(F.lit(0).cast("long")), F.expr("transform(sequence(0, width - 1), t -> shiftleft(1L, t))")))
     two = one.withColumn("flip", flip).select("fp", "i", "seg", F.col("nxt").bitwiseXOR(F.col("flip")).alias("nxt"), (F.col("flip") == 0).alias("own"))
     viable = two.groupBy("i", "seg", "nxt").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.max("own").alias("own")).filter("lo <> hi and own").select("i", "seg", "nxt")
