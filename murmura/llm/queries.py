@@ -191,4 +191,14 @@ ORACLES: dict[str, str] = {
               union all select lang, source, 'term', term, (p - q) * (p - q) // q from f join l using (lang, term) where n > 0 and p > q)
         select lang, source, part, item, cast(value as bigint) as value, cast(place as int) as rank
         from (select *, row_number() over (partition by lang, source, part order by value desc, item) as place from u) where part = 'pair' or place <= 200""",
+    "op13_jaccard": rf"""
+        with recursive d as (select row_number() over () as r, doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') as w from documents),
+        s as (select distinct r, list_slice(w, i, i + least(len(w), 5) - 1) as g from d, unnest(range(1, greatest(len(w) - 5, 0) + 2)) t(i) where len(w) > 0),
+        n as (select r, count(*) as n from s group by r),
+        p as (select a.r as u, b.r as v, count(*) as c from s a join s b on a.g = b.g and a.r < b.r group by all),
+        e as (select u, v from p join n x on x.r = u join n y on y.r = v where 100 * c >= 80 * (x.n + y.n - c)),
+        both_ways as (select u, v from e union all select v, u from e),
+        reach(r, c) as (select r, r from d union select reach.r, v from reach join both_ways on c = u),
+        least_id as (select reach.r, min(doc_id) as component_id from reach join d on d.r = c group by reach.r)
+        select doc_id, coalesce(n, 0) as n_shingles, component_id from d left join n using (r) join least_id using (r)""",
 }
