@@ -114,6 +114,16 @@ LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefgh
 URL_PATTERNS = " or ".join(f"regexp_matches(lower(url), '{r.pattern}')" for r in url_filter.DEFAULT_RULES if r.verdict == "block")
 
 ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": """
+        with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+        w as (select doc_id, i, md5_number(substr(h, 2 * i + 1, 100)) as k from d, unnest(range(0, n - 49)) t(i)),
+        m as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by k) as least from w) where doc_id > least),
+        g as (select doc_id, i, sum(case when i - prev <= 50 then 0 else 1 end) over (partition by doc_id order by i) as run from (select *, lag(i) over (partition by doc_id order by i) as prev from m)),
+        r as (select doc_id, min(i) as a, max(i) + 50 as b from g group by doc_id, run),
+        k as (select *, coalesce(lag(b) over (partition by doc_id order by a), 0) as before from r),
+        t as (select doc_id, sum(b - a) as n_removed, count(*) as n_spans, max(b) as last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) as kept from k join d using (doc_id) group by doc_id)
+        select doc_id, cast(n as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans,
+               sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256 from d left join t using (doc_id)""",
     "op4_decontamination": rf"""
         with d as (select doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
         b as (select item_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where item_id is not null),
