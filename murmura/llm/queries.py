@@ -94,6 +94,11 @@ def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents"))
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and base rules of op3_quality alone, which SQL can express."""
+    return quality.base(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.expr(quality.BASE_FAILED).alias("base_failed"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_simhash": op2_simhash,
@@ -108,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_resampling": op11_resampling,
     "op12_divergence": op12_divergence,
     "op13_jaccard": op13_jaccard,
+    "quality_base": quality_base,
 }
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -211,4 +217,13 @@ ORACLES: dict[str, str] = {
         reach(r, c) as (select r, r from d union select reach.r, v from reach join both_ways on c = u),
         least_id as (select reach.r, min(doc_id) as component_id from reach join d on d.r = c group by reach.r)
         select doc_id, coalesce(n, 0) as n_shingles, component_id from d left join n using (r) join least_id using (r)""",
+    "quality_base": rf"""
+        with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+        l as (select r, count(*) - count(distinct line) as n_dup from d, unnest(string_split(text, chr(10))) t(line) where regexp_matches(line, '[^\x20\x09-\x0D]') group by r),
+        g as (select r, i, count(*) over (partition by r, md5_number(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as n from d, unnest(range(1, len(w) - 1)) t(i)),
+        p as (select r, count(distinct i + j) as n_repeat from g, unnest([0, 1, 2]) s(j) where n > 1 group by r),
+        c as (select doc_id, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
+              coalesce(n_dup, 0) as n_dup_lines, coalesce(n_repeat, 0) as n_repeat_words from d left join l using (r) left join p using (r))
+        select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words,
+               n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from c""",
 }
