@@ -669,9 +669,8 @@ def plugged_pieces(spark, sf_dir):
 def plugged_retriever(spark, sf_dir):
     """Every customer asks for the parts of its slot whose words it shares; the ranking is a plain Python function."""
     customer, part = V.read(spark, sf_dir, "customer"), V.read(spark, sf_dir, "part")
-    near = customer.select((F.col("c_custkey") % 40).alias("near"), "c_custkey", "c_mktsegment").filter("c_custkey = near").drop("c_custkey")
-    text = part.join(near, F.col("p_partkey") % 40 == F.col("near")).select((F.col("p_partkey") % 50).alias("slot"), F.col("p_partkey").cast("string").alias("id"), F.concat_ws(" ", "p_name", "c_mktsegment").alias("text"))
-    slots = text.groupBy("slot").agg(F.collect_list(F.struct("id", "text")).alias("x")).select("slot", F.col("x.id").alias("ids"), F.col("x.text").alias("texts"))
-    asked = customer.select(F.col("c_custkey").alias("query_id"), F.concat_ws(" ", "c_name", "c_mktsegment").alias("question"), (F.col("c_custkey") % 50).alias("slot")).join(slots, "slot")
-    found = plugins.retriever(spark, "murmura_shared_words", plugins.by_shared_words)(asked, 3)
+    near = customer.select((F.col("c_custkey") % 40).alias("near"), "c_custkey", "c_mktsegment").filter("c_custkey = near").drop("c_custkey")  # forty rows
+    text = part.join(F.broadcast(near), F.col("p_partkey") % 40 == F.col("near")).select((F.col("p_partkey") % 50).alias("grp"), F.col("p_partkey").cast("string").alias("id"), F.concat_ws(" ", "p_name", "c_mktsegment").alias("text"))
+    asked = customer.select(F.col("c_custkey").alias("query_id"), F.concat_ws(" ", "c_name", "c_mktsegment").alias("question"), (F.col("c_custkey") % 50).alias("grp"))
+    found = plugins.shared_words_topk(asked, text, 3, plugins.retriever(spark, "murmura_shared_words", plugins.by_shared_words))
     return found.withColumn("score", F.round("score", 6))
