@@ -65,6 +65,8 @@ RETRIEVAL = """q as (select vec_id as query_id, embedding, label from embeddings
      from q, c where list_inner_product(q.embedding::double[], q.embedding::double[]) > 0 and list_inner_product(c.embedding::double[], c.embedding::double[]) > 0),
   ranked as (select query_id, cast(rank as integer) as rank, id, score from (select *, row_number() over (partition by query_id order by score desc, id) as rank from sims) where rank <= 50)"""
 
+#: RETRIEVAL with all vectors of a query's label as its gold.
+WHOLE = RETRIEVAL.replace(" where query_id // 50 = id // 50", "")
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 

@@ -67,3 +67,36 @@ def test_hard_and_soft_negatives(spark):
     first, again = (context.soft_negatives(q, c, g, 4).orderBy("rank").collect() for _ in range(2))
     assert first == again and len(first) == 4 and 10 not in {x.id for x in first}
     assert context.soft_negatives(q, c, g, 100).count() == 9
+
+
+def test_class_metrics_count_every_item_of_a_label(spark):
+    """Items of a label are gold wherever they lie, as pairs listed in full say; a null label has none."""
+    items = [(i, None if i % 7 == 0 else i % 3) for i in range(200)]
+    asked = [(1000 + i, None if i == 4 else i % 4) for i in range(8)]
+    found = [(q, n + 1, (q * 31 + n * 17) % 200) for q, _ in asked if q != 1005 for n in range(12)]
+    q, r, e = spark.createDataFrame(asked, "query_id long, label int"), spark.createDataFrame(found, "query_id long, rank int, id long"), spark.createDataFrame(items, "id long, label int")
+    index, gold = e.filter("id % 3 <> 1").select("id"), q.join(e, "label").select("query_id", "id")
+    for held in (None, index):
+        want = sorted(tuple(x) for x in relevance.metrics(q, r, gold, [1, 5, 10], held).collect())
+        got = sorted(tuple(x) for x in relevance.class_metrics(q, r, e, [1, 5, 10], held).collect())
+        assert len(got) == len(want) == 24 and all(a == pytest.approx(b) for a, b in zip(got, want))
+
+
+def test_soft_recall_takes_all_vectors_of_a_label_as_gold(spark):
+    import duckdb
+
+    from murmura.plans import catalog
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as from '{folder}/embeddings.parquet'")
+    rows = con.sql("select vec_id, label from embeddings").fetchall()
+    size = {a: sum(1 for i, b in rows if b == a and i % 5) for a in {b for _, b in rows}}
+    of = dict(rows)
+    for name in ("recall_soft_at_k",):
+        got = sorted(tuple(r) for r in catalog.QUERIES[name](spark, folder).collect())
+        want = sorted(con.sql(catalog.ORACLES[name]).fetchall())
+        assert len(got) == len(want) and all(a == pytest.approx(b, abs=2e-6) for a, b in zip(got, want))
+        if name == "recall_soft_at_k":
+            assert all(abs(x * size[of[q]] - round(x * size[of[q]])) < 1e-3 for q, _, x in got)
+            assert min(size.values()) > 30
