@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from murmura.sources.shared import drop, scratch
 
 #: Queries that are sent to all tasks at once, vectors of a block, queries multiplied at a time, results a task holds before it keeps the best.
-QUERIES, BLOCK, ROWS, HELD = 8192, 1024, 512, 1 << 20
+QUERIES, BLOCK, ROWS, HELD = 4096, 1024, 512, 1 << 18
 #: Vectors that centres are trained on and rounds of training; centres at most.
 SAMPLE, ROUNDS, CENTRES = 8192, 6, 256
 #: Scores are rounded: what a bound may be off by and still be met.

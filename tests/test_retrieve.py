@@ -68,3 +68,19 @@ def test_more_asked_than_there_is_and_nothing_at_all(spark):
     assert retrieve.search(asked, retrieve.clustered(corpus.limit(0)), 9).count() == 0
     assert retrieve.cosine_topk(asked, corpus.limit(0), 9).count() == 0
     assert retrieve.skipped(asked.limit(0), index, 9).first().share == 0.0
+
+
+def test_a_task_holds_few_results_at_once(monkeypatch):
+    """Of a full block of queries, whatever the vectors that stream past it: none makes a task sort a million rows."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    asked = rng.normal(size=(retrieve.QUERIES, 8))
+    asked /= np.linalg.norm(asked, axis=1)[:, None]
+    sizes, least = [], retrieve._least
+    monkeypatch.setattr(retrieve, "_least", lambda t, k: sizes.append(t.num_rows) or least(t, k))
+    batches = (pa.RecordBatch.from_arrays([pa.array(np.arange(1024) + 1024 * i), pa.array(list(rng.normal(size=(1024, 8))), pa.list_(pa.float64()))], ["id", "embedding"]) for i in range(6))
+    run = retrieve._scan(asked, np.full(len(asked), -np.inf), np.zeros((len(asked), 0)), 8, 50, 6, False)
+    assert sum(b.num_rows for b in run(batches)) == 50 * len(asked)
+    assert max(sizes) < 600_000
