@@ -27,8 +27,9 @@ def soft_negatives(queries: DataFrame, corpus: DataFrame, gold: DataFrame, k: in
     different ids that are not gold; it draws eight for each id it may need, and 64
     more, so that with a corpus of four times its need or more it runs out less than
     once in 10^50 queries. In a smaller corpus it goes through all places, in an order
-    of its own. The work is proportional to k and the gold ids of a query, never to the
-    corpus.
+    of its own. The draws of a query are made within its row, and of its different places
+    the first k plus its number of gold ids go on: so many hold k others. The work is
+    proportional to k and the gold ids of a query, never to the corpus.
     """
     ids = numbered(corpus.select("id").distinct(), ["id"], "place", 0)
     size = ids.agg(F.count("*").alias("size"))
@@ -37,12 +38,14 @@ def soft_negatives(queries: DataFrame, corpus: DataFrame, gold: DataFrame, k: in
     need = (F.lit(k) + F.coalesce("n_gold", F.lit(0))).cast("long")
     text, mark = F.col("query_id").cast("string"), F.lit(str(seed))
     asked = asked.filter("size > 0").withColumn("need", need).withColumn("small", F.col("size") < 4 * F.col("need"))
-    turns = asked.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("small"), F.col("size")).otherwise(8 * F.col("need") + 64) - 1)))
-    drawn = _drawn(mark, text, F.col("turn").cast("string"))
-    turns = turns.select("query_id", F.when(F.col("small"), F.col("turn")).otherwise(drawn % F.col("size")).alias("place"), F.when(F.col("small"), drawn).otherwise(F.col("turn")).alias("order"))
-    first = turns.groupBy("query_id", "place").agg(F.min("order").alias("order"))
+    asked = asked.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query_id")
+    turn = F.sequence(F.lit(0).cast("long"), F.when(F.col("small"), F.col("size")).otherwise(8 * F.col("need") + 64) - 1)
+    drawn = lambda t: _drawn(mark, text, t.cast("string"))
+    walked = F.transform(F.array_sort(F.transform(turn, lambda t: F.struct(drawn(t).alias("drawn"), t.alias("place")))), lambda x: x["place"])
+    places = F.when(F.col("small"), walked).otherwise(F.array_distinct(F.transform(turn, lambda t: drawn(t) % F.col("size"))))
+    first = asked.select("query_id", F.posexplode(F.slice(places, F.lit(1), F.col("need").cast("int"))).alias("order", "place"))
     met = first.join(ids, "place").join(known, ["query_id", "id"], "left_anti")
-    order = Window.partitionBy("query_id").orderBy("order", "place")
+    order = Window.partitionBy("query_id").orderBy("order")
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id")
 
 

@@ -100,3 +100,18 @@ def test_soft_recall_takes_all_vectors_of_a_label_as_gold(spark):
         if name == "recall_soft_at_k":
             assert all(abs(x * size[of[q]] - round(x * size[of[q]])) < 1e-3 for q, _, x in got)
             assert min(size.values()) > 30
+
+
+def test_soft_negatives_make_their_draws_within_a_row(spark):
+    """Draws are not rows that one task has to group: only the places that may be needed leave a query's row, and they are the first different ones."""
+    q, c = spark.range(0, 30).toDF("query_id"), spark.range(0, 500).toDF("id")
+    g = spark.range(0, 30).selectExpr("id as query_id", "explode(sequence(id, id + id % 4)) as id")
+    made = context.soft_negatives(q, c, g, 5)
+    assert not [x for x in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x and "place#" in x]
+    import hashlib
+
+    for query in (0, 3, 17):
+        gold = set(range(query, query + query % 4 + 1))
+        drawn = [int(hashlib.md5(f"42|{query}|{t}".encode()).hexdigest()[:15], 16) % 500 for t in range(8 * (5 + len(gold)) + 64)]
+        want = [x for x in dict.fromkeys(drawn) if x not in gold][:5]
+        assert [r.id for r in made.filter(f"query_id = {query}").orderBy("rank").collect()] == want
