@@ -66,9 +66,13 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t))
 
 
+#: Characters that any text may hold and be in its NFKC form already, if it holds no others: ASCII, precomposed Latin letters, dashes, quotes, the euro.
+STABLE = r"[\x00-\x7F\u00C0-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u2013\u2014\u2018\u2019\u201C\u201D\u20AC]"
+
+
 def composed(rows: DataFrame, column: str) -> DataFrame:
-    """``rows`` with a text column in its NFKC form, in one pass. Only texts with other than ASCII in them meet Python; the columns keep their order."""
-    plain = F.coalesce(F.octet_length(column) == F.char_length(column), F.lit(True))
+    """``rows`` with a text column in its NFKC form, in one pass. Only texts with other than STABLE characters in them meet Python; the columns keep their order."""
+    plain = F.coalesce(F.col(column).rlike(rf"\A{STABLE}*+\z"), F.lit(True))
     return rows.withColumn(column, F.coalesce(nfkc(F.when(~plain, F.col(column))), F.col(column)))
 
 

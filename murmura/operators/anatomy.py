@@ -44,6 +44,14 @@ def feature_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 #: Cells of a block of tables, about; answers that one copy of a block's automaton reads at least, and more if it has more cells.
 CELLS, ANSWERS = 1 << 17, 1000
+#: Rows of a batch that are Python objects at once.
+OPEN = 64
+
+
+def _tuples(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows of a batch, a few at a time: as Python objects long answers and lists of cells take several times what they take in Arrow."""
+    for a in range(0, batch.num_rows, OPEN):
+        yield from zip(*(c.slice(a, OPEN).to_pylist() for c in batch.columns))
 
 
 def _longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +60,7 @@ def _longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     automaton, open_ = None, False
     for batch in batches:
         out = []
-        for kind, table, entries, query, tables, answer, gold in zip(*(c.to_pylist() for c in batch.columns)):
+        for kind, table, entries, query, tables, answer, gold in _tuples(batch):
             if kind == 0:
                 if not open_:
                     holders, open_ = {}, True

@@ -322,3 +322,28 @@ def test_samples_check_their_populations(spark):
 def test_driver_side_names():
     assert N.typed_params(["a=1", "b=0.5", "c=True", "d", "e=x=y", "f=1.2.3"]) == {"a": 1, "b": 0.5, "c": True, "d": True, "e": "x=y", "f": "1.2.3"}
     assert N.index_key("bge", {"b": 1, "a": "x"}) == "bge_a=x_b=1"
+
+
+def test_texts_of_stable_characters_need_no_python(spark):
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from murmura.functions import text as T
+
+    every = "".join(chr(c) for c in range(0x10000) if chr(c).isprintable() or c < 128)
+    kept = spark.createDataFrame([(c,) for c in every], "t string").filter(F.col("t").rlike(rf"\A{T.STABLE}\z")).collect()
+    assert len(kept) > 300 and all(unicodedata.normalize("NFKC", r.t) == r.t and unicodedata.combining(r.t) == 0 for r in kept)
+    joined = "".join(r.t for r in kept)
+    given = [joined, "Cr\u00e8me \u2014 \u20ac5", "e\u0301", "\ufb01n", "\u0132 \u017f", "", None, "caf\u00e9\n", "\u00e9" * 300_000]
+    got = T.composed(spark.createDataFrame(list(enumerate(given)), "i int, t string"), "t").orderBy("i").collect()
+    assert [r.t for r in got] == [None if t is None else unicodedata.normalize("NFKC", t) for t in given]
+
+
+def test_a_batch_is_opened_a_few_rows_at_a_time():
+    import pyarrow as pa
+
+    from murmura.operators import anatomy
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([["a"] * (i % 3) for i in range(1000)])], ["n", "x"])
+    assert list(anatomy._tuples(batch)) == [(i, ["a"] * (i % 3)) for i in range(1000)] and anatomy.OPEN <= 256
