@@ -147,9 +147,14 @@ def _truncate_mixed(text: pd.Series, most: pd.Series) -> pd.Series:
 
 
 def truncate_tokens(text: Column, most: int, mixed: bool = False) -> Column:
-    """The longest prefix whose estimate is at most ``most``. Texts without CJK stay in the JVM; ``mixed`` adds the path for those with."""
+    """The longest prefix whose estimate is at most ``most``. Texts without CJK stay in the JVM, and so do those that need no cut; ``mixed`` adds the path for the others."""
     plain = F.substring(text, F.lit(1), F.lit(4 * most))
-    return F.when(cjk_count(text) == 0, plain).otherwise(_truncate_mixed(text, F.lit(float(most)))) if mixed else plain
+    if not mixed:
+        return plain
+    short = F.char_length(text) < F.lit(int(0.7 * most))  # even if all of it is CJK
+    cut = ~short & (cjk_count(text) > 0) & (token_estimate(text) > most)
+    # Python functions get every row, whatever the branch they stand in: rows that need no cut come as nulls
+    return F.when(short, text).when(cut, _truncate_mixed(F.when(cut, text), F.lit(float(most)))).when(cjk_count(text) == 0, plain).otherwise(text)
 
 
 def condition_of(name: Column) -> Column:

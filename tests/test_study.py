@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,6 +178,25 @@ def test_judge(spark, gold, answer, want):
     assert value(spark, T.judge(F.col("g"), F.col("a")), g=gold, a=answer) == want
 
 
+def test_only_texts_to_be_cut_meet_python(spark, monkeypatch):
+    """A text reaches the Python function only if it holds CJK and its estimate is beyond the limit; every cut is the longest prefix within it."""
+    texts = [None, "", "a" * 7, "a" * 40, "a" * 41, "a" * 300, "漢" * 6, "漢" * 7, "漢" * 8, "漢" * 5 + "a" * 11, "漢" * 5 + "a" * 12, "a" * 30 + "漢" * 3, "a" * 39 + "漢"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    cost = lambda t: (len(t) - t.count("漢")) / 4 + t.count("漢") / 0.7
+    got = [r.kept for r in rows.select(T.truncate_tokens(F.col("t"), 10, mixed=True).alias("kept")).collect()]
+    assert got == [t and max((t[:n] for n in range(len(t) + 1) if cost(t[:n]) <= 10), key=len) for t in texts]
+
+    @F.pandas_udf("string")
+    def none(text: pd.Series, most: pd.Series) -> pd.Series:
+        assert text.isna().all()
+        return text
+
+    monkeypatch.setattr(T, "_truncate_mixed", none)
+    kept = [(t, w) for t, w in zip(texts, got) if cost(t or "") <= 10 or "漢" not in t]
+    whole = spark.createDataFrame([(t,) for t, _ in kept], "t string")
+    assert [r.kept for r in whole.select(T.truncate_tokens(F.col("t"), 10, mixed=True).alias("kept")).collect()] == [w for _, w in kept]
+
+
 def test_texts(spark):
     v = lambda c, **k: value(spark, c, **k)
     assert v(T.token_estimate(F.col("t")), t="") == 0 and v(T.token_estimate(F.col("t")), t="漢字ab") == pytest.approx(2 / 0.7 + 0.5)
