@@ -15,6 +15,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -243,8 +245,14 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     return grouped(docs, words, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-def grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """groups() with the columns doc_id, mark, n, component_id."""
+def grouped(docs: DataFrame, words: int, percent: int, known: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """groups() with the columns doc_id, mark, n, component_id.
+
+    known(rows, sets) may give links (u, v) between the ids of ``sets`` (id, h1, h2, n,
+    members) that another method has found; rows has the mark, h1 and h2 of each row
+    that may have a link. Those that similar() confirms are linked from the start, and
+    the trees are left to find the rest.
+    """
     made: list[DataFrame] = []
 
     def kept(df: DataFrame) -> DataFrame:
@@ -262,15 +270,21 @@ def grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     met = kept(keys.join(heads, "key"))
     found = kept(components(met.select(F.col("id").alias("u"), F.col("head").alias("v"))).withColumnRenamed("node", "id").withColumnRenamed("root", "grp"))
     weight = met.groupBy("id").agg(F.sum("times").alias("weight"))
-    members = kept(sets.select("id", "n", "members").join(found, "id").join(weight, "id"))
+    members = sets.select("id", "n", "members").join(found, "id").join(weight, "id")
+    sure = kept(similar(known(some, sets), sets, percent)) if known else None
+    if sure is not None:
+        members = members.join(components(sure).withColumnRenamed("node", "id").withColumnRenamed("root", "comp"), "id", "left")
+    members = kept(members.withColumn("comp", F.coalesce("comp", "id") if known else F.col("id")))
     blocks = lambda rows: rows.groupBy("grp").agg(F.greatest(F.ceil(F.sum(F.size("members")) / MEMBERS), F.ceil(F.count("*") / SETS)).alias("blocks"), F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("top"))
     sized = kept(blocks(members).select("grp", "blocks", (-F.col("top.id")).alias("top")))
     dealt = members.join(sized, "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     dealt = dealt.withColumn("lo", F.explode(F.when(F.col("id") == F.col("top"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))))
-    links = kept(_linked(dealt.withColumn("hi", F.col("lo")).withColumn("comp", F.col("id")).withColumn("side", F.lit(0)), percent))
+    links = kept(_linked(dealt.withColumn("hi", F.col("lo")).withColumn("side", F.lit(0)), percent))
+    if sure is not None:
+        links = links.unionByName(sure.select(F.col("u").alias("id"), F.col("v").alias("root")))
     large = sized.filter("blocks > 1").select("grp")
     if large.take(1):
-        links = links.unionByName(_between(met, members.join(large, "grp", "left_semi"), links, percent, blocks, kept))
+        links = links.unionByName(_between(met, members.drop("comp").join(large, "grp", "left_semi"), links, percent, blocks, kept))
     roots = components(links.select(F.col("id").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "id")
     named = sets.join(roots, "id", "left").select("h1", "h2", "least", F.coalesce("root", "id").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -281,6 +295,13 @@ def grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return out
 
 
+def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (u, v) whose sets are similar. What two sets share others have too, so it is among the members of both."""
+    of = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("members").alias(f"members_{x}"))
+    met = pairs.join(of("u"), "u").join(of("v"), "v").withColumn("both", F.size(F.array_intersect("members_u", "members_v")))
+    return met.filter(100 * F.col("both") >= percent * (F.col("n_u") + F.col("n_v") - F.col("both"))).select("u", "v")
+
+
 def _between(met: DataFrame, members: DataFrame, links: DataFrame, percent: int, blocks, kept) -> DataFrame:
     """Links between sets of large groups that no task has seen together: those that share a leading shingle but no component meet block against block."""
     roots = components(links.select(F.col("id").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "id").withColumnRenamed("root", "comp")

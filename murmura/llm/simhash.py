@@ -8,6 +8,8 @@ chain can exist; what is left gets the full Hamming check.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,8 +24,8 @@ from murmura.llm.components import components
 SEGMENTS = (22, 21, 21)
 
 
-def fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, fingerprint) of every row: 64 majority bits of XXH64 over word shingles.
+def fingerprints(docs: DataFrame, words: int = 5, marked: bool = False) -> DataFrame:
+    """(doc_id, fingerprint) of every row: 64 majority bits of XXH64 over word shingles; ``marked`` adds mark, a hash of the text.
 
     Words are runs of non-blanks, lower-cased in A-Z; shingles count with repeats; a
     text of fewer words has its whole sequence as its one shingle. A null, empty or
@@ -40,9 +42,10 @@ def fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
         h = K.xxh64(out, start[head], end[last] - start[head]) if len(head) else np.zeros(0, np.uint64)
         ones = K.bit_counts(h, np.concatenate([[0], np.cumsum(shingles)]))
         bits = np.packbits((2 * ones > shingles[:, None]).astype(np.uint8), axis=1, bitorder="little")
-        return rows.column(0), pa.array(bits.view("<i8").reshape(-1))
+        return rows.column(0), pa.array(bits.view("<i8").reshape(-1)), *rows.columns[2:]
 
-    return mapped(given(docs, "doc_id", "text"), kernel, "doc_id long, fingerprint long")
+    rows = given(docs, "doc_id", "text")
+    return mapped(rows.withColumn("mark", jaccard.text_mark(F.col("text"))) if marked else rows, kernel, "doc_id long, fingerprint long" + ", mark long" * marked)
 
 
 def chain_survivors(prints: DataFrame) -> DataFrame:
@@ -101,9 +104,30 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     return of.join(named.hint("merge"), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def print_links(docs: DataFrame, words: int = 5) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """For jaccard.grouped(): the pairs of sets whose texts have fingerprints of two differing bits or fewer.
+
+    Each set goes with the least one of its fingerprint, and the least ones of two
+    linked fingerprints go together: as many pairs as links, never all of a group.
+    Only texts that share enough shingles with others have their fingerprints linked.
+    """
+
+    def known(rows: DataFrame, sets: DataFrame) -> DataFrame:
+        of = fingerprints(docs, words, marked=True).select("mark", F.col("fingerprint").alias("fp")).distinct()
+        met = of.join(rows.select("mark", "h1", "h2").distinct(), "mark").join(sets.select("h1", "h2", "id"), ["h1", "h2"])
+        held = stored(met.select("id", "fp").distinct())
+        least = stored(held.groupBy("fp").agg(F.min("id").alias("least")))
+        same = held.join(least.hint("merge"), "fp").select(F.col("id").alias("u"), F.col("least").alias("v"))
+        ends = [least.select(F.col("fp").alias(x), F.col("least").alias(f"of_{x}")).hint("merge") for x in "uv"]
+        near = hamming_links(least.select("fp")).join(ends[0], "u").join(ends[1], "v").select(F.col("of_u").alias("u"), F.col("of_v").alias("v"))
+        return same.unionByName(near).filter("u <> v").distinct()
+
+    return known
+
+
 def _similar(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(doc_id, mark, component_id) of each row: groups of jaccard.py, and of texts without words the equal ones together."""
-    found = jaccard.grouped(docs, words, round(100 * similarity))
+    """(doc_id, mark, component_id) of each row: groups of jaccard.py, with the links of fingerprints known to it, and of texts without words the equal ones together."""
+    found = jaccard.grouped(docs, words, round(100 * similarity), print_links(docs, words))
     blank = found.filter("n = 0")
     least = blank.groupBy("mark").agg(F.min("doc_id").alias("component_id"))
     return found.filter("n > 0").select("doc_id", "mark", "component_id").unionByName(blank.select("doc_id", "mark").join(least, "mark").select("doc_id", "mark", "component_id"))
@@ -112,8 +136,9 @@ def _similar(docs: DataFrame, words: int, similarity: float) -> DataFrame:
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of each row: documents linked by a Jaccard similarity of their distinct word shingles, or equal texts.
 
-    Exact, by the set join of jaccard.py: two of 64 bits would miss most texts that
-    share 0.8 of their shingles. component_id is the least doc_id reachable. Texts
+    Fingerprints come first: texts that two bits or fewer tell apart are linked if
+    their sets are similar. Two of 64 bits miss most texts that share 0.8 of their
+    shingles, so the set join of jaccard.py finds the rest: exact. component_id is the least doc_id reachable. Texts
     without words are linked to equal ones only; null ids as in near_duplicates(). Rows
     of one doc_id with different texts are documents of their own.
     """

@@ -269,3 +269,28 @@ def test_keep_one_judges_rows_by_their_own_text(spark):
     rows = [(1, a, 1), (2, a + " more", 2), (2, " ".join(f"b{i}" for i in range(60)), 3), (None, a, 4), (3, "", 5), (4, None, 6), (5, " ", 7), (1, a, 8)]
     given = spark.createDataFrame(rows, "doc_id long, text string, mark int")
     assert sorted(r.mark for r in simhash.keep_one(given).collect()) == [1, 3, 4, 5, 7, 8]
+
+
+def test_near_dedup_links_by_fingerprints_before_the_set_join(spark, monkeypatch):
+    """Confirmed links of fingerprints are there from the start, those of unlike sets are not; with the trees finding nothing they are all that is left, with them the groups are exact."""
+    rng = random.Random(11)
+    rows = near(spark, 5)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    for k in range(6):  # one word in 400 changes few bits
+        rows.append((len(rows), " ".join(long[:-1] + [f"z{k}"])))
+    # repeats settle the bits, and the sets are unlike
+    rows += [(len(rows) + k, " ".join(["a b c d e"] * 200 + [f"q{k}x{j}" for j in range(9)])) for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, words(t)) for i, t in rows)}
+    prints = {i: fingerprint(t, 5) for i, t in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    close = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2
+    assert close(len(rows) - 2, len(rows) - 1) and not alike(len(rows) - 2, len(rows) - 1)
+    exact = brute_components(list(sets), alike)
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()} == exact
+    monkeypatch.setattr(simhash.jaccard, "_linked", lambda parts, percent: parts.select("id", parts.id.alias("root")).limit(0))
+    first = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    both = brute_components(list(sets), lambda a, b: alike(a, b) and close(a, b))
+    equal = brute_components(list(sets), lambda a, b: sets[a] == sets[b])
+    assert len(set(both.values())) <= len(set(first.values())) < len(set(equal.values()))
+    assert all(exact[i] == exact[first[i]] for i in first)  # no link of fingerprints joins what the sets do not
