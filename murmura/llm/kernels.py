@@ -193,8 +193,8 @@ def bit_counts(h: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def code_points(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of valid UTF-8 (65535 stands for those above), and offsets in them."""
+def code_points(buf: np.ndarray, off: np.ndarray, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of valid UTF-8 (65535 stands for those above, unless ``whole``), and offsets in them."""
     at = np.flatnonzero((buf & 0xC0) != 0x80)
     lead = buf[at]
     cp = lead.astype(np.int32)
@@ -203,7 +203,9 @@ def code_points(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     two, three = np.flatnonzero((lead >= 0xC0) & (lead < 0xE0)), np.flatnonzero((lead >= 0xE0) & (lead < 0xF0))
     cp[two] = ((cp[two] & 0x1F) << 6) | more[at[two] + 1]
     cp[three] = ((cp[three] & 0x0F) << 12) | (more[at[three] + 1].astype(np.int32) << 6) | more[at[three] + 2]
-    cp[lead >= 0xF0] = 0xFFFF
+    four = np.flatnonzero(lead >= 0xF0)
+    tail = [more[at[four] + j].astype(np.int32) for j in (1, 2, 3)] if whole else []
+    cp[four] = ((cp[four] & 0x07) << 18) | (tail[0] << 12) | (tail[1] << 6) | tail[2] if whole else 0xFFFF
     return cp, np.searchsorted(at, off)
 
 

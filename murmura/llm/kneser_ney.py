@@ -50,6 +50,46 @@ def letter_alphabet() -> np.ndarray:
     return out
 
 
+#: Bits of a page of 64 code points in the codes of letters, and pages.
+PAGE, PAGES = 15, 0x110000 >> 6
+
+
+def letters(buf: np.ndarray, off: np.ndarray, alphabet: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The characters that share their symbol in ``alphabet`` with others, each as itself after the character before it; and offsets in them.
+
+    Two codes a character: its page of 64 code points after the page before, and its
+    place in the page after that page and the place before. All code points differ.
+    """
+    cp, at = K.code_points(buf, off, whole=True)
+    on = (np.bincount(alphabet)[alphabet] > 1)[np.minimum(cp, 65535)]
+    before = np.concatenate([np.zeros(1, np.int32), cp])[: len(cp)]
+    before[at[:-1][np.diff(at) > 0]] = EDGE
+    cp, before = cp[on].astype(np.int64), before[on].astype(np.int64)
+    page = cp >> 6
+    return [(before >> 6) << PAGE | page, ((before & 63) << PAGE | page) << PAGE | cp & 63], np.concatenate([[0], np.cumsum(on)])[at]
+
+
+def count_letters(docs: DataFrame, alphabet: np.ndarray) -> DataFrame:
+    """(kind, code, n): counts of the two codes of letters(), over all whole texts."""
+    ship()
+
+    def run(batches):
+        held: list[tuple[list, list]] = [([], []), ([], [])]
+        for _, buf, off in by_slices(batches, "text"):
+            for i, code in enumerate(letters(buf, off, alphabet)[0]):
+                for x, y in zip(held[i], np.unique(code, return_counts=True)):
+                    x.append(y)
+                if len(held[i][0]) >= 16:
+                    k, c = K.merge_counts(*held[i])
+                    held[i] = ([k], [c])
+        for i, (keys, counts) in enumerate(held):
+            k, c = K.merge_counts(keys, counts)
+            for a in range(0, len(k), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k[a : a + 100_000]), i, np.int32)), pa.array(k[a : a + 100_000]), pa.array(c[a : a + 100_000])], ["kind", "code", "n"])
+
+    return docs.select("text").mapInArrow(run, "kind int, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n"))
+
+
 def codes(buf: np.ndarray, off: np.ndarray, alphabet: np.ndarray, order: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The n-gram that ends at each character, and offsets in them."""
     cp, at = K.code_points(buf, off)
@@ -105,6 +145,7 @@ class Model:
     logp: list
     contexts: list
     gamma: list
+    symbols: int
 
     def log_probability(self, code: np.ndarray) -> np.ndarray:
         """Log probabilities of n-grams of the highest order: binary searches from there down, with the weight of each context passed on the way."""
@@ -116,7 +157,7 @@ class Model:
             left, context = left[~hit], low[~hit] >> self.bits
             at, known = _found(self.contexts[k], context)
             out[left[known]] += self.gamma[k][at[known]]
-        out[left] -= self.bits * np.log(2)
+        out[left] -= np.log(self.symbols)
         return out
 
     def size(self) -> int:
@@ -140,6 +181,16 @@ def losses(models: list[Model], buf: np.ndarray, off: np.ndarray, alphabet: np.n
     return np.stack([-K.segment_sum(m.log_probability(distinct)[which], at) / np.maximum(n, 1) for m in models], 1), n
 
 
+def letter_losses(models: list[Model], buf: np.ndarray, off: np.ndarray, alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nats a character of letters() in each text under the models of its two codes (0 without one), and how many it has."""
+    found, at = letters(buf, off, alphabet)
+    n, total = np.diff(at), 0.0
+    for model, code in zip(models, found):
+        distinct, which = np.unique(code, return_inverse=True)
+        total = total - K.segment_sum(model.log_probability(distinct)[which], at)
+    return total / np.maximum(n, 1), n
+
+
 def _discounts(n: np.ndarray) -> np.ndarray:
     """Modified Kneser-Ney discounts of counts 0, 1, 2 and 3 or more; absolute 0.5 to 0.9 where count-of-counts are missing."""
     c = [float((n == k).sum()) for k in range(5)]
@@ -149,15 +200,16 @@ def _discounts(n: np.ndarray) -> np.ndarray:
     return np.clip([0, 1 - 2 * y * c[2] / c[1], 2 - 3 * y * c[3] / c[2], 3 - 4 * y * c[4] / c[3]], [0, 0.05, 0.05, 0.05], [0, 0.95, 1.95, 2.95])
 
 
-def build(code: np.ndarray, n: np.ndarray, order: int, bits: int) -> Model:
-    """A model from the counts of the highest order; lower orders take continuation counts. No counts: the uniform model."""
+def build(code: np.ndarray, n: np.ndarray, order: int, bits: int, symbols: int | None = None) -> Model:
+    """A model from the counts of the highest order; lower orders take continuation counts. The last symbol of an n-gram is one of ``symbols``, or of all that the bits allow. No counts: the uniform model."""
+    symbols = symbols or 1 << bits
     by = np.argsort(code)
     key, n = code[by].astype(np.int64), n[by].astype(np.int64)
     levels = [(key, n)]
     for k in range(order - 1, 0, -1):
         low, c = np.unique(levels[0][0] & ((1 << (k * bits)) - 1), return_counts=True)
         levels.insert(0, (low, c))
-    model, lower = Model(order, bits, [], [], [], []), None
+    model, lower = Model(order, bits, [], [], [], [], symbols), None
     for k, (key, n) in enumerate(levels):
         d = _discounts(n)[np.minimum(n, 3)]
         context, head = np.unique(key >> bits, return_index=True)
@@ -168,7 +220,7 @@ def build(code: np.ndarray, n: np.ndarray, order: int, bits: int) -> Model:
             suffix = key & ((1 << (k * bits)) - 1)
             base = np.exp(lower[1][np.searchsorted(lower[0], suffix)])
         else:
-            base = np.full(len(key), 1 / (1 << bits))
+            base = np.full(len(key), 1 / symbols)
         p = (n - d + freed[at] * base) / total[at] if len(key) else np.zeros(0)
         lower = (key, np.log(p))
         model.keys.append(key)

@@ -60,6 +60,39 @@ def test_bands_reject_symbols_and_keep_prose(spark):
     assert not any(got[i].kept or got[i].base_failed for i, _, _ in junk)
 
 
+def test_bands_tell_letters_of_other_scripts_apart(spark):
+    """Words of rare letters among prose of the same script, with words as long: the 64 symbols cannot tell them from it."""
+    rng = random.Random(2)
+    text = lambda letters: " ".join("".join(rng.choices(letters, k=rng.randint(4, 9))) for _ in range(120))
+    scripts = [("оеаинтсрвл", "ъэщцжхюфшё"), ("的一是不了人我在有他", "龘靐齉爩鱻麤灪吁鑫淼"), ("𐐨𐐩𐐪𐐫𐐬𐐭𐐮𐐯", "𐑀𐑁𐑂𐑃𐑄𐑅𐑆𐑇")]
+    rows = [(100 * k + i, text(prose if i < 60 else junk), f"l{k}") for k, (prose, junk) in enumerate(scripts) for i in range(62)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.judged(docs).collect()}
+    assert all(not r.base_failed and r.low - quality.SHORT / math.sqrt(r.n_scored) <= r.cross_entropy <= r.high + quality.SHORT / math.sqrt(r.n_scored) for r in got.values())
+    assert {i for i, r in got.items() if r.kept} == {i for i, _, _ in rows if i % 100 < 60}
+    assert {r.doc_id for r in quality.keep_good(docs).collect()} == {i for i, r in got.items() if r.kept}
+
+
+def test_letters_keep_all_code_points_apart(spark):
+    alphabet = KN.quality_alphabet()
+    texts = ["aZ9é", "", "z", "漢字a🙂𐐨 Я", "я\uffffÿ"]
+    alone = {s for s in set(alphabet.tolist()) if (alphabet == s).sum() == 1}
+    pairs = [("\0" + t)[i : i + 2] for t in texts for i in range(len(t)) if alphabet[min(ord(t[i]), 65535)] not in alone]
+    raw = "".join(texts).encode()
+    off = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    (pages, places), at = KN.letters(np.frombuffer(raw, np.uint8), off, alphabet)
+    want = [(ord(a) >> 6 << 15 | ord(b) >> 6, ((ord(a) & 63) << 15 | ord(b) >> 6) << 15 | ord(b) & 63) for a, b in pairs]
+    assert list(zip(pages.tolist(), places.tolist())) == want and at[-1] == len(pairs) > 8
+    got = {(r.kind, r.code): r.n for r in KN.count_letters(spark.createDataFrame([(t,) for t in [*texts, None, *texts]], "text string").repartition(3), alphabet).collect()}
+    assert got == {k: 2 * n for k, n in Counter((i, c) for w in want for i, c in enumerate(w)).items()}
+    grams = Counter(((ord(a) & 63), ord(b) >> 6, ord(b) & 63) for a, b in pairs)
+    model = KN.build(np.array([(x << 15 | y) << 15 | z for x, y, z in grams]), np.array(list(grams.values())), 3, KN.PAGE, 64)
+    p = brute_kneser_ney(grams, 3, 64)
+    every = [(x, y, z) for x, y in {*(g[:2] for g in grams), (7, 7)} for z in range(64)]
+    found = np.exp(model.log_probability(np.array([(x << 15 | y) << 15 | z for x, y, z in every])))
+    assert np.allclose(found, [p(g) for g in every]) and np.allclose(found.reshape(-1, 64).sum(1), 1)
+
+
 def brute_kneser_ney(counts, order, size):
     """Interpolated modified Kneser-Ney by its definition, over tuples of symbols."""
     levels = {order: dict(counts)}
